@@ -6,9 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .langid_bigru import op3_language_id
 from .simhash_dedup import op10_simhash_dedup
+from .toxicity_segments import op2_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity": op2_toxicity,
+    "op3_language_id": op3_language_id,
     "op10_simhash_dedup": op10_simhash_dedup,
 }
 

@@ -1,10 +1,596 @@
-"""Registered queries and their SQL."""
+"""Registered queries over the supplied tables, and their DuckDB SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import views as V
+from .functions import expr
+from .operators import explain as X
+from .operators import metrics, models, preprocess, profile, ranking, scoring, sinks, split
+from .sources import sensor_files as S
+
+SEED = 42
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL if there is one."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+r = expr.rounded
+
+
+def _rounded(df: DataFrame, *cols: str) -> DataFrame:
+    return df.withColumns({c: r(F.col(c)) for c in cols})
+
+
+# -- sources -------------------------------------------------------------------
+
+
+@query("""
+SELECT event_id AS row_id, CASE WHEN event_id % 10 < 3 THEN NULL ELSE floor(value)::DOUBLE END AS value,
+  CASE event_id % 7 WHEN 0 THEN 1 WHEN 1 THEN NULL ELSE 0 END AS y FROM events""")
+def s1_token_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = V._read(spark, sf_dir, "events")
+    token = F.when(F.col("event_id") % 10 == 0, "NaN").when(F.col("event_id") % 10 == 1, "nan").when(F.col("event_id") % 10 == 2, "NA")
+    raw = F.coalesce(token, F.floor("value").cast("string"))
+    label = F.when(F.col("event_id") % 7 == 0, 1).when(F.col("event_id") % 7 == 1, 0).otherwise(-1)
+    return e.select(F.col("event_id").alias("row_id"), expr.token_to_double(raw).alias("value"), expr.label_to_class(label).alias("y"))
+
+
+@query("""
+WITH raw AS (
+  SELECT event_id AS row_id, CASE WHEN event_id % 11 = 0 THEN 'x' || strftime(ts, '%d/%m/%Y %H:%M:%S')
+    WHEN event_id % 13 = 0 THEN '31/02/2008 00:00:00' ELSE strftime(ts, '%d/%m/%Y %H:%M:%S') END AS s FROM events)
+SELECT row_id, strftime(try_strptime(s, '%d/%m/%Y %H:%M:%S'), '%Y-%m-%d %H:%M:%S') AS ts FROM raw""")
+def s3_parse_timestamp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = V._read(spark, sf_dir, "events")
+    text = F.date_format("ts", "dd/MM/yyyy HH:mm:ss")
+    raw = F.when(F.col("event_id") % 11 == 0, F.concat(F.lit("x"), text)).when(F.col("event_id") % 13 == 0, "31/02/2008 00:00:00").otherwise(text)
+    return e.select(F.col("event_id").alias("row_id"), F.date_format(expr.parse_time(raw), "yyyy-MM-dd HH:mm:ss").alias("ts"))
+
+
+_LINES = ["1. F026", "2. F511", "no name", "F003 and F004", "", "F12", "xF1234"]
+
+
+@query("""
+WITH lines(line_no, value) AS (VALUES (1, '1. F026'), (2, '2. F511'), (3, 'no name'), (4, 'F003 and F004'), (5, ''), (6, 'F12'), (7, 'xF1234'))
+SELECT line_no, regexp_extract(value, '(F[0-9]{3})', 1) AS feature FROM lines WHERE regexp_extract(value, '(F[0-9]{3})', 1) <> ''""")
+def s6_feature_list_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.parse_feature_lines(spark.createDataFrame(list(enumerate(_LINES, 1)), "line_no int, value string"))
+
+
+@query("SELECT i::BIGINT AS i, printf('F%03d', i) AS feature FROM range(1, 592) t(i)")
+def p1_feature_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.range(1, S.N_FEATURES + 1).select(F.col("id").alias("i"), expr.feature_name(F.col("id")).alias("feature"))
+
+
+@query("""
+WITH m(feature, meaning) AS (VALUES ('F002', 'pressure'), ('F005', 'flow'))
+SELECT f.feature, coalesce(m.meaning, 'unknown(匿名)') AS description FROM (SELECT printf('F%03d', i) AS feature FROM range(1, 11) t(i)) f LEFT JOIN m USING (feature)""")
+def p16_feature_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = spark.range(1, 11).select(expr.feature_name(F.col("id")).alias("feature"))
+    meanings = spark.createDataFrame([("F002", "pressure"), ("F005", "flow")], "feature string, meaning string")
+    return names.join(meanings, "feature", "left").select("feature", expr.described(F.col("feature"), F.col("meaning")).alias("description"))
+
+
+# -- profile and preprocessing ----------------------------------------------------
+
+
+@query(f"WITH {V.SENSOR} SELECT feature, fidx FROM sensor GROUP BY ALL HAVING count(value) = 0")
+def g1_all_null_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.all_null_features(V.sensor_long(spark, sf_dir))
+
+
+@query(f"WITH {V.SENSOR} SELECT DISTINCT feature, fidx FROM sensor WHERE feature IN (SELECT feature FROM sensor GROUP BY 1 HAVING count(value) > 0)")
+def p3_drop_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    long = V.sensor_long(spark, sf_dir)
+    return profile.drop_features(long, profile.all_null_features(long)).select("feature", "fidx").distinct()
+
+
+@query(f"""
+WITH {V.SENSOR}, p AS (SELECT feature, count(*) AS n, count(*) - count(value) AS m FROM sensor GROUP BY 1)
+SELECT count(*) AS n_features, count(*) FILTER (m > 0) AS n_with_null, count(*) FILTER (m = n) AS n_all_null, round(sum(m)::DOUBLE / sum(n)::DOUBLE, 6) AS null_rate FROM p""")
+def g2_null_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(profile.null_summary(V.sensor_long(spark, sf_dir)), "null_rate")
+
+
+def _imputed(strategy: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        long = V.sensor_long(spark, sf_dir)
+        out = preprocess.impute(long, preprocess.impute_statistics(long, strategy))
+        return out.select("row_id", "feature", r(F.col("value")).alias("value"))
+
+    return run
+
+
+for _name, _strategy in (("g3_median_impute", "median"), ("g4_mean_impute", "avg")):
+    _f = _imputed("mean" if _strategy == "avg" else "median")
+    _f.__name__ = _name
+    query(f"""
+WITH {V.SENSOR}, s AS (SELECT feature, {_strategy}(value) AS m FROM sensor GROUP BY 1)
+SELECT row_id, feature, round(coalesce(value, m, 0.0::DOUBLE), 6) + 0.0::DOUBLE AS value FROM sensor JOIN s USING (feature)""")(_f)
+
+_SCALED = """
+known AS (SELECT feature FROM {fit} GROUP BY 1 HAVING count(value) > 0),
+med AS (SELECT feature, median(value) AS m FROM {fit} GROUP BY 1),
+filled AS (SELECT x.row_id, x.y, x.fidx, x.feature, coalesce(value, m, 0.0::DOUBLE) AS value FROM {all} x JOIN med USING (feature) JOIN known USING (feature)),
+st AS (SELECT feature, avg(value) AS mean, stddev_pop(value) AS std FROM {which} GROUP BY 1),
+scaled AS (SELECT row_id, y, fidx, feature, (value - mean) / CASE WHEN std = 0 THEN 1.0::DOUBLE ELSE std END AS value FROM filled JOIN st USING (feature))"""
+
+
+@query(f"WITH {V.SENSOR}, {_SCALED.format(fit='sensor', all='sensor', which='filled')} SELECT row_id, feature, round(value, 6) + 0.0::DOUBLE AS value FROM scaled")
+def p10_standardize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preprocess.preprocess(V.sensor_long(spark, sf_dir)).select("row_id", "feature", r(F.col("value")).alias("value"))
+
+
+@query(f"""
+WITH {V.ORDERS}, {_SCALED.format(fit='order_long', all='order_long', which='filled')}
+SELECT feature, count(*) AS n, round(min(value), 6) AS lo, round(max(value), 6) AS hi, round(sum(abs(value)) / count(*), 6) AS mean_abs FROM scaled GROUP BY 1""")
+def p10_standardize_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = preprocess.preprocess(V.order_long(spark, sf_dir)).groupBy("feature").agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.avg(F.abs("value")).alias("mean_abs"))
+    return _rounded(out, "lo", "hi", "mean_abs")
+
+
+def _quota_sql(rows: str, size: str) -> str:
+    """Class quotas by largest remainder, ranks by MD5, over a CTE of (row_id, y)."""
+    return f"""
+tot AS (SELECT count(*) AS total FROM {rows}),
+cls AS (SELECT y, count(*) AS n, any_value(total) AS total, any_value({size})::BIGINT AS size FROM {rows}, tot GROUP BY y),
+fl AS (SELECT y, n, total, size, size * n // total AS whole, size * n % total AS rest FROM cls),
+quota AS (SELECT y, whole + CASE WHEN row_number() OVER (ORDER BY rest DESC, y) <= size - sum(whole) OVER () THEN 1 ELSE 0 END AS q FROM fl),
+ranked AS (SELECT row_id, y, row_number() OVER (PARTITION BY y ORDER BY md5('{SEED}|' || row_id), row_id) AS nth FROM {rows})"""
+
+
+_TRAIN = "total - ceil(0.2::DOUBLE * total)"
+_SPLIT = "CASE WHEN nth <= q THEN 'train' ELSE 'test' END AS part FROM ranked JOIN quota USING (y)"
+
+
+@query(f"""
+WITH {V.SENSOR}, {V.SENSOR_ROWS}, {_quota_sql('sensor_rows', _TRAIN)}, parts AS (SELECT row_id, {_SPLIT}),
+fit AS (SELECT s.* FROM sensor s JOIN parts USING (row_id) WHERE part = 'train'),
+{_SCALED.format(fit='fit', all='sensor', which="(SELECT f.* FROM filled f JOIN parts USING (row_id) WHERE part = 'train')")}
+SELECT row_id, feature, round(value, 6) + 0.0::DOUBLE AS value FROM scaled""")
+def p10_standardize_train_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    long = V.sensor_long(spark, sf_dir)
+    train = split.stratified_split(V.sensor_rows(spark, sf_dir), 0.2, SEED).where("part = 'train'").select("row_id")
+    out = preprocess.preprocess(long, long.join(train, "row_id", "left_semi"))
+    return out.select("row_id", "feature", r(F.col("value")).alias("value"))
+
+
+@query(f"WITH {V.EVENTS} SELECT y, count(*) AS n, round(count(*)::DOUBLE / (SELECT count(*) FROM event_rows), 6) AS share FROM event_rows GROUP BY y")
+def g6_class_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(profile.class_balance(V.event_rows(spark, sf_dir)), "share")
+
+
+@query("""
+WITH d AS (SELECT toxic AS y, n_chars FROM labels JOIN documents USING (doc_id))
+SELECT y, count(*) AS n, round(avg(n_chars), 6) AS mean_chars FROM d GROUP BY y""")
+def g6_document_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = V._read(spark, sf_dir, "labels").join(V._read(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
+    return rows.groupBy(F.col("toxic").alias("y")).agg(F.count("*").alias("n"), r(F.avg("n_chars")).alias("mean_chars"))
+
+
+@query(f"""
+WITH {V.EVENTS}, c AS (SELECT y, count(*) AS n FROM event_rows GROUP BY y)
+SELECT y, n, round((SELECT sum(n) FROM c)::DOUBLE / ((SELECT count(*) FROM c) * n), 6) AS weight FROM c""")
+def p22_class_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(profile.class_weights(V.event_rows(spark, sf_dir)), "weight")
+
+
+# -- sampling ------------------------------------------------------------------
+
+
+@query(f"WITH {V.SENSOR_ROWS}, {_quota_sql('sensor_rows', _TRAIN)} SELECT row_id, y, {_SPLIT}")
+def m1_stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.stratified_split(V.sensor_rows(spark, sf_dir), 0.2, SEED).select("row_id", "y", "part")
+
+
+@query(f"WITH {V.EVENTS}, {_quota_sql('event_rows', 'least(200, total)')} SELECT row_id, y FROM ranked JOIN quota USING (y) WHERE nth <= q")
+def m2_quick_subsample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.stratified_sample(V.event_rows(spark, sf_dir), 200, SEED).select("row_id", "y")
+
+
+@query(f"WITH {V.SENSOR_ROWS} SELECT row_id, y FROM sensor_rows ORDER BY md5('{SEED}|' || row_id), row_id LIMIT 100")
+def m3_background_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.background_sample(V.sensor_rows(spark, sf_dir), 100, SEED)
+
+
+@query(f"WITH {V.EVENTS}, ranked AS (SELECT row_id, y, row_number() OVER (PARTITION BY y ORDER BY md5('{SEED}|' || row_id), row_id) AS nth FROM event_rows) SELECT row_id, y, CAST((nth - 1) % 10 AS INTEGER) AS fold FROM ranked")
+def m5_stratified_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.stratified_folds(V.event_rows(spark, sf_dir), 10, SEED).select("row_id", "y", "fold")
+
+
+@query(f"WITH {V.SENSOR_ROWS} SELECT row_id, y FROM sensor_rows")
+def u1_concat_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = split.stratified_split(V.sensor_rows(spark, sf_dir), 0.2, SEED)
+    both = parts.where("part = 'train'").unionByName(parts.where("part = 'test'"))
+    return both.select("row_id", "y").orderBy("row_id")
+
+
+# -- feature scores and ranks ---------------------------------------------------------
+
+
+def _anova_sql(rows: str) -> str:
+    return f"""
+av_c AS (SELECT feature, avg(value) AS m FROM {rows} WHERE value IS NOT NULL GROUP BY 1),
+av_g AS (SELECT feature, fidx, y, count(*) AS n, sum(value - m) AS s, sum((value - m) * (value - m)) AS q FROM {rows} JOIN av_c USING (feature) WHERE value IS NOT NULL GROUP BY ALL),
+av_t AS (SELECT feature, fidx, count(*) AS k, sum(n) AS n, sum(s) AS s, sum(q) AS q, sum(s * s / n) AS b FROM av_g GROUP BY ALL),
+anova AS (SELECT feature, fidx, ((b - s * s / n) / nullif(k - 1.0::DOUBLE, 0)) / nullif((q - b) / nullif((n - k)::DOUBLE, 0), 0) AS score FROM av_t)"""
+
+
+_ANOVA = _anova_sql("sensor")
+
+
+def _sensor_anova(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.anova_f(V.sensor_long(spark, sf_dir))
+
+
+@query(f"WITH {V.SENSOR}, {_ANOVA} SELECT feature, fidx, round(score, 6) AS score FROM anova")
+def g7_anova_f(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_sensor_anova(spark, sf_dir), "score")
+
+
+@query(f"WITH {V.ORDERS}, {_anova_sql('order_long')} SELECT feature, fidx, round(score, 5) AS score FROM anova")
+def g7_anova_f_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.anova_f(V.order_long(spark, sf_dir)).select("feature", "fidx", r(F.col("score"), 5).alias("score"))
+
+
+def _few(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    return V.sensor_long(spark, sf_dir).where(F.col("fidx") < n)
+
+
+_MI = """
+few AS (SELECT * FROM sensor WHERE fidx < 4 AND value IS NOT NULL),
+sized AS (SELECT *, count(*) OVER (PARTITION BY feature, y) AS nc FROM few),
+own AS (SELECT *, least(3, nc - 1) AS kc FROM sized WHERE nc > 1),
+near AS (SELECT a.feature, a.fidx, a.row_id, a.value, a.nc, a.kc, abs(a.value - b.value) AS d,
+    row_number() OVER (PARTITION BY a.feature, a.row_id ORDER BY abs(a.value - b.value), b.row_id) AS nth
+  FROM own a JOIN own b ON a.feature = b.feature AND a.y = b.y AND a.row_id <> b.row_id),
+reach AS (SELECT feature, fidx, row_id, value, nc, kc, d AS r FROM near WHERE nth = kc),
+inside AS (SELECT a.feature, a.fidx, a.row_id, any_value(a.nc) AS nc, any_value(a.kc) AS kc, greatest(1, count(*) FILTER (b.value > a.value - a.r AND b.value < a.value + a.r)) AS m
+  FROM reach a JOIN own b ON a.feature = b.feature GROUP BY ALL),
+h AS (SELECT i AS n, -0.5772156649015329::DOUBLE + coalesce(sum(1.0::DOUBLE / nullif(i - 1, 0)) OVER (ORDER BY i), 0) AS psi FROM range(1, 100001) t(i)),
+total AS (SELECT feature, count(*) AS n FROM inside GROUP BY 1),
+mi AS (SELECT i.feature, i.fidx, any_value(hn.psi) + avg(hk.psi) - avg(hc.psi) - avg(hm.psi) AS raw
+  FROM inside i JOIN total USING (feature) JOIN h hn ON hn.n = total.n JOIN h hk ON hk.n = i.kc JOIN h hc ON hc.n = i.nc JOIN h hm ON hm.n = i.m GROUP BY ALL)"""
+
+
+@query(f"WITH {V.SENSOR}, {_MI} SELECT feature, fidx, round(raw, 6) + 0.0::DOUBLE AS raw, round(greatest(raw, 0.0::DOUBLE), 6) + 0.0::DOUBLE AS score FROM mi")
+def g8_knn_mutual_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(scoring.knn_mutual_info(_few(spark, sf_dir, 4)), "raw", "score")
+
+
+def _few_vectors(spark: SparkSession, sf_dir: str, n: int) -> tuple[DataFrame, list[str]]:
+    names = [f"F{i:03d}" for i in range(1, n + 1)]
+    return scoring.vectors(preprocess.preprocess(_few(spark, sf_dir, n)), names), names
+
+
+@query()
+def l10_forest_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, names = _few_vectors(spark, sf_dir, 8)
+    return scoring.forest_importance(rows, names, SEED, trees=20, depth=10)
+
+
+@query()
+def l9_rfe_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, names = _few_vectors(spark, sf_dir, 6)
+    return scoring.rfe_ranks(rows, names, keep=3)
+
+
+_RANK = "row_number() OVER (ORDER BY {s} DESC NULLS LAST, fidx)::DOUBLE"
+
+
+@query(f"WITH {V.SENSOR}, {_ANOVA}, a AS (SELECT feature, fidx, CASE WHEN fidx % 9 = 0 THEN NULL ELSE score END AS s FROM anova) SELECT feature, fidx, CASE WHEN s IS NULL THEN (SELECT count(*) FROM a)::DOUBLE ELSE {_RANK.format(s='s')} END AS rank FROM a")
+def w1_score_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = _sensor_anova(spark, sf_dir).withColumn("score", F.when(F.col("fidx") % 9 != 0, F.col("score")))
+    return ranking.rank_descending(scores)
+
+
+def _ranks(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """By F, and by the coefficient of variation, coarsely rounded."""
+    long = V.sensor_long(spark, sf_dir).where("value is not null")
+    spread = long.groupBy("feature", "fidx").agg(F.round(F.stddev_pop("value"), 2).alias("score"))
+    return {"f": ranking.rank_descending(_sensor_anova(spark, sf_dir)), "spread": ranking.rank_descending(spread)}
+
+
+_FUSED = f"""
+rf AS (SELECT feature, fidx, {_RANK.format(s='score')} AS rank_f FROM anova),
+sp AS (SELECT feature, fidx, round(stddev_pop(value), 2) AS s FROM sensor WHERE value IS NOT NULL GROUP BY ALL),
+rs AS (SELECT feature, fidx, {_RANK.format(s='s')} AS rank_spread FROM sp),
+mean AS (SELECT feature, fidx, rank_f, rank_spread, (rank_f + rank_spread) / 2 AS mean_rank FROM rf JOIN rs USING (feature, fidx)),
+fused AS (SELECT *, rank() OVER (ORDER BY mean_rank) + (count(*) OVER (PARTITION BY mean_rank) - 1) / 2.0::DOUBLE AS overall_rank FROM mean)"""
+
+
+@query(f"WITH {V.SENSOR}, {_ANOVA}, {_FUSED} SELECT * FROM fused")
+def w2_rank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.fuse(_ranks(spark, sf_dir))
+
+
+@query(f"""WITH {V.SENSOR}, {_ANOVA}, {_FUSED} SELECT corr(rank_f, rank_spread).round(6) AS spearman,
+  round(count(*) FILTER (rank_f <= 20 AND rank_spread <= 20)::DOUBLE / count(*) FILTER (rank_f <= 20 OR rank_spread <= 20), 6) AS jaccard FROM fused""")
+def w2_rank_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(ranking.agreement(_ranks(spark, sf_dir), 20), "spearman", "jaccard").select("spearman", "jaccard")
+
+
+_TOP = "top AS (SELECT feature, fidx FROM fused ORDER BY mean_rank, fidx LIMIT 10)"
+
+
+@query(f"WITH {V.SENSOR}, {_ANOVA}, {_FUSED}, {_TOP} SELECT row_id, feature, value FROM sensor SEMI JOIN top USING (feature)")
+def p4_select_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    top = ranking.select_top(ranking.fuse(_ranks(spark, sf_dir)), 10)
+    return ranking.keep_features(V.sensor_long(spark, sf_dir), top).select("row_id", "feature", "value")
+
+
+@query(f"WITH {V.SENSOR}, {_ANOVA}, {_FUSED}, {_TOP} , p AS (SELECT row_number() OVER (ORDER BY mean_rank, fidx) AS pos, feature FROM fused) SELECT pos::INTEGER AS pos, pos || '. ' || feature AS line FROM p WHERE pos <= 10")
+def k2_feature_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.feature_lines(ranking.select_top(ranking.fuse(_ranks(spark, sf_dir)), 10))
+
+
+# -- metrics -------------------------------------------------------------------
+
+_CELLS = """count(*) FILTER (y = 0 AND pred = 0) AS tn, count(*) FILTER (y = 0 AND pred = 1) AS fp,
+  count(*) FILTER (y = 1 AND pred = 0) AS fn, count(*) FILTER (y = 1 AND pred = 1) AS tp"""
+_BER = """CASE WHEN tn + fp + fn = 0 OR tp + fp + fn = 0 THEN 1.0::DOUBLE
+  ELSE (coalesce(fp::DOUBLE / nullif(fp + tn, 0), 0) + coalesce(fn::DOUBLE / nullif(fn + tp, 0), 0)) / 2 END"""
+_RATES = f"""round({_BER}, 6) AS ber, round((tp + tn)::DOUBLE / nullif(tp + tn + fp + fn, 0), 6) AS accuracy,
+  round(coalesce(tp::DOUBLE / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0), 6) AS recall,
+  round(coalesce(2 * tp::DOUBLE / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1"""
+
+
+@query(f"WITH {V.SCORES} SELECT {_CELLS} FROM score_rows")
+def g9_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.confusion(V.score_rows(spark, sf_dir))
+
+
+@query(f"WITH {V.SCORES}, c AS (SELECT row_id % 7 AS g, {_CELLS} FROM score_rows GROUP BY 1) SELECT g, round({_BER}, 6) AS ber FROM c")
+def g10_ber(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = V.score_rows(spark, sf_dir).withColumn("g", F.col("row_id") % 7)
+    return metrics.confusion(rows, ["g"]).select("g", r(metrics.balanced_error_rate()).alias("ber"))
+
+
+@query(f"WITH {V.SCORES}, c AS (SELECT floor(score * 10)::BIGINT AS g, {_CELLS} FROM score_rows GROUP BY 1) SELECT g, tn, fp, fn, tp, {_RATES} FROM c")
+def g11_precision_recall_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = V.score_rows(spark, sf_dir).withColumn("g", F.floor(F.col("score") * 10))
+    return _rounded(metrics.rates(metrics.confusion(rows, ["g"])), "ber", "accuracy", "precision", "recall", "f1")
+
+
+def _auc_sql(rows: str, by: str) -> str:
+    return f"""
+pts AS (SELECT {by}, score, count(*) FILTER (y = 1) AS p, count(*) FILTER (y = 0) AS n FROM {rows} GROUP BY ALL),
+run AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY {by} ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM pts),
+area AS (SELECT {by}, sum(p * (below + n / 2.0::DOUBLE)) / nullif(sum(p)::DOUBLE * sum(n)::DOUBLE, 0) AS auc FROM run GROUP BY {by})"""
+
+
+@query(f"WITH {V.SCORES}, g AS (SELECT *, row_id % 3 AS g FROM score_rows), {_auc_sql('g', 'g')} SELECT g, round(auc, 6) AS auc FROM area")
+def g12_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(metrics.auc(V.score_rows(spark, sf_dir).withColumn("g", F.col("row_id") % 3), ["g"]), "auc")
+
+
+_PARTED = f"{_quota_sql('event_rows', _TRAIN)}, parted AS (SELECT s.*, part FROM score_rows s JOIN (SELECT row_id, {_SPLIT}) USING (row_id))"
+
+
+@query(f"""
+WITH {V.SCORES}, {_PARTED}, c AS (SELECT part, {_CELLS} FROM parted GROUP BY 1), {_auc_sql('parted', 'part')},
+w AS (SELECT part, {_RATES}, round(auc, 6) AS auc FROM c JOIN area USING (part))
+SELECT 'fixed' AS model, metric, value FROM (
+  SELECT 'train_ber' AS metric, ber AS value FROM w WHERE part = 'train' UNION ALL SELECT 'test_ber', ber FROM w WHERE part = 'test'
+  UNION ALL SELECT 'accuracy', accuracy FROM w WHERE part = 'test' UNION ALL SELECT 'precision', precision FROM w WHERE part = 'test'
+  UNION ALL SELECT 'recall', recall FROM w WHERE part = 'test' UNION ALL SELECT 'f1', f1 FROM w WHERE part = 'test'
+  UNION ALL SELECT 'auc', auc FROM w WHERE part = 'test')""")
+def l7_train_test_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = split.stratified_split(V.event_rows(spark, sf_dir), 0.2, SEED).select("row_id", "part")
+    rows = V.score_rows(spark, sf_dir).join(parts, "row_id").withColumn("model", F.lit("fixed"))
+    return _rounded(metrics.train_test_record(rows), "value")
+
+
+@query(f"""
+WITH {V.SCORES}, f AS (SELECT *, (row_number() OVER (PARTITION BY y ORDER BY md5('{SEED}|' || row_id), row_id) - 1) % 10 AS fold FROM score_rows),
+c AS (SELECT fold, {_CELLS} FROM f GROUP BY 1), b AS (SELECT {_BER} AS ber FROM c)
+SELECT round(avg(ber), 6) AS mean_ber, round(stddev_pop(ber), 6) AS std_ber FROM b""")
+def g13_cv_ber(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folds = split.stratified_folds(V.score_rows(spark, sf_dir), 10, SEED)
+    return _rounded(metrics.cross_validated(folds), "mean_ber", "std_ber")
+
+
+@query(f"""
+WITH {V.SCORES}, c AS (SELECT CASE WHEN pred = 1 THEN 'TP' ELSE 'FN' END AS "case", row_id, score,
+  row_number() OVER (PARTITION BY pred ORDER BY score DESC, row_id) AS nth FROM score_rows WHERE y = 1)
+SELECT k."case", c.row_id, c.score, CASE k."case" WHEN 'TP' THEN 'true positive' ELSE 'false negative' END AS caption
+FROM (VALUES ('TP'), ('FN')) k("case") LEFT JOIN c ON c."case" = k."case" AND nth = 1""")
+def w5_case_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.pick_cases(V.score_rows(spark, sf_dir)).withColumn("caption", expr.case_caption(F.col("case")))
+
+
+_RECORDS = [("logistic", "test_ber", 0.264), ("random_forest", "test_ber", 0.25), ("ridge", "test_ber", 0.25), ("logistic", "auc", 0.79), ("ridge", "auc", None)]
+_BASELINE = [("logistic", "test_ber", 0.26), ("random_forest", "test_ber", 0.24), ("ridge", "f1", 0.3), ("ridge", "auc", None), ("logistic", "auc", 0.7900001), ("svm", "auc", 0.5)]
+_VALUES = lambda rows: ", ".join(f"('{m}', '{k}', {'NULL' if v is None else v}::DOUBLE)" for m, k, v in rows)
+
+
+def _table(spark: SparkSession, rows: list) -> DataFrame:
+    return spark.createDataFrame(rows, "model string, metric string, value double")
+
+
+@query(f"WITH c(model, metric, value) AS (VALUES {_VALUES(_RECORDS)}) SELECT model, value FROM c WHERE metric = 'test_ber' ORDER BY value, CASE model WHEN 'logistic' THEN 1 WHEN 'random_forest' THEN 2 ELSE 3 END LIMIT 1")
+def g18_best_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.best_model(_table(spark, _RECORDS), list(models.REGISTRY))
+
+
+_COMPARE = f"""WITH c(model, metric, actual) AS (VALUES {_VALUES(_RECORDS)}), b(model, metric, expected) AS (VALUES {_VALUES(_BASELINE)}),
+j AS (SELECT model, metric, expected, actual, round(abs(actual - expected), 6) AS diff, coalesce(abs(actual - expected) < 0.01::DOUBLE, false) AS ok
+  FROM b LEFT JOIN c USING (model, metric) WHERE expected IS NOT NULL)"""
+
+
+@query(f"{_COMPARE} SELECT * FROM j")
+def j3_baseline_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(metrics.compare_baseline(_table(spark, _RECORDS), _table(spark, _BASELINE)), "diff")
+
+
+@query(f"{_COMPARE} SELECT bool_and(ok) AS ok FROM j")
+def g19_all_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.all_pass(metrics.compare_baseline(_table(spark, _RECORDS), _table(spark, _BASELINE)))
+
+
+# -- models --------------------------------------------------------------------
+
+
+def _two_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = V._read(spark, sf_dir, "lineitem").select((F.col("l_returnflag") == "R").cast("int").alias("y"), (F.col("l_quantity") / 50).alias("a"), (F.col("l_discount") * 10).alias("b"))
+    return VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(rows)
+
+
+@query("""
+WITH d AS (SELECT 2.0::DOUBLE * CAST(l_returnflag = 'R' AS INTEGER) - 1 AS t, l_quantity / 50.0::DOUBLE AS a, l_discount * 10.0::DOUBLE AS b,
+    (SELECT count(*) FROM lineitem)::DOUBLE / (2 * count(*) OVER (PARTITION BY l_returnflag = 'R')) AS w FROM lineitem),
+m AS (SELECT sum(w) AS sw, sum(w * a) / sum(w) AS ma, sum(w * b) / sum(w) AS mb, sum(w * t) / sum(w) AS mt FROM d),
+s AS (SELECT sum(w * (a - ma) * (a - ma)) + 1 AS aa, sum(w * (b - mb) * (b - mb)) + 1 AS bb, sum(w * (a - ma) * (b - mb)) AS ab,
+    sum(w * (a - ma) * (t - mt)) AS s_at, sum(w * (b - mb) * (t - mt)) AS s_bt, any_value(ma) AS ma, any_value(mb) AS mb, any_value(mt) AS mt FROM d, m),
+c AS (SELECT (s_at * bb - s_bt * ab) / (aa * bb - ab * ab) AS ca, (s_bt * aa - s_at * ab) / (aa * bb - ab * ab) AS cb, ma, mb, mt FROM s)
+SELECT round(ca, 6) AS coef_a, round(cb, 6) AS coef_b, round(mt - ca * ma - cb * mb, 6) AS intercept FROM c""")
+def l3_ridge_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = models.fit("ridge", _two_features(spark, sf_dir))
+    row = (float(m.coefficients[0]), float(m.coefficients[1]), float(m.intercept))
+    return _rounded(spark.createDataFrame([row], "coef_a double, coef_b double, intercept double"), "coef_a", "coef_b", "intercept")
+
+
+def _scored(name: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows, _ = _few_vectors(spark, sf_dir, 6)
+        return models.score(models.fit(name, rows, seed=SEED), rows).select("row_id", "y", "score", "margin", "pred")
+
+    return run
+
+
+for _name, _model in (("l1_logistic_fit", "logistic"), ("l2_forest_fit", "random_forest")):
+    _f = _scored(_model)
+    _f.__name__ = _name
+    query()(_f)
+
+
+# -- attributions ----------------------------------------------------------------
+
+_LINEAR = f"""{V.SENSOR}, {V.SENSOR_ROWS}, {V.COEF},
+med AS (SELECT feature, median(value) AS m FROM sensor GROUP BY 1),
+cells AS (SELECT row_id, y, fidx, feature, coalesce(value, m, 0.0::DOUBLE) AS value FROM sensor JOIN med USING (feature) SEMI JOIN coef USING (feature)),
+bgr AS (SELECT row_id FROM sensor_rows ORDER BY md5('{SEED}|' || row_id), row_id LIMIT 100),
+bg AS (SELECT feature, avg(value) AS bg FROM cells SEMI JOIN bgr USING (row_id) GROUP BY 1),
+phi AS (SELECT row_id, feature, fidx, value, beta * (value - bg) AS phi FROM cells JOIN coef USING (feature) JOIN bg USING (feature))"""
+
+
+def _linear(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Filled cells, coefficients and background."""
+    long = V.sensor_long(spark, sf_dir)
+    coef = V.coefficients(spark)
+    cells = preprocess.impute(long, preprocess.impute_statistics(long)).join(F.broadcast(coef.select("feature")), "feature", "left_semi")
+    chosen = split.background_sample(V.sensor_rows(spark, sf_dir), 100, SEED).select("row_id")
+    return cells, coef, cells.join(chosen, "row_id", "left_semi")
+
+
+def _phi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.linear_shap(*_linear(spark, sf_dir))
+
+
+@query(f"WITH {_LINEAR} SELECT row_id, feature, round(phi, 6) + 0.0::DOUBLE AS phi FROM phi")
+def a4_linear_shap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_phi(spark, sf_dir), "phi").select("row_id", "feature", "phi")
+
+
+@query(f"""
+WITH {_LINEAR}, b AS (SELECT sum(beta * bg) + 0.5::DOUBLE AS base FROM coef JOIN bg USING (feature)),
+o AS (SELECT row_id, sum(beta * value) + 0.5::DOUBLE AS output FROM cells JOIN coef USING (feature) GROUP BY 1), s AS (SELECT row_id, sum(phi) AS phi_sum FROM phi GROUP BY 1)
+SELECT row_id, round(phi_sum, 6) + 0.0::DOUBLE AS phi_sum, round(base, 6) AS base, round(output, 6) + 0.0::DOUBLE AS output,
+  abs(base + phi_sum - output) <= 0.000001::DOUBLE * greatest(1.0::DOUBLE, abs(output)) AS consistency_ok FROM s JOIN o USING (row_id), b""")
+def a9_self_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells, coef, bg = _linear(spark, sf_dir)
+    out = X.self_consistency(X.linear_shap(cells, coef, bg), X.linear_base(coef, bg, 0.5), X.linear_output(cells, coef, 0.5), "linear")
+    return _rounded(out, "phi_sum", "base", "output").drop("deviation")
+
+
+_IMPORTANCE = "imp AS (SELECT feature, fidx, avg(abs(phi)) AS mean_abs, stddev_pop(abs(phi)) AS std_abs FROM phi GROUP BY ALL)"
+
+
+@query(f"WITH {_LINEAR}, {_IMPORTANCE} SELECT feature, fidx, round(mean_abs, 6) AS mean_abs, round(std_abs, 6) AS std_abs, row_number() OVER (ORDER BY mean_abs DESC, fidx)::INTEGER AS rank FROM imp")
+def g14_global_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(X.global_importance(_phi(spark, sf_dir)), "mean_abs", "std_abs")
+
+
+_SIDES = """placed AS (SELECT row_id, CASE WHEN phi > 0 THEN 'push' ELSE 'protect' END AS side, feature, fidx, value, phi,
+  row_number() OVER (PARTITION BY row_id, phi > 0 ORDER BY abs(phi) DESC, fidx)::INTEGER AS pos FROM phi WHERE phi <> 0)"""
+
+
+@query(f"WITH {_LINEAR}, {_SIDES} SELECT row_id, side, pos, feature, round(phi, 6) AS phi FROM placed WHERE pos <= 5")
+def w7_push_protect_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(X.ranked_contributions(_phi(spark, sf_dir)), "phi").select("row_id", "side", "pos", "feature", "phi")
+
+
+@query(f"WITH {_LINEAR}, p AS (SELECT row_id, feature, phi, row_number() OVER (PARTITION BY row_id ORDER BY abs(phi) DESC, fidx)::INTEGER AS pos FROM phi) SELECT row_id, pos, feature, round(phi, 6) + 0.0::DOUBLE AS phi, CASE WHEN phi > 0 THEN 'red' ELSE 'blue' END AS colour FROM p WHERE pos <= 10")
+def k7_contribution_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(X.plot_bars(_phi(spark, sf_dir)), "phi")
+
+
+@query(f"WITH {_LINEAR}, {_IMPORTANCE} SELECT feature, round(mean_abs, 6) AS mean_abs FROM imp ORDER BY mean_abs DESC, fidx LIMIT 15")
+def k5_summary_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(X.global_importance(_phi(spark, sf_dir)).orderBy("rank").limit(15), "mean_abs").select("feature", "mean_abs")
+
+
+@query(f"WITH {_LINEAR}, {_SIDES} SELECT row_id, side, pos, printf('  %d. %s: %+.4f (value=%.3f)', pos, feature, phi, value) AS line FROM placed WHERE pos <= 5 AND row_id < 20")
+def k6_report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of a row is the feature; twenty rows are reported."""
+    return X.report_lines(X.ranked_contributions(_phi(spark, sf_dir).where("row_id < 20")))
+
+
+@query()
+def k4_importance_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.importance_json(X.global_importance(_phi(spark, sf_dir)), model="fixed", shap_method="linear", output_space="decision margin", random_seed=SEED)
+
+
+@query()
+def a5_tree_shap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, names = _few_vectors(spark, sf_dir, 4)
+    from .operators.profile import with_class_weight
+
+    model = models.forest(SEED, trees=5, depth=4).fit(with_class_weight(rows))
+    base, phi = X.tree_shap(model, rows, names)
+    return phi.withColumn("base", F.lit(base))
+
+
+@query()
+def a6_kernel_shap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import numpy as np
+
+    rows, names = _few_vectors(spark, sf_dir, 4)
+    model = models.fit("logistic", rows)
+    beta, b = model.coefficients.toArray(), float(model.intercept)
+    background = np.array([x.features.toArray() for x in split.background_sample(rows, X.KERNEL_BACKGROUND, SEED).collect()])
+    explained = split.background_sample(rows, X.KERNEL_ROWS, SEED + 1)
+    base, phi = X.kernel_shap(lambda x: 1 / (1 + np.exp(-(x @ beta + b))), background, explained, names)
+    return phi.withColumn("base", F.lit(base))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null injection -> median imputation -> standardisation -> ANOVA F -> the ten best features."""
+    scores = scoring.anova_f(preprocess.preprocess(V.sensor_long(spark, sf_dir)))
+    ranks = ranking.rank_descending(scores).where("rank <= 10")
+    return scores.join(ranks, ["feature", "fidx"]).select("rank", "feature", r(F.col("score")).alias("score"))
+
+
+@query(f"""
+WITH {V.SENSOR}, {_SCALED.format(fit='sensor', all='sensor', which='filled')}, {_anova_sql('scaled')}
+SELECT row_number() OVER (ORDER BY score DESC, fidx)::DOUBLE AS rank, feature, round(score, 6) AS score FROM anova ORDER BY score DESC, fidx LIMIT 10""")
+def flagship_top_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flagship(spark, sf_dir)

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import ready, table
+from .scratch import ready, released, table
 from .words import alnum_blocks
 
 WORDS = 5
@@ -258,10 +258,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_co
     for items, last in parts(benchmark, item_col, item_text):
         b = build(items, radius, threshold)
         if last:  # the text need not come back
-            found = now.mapInArrow(lambda it, b=b: _matches(it, b), f"{kept}, __before {kind}, matches {kind}")
+            found = now.mapInArrow(lambda it, b=b: released(_matches(it, b)), f"{kept}, __before {kind}, matches {kind}")
             return found.select(*keep, F.concat("__before", "matches").alias("matches"))
         fed = now.select(*keep, "__before", F.col("__text").alias("__again"), "__text")
-        found = fed.mapInArrow(lambda it, b=b: _matches(it, b), f"{kept}, __before {kind}, __again binary, matches {kind}")
+        found = fed.mapInArrow(lambda it, b=b: released(_matches(it, b)), f"{kept}, __before {kind}, __again binary, matches {kind}")
         now = found.select(*keep, F.concat("__before", "matches").alias("__before"), F.col("__again").alias("__text"))
     return docs.select(*keep, nothing.alias("matches"))
 

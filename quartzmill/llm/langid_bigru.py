@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import ready, table
+from .scratch import ready, released, table
 
 HIDDEN = 8
 WINDOW = 64
@@ -231,7 +231,7 @@ def label_texts(m: BiGRU | None, texts: list[bytes | None]) -> list[tuple[str, f
     return out
 
 
-def _portions(texts: pa.Array, most: int = 8 << 20) -> Iterator[tuple[int, list]]:
+def _portions(texts: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, list]]:
     """Texts a few megabytes at a time, with the index of the first."""
     held, size, first = [], 0, 0
     for i, t in enumerate(texts):
@@ -286,7 +286,7 @@ def predict(docs: DataFrame, model: BiGRU | None, keep: list[str], text_col: str
     ready(docs.sparkSession)
     fed = docs.select(*keep, F.col(text_col).cast("binary").alias("__text"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fed.schema.fields[:-1])
-    return fed.mapInArrow(lambda it: _predict(it, model), f"{kept}, lang_pred string, score double")
+    return fed.mapInArrow(lambda it: released(_predict(it, model)), f"{kept}, lang_pred string, score double")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,11 +8,17 @@ local mode) a temporary folder of this machine is used instead.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _ROOT = str(Path(__file__).resolve().parents[2])
@@ -43,14 +49,39 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Texts go to Python workers in batches of about this size, which bounds what workers and Arrow hold.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ready(spark: SparkSession) -> None:
-    """Let Python workers import this package, wherever the driver found it."""
+    """Let Python workers import this package, wherever the driver found it, and bound their batches."""
+    number, unit = re.fullmatch(r"(-?\d+)\s*([kmg]?)i?b?", spark.conf.get(_BATCH_SETTING).lower()).groups()
+    size = int(number) << {"": 0, "k": 10, "m": 20, "g": 30}[unit]
+    if not 0 < size <= BATCH_BYTES:
+        spark.conf.set(_BATCH_SETTING, f"{BATCH_BYTES}b")
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if _ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([*paths, _ROOT])
 
 
+def release() -> None:
+    """Give freed memory back to the system: Python workers live on after a task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # the C library is not glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches of a task, and ``release`` when they end."""
+    try:
+        yield from batches
+    finally:
+        release()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ready(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -30,13 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import ready, table
+from .scratch import ready, release, released, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 THREADS = 2
-PORTION = 4 << 20
+PORTION = 1 << 20
 MARK = "▁"
-MEMO, MEMO_CHARS, TOGETHER = 400_000, 64, 500
+MEMO, MEMO_CHARS, TOGETHER = 200_000, 64, 500
 
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -178,13 +178,15 @@ class Encoder:
         self.whole, self.plain = load(path)
         self.words = None
         if self.whole.pre_tokenizer is not None:
-            self.words = type(self.whole).from_str(self.whole.to_str())
+            # a plain normaliser is applied here, so the library's is not needed
+            self.words = self.whole if self.plain else type(self.whole).from_str(self.whole.to_str())
             self.words.normalizer = None
             self.words.decoder = _pieces_decoder()
             self.words.encode_special_tokens = True
             self.begins = np.array([(self.words.id_to_token(i) or "").startswith(MARK) for i in range(self.words.get_vocab_size())])
         self.memo: dict[str, bytes] = {}
         self.odd: dict[str, str] = {}  #: words that decode to something else
+        release()  # what parsing the model took
 
     def learn(self, words: list[str]) -> None:
         """Words with one marker, in front, go through the library ``TOGETHER`` to a text: markers part their ids again."""
@@ -270,7 +272,7 @@ def encode(docs: DataFrame, keep: list[str], text_col: str = "text", path: str =
     ready(docs.sparkSession)
     fed = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fed.schema.fields[:-1])
-    return fed.mapInArrow(lambda it: _encode(it, path, threads), f"{kept}, n_tokens int, ids array<int>, round_trip boolean")
+    return fed.mapInArrow(lambda it: released(_encode(it, path, threads)), f"{kept}, n_tokens int, ids array<int>, round_trip boolean")
 
 
 def decode(tokens: DataFrame, keep: list[str], ids_col: str = "ids", path: str = MODEL) -> DataFrame:

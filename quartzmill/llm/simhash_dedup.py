@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .decontaminate import shingle_hashes, word_hashes
-from .scratch import ready, saved
+from .scratch import ready, released, saved
 from .words import shingles, word_blocks
 
 SEED = 42
@@ -186,7 +186,7 @@ def links(fps: DataFrame, radius: int = RADIUS, hot: int = HOT_BUCKET) -> DataFr
     if radius > 3:
         raise ValueError("two segments with one wildcard guarantee three differing bits at most")
     met = variants(fps).repartition("key").sortWithinPartitions("key")
-    found = saved(met.mapInArrow(lambda it: _links(it, radius, hot), "key long, a long, b long"), "links")
+    found = saved(met.mapInArrow(lambda it: released(_links(it, radius, hot)), "key long, a long, b long"), "links")
     out = found.where("b is not null").select("a", "b")
     crowded = found.where("b is null").select("key", F.col("a").alias("fp"))
     if crowded.isEmpty():
@@ -363,7 +363,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["id", "th", *names, "sketch"])
 
     fed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    rows = saved(fed.mapInArrow(each, f"id long, th long, {', '.join(f'{x} long' for x in names)}, sketch binary"), "digests")
+    rows = saved(fed.mapInArrow(lambda it: released(each(it)), f"id long, th long, {', '.join(f'{x} long' for x in names)}, sketch binary"), "digests")
     nodes = saved(rows.groupBy("th").agg(F.min("id").alias("least"), *[F.first(x).alias(x) for x in (*names, "sketch")]), "texts")
     classes = near_classes(nodes.drop("least"), threshold, seeds, RADIUS, group)
     named = nodes.select("th", "least").join(classes, "th", "left").withColumn("class", F.coalesce("class", "th"))

@@ -12,7 +12,7 @@ image under a keyed permutation of its own format:
 * cards permute all digits but the last, which is the Luhn digit again; dates
   permute the days of their 400-year Gregorian cycle (189 * 773 days), so they stay
   valid; social security numbers permute valid area and group-serial numbers;
-  IPv4 addresses permute their octet pairs; phone numbers permute ten digits
+  IPv4 addresses permute the octets of as many digits each; phone numbers permute ten digits
   behind the country code; e-mail names permute their letters and their digits
   (the domain stays), secrets their hexadecimal digits, in pieces of up to 24.
   Punctuation and case of letters stay in place.
@@ -162,11 +162,24 @@ def _ssn(key: str, m: Column) -> Column:
 
 
 def _ipv4(key: str, m: Column) -> Column:
+    """Octets keep their number of digits: 0-9, 10-99 and 100-255 are ranges of their own."""
+
+    def least(o: Column) -> Column:
+        return F.when(F.length(o) == 1, 0).when(F.length(o) == 2, 10).otherwise(100)
+
+    def many(o: Column) -> Column:
+        return F.when(F.length(o) == 1, 10).when(F.length(o) == 2, 90).otherwise(156)
+
     def address(o: Column) -> Column:
-        at = lambda i: F.element_at(o, i).cast("int")
-        out = feistel(key, F.lit("ipv4"), at(1) * 256 + at(2), at(3) * 256 + at(4), F.lit(65536), F.lit(65536))
-        text = _with(out, lambda v: F.format_string("%d.%d.%d.%d", F.floor(v["x"] / 256), F.pmod(v["x"], F.lit(256)), F.floor(v["y"] / 256), F.pmod(v["y"], F.lit(256))))
-        return F.when(F.forall(o, lambda x: x.cast("int") <= 255), text)
+        at = lambda i: F.element_at(o, i)
+        place = lambda i: at(i).cast("int") - least(at(i))
+        x, y = place(1) * many(at(2)) + place(2), place(3) * many(at(4)) + place(4)
+        tweak = F.concat(F.lit("ipv4:"), *[F.length(at(i)).cast("string") for i in range(1, 5)])
+        out = feistel(key, tweak, x, y, many(at(1)) * many(at(2)), many(at(3)) * many(at(4)))
+        high = lambda v, i: F.floor(v / many(at(i + 1))) + least(at(i))
+        low = lambda v, i: F.pmod(v, many(at(i))) + least(at(i))
+        text = _with(out, lambda v: F.format_string("%d.%d.%d.%d", high(v["x"], 1), low(v["x"], 2), high(v["y"], 3), low(v["y"], 4)))
+        return F.when(F.forall(o, lambda x: x.cast("int").between(least(x), 255)), text)
 
     return _with(F.split(m, r"\."), address)
 

@@ -66,6 +66,8 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
         nonlocal at
         value = shift = 0
         while True:
+            if at >= len(data):
+                raise ValueError("the model file ends within a number")
             b = data[at]
             at += 1
             value |= (b & 127) << shift

@@ -341,7 +341,8 @@ def near_classes(rows: DataFrame, threshold: float = NEAR_SIMILARITY, seeds: int
     classes = components(verified)
     large = members.where("blocks > 1")
     if not large.isEmpty():
-        parts = large.join(classes, large.th == classes.node, "left").groupBy("root").agg(F.count_distinct(F.coalesce(classes.root, "th")).alias("parts"))
+        found = classes.select(F.col("node").alias("th"), F.col("root").alias("part"))
+        parts = large.join(found, "th", "left").groupBy("root").agg(F.count_distinct(F.coalesce("part", "th")).alias("parts"))
         split = large.join(parts.where("parts > 1").select("root"), "root", "left_semi")
         i, n = F.col("own"), F.col("blocks")
         pairs = F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.least(i, j) * n + F.greatest(i, j))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..operators import explain as X
 from ..operators import metrics, models, preprocess, profile, ranking, scoring, sinks, split
 from ..sources import sensor_files as S
+from .storage import stored
 
 DEFAULTS: dict = {
     "random_state": 42,
@@ -47,7 +48,7 @@ def select_features(long: DataFrame, cfg: dict, quick: bool) -> tuple[list[str],
     ids = long.sparkSession.createDataFrame(list(order.items()), "feature string, fidx int")
     again = lambda df, c: df.drop("fidx").join(F.broadcast(ids), "feature").select("feature", "fidx", c)
     ranks: dict[str, DataFrame] = {}
-    wide = scoring.vectors(long, names).cache() if {"rfe", "random_forest"} & set(methods) else None
+    wide = stored(scoring.vectors(long, names), "vectors") if {"rfe", "random_forest"} & set(methods) else None
     for m in methods:
         if m == "f_test":
             ranks[m] = ranking.rank_descending(scoring.anova_f(long))
@@ -62,8 +63,6 @@ def select_features(long: DataFrame, cfg: dict, quick: bool) -> tuple[list[str],
     ranks = {m: again(r, "rank") for m, r in ranks.items()}
     fused = ranking.fuse(ranks)
     chosen = ranking.select_top(fused, n).orderBy("pos").collect()
-    if wide is not None:
-        wide.unpersist()
     return [r.feature for r in chosen], fused
 
 
@@ -81,10 +80,10 @@ def explain_stage(fitted: dict, best: str, train: DataFrame, test: DataFrame, fe
         if ex["background_size"] <= 0:
             raise ValueError("the background needs at least one row")
         model = fitted[best]
-        background = split.background_sample(train, ex["background_size"], cfg["random_state"]).cache()
+        background = stored(split.background_sample(train, ex["background_size"], cfg["random_state"]), "background")
         X.validate(features, features, features, background.count())
         phi, base, method = X.explain(model, test, background, features)
-        phi = phi.cache()
+        phi = stored(phi, "phi")
         importance = X.global_importance(phi)
         n = test.count()
         manifest["global"] = {"n_samples_explained": n, "method": method, "output_space": models.output_space(model)}
@@ -129,28 +128,29 @@ def run(spark: SparkSession, rows: DataFrame, cfg: dict | None = None, quick: bo
     seed, pre, tag = cfg["random_state"], cfg["preprocessing"], time.strftime("%Y%m%d_%H%M%S")
     folder = cfg["output"]["results_dir"]
     if quick:
-        rows = split.stratified_sample(rows, cfg["run"]["quick_sample_size"], seed)
-    parts = split.stratified_split(rows.select("row_id", "y"), cfg["split"]["test_size"], seed, cfg["split"]["stratify"]).select("row_id", "part").cache()
-    long = S.to_long(rows).cache()
+        rows = stored(split.stratified_sample(rows, cfg["run"]["quick_sample_size"], seed), "rows")
+    parts = stored(split.stratified_split(rows.select("row_id", "y"), cfg["split"]["test_size"], seed, cfg["split"]["stratify"]).select("row_id", "part"), "parts")
+    long = stored(S.to_long(rows), "cells")
     dropped = [r.feature for r in profile.all_null_features(long, pre["drop_missing_threshold"]).orderBy("fidx").collect()]
     kept = long.where(~F.col("feature").isin(dropped)) if dropped else long
     in_train = kept.join(parts.where("part = 'train'"), "row_id", "left_semi")
     fit_on = in_train if pre["fit_on_train_only"] else None
     clean = preprocess.preprocess(kept, fit_on, pre["impute_strategy"]) if pre["scale"] else preprocess.impute(kept, preprocess.impute_statistics(kept if fit_on is None else fit_on, pre["impute_strategy"]))
-    clean = clean.cache()
+    clean = stored(clean, "clean")
     override = cfg["feature_selection"]["override_features_path"]
     if override:
         features, detail = S.read_feature_list(spark, override), None
     else:
         source = clean.join(parts.where("part = 'train'"), "row_id", "left_semi") if pre["fit_on_train_only"] else clean
         features, detail = select_features(source, cfg, quick)
-    wide = scoring.vectors(clean.where(F.col("feature").isin(features)), features).join(parts, "row_id").cache()
+    wide = scoring.vectors(clean.where(F.col("feature").isin(features)), features).join(parts, "row_id")
+    wide = stored(wide, "wide")
     train, test = wide.where("part = 'train'").drop("part"), wide.where("part = 'test'").drop("part")
     fitted, scored = {}, []
     for name in models.active_models(cfg["model"]["active"]):
         fitted[name] = models.fit(name, train, cfg["imbalance"]["strategy"], seed)
         scored.append(models.score(fitted[name], wide, cfg["imbalance"]["decision_threshold"]).withColumn("model", F.lit(name)))
-    records = metrics.train_test_record(reduce(DataFrame.unionByName, scored)).cache()
+    records = stored(metrics.train_test_record(stored(reduce(DataFrame.unionByName, scored), "scored")), "records")
     best = metrics.best_model(records, list(models.REGISTRY)).first().model
     out = {"metrics": sinks.metrics_record(records), "best_model": best, "selected_features": features, "dropped_columns": dropped, "rank_table": detail, "baseline_ok": None, "baseline_report": None, "explain": None, "output_dir": folder, "cv": None}
     if cfg["evaluation"]["run_cv"] and not quick:
@@ -174,11 +174,11 @@ def run(spark: SparkSession, rows: DataFrame, cfg: dict | None = None, quick: bo
 def cross_validate(name: str, rows: DataFrame, cfg: dict) -> dict[str, float]:
     """Mean and population deviation of the folds' balanced error rates."""
     k = cfg["model"]["cv_folds"]
-    folds = split.stratified_folds(rows, k, cfg["random_state"]).cache()
+    folds = split.stratified_folds(rows, k, cfg["random_state"])
+    folds = stored(folds, "folds")
     scored = []
     for i in range(k):
         model = models.fit(name, folds.where(F.col("fold") != i), cfg["imbalance"]["strategy"], cfg["random_state"])
         scored.append(models.score(model, folds.where(F.col("fold") == i)))
     got = metrics.cross_validated(reduce(DataFrame.unionByName, scored)).first()
-    folds.unpersist()
     return {"mean_ber": got.mean_ber, "std_ber": got.std_ber}

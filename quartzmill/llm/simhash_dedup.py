@@ -10,16 +10,18 @@ on all 64 bits.
 Within a variant's bucket a breadth-first sweep keeps a spanning forest of the
 links, never all pairs, so a bucket's output is smaller than the bucket.  Exact
 copies share a fingerprint and collapse before the index is built; a bucket of
-more than ``HOT_BUCKET`` different fingerprints is dealt out again by the bytes
-of its other segment (three differing bits leave one of four bytes equal), which
-loses no link.
+more than ``HOT_BUCKET`` different fingerprints is dealt out again by pieces of its
+other bits, one piece more than bits may differ (three differing bits leave one of
+four bytes equal), which loses no link.  The same index holds for n segments and
+up to 2n - 1 differing bits.
 
 ``deduplicated`` keeps one document of each group of near copies by word shingles
-(five words, similarity of 0.8 or more).  Its candidates come from the same index
-over fingerprints of the sets of words, of several seeds, as a fingerprint of words
-moves far less under an edit than one of shingles; each connected group of
-candidates is then verified on sketches of the shingle sets (``BINS`` bins of the
-least hash, 8 bits each; the estimate's deviation at 0.8 is under 0.02).  Groups of
+(five words, similarity of 0.8 or more).  Its candidates come from the same index,
+of three segments and five bits, over fingerprints of the sets of words, of several
+seeds, as a fingerprint of words moves far less under an edit than one of shingles;
+each connected group of candidates is then verified on sketches of the shingle sets
+(``BINS`` bins of the least hash, 8 bits each; the estimate's deviation at 0.8 is
+under 0.01, and far less for texts of fewer shingles than bins).  Groups of
 more than ``GROUP`` texts are dealt out in blocks that each also hold the group's first
 block; where that leaves a group in parts, every two blocks of it are compared.
 
@@ -39,7 +41,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
@@ -49,11 +51,13 @@ from .words import shingles, word_blocks
 
 SEED = 42
 WORDS = 3
-RADIUS = 3
+RADIUS, SEGMENTS = 3, 2
 HOT_BUCKET = 4096
 NEAR_WORDS, NEAR_SIMILARITY = 5, 0.8
+NEAR_RADIUS, NEAR_SEGMENTS = 5, 3
 SEEDS = 4
-BINS = 512
+BINS = 2048
+BIN_SHIFT = np.uint64(65 - BINS.bit_length())
 GROUP = 4096
 
 
@@ -174,26 +178,46 @@ def _links(batches: Iterator[pa.RecordBatch], radius: int, hot: int | None) -> I
         yield from flush(*(np.concatenate([k[i] for k in kept]) for i in (0, 1)))
 
 
-def variants(fps: DataFrame) -> DataFrame:
+def _bounds(segments: int) -> list[tuple[int, int]]:
+    """First bit and end of each segment."""
+    return [(64 * i // segments, 64 * (i + 1) // segments) for i in range(segments)]
+
+
+def _bits(start: int, end: int) -> Column:
+    return F.shiftrightunsigned("fp", start).bitwiseAND((1 << (end - start)) - 1)
+
+
+def variants(fps: DataFrame, segments: int = SEGMENTS) -> DataFrame:
     """``(fp)`` -> ``(key, fp)``: 64 one-wildcard variants, keyed by place and remaining bits."""
-    low, high = F.col("fp").bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned("fp", 32)
-    keys = [F.lit(i << 32).bitwiseOR((low if i < 32 else high).bitwiseAND(0xFFFFFFFF ^ (1 << (i % 32)))) for i in range(64)]
+    keys = [F.lit(i << 32).bitwiseOR(_bits(s, e).bitwiseAND(((1 << (e - s)) - 1) ^ (1 << (i - s)))) for s, e in _bounds(segments) for i in range(s, e)]
     return fps.select(F.explode(F.array(*keys)).alias("key"), "fp")
 
 
-def links(fps: DataFrame, radius: int = RADIUS, hot: int = HOT_BUCKET) -> DataFrame:
+def _others(segments: int) -> Column:
+    """The bits of ``fp`` outside the segment of ``key``, put together."""
+    found = F.lit(None).cast("long")
+    for s, e in reversed(_bounds(segments)):
+        below = _bits(0, s) if s else F.lit(0)
+        found = F.when(F.col("key") < (e << 32), F.shiftleft(_bits(e, 64), s).bitwiseOR(below) if e < 64 else below).otherwise(found)
+    return found
+
+
+def links(fps: DataFrame, radius: int = RADIUS, hot: int = HOT_BUCKET, segments: int = SEGMENTS) -> DataFrame:
     """Distinct ``(fp)`` -> ``(a, b)``: links that connect just what all links within ``radius`` connect."""
-    if radius > 3:
-        raise ValueError("two segments with one wildcard guarantee three differing bits at most")
-    met = variants(fps).repartition("key").sortWithinPartitions("key")
+    if not 2 <= segments <= 8 or radius > 2 * segments - 1:
+        raise ValueError("n segments (2 to 8) with one wildcard guarantee 2n - 1 differing bits at most")
+    met = variants(fps, segments).repartition("key").sortWithinPartitions("key")
     found = saved(met.mapInArrow(lambda it: released(_links(it, radius, hot)), "key long, a long, b long"), "links")
     out = found.where("b is not null").select("a", "b")
     crowded = found.where("b is null").select("key", F.col("a").alias("fp"))
     if crowded.isEmpty():
         return out
-    other = F.when(F.col("key") < (32 << 32), F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp").bitwiseAND(0xFFFFFFFF))
-    parts = [F.xxhash64("key", F.lit(i), F.shiftright(other, 8 * i).bitwiseAND(0xFF)) for i in range(4)]
-    again = crowded.select(F.explode(F.array(*parts)).alias("key"), "fp").repartition("key").sortWithinPartitions("key")
+    width = min(64 - (e - s) for s, e in _bounds(segments))  # bits beyond it stay in the last piece
+    cuts = [width * i // (radius + 1) for i in range(radius + 1)]
+    ends = [*cuts[1:], 63]
+    parts = [F.xxhash64("key", F.lit(i), F.shiftrightunsigned(F.col("other"), c).bitwiseAND((1 << (e - c)) - 1)) for i, (c, e) in enumerate(zip(cuts, ends, strict=True))]
+    dealt = crowded.withColumn("other", _others(segments)).select(F.explode(F.array(*parts)).alias("key"), "fp")
+    again = dealt.repartition("key").sortWithinPartitions("key")
     more = again.mapInArrow(lambda it: _links(it, radius, None), "key long, a long, b long")
     return out.union(saved(more, "links").select("a", "b"))
 
@@ -232,12 +256,12 @@ def digest(text: bytes, n: int = NEAR_WORDS, seeds: int = SEEDS) -> tuple[int, l
         if len(known) > 16:
             known = [np.unique(np.concatenate(known))]
         rows = shingle_hashes(hashes, n)
-        np.minimum.at(least, (rows >> np.uint64(55)).astype(np.intp), rows)
+        np.minimum.at(least, (rows >> BIN_SHIFT).astype(np.intp), rows)
         fresh = min(n - 1, len(words))
     vocabulary = np.unique(np.concatenate(known)) if known else np.zeros(0, np.uint64)
     if len(vocabulary) and (least == 2**64 - 1).all():  # fewer words than a shingle
         one = shingle_hashes(word_hashes(words), len(words))
-        least[int(one[0] >> np.uint64(55))] = one[0]
+        least[int(one[0] >> BIN_SHIFT)] = one[0]
     fps = []
     for seed in range(seeds):
         ones, mixed = np.zeros(64, np.int64), _mixed(vocabulary, seed)
@@ -313,13 +337,13 @@ def _check(dealt: DataFrame, threshold: float) -> DataFrame:
     return saved(together.mapInArrow(lambda it: _verified(it, threshold), "a long, b long"), "verified")
 
 
-def _candidates(nodes: DataFrame, seeds: int, radius: int) -> DataFrame:
+def _candidates(nodes: DataFrame, seeds: int, radius: int, segments: int) -> DataFrame:
     """``nodes(th, f0, f1, ...)`` -> ``(th, root)``: texts connected by near fingerprints of any seed."""
     edges = None
     for s in range(seeds):
         fps = nodes.groupBy(F.col(f"f{s}").alias("fp")).agg(F.count("*").alias("n"))
         fps = saved(fps, "seed")
-        near = links(fps.select("fp"), radius)
+        near = links(fps.select("fp"), radius, HOT_BUCKET, segments)
         node = lambda c, s=s: F.xxhash64(F.lit(s), c)
         active = near.select(F.col("a").alias("fp")).union(near.select("b")).union(fps.where("n > 1").select("fp")).distinct()
         held = nodes.select("th", F.col(f"f{s}").alias("fp")).join(active, "fp").select(F.col("th").alias("a"), node(F.col("fp")).alias("b"))
@@ -329,9 +353,9 @@ def _candidates(nodes: DataFrame, seeds: int, radius: int) -> DataFrame:
     return nodes.select("th").join(roots, nodes.th == roots.node).select("th", "root")
 
 
-def near_classes(rows: DataFrame, threshold: float = NEAR_SIMILARITY, seeds: int = SEEDS, radius: int = RADIUS, group: int = GROUP) -> DataFrame:
+def near_classes(rows: DataFrame, threshold: float = NEAR_SIMILARITY, seeds: int = SEEDS, radius: int = NEAR_RADIUS, segments: int = NEAR_SEGMENTS, group: int = GROUP) -> DataFrame:
     """Distinct ``rows(th, f..., sketch)`` -> ``(th, class)`` of the texts that have a near copy."""
-    candidates = saved(_candidates(rows.drop("sketch"), seeds, radius), "members")
+    candidates = saved(_candidates(rows.drop("sketch"), seeds, radius, segments), "members")
     sizes = candidates.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root", F.ceil(F.col("n") / group).cast("int").alias("blocks"))
     members = candidates.join(sizes, "root").join(rows.select("th", "sketch"), "th")
     members = saved(members.withColumn("own", F.pmod(F.xxhash64("th"), F.col("blocks")).cast("int")), "sketches")
@@ -366,7 +390,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     fed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
     rows = saved(fed.mapInArrow(lambda it: released(each(it)), f"id long, th long, {', '.join(f'{x} long' for x in names)}, sketch binary"), "digests")
     nodes = saved(rows.groupBy("th").agg(F.min("id").alias("least"), *[F.first(x).alias(x) for x in (*names, "sketch")]), "texts")
-    classes = near_classes(nodes.drop("least"), threshold, seeds, RADIUS, group)
+    classes = near_classes(nodes.drop("least"), threshold, seeds, group=group)
     named = nodes.select("th", "least").join(classes, "th", "left").withColumn("class", F.coalesce("class", "th"))
     best = named.groupBy("class").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "th")).alias("k")).select("k.th", F.col("k.least").alias("id"))
     keep = saved(best.select(F.col("th").alias("__kt"), F.col("id").alias("__ki")), "kept")

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 import xxhash
 
 from quartzmill.llm import simhash_dedup as S
@@ -65,21 +66,22 @@ def test_empty_table(spark):
     assert run(spark, []) == Counter()
 
 
-def test_planted_fingerprints_all_radii(spark):
+@pytest.mark.parametrize(("segments", "radius"), [(2, 3), (3, 5), (4, 7)])
+def test_planted_fingerprints_all_radii(spark, segments, radius):
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 50, dtype=np.uint64)
     fps = set(base.tolist())
     for b in base.tolist():
-        for d in (1, 2, 3, 4):
+        for d in range(1, radius + 2):
             x = b
             for bit in rng.choice(64, d, replace=False):
                 x ^= 1 << int(bit)
             fps.add(x)
     fps = np.array(sorted(fps), np.uint64)
-    want = {(int(a), int(b)) for k, a in enumerate(fps) for b in fps[:k] if (int(a) ^ int(b)).bit_count() <= 3}
+    want = {(int(a), int(b)) for k, a in enumerate(fps) for b in fps[:k] if (int(a) ^ int(b)).bit_count() <= radius}
     df = spark.createDataFrame([(int(np.int64(np.uint64(f).astype(np.int64))),) for f in fps], "fp long")
     for hot in (4096, 2):
-        got = [(r.a & (2**64 - 1), r.b & (2**64 - 1)) for r in S.links(df, hot=hot).collect()]
+        got = [(r.a & (2**64 - 1), r.b & (2**64 - 1)) for r in S.links(df, radius, hot, segments).collect()]
         assert all((max(g), min(g)) in want for g in got)
         assert parts(got, fps) == parts(want, fps)
 

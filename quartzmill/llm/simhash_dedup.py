@@ -16,14 +16,14 @@ four bytes equal), which loses no link.  The same index holds for n segments and
 up to 2n - 1 differing bits.
 
 ``deduplicated`` keeps one document of each group of near copies by word shingles
-(five words, similarity of 0.8 or more).  Its candidates come from the same index,
-of three segments and five bits, over fingerprints of the sets of words, of several
-seeds, as a fingerprint of words moves far less under an edit than one of shingles;
-each connected group of candidates is then verified on sketches of the shingle sets
-(``BINS`` bins of the least hash, 8 bits each; the estimate's deviation at 0.8 is
-under 0.01, and far less for texts of fewer shingles than bins).  Groups of
-more than ``GROUP`` texts are dealt out in blocks that each also hold the group's first
-block; where that leaves a group in parts, every two blocks of it are compared.
+(five words, similarity of 0.8 or more).  Its candidates are drawn from the shingle
+sets themselves: texts that agree in all ``ROWS`` least hashes of one of ``BANDS``
+bands meet, whatever the kind of edit (a pair at similarity s is missed with chance
+(1 - s**ROWS)**BANDS, 0.00006 at 0.8 and less above).  Each connected group of
+candidates is then decided on the exact sets of 64-bit shingle hashes of its texts.
+Groups of more than ``GROUP`` texts or ``GROUP_SHINGLES`` shingles are dealt out in
+blocks that each also hold the group's first block; where that leaves a group in
+parts, every two blocks of it are compared.
 
 Defined cases: a null or blank text has fingerprint zero and links like any
 other; fewer words than a shingle form one shingle; repeated rows and repeated
@@ -54,11 +54,9 @@ WORDS = 3
 RADIUS, SEGMENTS = 3, 2
 HOT_BUCKET = 4096
 NEAR_WORDS, NEAR_SIMILARITY = 5, 0.8
-NEAR_RADIUS, NEAR_SEGMENTS = 5, 3
-SEEDS = 4
-BINS = 2048
-BIN_SHIFT = np.uint64(65 - BINS.bit_length())
-GROUP = 4096
+BANDS, ROWS = 32, 6
+GROUP, GROUP_SHINGLES = 4096, 1 << 20
+_ODD = np.random.default_rng(SEED).integers(0, 2**64, (BANDS * ROWS, 1), np.uint64) | np.uint64(1)
 
 
 def fingerprint(text: bytes, n: int = WORDS, block: int = 1 << 20) -> int:
@@ -245,32 +243,45 @@ def _mixed(hashes: np.ndarray, seed: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def digest(text: bytes, n: int = NEAR_WORDS, seeds: int = SEEDS) -> tuple[int, list[int], bytes]:
-    """Hash of the words, SimHash of the set of words for each seed, and sketch of the set of shingles."""
-    whole, known, least, words = xxhash.xxh3_64(), [], np.full(BINS, 2**64 - 1, np.uint64), []
-    fresh = 0
+def _shingle_rows(text: bytes, n: int) -> Iterator[tuple[list[bytes] | None, np.ndarray]]:
+    """The new words and the shingles' hashes of each block; fewer words than a shingle form one, without words of its own."""
+    fresh, some, words = 0, False, []
     for words in word_blocks(text, n - 1):
-        whole.update(b" ".join(words[fresh:]) + b" ")
-        hashes = word_hashes(words)
-        known.append(np.unique(hashes))
-        if len(known) > 16:
-            known = [np.unique(np.concatenate(known))]
-        rows = shingle_hashes(hashes, n)
-        np.minimum.at(least, (rows >> BIN_SHIFT).astype(np.intp), rows)
+        rows = shingle_hashes(word_hashes(words), n)
+        some |= len(rows) > 0
+        yield words[fresh:], rows
         fresh = min(n - 1, len(words))
-    vocabulary = np.unique(np.concatenate(known)) if known else np.zeros(0, np.uint64)
-    if len(vocabulary) and (least == 2**64 - 1).all():  # fewer words than a shingle
-        one = shingle_hashes(word_hashes(words), len(words))
-        least[int(one[0] >> BIN_SHIFT)] = one[0]
-    fps = []
-    for seed in range(seeds):
-        ones, mixed = np.zeros(64, np.int64), _mixed(vocabulary, seed)
-        for at in range(0, len(mixed), 8192):
-            ones += np.unpackbits(mixed[at : at + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
-        fps.append(int(np.packbits(2 * ones > len(vocabulary), bitorder="little").view(np.int64)[0]))
-    low = (least % np.uint64(255)).astype(np.uint8) + np.uint8(1)
-    sketch = np.where(least == 2**64 - 1, 0, low).astype(np.uint8).tobytes()
-    return int(np.uint64(whole.intdigest()).astype(np.int64)), fps, sketch
+    if words and not some:
+        yield None, shingle_hashes(word_hashes(words), len(words))
+
+
+def shingle_set(text: bytes, n: int = NEAR_WORDS) -> np.ndarray:
+    """The sorted hashes of the set of shingles."""
+    found = [np.unique(rows) for _, rows in _shingle_rows(text, n)]
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+
+
+def least_hashes(rows: np.ndarray, least: np.ndarray | None = None) -> np.ndarray:
+    """The least of the shingles' hashes under each of ``BANDS * ROWS`` permutations."""
+    out = np.full(len(_ODD), 2**64 - 1, np.uint64) if least is None else least
+    for at in range(0, len(rows), 2048):
+        np.minimum(out, (_ODD * rows[at : at + 2048]).min(axis=1), out=out)
+    return out
+
+
+def digest(text: bytes, n: int = NEAR_WORDS) -> tuple[int, list[int]]:
+    """Hash of the words, and a key for each band of least shingle hashes (none without words)."""
+    whole, least, some = xxhash.xxh3_64(), None, False
+    for words, rows in _shingle_rows(text, n):
+        if words is not None:
+            whole.update(b" ".join(words) + b" ")
+        least = least_hashes(rows, least)
+        some |= len(rows) > 0
+    th = int(np.uint64(whole.intdigest()).astype(np.int64))
+    if not some:
+        return th, []
+    keys = (_mixed(least, 0).reshape(BANDS, ROWS) * _ODD[:ROWS, 0]).sum(axis=1, dtype=np.uint64)
+    return th, _mixed(keys ^ _ODD[:BANDS, 0], 1).view(np.int64).tolist()
 
 
 def text_hash(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -286,111 +297,119 @@ def _words_hash(text: bytes) -> int:
     return int(np.uint64(whole.intdigest()).astype(np.int64))
 
 
-def similar(sketches: np.ndarray, one: np.ndarray) -> np.ndarray:
-    """Estimated similarity of each sketch and one: equal bins among those that either fills."""
-    filled = (sketches != 0) | (one != 0)
-    equal = (sketches == one) & filled
-    n = np.maximum(filled.sum(axis=1), 1)
-    return (equal.sum(axis=1) / n - 1 / 255) / (1 - 1 / 255)
+def similar_forest(sets: list[np.ndarray], threshold: float) -> tuple[list[int], list[int]]:
+    """Spanning forest of the pairs of sets, by place, with a similarity of ``threshold`` or more."""
+    n, sizes = len(sets), np.array([len(x) for x in sets])
+    ends = np.cumsum(sizes)
+    distinct, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(codes, kind="stable")
+    coded, owner = codes[order], np.repeat(np.arange(n), sizes)[order]
+    begin = np.r_[0, np.bincount(coded, minlength=len(distinct)).cumsum()]
+    left, right, rest, held = [], [], np.ones(n, bool), n
+    for first in range(n):
+        if not rest[first]:
+            continue
+        rest[first], front = False, [first]
+        while front and rest.any():
+            i = front.pop()
+            own = codes[ends[i] - sizes[i] : ends[i]]
+            start, many = begin[own], begin[own + 1] - begin[own]
+            places = np.repeat(start - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            common = np.bincount(owner[places], minlength=n)
+            new = np.flatnonzero(rest & (common / np.maximum(sizes + sizes[i] - common, 1) >= threshold))
+            left += [i] * len(new)
+            right += new.tolist()
+            front += new.tolist()
+            rest[new] = False
+            if 2 * rest.sum() < held:  # what is linked need not be met again
+                held, kept = int(rest.sum()), rest[owner]
+                coded, owner = coded[kept], owner[kept]
+                begin = np.r_[0, np.bincount(coded, minlength=len(distinct)).cumsum()]
+    return left, right
 
 
 def _verified(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """Rows (root, block, th, sketch), groups together -> (a, b): a spanning forest of each group's links."""
-
-    def links(ths: np.ndarray, sketches: np.ndarray) -> pa.RecordBatch:
-        _, first = np.unique(ths, return_index=True)
-        rest, left, right = first, [], []
-        while len(rest) > 1:
-            front, rest = [int(rest[0])], rest[1:]
-            while front and len(rest):
-                i = front.pop()
-                near = np.concatenate([similar(sketches[rest[k : k + 2048]], sketches[i]) for k in range(0, len(rest), 2048)]) >= threshold
-                new = rest[near]
-                left += [ths[i]] * len(new)
-                right += ths[new].tolist()
-                front += new.tolist()
-                rest = rest[~near]
-        return pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
-
-    key, ths, sketches = None, [], []
+    """Rows (root, block, th, shingles), groups together -> (a, b): a spanning forest of each group's links."""
+
+    def links(ths: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        left, right = similar_forest(sets, threshold)
+        of = np.array(ths, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(of[left], pa.int64()), pa.array(of[right], pa.int64())], ["a", "b"])
+
+    key, ths, sets = None, [], []
     for batch in batches:
-        keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-        own = batch.column(2).to_numpy(zero_copy_only=False)
-        rows = np.array([np.frombuffer(x, np.uint8) for x in batch.column(3).to_pylist()]) if keys else None
-        start = 0
-        for i in range(1, len(keys) + 1):
-            if i < len(keys) and keys[i] == keys[start]:
-                continue
-            if keys[start] != key:
-                if sum(map(len, ths)) > 1:
-                    yield links(np.concatenate(ths), np.concatenate(sketches))
-                key, ths, sketches = keys[start], [], []
-            ths.append(own[start:i])
-            sketches.append(rows[start:i])
-            start = i
-    if sum(map(len, ths)) > 1:
-        yield links(np.concatenate(ths), np.concatenate(sketches))
+        for root, block, th, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (root, block) != key:
+                if len(ths) > 1:
+                    yield links(ths, sets)
+                key, ths, sets = (root, block), [], []
+            ths.append(th)
+            sets.append(np.frombuffer(own, np.uint64))
+    if len(ths) > 1:
+        yield links(ths, sets)
 
 
 def _check(dealt: DataFrame, threshold: float) -> DataFrame:
     together = dealt.repartition("root", "block").sortWithinPartitions("root", "block")
-    return saved(together.mapInArrow(lambda it: _verified(it, threshold), "a long, b long"), "verified")
-
-
-def _candidates(nodes: DataFrame, seeds: int, radius: int, segments: int) -> DataFrame:
-    """``nodes(th, f0, f1, ...)`` -> ``(th, root)``: texts connected by near fingerprints of any seed."""
-    edges = None
-    for s in range(seeds):
-        fps = nodes.groupBy(F.col(f"f{s}").alias("fp")).agg(F.count("*").alias("n"))
-        fps = saved(fps, "seed")
-        near = links(fps.select("fp"), radius, HOT_BUCKET, segments)
-        node = lambda c, s=s: F.xxhash64(F.lit(s), c)
-        active = near.select(F.col("a").alias("fp")).union(near.select("b")).union(fps.where("n > 1").select("fp")).distinct()
-        held = nodes.select("th", F.col(f"f{s}").alias("fp")).join(active, "fp").select(F.col("th").alias("a"), node(F.col("fp")).alias("b"))
-        both = held.union(near.select(node(F.col("a")).alias("a"), node(F.col("b")).alias("b")))
-        edges = both if edges is None else edges.union(both)
-    roots = saved(components(edges), "candidates")
-    return nodes.select("th").join(roots, nodes.th == roots.node).select("th", "root")
-
-
-def near_classes(rows: DataFrame, threshold: float = NEAR_SIMILARITY, seeds: int = SEEDS, radius: int = NEAR_RADIUS, segments: int = NEAR_SEGMENTS, group: int = GROUP) -> DataFrame:
-    """Distinct ``rows(th, f..., sketch)`` -> ``(th, class)`` of the texts that have a near copy."""
-    candidates = saved(_candidates(rows.drop("sketch"), seeds, radius, segments), "members")
-    sizes = candidates.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root", F.ceil(F.col("n") / group).cast("int").alias("blocks"))
-    members = candidates.join(sizes, "root").join(rows.select("th", "sketch"), "th")
-    members = saved(members.withColumn("own", F.pmod(F.xxhash64("th"), F.col("blocks")).cast("int")), "sketches")
+    return saved(together.mapInArrow(lambda it: released(_verified(it, threshold)), "a long, b long"), "verified")
+
+
+def _candidates(nodes: DataFrame) -> DataFrame:
+    """``nodes(th, keys)`` -> ``(th, root)``: texts connected by equal keys of any band."""
+    keys = nodes.select("th", F.explode("keys").alias("key"))
+    shared = keys.groupBy("key").agg(F.min("th").alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "least")
+    edges = keys.join(shared, "key").where("th <> least").select(F.col("th").alias("a"), F.col("least").alias("b"))
+    return components(edges).select(F.col("node").alias("th"), "root")
+
+
+def near_classes(candidates: DataFrame, sets: DataFrame, threshold: float = NEAR_SIMILARITY, group: int = GROUP) -> DataFrame:
+    """``candidates(th, root)`` and their ``sets(th, shingles)`` -> ``(th, class)`` of the texts that have a near copy."""
+    joined = saved(candidates.join(sets, "th").withColumn("size", F.octet_length("shingles") / 8), "sets")
+    blocks = F.greatest(F.ceil(F.count("*") / group), F.ceil(F.sum("size") / GROUP_SHINGLES), F.lit(1)).cast("int")
+    sizes = joined.groupBy("root").agg(blocks.alias("blocks"))
+    members = joined.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64("th"), F.col("blocks")).cast("int"))
     # the first block goes to all blocks of its group; a group of one block is just that
     to = F.when(F.col("own") == 0, F.sequence(F.least(F.lit(1), F.col("blocks") - 1), F.col("blocks") - 1)).otherwise(F.array("own"))
-    verified = _check(members.select("root", F.explode(to).alias("block"), "th", "sketch"), threshold)
+    verified = _check(members.select("root", F.explode(to).alias("block"), "th", "shingles"), threshold)
     classes = components(verified)
     large = members.where("blocks > 1")
-    if not large.isEmpty():
+    if not sizes.where("blocks > 1").isEmpty():
         found = classes.select(F.col("node").alias("th"), F.col("root").alias("part"))
-        parts = large.join(found, "th", "left").groupBy("root").agg(F.count_distinct(F.coalesce("part", "th")).alias("parts"))
+        parts = large.drop("shingles").join(found, "th", "left").groupBy("root").agg(F.count_distinct(F.coalesce("part", "th")).alias("parts"))
         split = large.join(parts.where("parts > 1").select("root"), "root", "left_semi")
         i, n = F.col("own"), F.col("blocks")
         pairs = F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.least(i, j) * n + F.greatest(i, j))
-        more = _check(split.select("root", F.explode(pairs).alias("block"), "th", "sketch"), threshold)
+        more = _check(split.select("root", F.explode(pairs).alias("block"), "th", "shingles"), threshold)
         classes = components(verified.union(more))
     return classes.select(F.col("node").alias("th"), F.col("root").alias("class"))
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = NEAR_WORDS, threshold: float = NEAR_SIMILARITY, seeds: int = SEEDS, group: int = GROUP) -> DataFrame:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = NEAR_WORDS, threshold: float = NEAR_SIMILARITY, group: int = GROUP) -> DataFrame:
     """``docs`` with one row of each group of copies and near copies: that of the least id (of a null id only if there is no other)."""
     spark = docs.sparkSession
     ready(spark)
-    names = [f"f{s}" for s in range(seeds)]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [digest(t.as_py() or b"", n, seeds) for t in batch.column(1)]
-            cols = [pa.array([f[0] for f in found], pa.int64()), *(pa.array([f[1][s] for f in found], pa.int64()) for s in range(seeds)), pa.array([f[2] for f in found], pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["id", "th", *names, "sketch"])
+            found = [digest(t.as_py() or b"", n) for t in batch.column(1)]
+            cols = [pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["id", "th", "keys"])
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(th, text) -> (th, shingles), of the texts that have the hash: an id may stand for several."""
+        for batch in batches:
+            rows = [(th, t.as_py() or b"") for th, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)]
+            rows = [(th, shingle_set(t, n).tobytes()) for th, t in rows if _words_hash(t) == th]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["th", "shingles"])
 
     fed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    rows = saved(fed.mapInArrow(lambda it: released(each(it)), f"id long, th long, {', '.join(f'{x} long' for x in names)}, sketch binary"), "digests")
-    nodes = saved(rows.groupBy("th").agg(F.min("id").alias("least"), *[F.first(x).alias(x) for x in (*names, "sketch")]), "texts")
-    classes = near_classes(nodes.drop("least"), threshold, seeds, group=group)
+    rows = saved(fed.mapInArrow(lambda it: released(each(it)), "id long, th long, keys array<long>"), "digests")
+    nodes = saved(rows.groupBy("th").agg(F.min("id").alias("least"), F.first("keys").alias("keys")), "texts")
+    candidates = saved(_candidates(nodes), "members")
+    wanted = nodes.select("th", "least").join(candidates.select("th"), "th")
+    texts = fed.join(wanted, F.col("id").eqNullSafe(F.col("least"))).select("th", "text")
+    sets = texts.mapInArrow(lambda it: released(exact(it)), "th long, shingles binary").dropDuplicates(["th"])
+    classes = near_classes(candidates, sets, threshold, group)
     named = nodes.select("th", "least").join(classes, "th", "left").withColumn("class", F.coalesce("class", "th"))
     best = named.groupBy("class").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "th")).alias("k")).select("k.th", F.col("k.least").alias("id"))
     keep = saved(best.select(F.col("th").alias("__kt"), F.col("id").alias("__ki")), "kept")

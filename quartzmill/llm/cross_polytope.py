@@ -13,9 +13,12 @@ stream past it, leaving their best ``neighbours + 1``.  Queries that met fewer
 vectors than they need are searched again through all buckets of one table, so
 every query gets its full list.
 
-Vectors of unequal norms get one more coordinate, sqrt(M^2 - |x|^2) for the
-largest norm M (zero for queries), which makes the largest inner product the
-smallest angle; only the hash sees it.
+The hash sees directions only.  Among vectors of about equal norms the largest
+products are the smallest angles, and what is among the best of all is among the
+best of its own range of norms, so vectors are hashed where a range (a factor of
+``RANGE``) holds ``CROWD`` of them or more.  All others, such as outliers or norms
+spread thinly, are dealt out by one table, of which every query probes all buckets:
+none of them can be missed.
 
 Defined cases: null and zero vectors, vectors with a null or non-finite
 component, with a null id, or of another length than most (the larger of two
@@ -39,6 +42,8 @@ TABLES = 8
 PROBES = 16
 NEIGHBOURS = 20
 BLOCK = 8192
+RANGE = 1.1
+CROWD = 1024
 SEED = 7
 
 
@@ -61,18 +66,14 @@ def rotated(x: np.ndarray, t: int) -> np.ndarray:
     return x
 
 
-def padded(x: np.ndarray, norm: float, query: bool, lift: bool) -> np.ndarray:
+def padded(x: np.ndarray) -> np.ndarray:
     """Unit vectors of a length that is a power of two."""
-    if lift and not query:
-        rest = np.sqrt(np.maximum(0.0, norm * norm - (x * x).sum(axis=1)))
-        x = np.column_stack([x, rest])
-    elif lift:
-        x = np.column_stack([x, np.zeros(len(x))])
     d = 1 << max(0, (x.shape[1] - 1).bit_length())
     out = np.zeros((len(x), d))
     out[:, : x.shape[1]] = x
-    size = np.sqrt((out * out).sum(axis=1, keepdims=True))
-    return out / np.where(size > 0, size, 1.0)
+    most = np.abs(out).max(axis=1, keepdims=True)
+    out /= np.where(most > 0, most, 1.0)
+    return out / np.sqrt((out * out).sum(axis=1, keepdims=True))
 
 
 def axes(y: np.ndarray, probes: int) -> np.ndarray:
@@ -88,10 +89,10 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def _hashed(batches: Iterator[pa.RecordBatch], tables: list[int], probes: int, norm: float, lift: bool, query: bool) -> Iterator[pa.RecordBatch]:
+def _hashed(batches: Iterator[pa.RecordBatch], tables: list[int], probes: int) -> Iterator[pa.RecordBatch]:
     """(rep, vec) -> (bucket, rep, vec), a row for each table and probe."""
     for batch in batches:
-        x = padded(_matrix(batch.column(1)), norm, query, lift)
+        x = padded(_matrix(batch.column(1)))
         for t in tables:
             codes = axes(rotated(x, t), probes) + t * 2 * x.shape[1]
             for p in range(codes.shape[1]):
@@ -161,29 +162,43 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vec_col: str =
     smallest = rows.withColumn("nth", F.row_number().over(Window.partitionBy("vec").orderBy("vec_id"))).where(F.col("nth") <= k)
     groups = smallest.groupBy("vec").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     # a repeated id may stand for several vectors, so vectors get a number of their own
-    groups = saved(groups.withColumn("least", F.element_at("ids", 1)).withColumn("rep", F.xxhash64("least", "vec")), "vectors")
-    square = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    top, low, n = groups.agg(F.sqrt(F.max(square)), F.sqrt(F.min(square)), F.count("*")).first()
-    lift = low < top * (1 - 1e-6)
+    groups = groups.withColumn("least", F.element_at("ids", 1)).withColumn("rep", F.xxhash64("least", "vec"))
+    groups = saved(groups.withColumn("most", F.array_max(F.transform("vec", lambda x: F.abs(x.cast("double"))))), "vectors")
+    scaled = F.aggregate("vec", F.lit(0.0), lambda s, x: s + (x.cast("double") / F.col("most")) * (x.cast("double") / F.col("most")))
+    log = (F.log("most") + F.log(scaled) / 2) / F.lit(float(np.log(RANGE)))
+    top, n = groups.agg(F.max(log), F.count("*")).first()
+    # one row a range of norms; rounding keeps norms that differ by rounding only in one range
+    ranged = groups.withColumn("range", F.round(log - F.lit(top)).cast("int"))
+    crowded = ranged.groupBy("range").agg((F.count("*") >= CROWD).alias("crowded"))
+    groups = saved(ranged.join(F.broadcast(crowded), "range").drop("range", "most"), "ranges")
     asked = rows.where(is_query).join(groups.select("vec", "rep"), "vec").select(F.col("vec_id").alias("query_id"), "rep")
     asked = saved(asked, "queries")
     searched = groups.join(asked.select("rep").distinct(), "rep", "left_semi").select("rep", "vec")
 
     kind = f"bucket long, rep long, vec {groups.schema['vec'].dataType.simpleString()}"
-    width = 1 << max(0, (common.n + lift - 1).bit_length())
+    width = 1 << max(0, (common.n - 1).bit_length())
 
-    def hashed(df: DataFrame, which: list[int], many: int, query: bool) -> DataFrame:
-        return df.select("rep", "vec").mapInArrow(lambda it: _hashed(it, which, many, top, lift, query), kind)
+    def hashed(df: DataFrame, which: list[int], many: int) -> DataFrame:
+        return df.select("rep", "vec").mapInArrow(lambda it: _hashed(it, which, many), kind)
 
-    which = list(range(tables)) if n > 4 * k else [0]
-    many = min(probes, 2 * width) if n > 4 * k else 2 * width
-    pairs = saved(_meet(hashed(groups, which, 1, False), hashed(searched, which, many, True), k, block), "pairs")
-    if many < 2 * width:
-        enough = pairs.groupBy("query").count().where(F.col("count") >= min(k, n))
+    def through(df: DataFrame, queries: DataFrame) -> DataFrame:
+        """All vectors of ``df``, by all buckets of one table."""
+        return _meet(hashed(df, [0], 1), hashed(queries, [0], 2 * width), k, block)
+
+    dense = groups.where("crowded")
+    near = dense.count()
+    if near > 4 * k and probes < 2 * width:
+        which = list(range(tables))
+        pairs = saved(_meet(hashed(dense, which, 1), hashed(searched, which, probes), k, block), "pairs")
+        enough = pairs.groupBy("query").count().where(F.col("count") >= min(k, near))
         few = searched.join(enough, searched.rep == enough["query"], "left_anti")
         if not few.isEmpty():
-            again = _meet(hashed(groups, [0], 1, False), hashed(few, [0], 2 * width, True), k, block)
-            pairs = pairs.union(again).groupBy("query", "rep").agg(F.max("score").alias("score"))
+            pairs = pairs.union(through(dense, few))
+        if near < n:
+            pairs = pairs.union(through(groups.where("not crowded"), searched))
+        pairs = pairs.groupBy("query", "rep").agg(F.max("score").alias("score"))
+    else:
+        pairs = saved(through(groups, searched), "pairs")
     ids = groups.select("rep", "least", "ids")
     named = pairs.join(ids.select("rep", "least"), "rep")
     first = Window.partitionBy("query").orderBy(F.desc("score"), "least", "rep")

@@ -361,6 +361,31 @@ def test_neighbours_recall(spark):
     assert hit / n >= 0.9
 
 
+@pytest.mark.parametrize("kind", ["outlier", "lognormal", "two norms"])
+def test_neighbours_recall_of_unequal_norms(spark, kind):
+    rng = np.random.default_rng(3)
+    n = 6000
+    x = rng.normal(size=(n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if kind == "outlier":
+        x[7] *= 5
+    elif kind == "lognormal":
+        x *= np.exp(rng.normal(0, 0.5, (n, 1)))
+    else:
+        x[n // 2 :] *= 1.5
+        x[0], x[1] = 0.001 * x[0], 30 * x[1]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in cross_polytope.nearest(df, df.vec_id % 20 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = 0
+    for q in range(0, n, 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hit += len(got[q] & set(np.argsort(-s)[:20].tolist()))
+    assert hit / n >= 0.9
+
+
 # -- 9 licences --------------------------------------------------------------------
 
 

@@ -1,9 +1,10 @@
 """Connected components by alternating large-star and small-star steps.
 
-Each step is one aggregation and one equi-join on a node; the number of rounds
-grows with the logarithm of the longest path.  Every round is written to the
-shared folder, so lineage stays short and nothing reaches the driver but one
-row of checksums.
+The number of rounds grows with the logarithm of the longest path.  A node of very
+many edges is no hot key: a node's least neighbour is found by partial minima
+and reaches its edges by a join on the node and one of ``SALTS`` parts of them.  Every
+round is a table of the shared folder, so lineage stays short, and it goes when the next
+is written; nothing reaches the driver but one row of checksums.
 """
 
 from __future__ import annotations
@@ -11,7 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import saved
+from .scratch import Room
+
+SALTS = 256
 
 
 def _checksum(edges: DataFrame) -> tuple:
@@ -19,32 +22,43 @@ def _checksum(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
+def _with_least(rows: DataFrame) -> DataFrame:
+    """``rows(u, v)`` with ``m``, the least ``v`` of the ``u``."""
+    salted = rows.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    parts = salted.groupBy("u", "s").agg(F.min("v").alias("m"))
+    least = parts.groupBy("u").agg(F.min("m").alias("m"))
+    named = parts.select("u", "s").join(least, "u")  # at most SALTS rows a node
+    return salted.join(named, ["u", "s"]).select("u", "v", "m")
+
+
 def _large(edges: DataFrame) -> DataFrame:
+    """Links every larger neighbour of a node to the least of the node and its neighbours."""
     both = edges.union(edges.select("b", "a")).toDF("u", "v")
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    moved = _with_least(both).where("v > u")
+    return moved.select(F.col("v").alias("a"), F.least("m", "u").alias("b")).distinct()
 
 
 def _small(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    linked = down.join(least, "u")
-    moved = linked.select(F.col("v").alias("a"), F.col("m").alias("b"))
-    own = least.select(F.col("u").alias("a"), F.col("m").alias("b"))
-    return moved.union(own).where("a <> b").distinct()
+    """Links a node and its smaller neighbours to the least of these; ``edges`` point down."""
+    linked = _with_least(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    to = F.explode(F.array("v", "u")).alias("a")
+    return linked.select(to, F.col("m").alias("b")).where("a <> b").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, room: Room, rounds: int = 60) -> DataFrame:
     """``edges(a, b)`` of longs -> ``(node, root)`` with root the smallest node of the component.
 
     Nodes without an edge do not appear; loops and repeated edges do no harm.
-    Empty input gives an empty result.  Raises if ``rounds`` do not suffice.
+    Empty input gives an empty result.  The result is a table of ``room``.
+    Raises if ``rounds`` do not suffice.
     """
-    now = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    now = room.saved(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = _checksum(now)
     for _ in range(rounds if mark[0] else 0):
-        now = saved(_small(_large(now)), "edges")
-        was, mark = mark, _checksum(now)
+        before, was = now, mark
+        now = room.saved(_small(_large(before)), "edges")
+        mark = _checksum(now)
+        room.drop(before)
         if was == mark:
             break
     else:

@@ -49,6 +49,39 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder of any file system that Spark reaches; nothing if it is not there."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+class Room:
+    """Tables of one computation, in a folder of their own that goes when the ``with`` block ends.
+
+    What is read later, such as a lazy result, must not rest on them.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self._paths = spark, new_path(spark, "room"), {}
+
+    def saved(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.folder}/{name}-{len(self._paths)}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self._paths[id(out)] = (out, path)  # the frame is kept, so its id stays its own
+        return out
+
+    def drop(self, df: DataFrame) -> None:
+        """Remove one of the tables early."""
+        delete(self.spark, self._paths[id(df)][1])
+
+    def __enter__(self) -> Room:
+        return self
+
+    def __exit__(self, *_) -> None:
+        delete(self.spark, self.folder)
+
+
 #: Texts go to Python workers in batches of about this size, which bounds what workers and Arrow hold.
 BATCH_BYTES = 4 << 20
 _BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -10,26 +10,19 @@ on all 64 bits.
 Within a variant's bucket a breadth-first sweep keeps a spanning forest of the
 links, never all pairs, so a bucket's output is smaller than the bucket.  Exact
 copies share a fingerprint and collapse before the index is built; a bucket of
-more than ``HOT_BUCKET`` different fingerprints is dealt out again by pieces of its
-other bits, one piece more than bits may differ (three differing bits leave one of
-four bytes equal), which loses no link.  The same index holds for n segments and
+more than ``HOT_BUCKET`` different fingerprints is indexed again in the same way by
+the bits outside its segment, which loses no link.  Each level settles all
+bits of a segment but one, so the number of fingerprints that can still share a bucket
+shrinks to some thousands by itself.  The same index holds for n segments and
 up to 2n - 1 differing bits.
 
-``deduplicated`` keeps one document of each group of near copies by word shingles
-(five words, similarity of 0.8 or more).  Its candidates are drawn from the shingle
-sets themselves: texts that agree in all ``ROWS`` least hashes of one of ``BANDS``
-bands meet, whatever the kind of edit (a pair at similarity s is missed with chance
-(1 - s**ROWS)**BANDS, 0.00006 at 0.8 and less above).  Each connected group of
-candidates is then decided on the exact sets of 64-bit shingle hashes of its texts.
-Groups of more than ``GROUP`` texts or ``GROUP_SHINGLES`` shingles are dealt out in
-blocks that each also hold the group's first block; where that leaves a group in
-parts, every two blocks of it are compared.
+``near_copies`` applies the same index to a signature of shingle hashes.
 
 Defined cases: a null or blank text has fingerprint zero and links like any
 other; fewer words than a shingle form one shingle; repeated rows and repeated
 ids each keep their row; a null id takes part but is never a component's name
 (a component of null ids only has a null name); an empty table gives no rows;
-other columns are not read.
+long texts are read whole, a block of words at a time; other columns are not read.
 """
 
 from __future__ import annotations
@@ -38,25 +31,19 @@ from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .decontaminate import shingle_hashes, word_hashes
-from .scratch import ready, released, saved
+from .scratch import Room, ready, released, saved, table
 from .words import shingles, word_blocks
 
 SEED = 42
 WORDS = 3
 RADIUS, SEGMENTS = 3, 2
 HOT_BUCKET = 4096
-NEAR_WORDS, NEAR_SIMILARITY = 5, 0.8
-BANDS, ROWS = 32, 6
-GROUP, GROUP_SHINGLES = 4096, 1 << 20
-_ODD = np.random.default_rng(SEED).integers(0, 2**64, (BANDS * ROWS, 1), np.uint64) | np.uint64(1)
 
 
 def fingerprint(text: bytes, n: int = WORDS, block: int = 1 << 20) -> int:
@@ -200,232 +187,50 @@ def _others(segments: int) -> Column:
     return found
 
 
-def links(fps: DataFrame, radius: int = RADIUS, hot: int = HOT_BUCKET, segments: int = SEGMENTS) -> DataFrame:
+def _again(crowded: DataFrame, width: int, segments: int) -> tuple[DataFrame, int]:
+    """``(key, rest, fp)`` of hot buckets -> the same one level on: variants of the ``width`` bits ``rest`` that the key leaves open."""
+    made, rest = [], F.col("rest")
+    cuts = [(width * i // segments, width * (i + 1) // segments) for i in range(segments)]
+    for s, e in cuts:
+        own = F.shiftrightunsigned(rest, s).bitwiseAND((1 << (e - s)) - 1)
+        left = F.shiftleft(F.shiftrightunsigned(rest, e), s).bitwiseOR(rest.bitwiseAND((1 << s) - 1))
+        for i in range(s, e):
+            made.append(F.struct(F.xxhash64("key", F.lit(i), own.bitwiseAND(((1 << (e - s)) - 1) ^ (1 << (i - s)))).alias("key"), left.alias("rest")))
+    return crowded.select(F.explode(F.array(*made)).alias("v"), "fp").select("v.key", "v.rest", "fp"), width - min(e - s for s, e in cuts)
+
+
+def links(fps: DataFrame, room: Room, radius: int = RADIUS, hot: int = HOT_BUCKET, segments: int = SEGMENTS) -> DataFrame:
     """Distinct ``(fp)`` -> ``(a, b)``: links that connect just what all links within ``radius`` connect."""
     if not 2 <= segments <= 8 or radius > 2 * segments - 1:
         raise ValueError("n segments (2 to 8) with one wildcard guarantee 2n - 1 differing bits at most")
-    met = variants(fps, segments).repartition("key").sortWithinPartitions("key")
-    found = saved(met.mapInArrow(lambda it: released(_links(it, radius, hot)), "key long, a long, b long"), "links")
+
+    def met(rows: DataFrame, limit: int | None) -> DataFrame:
+        together = rows.select("key", "fp").repartition("key").sortWithinPartitions("key")
+        return room.saved(together.mapInArrow(lambda it: released(_links(it, radius, limit)), "key long, a long, b long"), "links")
+
+    dealt, width = variants(fps, segments).withColumn("rest", _others(segments)), max(64 - (e - s) for s, e in _bounds(segments))
+    found = met(dealt, hot)
     out = found.where("b is not null").select("a", "b")
-    crowded = found.where("b is null").select("key", F.col("a").alias("fp"))
-    if crowded.isEmpty():
-        return out
-    width = min(64 - (e - s) for s, e in _bounds(segments))  # bits beyond it stay in the last piece
-    cuts = [width * i // (radius + 1) for i in range(radius + 1)]
-    ends = [*cuts[1:], 63]
-    parts = [F.xxhash64("key", F.lit(i), F.shiftrightunsigned(F.col("other"), c).bitwiseAND((1 << (e - c)) - 1)) for i, (c, e) in enumerate(zip(cuts, ends, strict=True))]
-    dealt = crowded.withColumn("other", _others(segments)).select(F.explode(F.array(*parts)).alias("key"), "fp")
-    again = dealt.repartition("key").sortWithinPartitions("key")
-    more = again.mapInArrow(lambda it: _links(it, radius, None), "key long, a long, b long")
-    return out.union(saved(more, "links").select("a", "b"))
+    while not (crowded := found.where("b is null").select("key").distinct()).isEmpty():
+        dealt, width = _again(room.saved(dealt.join(crowded, "key", "left_semi"), "hot"), width, segments)
+        found = met(dealt, hot if width >= 2 * segments else None)
+        out = out.union(found.where("b is not null").select("a", "b"))
+    return out
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, radius: int = RADIUS, hot: int = HOT_BUCKET) -> DataFrame:
     """``(doc_id, fp, component_id)``, a row for each row of ``docs``."""
     rows = saved(fingerprints(docs, id_col, text_col, n), "fingerprints")
-    nodes = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = components(links(nodes.select("fp"), radius, hot))
-    named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = saved(named, "roots")
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = named.join(least, "root").select("fp", "component_id")
+    with Room(docs.sparkSession) as room:
+        nodes = room.saved(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+        roots = components(links(nodes.select("fp"), room, radius, hot), room)
+        named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+        named = room.saved(named, "roots")
+        least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+        of = saved(named.join(least, "root").select("fp", "component_id"), "components")
     return rows.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-# -- near copies by word shingles ---------------------------------------------------
-
-
-def _mixed(hashes: np.ndarray, seed: int) -> np.ndarray:
-    """Another hash of each value."""
-    x = hashes ^ np.uint64(0x9E3779B97F4A7C15 * (seed + 1) & (2**64 - 1))
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def _shingle_rows(text: bytes, n: int) -> Iterator[tuple[list[bytes] | None, np.ndarray]]:
-    """The new words and the shingles' hashes of each block; fewer words than a shingle form one, without words of its own."""
-    fresh, some, words = 0, False, []
-    for words in word_blocks(text, n - 1):
-        rows = shingle_hashes(word_hashes(words), n)
-        some |= len(rows) > 0
-        yield words[fresh:], rows
-        fresh = min(n - 1, len(words))
-    if words and not some:
-        yield None, shingle_hashes(word_hashes(words), len(words))
-
-
-def shingle_set(text: bytes, n: int = NEAR_WORDS) -> np.ndarray:
-    """The sorted hashes of the set of shingles."""
-    found = [np.unique(rows) for _, rows in _shingle_rows(text, n)]
-    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
-
-
-def least_hashes(rows: np.ndarray, least: np.ndarray | None = None) -> np.ndarray:
-    """The least of the shingles' hashes under each of ``BANDS * ROWS`` permutations."""
-    out = np.full(len(_ODD), 2**64 - 1, np.uint64) if least is None else least
-    for at in range(0, len(rows), 2048):
-        np.minimum(out, (_ODD * rows[at : at + 2048]).min(axis=1), out=out)
-    return out
-
-
-def digest(text: bytes, n: int = NEAR_WORDS) -> tuple[int, list[int]]:
-    """Hash of the words, and a key for each band of least shingle hashes (none without words)."""
-    whole, least, some = xxhash.xxh3_64(), None, False
-    for words, rows in _shingle_rows(text, n):
-        if words is not None:
-            whole.update(b" ".join(words) + b" ")
-        least = least_hashes(rows, least)
-        some |= len(rows) > 0
-    th = int(np.uint64(whole.intdigest()).astype(np.int64))
-    if not some:
-        return th, []
-    keys = (_mixed(least, 0).reshape(BANDS, ROWS) * _ODD[:ROWS, 0]).sum(axis=1, dtype=np.uint64)
-    return th, _mixed(keys ^ _ODD[:BANDS, 0], 1).view(np.int64).tolist()
-
-
-def text_hash(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """The first part of ``digest``, for a column of binary texts."""
-    for series in texts:
-        yield pd.Series([_words_hash(t or b"") for t in series], dtype="int64")
-
-
-def _words_hash(text: bytes) -> int:
-    whole = xxhash.xxh3_64()
-    for words in word_blocks(text, 0):
-        whole.update(b" ".join(words) + b" " if words else b" ")
-    return int(np.uint64(whole.intdigest()).astype(np.int64))
-
-
-def similar_forest(sets: list[np.ndarray], threshold: float) -> tuple[list[int], list[int]]:
-    """Spanning forest of the pairs of sets, by place, with a similarity of ``threshold`` or more."""
-    n, sizes = len(sets), np.array([len(x) for x in sets])
-    ends = np.cumsum(sizes)
-    distinct, codes = np.unique(np.concatenate(sets), return_inverse=True)
-    order = np.argsort(codes, kind="stable")
-    coded, owner = codes[order], np.repeat(np.arange(n), sizes)[order]
-    begin = np.r_[0, np.bincount(coded, minlength=len(distinct)).cumsum()]
-    left, right, rest, held = [], [], np.ones(n, bool), n
-    for first in range(n):
-        if not rest[first]:
-            continue
-        rest[first], front = False, [first]
-        while front and rest.any():
-            i = front.pop()
-            own = codes[ends[i] - sizes[i] : ends[i]]
-            start, many = begin[own], begin[own + 1] - begin[own]
-            places = np.repeat(start - (np.cumsum(many) - many), many) + np.arange(many.sum())
-            common = np.bincount(owner[places], minlength=n)
-            new = np.flatnonzero(rest & (common / np.maximum(sizes + sizes[i] - common, 1) >= threshold))
-            left += [i] * len(new)
-            right += new.tolist()
-            front += new.tolist()
-            rest[new] = False
-            if 2 * rest.sum() < held:  # what is linked need not be met again
-                held, kept = int(rest.sum()), rest[owner]
-                coded, owner = coded[kept], owner[kept]
-                begin = np.r_[0, np.bincount(coded, minlength=len(distinct)).cumsum()]
-    return left, right
-
-
-def _verified(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """Rows (root, block, th, shingles), groups together -> (a, b): a spanning forest of each group's links."""
-
-    def links(ths: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
-        left, right = similar_forest(sets, threshold)
-        of = np.array(ths, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(of[left], pa.int64()), pa.array(of[right], pa.int64())], ["a", "b"])
-
-    key, ths, sets = None, [], []
-    for batch in batches:
-        for root, block, th, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if (root, block) != key:
-                if len(ths) > 1:
-                    yield links(ths, sets)
-                key, ths, sets = (root, block), [], []
-            ths.append(th)
-            sets.append(np.frombuffer(own, np.uint64))
-    if len(ths) > 1:
-        yield links(ths, sets)
-
-
-def _check(dealt: DataFrame, threshold: float) -> DataFrame:
-    together = dealt.repartition("root", "block").sortWithinPartitions("root", "block")
-    return saved(together.mapInArrow(lambda it: released(_verified(it, threshold)), "a long, b long"), "verified")
-
-
-def _candidates(nodes: DataFrame) -> DataFrame:
-    """``nodes(th, keys)`` -> ``(th, root)``: texts connected by equal keys of any band."""
-    keys = nodes.select("th", F.explode("keys").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("th").alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "least")
-    edges = keys.join(shared, "key").where("th <> least").select(F.col("th").alias("a"), F.col("least").alias("b"))
-    return components(edges).select(F.col("node").alias("th"), "root")
-
-
-def near_classes(candidates: DataFrame, sets: DataFrame, threshold: float = NEAR_SIMILARITY, group: int = GROUP) -> DataFrame:
-    """``candidates(th, root)`` and their ``sets(th, shingles)`` -> ``(th, class)`` of the texts that have a near copy."""
-    joined = saved(candidates.join(sets, "th").withColumn("size", F.octet_length("shingles") / 8), "sets")
-    blocks = F.greatest(F.ceil(F.count("*") / group), F.ceil(F.sum("size") / GROUP_SHINGLES), F.lit(1)).cast("int")
-    sizes = joined.groupBy("root").agg(blocks.alias("blocks"))
-    members = joined.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64("th"), F.col("blocks")).cast("int"))
-    # the first block goes to all blocks of its group; a group of one block is just that
-    to = F.when(F.col("own") == 0, F.sequence(F.least(F.lit(1), F.col("blocks") - 1), F.col("blocks") - 1)).otherwise(F.array("own"))
-    verified = _check(members.select("root", F.explode(to).alias("block"), "th", "shingles"), threshold)
-    classes = components(verified)
-    large = members.where("blocks > 1")
-    if not sizes.where("blocks > 1").isEmpty():
-        found = classes.select(F.col("node").alias("th"), F.col("root").alias("part"))
-        parts = large.drop("shingles").join(found, "th", "left").groupBy("root").agg(F.count_distinct(F.coalesce("part", "th")).alias("parts"))
-        split = large.join(parts.where("parts > 1").select("root"), "root", "left_semi")
-        i, n = F.col("own"), F.col("blocks")
-        pairs = F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.least(i, j) * n + F.greatest(i, j))
-        more = _check(split.select("root", F.explode(pairs).alias("block"), "th", "shingles"), threshold)
-        classes = components(verified.union(more))
-    return classes.select(F.col("node").alias("th"), F.col("root").alias("class"))
-
-
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = NEAR_WORDS, threshold: float = NEAR_SIMILARITY, group: int = GROUP) -> DataFrame:
-    """``docs`` with one row of each group of copies and near copies: that of the least id (of a null id only if there is no other)."""
-    spark = docs.sparkSession
-    ready(spark)
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [digest(t.as_py() or b"", n) for t in batch.column(1)]
-            cols = [pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["id", "th", "keys"])
-
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(th, text) -> (th, shingles), of the texts that have the hash: an id may stand for several."""
-        for batch in batches:
-            rows = [(th, t.as_py() or b"") for th, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)]
-            rows = [(th, shingle_set(t, n).tobytes()) for th, t in rows if _words_hash(t) == th]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["th", "shingles"])
-
-    fed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    rows = saved(fed.mapInArrow(lambda it: released(each(it)), "id long, th long, keys array<long>"), "digests")
-    nodes = saved(rows.groupBy("th").agg(F.min("id").alias("least"), F.first("keys").alias("keys")), "texts")
-    candidates = saved(_candidates(nodes), "members")
-    wanted = nodes.select("th", "least").join(candidates.select("th"), "th")
-    texts = fed.join(wanted, F.col("id").eqNullSafe(F.col("least"))).select("th", "text")
-    sets = texts.mapInArrow(lambda it: released(exact(it)), "th long, shingles binary").dropDuplicates(["th"])
-    classes = near_classes(candidates, sets, threshold, group)
-    named = nodes.select("th", "least").join(classes, "th", "left").withColumn("class", F.coalesce("class", "th"))
-    best = named.groupBy("class").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "th")).alias("k")).select("k.th", F.col("k.least").alias("id"))
-    keep = saved(best.select(F.col("th").alias("__kt"), F.col("id").alias("__ki")), "kept")
-    hashed = docs.withColumn("__th", F.pandas_udf(text_hash, "long")(F.col(text_col).cast("binary"))).withColumn("__id", F.col(id_col).cast("long"))
-    same = (F.col("__th") == F.col("__kt")) & F.col("__id").eqNullSafe(F.col("__ki"))
-    kept = hashed.join(keep, same, "left_semi")
-    repeated = rows.groupBy("th", "id").count().where("count > 1").select(F.col("th").alias("__kt"), F.col("id").alias("__ki"))
-    repeated = repeated.join(keep.select(F.col("__kt").alias("t"), F.col("__ki").alias("i")), (F.col("__kt") == F.col("t")) & F.col("__ki").eqNullSafe(F.col("i")), "left_semi")
-    if not repeated.isEmpty():  # rows that repeat id and text
-        once = kept.join(repeated, same, "left_semi").dropDuplicates(["__th", "__id"])
-        kept = kept.join(repeated, same, "left_anti").unionByName(once)
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
-
-
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .scratch import table
-
     out = simhash_components(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

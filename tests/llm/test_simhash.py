@@ -9,6 +9,8 @@ import pytest
 import xxhash
 
 from quartzmill.llm import simhash_dedup as S
+from quartzmill.llm.components import components
+from quartzmill.llm.scratch import Room
 
 
 def plain_fp(text):
@@ -80,10 +82,20 @@ def test_planted_fingerprints_all_radii(spark, segments, radius):
     fps = np.array(sorted(fps), np.uint64)
     want = {(int(a), int(b)) for k, a in enumerate(fps) for b in fps[:k] if (int(a) ^ int(b)).bit_count() <= radius}
     df = spark.createDataFrame([(int(np.int64(np.uint64(f).astype(np.int64))),) for f in fps], "fp long")
-    for hot in (4096, 2):
-        got = [(r.a & (2**64 - 1), r.b & (2**64 - 1)) for r in S.links(df, radius, hot, segments).collect()]
-        assert all((max(g), min(g)) in want for g in got)
-        assert parts(got, fps) == parts(want, fps)
+    got = [(r.a & (2**64 - 1), r.b & (2**64 - 1)) for r in S.links(df, Room(spark), radius, 4096, segments).collect()]
+    assert all((max(g), min(g)) in want for g in got)
+    assert parts(got, fps) == parts(want, fps)
+
+
+def test_hot_buckets_are_indexed_again(spark):
+    rng = np.random.default_rng(6)
+    free = [int(b) for b in (1, 5, 9, 13, 20, 27, 31, 33, 40, 44, 51, 58)]
+    fps = {sum(1 << b for b in free if rng.random() < 0.5) | 1 << 63 for _ in range(120)}
+    fps = np.array(sorted(fps), np.uint64)
+    want = {(int(a), int(b)) for k, a in enumerate(fps) for b in fps[:k] if (int(a) ^ int(b)).bit_count() <= 3}
+    df = spark.createDataFrame([(int(np.int64(f.astype(np.int64))),) for f in fps], "fp long")
+    got = [(r.a & (2**64 - 1), r.b & (2**64 - 1)) for r in S.links(df, Room(spark), 3, 8).collect()]
+    assert all((max(g), min(g)) in want for g in got) and parts(got, fps) == parts(want, fps)
 
 
 def parts(pairs, nodes):
@@ -118,3 +130,14 @@ def test_blocks_do_not_change_fingerprints():
     rng = random.Random(5)
     text = " ".join(f"w{rng.randrange(50)}" for _ in range(4000)).encode()
     assert S.fingerprint(text, block=100) == S.fingerprint(text)
+
+
+def test_components_with_a_hub_and_a_path(spark):
+    rng = random.Random(4)
+    pairs = [(0, i) for i in range(1, 3000)] + [(10_000 + i, 10_001 + i) for i in range(300)] + [(20_000 + rng.randrange(400), 20_000 + rng.randrange(400)) for _ in range(250)] + [(5, 5), (7, 0)]
+    rng.shuffle(pairs)
+    nodes = {n for p in pairs if p[0] != p[1] for n in p}
+    with Room(spark) as room:
+        got = {r.node: r.root for r in components(spark.createDataFrame(pairs, "a long, b long"), room).collect()}
+        assert got == parts(pairs, nodes)
+        assert components(spark.createDataFrame([], "a long, b long"), room).count() == 0

@@ -24,7 +24,7 @@ Defined cases: null and zero vectors, vectors with a null or non-finite
 component, with a null id, or of another length than most (the larger of two
 equally frequent) take no part; ties go to the smaller id; rows that repeat an
 id are separate candidates, except that no row of the query's own id is one; an
-empty table gives no rows; other columns are not read.
+empty table gives no rows; texts are not read, nor are other columns.
 """
 
 from __future__ import annotations

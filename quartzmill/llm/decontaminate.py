@@ -13,13 +13,20 @@ A window without any shingle of an item has similarity zero to it, so windows of
 size are fingerprinted only where a shingle of an item of that size occurs; this
 skips no match.
 
-The benchmark is read in parts of at most ``MAX_ITEMS`` items and ``MAX_CHARS``
-characters, hashed by item, each part being sent to the workers on one pass over the texts; an
-item of more characters than that forms a part of its own size.
+A benchmark of at most ``MAX_ITEMS`` items and ``MAX_CHARS`` characters goes to the workers whole. A larger
+one never does, nor to the driver: its items are dealt into parts of that size, each part's index
+becomes a file of the shared folder, and the items' shingles a table of (shingle, part). A bit
+map of the shingles, of at most ``MAP_BITS`` bits whatever the benchmark, lets most texts' shingles
+go; the others meet the table in an equality join, which says which texts to hold against which part. Only these
+texts move, once for each such part, and a task holds one part at a time. Both ways
+compare the same windows with the same items, so results are the same.
+
+RADIUS and similarity: of windows at a similarity of 0.8 or more, nearly all are within 20 bits (the README
+has the figure); the multi-index loses none of these.
 
 Defined cases: null and empty texts match nothing; an item without words is
 never matched, one of fewer than five words is one shingle; a text shorter than
-an item is one window; null ids and repeated rows keep their rows; an empty
+an item is one window; texts of any length are searched whole, in blocks; null ids and repeated rows keep their rows; an empty
 benchmark matches nothing; an empty table gives no rows; other columns of the
 benchmark are not read.
 """
@@ -28,6 +35,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import pickle
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -35,10 +43,11 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import ready, released, table
+from .scratch import Room, new_path, ready, released, saved, table
 from .words import alnum_blocks
 
 WORDS = 5
@@ -47,9 +56,13 @@ RADIUS = 20
 FLIPS = 2
 MAX_ITEMS = 4096
 MAX_CHARS = 16 << 20
+MAP_BITS = 27
+#: A part's texts are dealt over so many tasks at most.
+PART_TASKS = 256
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MASKS = np.array([sum(1 << b for b in bits) for n in range(FLIPS + 1) for bits in itertools.combinations(range(8), n)], np.uint8)
+_MATCHES = "array<struct<item_id: long, first_word: long, n_words: long, similarity: double>>"
 _KIND = pa.list_(pa.struct([("item_id", pa.int64()), ("first_word", pa.int64()), ("n_words", pa.int64()), ("similarity", pa.float64())]))
 
 
@@ -237,33 +250,118 @@ def _matches(batches: Iterator[pa.RecordBatch], b: Benchmark) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([*cols, pa.array(found, _KIND)], [*batch.schema.names[:-1], "matches"])
 
 
-def parts(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[tuple[list[tuple[int, bytes]], bool]]:
-    """The benchmark in parts of bounded size, each with whether it is the last."""
-    rows = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).where("text is not null")
-    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    many = max(1, -(-n // MAX_ITEMS), -(-size // MAX_CHARS))
-    many = 1 if many == 1 else 2 * many
-    for i in range(many if n else 0):
-        own = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(many)) == i).collect()
-        yield sorted(((r.id, bytes(r.text)) for r in own), key=lambda r: (r[0] is None, r[0] or 0, r[1])), i == many - 1
+def item_shingles(text: bytes) -> np.ndarray:
+    """The different shingles of an item; of fewer words than a shingle, all words as one."""
+    words = [w for _, part, _ in alnum_blocks(text, 0) for w in part]
+    return np.unique(shingle_hashes(word_hashes(words), min(WORDS, len(words)))) if words else np.zeros(0, np.uint64)
+
+
+def text_shingles(data: bytes, bits: np.ndarray, lengths: list[int]) -> np.ndarray:
+    """The different shingles of a text, of the ``lengths`` that items have, that pass the bit map."""
+    found = []
+    for _, words, _ in alnum_blocks(data, WORDS - 1):
+        hashes = word_hashes(words)
+        for k in lengths:
+            rows = shingle_hashes(hashes, k)
+            at = rows >> np.uint64(64 - int(len(bits) * 8 - 1).bit_length())
+            found.append(rows[(bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1])
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+
+
+def _far(docs: DataFrame, items: DataFrame, many: int, radius: int, threshold: float) -> DataFrame:
+    """``docs(mark, text)`` and ``items(id, text)`` in ``many`` parts -> ``(mark, matches)`` of texts with a match, as a table."""
+    spark = docs.sparkSession
+    with Room(spark) as room:
+        folder = new_path(spark, "parts")
+        store, base = fs.FileSystem.from_uri(folder)
+        store.create_dir(base)
+        dealt = room.saved(items.withColumn("part", F.pmod(F.xxhash64("id", "text"), F.lit(many)).cast("int")), "items")
+
+        def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = [(h, part, k) for part, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for own in [item_shingles(t)] for k in [min(WORDS, sum(len(w) for _, w, _ in alnum_blocks(t, 0)))] for h in own.view(np.int64).tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.int64(), pa.int32(), pa.int32()))], ["hash", "part", "k"])
+
+        known = room.saved(dealt.select("part", "text").mapInArrow(shingles, "hash long, part int, k int").distinct(), "shingles")
+        lengths = sorted(r.k for r in known.select("k").distinct().collect())  # at most WORDS numbers
+        width = max(10, min(MAP_BITS, int(known.count() * 16).bit_length()))
+        place = F.shiftrightunsigned("hash", 64 - width)
+        word = known.groupBy(F.shiftrightunsigned(place, 5).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(32)).cast("int"))).alias("b"))
+        bits = np.zeros(1 << (width - 5), np.uint32)
+        for r in word.toLocalIterator():  # at most 2 ** (MAP_BITS - 5) rows of two numbers
+            bits[r.w] = r.b
+        bits = bits.view(np.uint8)
+
+        def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                own = [text_shingles(t.as_py() or b"", bits, lengths).view(np.int64) for t in batch.column(1)]
+                marks = np.repeat(np.arange(len(own)), [len(x) for x in own])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(marks)), pa.array(np.concatenate([*own, np.zeros(0, np.int64)]))], ["mark", "hash"])
+
+        hits = room.saved(docs.mapInArrow(lambda it: released(passing(it)), "mark string, hash long"), "hits")
+        wanted = room.saved(hits.join(known.select("hash", "part").distinct(), "hash").select("mark", "part").distinct(), "wanted")
+
+        def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            part, held = None, []
+            for batch in batches:
+                for p, i, t in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                    if p != part and held:
+                        write(part, held)
+                        held = []
+                    part = p
+                    held.append((i, t))
+            if held:
+                write(part, held)
+            yield pa.RecordBatch.from_arrays([pa.array([], pa.int32())], ["part"])
+
+        def write(part: int, held: list) -> None:
+            own = sorted(held, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+            with fs.FileSystem.from_uri(folder)[0].open_output_stream(f"{base}/{part}", compression=None) as f:
+                f.write(pickle.dumps(build(own, radius, threshold)))
+
+        dealt.select("part", "id", "text").repartition("part").sortWithinPartitions("part").mapInArrow(indexed, "part int").collect()  # no rows
+
+        def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            part, own = None, None
+            for batch in batches:
+                found = []
+                for p, t in zip(batch.column(0).to_pylist(), batch.column(3), strict=True):
+                    if p != part:
+                        part = p
+                        with fs.FileSystem.from_uri(folder)[0].open_input_file(f"{base}/{p}") as f:
+                            own = pickle.loads(f.read())
+                    found.append(search(own, t.as_py()))
+                yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(found, _KIND)], ["mark", "matches"])
+
+        texts = docs.join(wanted.select("mark").distinct(), "mark", "left_semi").dropDuplicates(["mark"])
+        pairs = wanted.join(texts, "mark").select("part", F.pmod(F.xxhash64("mark"), F.lit(PART_TASKS)).cast("int").alias("salt"), "mark", "text")
+        ordered = pairs.repartition("part", "salt").sortWithinPartitions("part", "salt")
+        matched = ordered.mapInArrow(lambda it: released(compared(it)), f"mark string, matches {_MATCHES}").where(F.size("matches") > 0)
+        return saved(matched.groupBy("mark").agg(F.flatten(F.collect_list("matches")).alias("matches")), "matches")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col: str = "text", item_col: str = "item_id", item_text: str = "text", radius: int = RADIUS, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs``' columns ``keep`` and ``matches``: items found, each with its best window."""
+    """``docs``' columns ``keep`` and ``matches``: items found, each with its best window, in order of ids."""
     ready(docs.sparkSession)
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
-    kind = "array<struct<item_id: long, first_word: long, n_words: long, similarity: double>>"
-    nothing = F.array().cast(kind)
-    now = docs.select(*keep, nothing.alias("__before"), F.col(text_col).cast("binary").alias("__text"))
-    for items, last in parts(benchmark, item_col, item_text):
-        b = build(items, radius, threshold)
-        if last:  # the text need not come back
-            found = now.mapInArrow(lambda it, b=b: released(_matches(it, b)), f"{kept}, __before {kind}, matches {kind}")
-            return found.select(*keep, F.concat("__before", "matches").alias("matches"))
-        fed = now.select(*keep, "__before", F.col("__text").alias("__again"), "__text")
-        found = fed.mapInArrow(lambda it, b=b: released(_matches(it, b)), f"{kept}, __before {kind}, __again binary, matches {kind}")
-        now = found.select(*keep, F.concat("__before", "matches").alias("__before"), F.col("__again").alias("__text"))
-    return docs.select(*keep, nothing.alias("matches"))
+    nothing = F.array().cast(_MATCHES)
+    items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text).cast("binary").alias("text")).where("text is not null")
+    n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    if not n:
+        return docs.select(*keep, nothing.alias("matches"))
+    text = F.col(text_col).cast("binary")
+    if n <= MAX_ITEMS and size <= MAX_CHARS:
+        own = sorted(((r.id, bytes(r.text)) for r in items.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        b = build(own, radius, threshold)
+        fed = docs.select(*keep, text.alias("__text"))
+        return fed.mapInArrow(lambda it: released(_matches(it, b)), f"{kept}, matches {_MATCHES}")
+    many = 2 * max(-(-n // MAX_ITEMS), -(-size // MAX_CHARS))
+    mark = F.md5(F.coalesce(text, F.lit(b"")))
+    found = _far(docs.select(mark.alias("mark"), text.alias("text")), items, many, radius, threshold)
+    ordered = F.array_sort("matches", lambda x, y: F.when(x["item_id"].isNull() & y["item_id"].isNull(), 0).when(x["item_id"].isNull(), 1).when(y["item_id"].isNull(), -1).when(x["item_id"] != y["item_id"], F.when(x["item_id"] < y["item_id"], -1).otherwise(1)).otherwise(F.signum(x["first_word"] - y["first_word"]).cast("int")))
+    found = found.select(F.col("mark").alias("__mark"), ordered.alias("__found"))
+    joined = docs.select(*keep, mark.alias("__own")).join(found, F.col("__own") == F.col("__mark"), "left")
+    return joined.select(*keep, F.coalesce("__found", nothing).alias("matches"))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

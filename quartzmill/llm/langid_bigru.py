@@ -11,11 +11,11 @@ from each, chosen by hash over the whole table and the whole text).
 The recurrent step is ``z, r = hard_sigmoid(..)``, ``n = tanh(x + r * (U h))``,
 ``h = n + z * (h - n)``; hard_sigmoid(v) = clip(0.2 v + 0.5, 0, 1).
 
-Defined cases: a null text, or one without a letter, gives ``und`` with score 0;
+Defined cases: a null text, or one without a letter (categories L*), gives ``und`` with score 0;
 so does every text if no labelled row can be learned from; with one language
 every text with letters gets it with score 1; repeated rows each keep their
-row; a null id is never learned from and is not held out; an empty table gives
-no rows; other columns are not read.
+row; a null id is never learned from and is not held out; texts of any length are
+labelled whole, ``BATCH`` windows at a time; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -41,9 +41,8 @@ STEPS = 500
 MINIBATCH = 256
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
-#: Bytes that count in a document's mean: ASCII letters and all parts of non-ASCII characters.
-_COUNTS = np.array([chr(b).isalpha() if b < 128 else True for b in range(256)])
+_WORDLIKE = re.compile(r"[^\W\d_]")
+_ASCII_LETTERS = np.array([b < 128 and chr(b).isalpha() for b in range(256)])
 
 
 @dataclass
@@ -61,6 +60,22 @@ class BiGRU:
         return self.recurrent.shape[2]
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character of the categories L* occurs; number forms such as a half or a circled one are none."""
+    return any(m[0].isalpha() for m in _WORDLIKE.finditer(text))
+
+
+def letter_bytes(text: str) -> np.ndarray:
+    """For each UTF-8 byte of a text, whether it is part of a letter."""
+    if text.isascii():
+        return _ASCII_LETTERS[np.frombuffer(text.encode(), np.uint8)]
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    seen, place = np.unique(codes, return_inverse=True)
+    letter = np.array([chr(c).isalpha() for c in seen.tolist()])
+    width = 1 + (seen > 0x7F) + (seen > 0x7FF) + (seen > 0xFFFF)
+    return np.repeat(letter[place], width[place])
+
+
 def initial(langs: list[str], hidden: int = HIDDEN, seed: int = 0) -> BiGRU:
     rng = np.random.default_rng(seed)
     k = len(langs)
@@ -203,12 +218,15 @@ def train(windows: np.ndarray, labels: np.ndarray, langs: list[str], hidden: int
 def label_texts(m: BiGRU | None, texts: list[bytes | None]) -> list[tuple[str, float]]:
     """Language and pooled probability of each whole text."""
     out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
-    use = [i for i, t in enumerate(texts) if t and m is not None and _LETTER.search(t.decode("utf-8", "replace"))]
+    plain = {i: t.decode("utf-8", "replace") for i, t in enumerate(texts) if t and m is not None}
+    use = [i for i, t in plain.items() if has_letter(t)]
     if not use:
         return out
     sums, counts = np.zeros((len(use), len(m.langs))), np.zeros(len(use))
-    flat = np.frombuffer(b"".join(texts[i] for i in use), np.uint8)
-    lens = np.array([len(texts[i]) for i in use])
+    whole = [plain[i].encode() for i in use]  # damaged bytes stand as the replacement character
+    flat = np.frombuffer(b"".join(whole), np.uint8)
+    letters = np.concatenate([*(letter_bytes(plain[i]) for i in use), np.zeros(WINDOW, bool)])
+    lens = np.array([len(t) for t in whole])
     n_win = -(-lens // WINDOW)
     owner = np.repeat(np.arange(len(use)), n_win)
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(n_win) - n_win, n_win)
@@ -219,8 +237,9 @@ def label_texts(m: BiGRU | None, texts: list[bytes | None]) -> list[tuple[str, f
     for at in range(0, len(order), BATCH):
         own = order[at : at + BATCH]
         size = sizes[own]
-        windows = padded[starts[own][:, None] + np.arange(WINDOW)]
-        counted = (_COUNTS[windows] & (np.arange(WINDOW) < size[:, None])).T.astype(np.float32)[: size[0]]
+        at_bytes = starts[own][:, None] + np.arange(WINDOW)
+        windows = padded[at_bytes]
+        counted = (letters[at_bytes] & (np.arange(WINDOW) < size[:, None])).T.astype(np.float32)[: size[0]]
         pooled = np.einsum("tkn,tn->nk", positions(m, windows, size), counted)
         np.add.at(sums, owner[own], pooled)
         np.add.at(counts, owner[own], counted.sum(axis=0))
@@ -254,7 +273,8 @@ def _predict(batches: Iterator[pa.RecordBatch], m: BiGRU | None) -> Iterator[pa.
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, hidden: int = HIDDEN, steps: int = STEPS) -> BiGRU | None:
     """Train on at most ``per_lang`` different texts of each language of ``docs``, chosen by a hash of the text."""
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null")
-    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    # different texts, so that many copies of a few do not keep the others out
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count_distinct(F.xxhash64("text")).alias("n")).collect()}
     if not counts:
         return None
     scale = 1 << 40
@@ -271,7 +291,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         seen[r.lang] += 1
         for piece in dict.fromkeys(r.pieces or []):
             data = (piece or "").encode()
-            if data and _LETTER.search(piece):
+            if data and has_letter(piece):
                 windows.append(np.resize(np.frombuffer(data, np.uint8), WINDOW))
                 labels.append(langs.index(r.lang))
     known = sorted(set(labels))

@@ -1,24 +1,28 @@
 """Licence scan by a positional index of rare words (operator 9).
 
-Each template is a short run of licence words.  Its ``ANCHORS`` rarest words (by
-inverse document frequency over the templates) are posted with their
-positions.  A text's words are looked up in the index, rarest first; a word at
+Templates are windows of public licence notices, their short titles and SPDX lines; a
+notice of many words is cut into windows of about ``WINDOW`` words, each a template of its own.
+The ``ANCHORS`` rarest words of a template's mandatory phrases are posted with their positions,
+rarity being the inverse document frequency of the template words over all files of the scan. A
+file's words are looked up in the index, rarest first; a word at
 position p posted for a template at position q votes for the template to start at
-p - q.  Starts where all anchors agree but for ``MISSING`` are verified: every mandatory key
-phrase must stand in its place word for word, and the agreeing words must carry
-``AGREE`` of the template's weight.
+p - q, so the postings are intersected by relative position.  Starts where all anchors agree but for
+``MISSING`` are verified: every mandatory key phrase must stand in its place word for word, and the
+agreeing words must carry ``AGREE`` of the template's weight.
 
-The phrases of ``BASE`` are templates that are mandatory throughout, so every
-place where one stands is found.
+The phrases of ``BASE`` are templates that are mandatory throughout, all of whose anchors must
+agree, so every place where one stands is found.
 
 Defined cases: null counts as the empty text; no match gives zero places, null
 first and last word, empty label strings and score 0; repeated rows and null ids
-keep their rows; an empty table gives no rows; other columns are not read.
+keep their rows; texts of any length are read whole, in blocks that overlap by the longest template;
+an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,30 +40,76 @@ AGREE = 0.8
 #: The base phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Wordings of well-known public licence notices: label, template, mandatory key phrases.
-TEMPLATES = [
+#: Wordings of well-known public licence notices: label, text, mandatory key phrases.
+NOTICES = [
     ("apache-2.0", "licensed under the apache license version 2 0", ["apache license version 2 0"]),
-    ("apache-2.0", "you may obtain a copy of the license at http www apache org licenses license 2 0", ["apache org licenses license 2 0"]),
+    ("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0", ["apache org licenses license 2 0"]),
+    ("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", ["unless required by applicable law or agreed to in writing", "without warranties or conditions of any kind"]),
     ("mit", "released under the mit license", ["mit license"]),
     ("mit", "licensed under the mit license", ["mit license"]),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", ["free of charge", "obtaining a copy of this software"]),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", ["source and binary forms", "with or without modification"]),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ["with or without fee"]),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software", ["free of charge to any person obtaining a copy", "to deal in the software without restriction", "merge publish distribute sublicense and or sell"]),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", ["this permission notice shall be included in all copies"]),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ["source and binary forms", "with or without modification"]),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", ["redistributions of source code must retain the above copyright notice"]),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", ["redistributions in binary form must reproduce the above copyright notice"]),
+    ("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ["may be used to endorse or promote products derived from this software"]),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", ["for any purpose with or without fee is hereby granted", "appear in all copies"]),
     ("gpl-3.0", "licensed under the gnu general public license version 3", ["gnu general public license version 3"]),
+    ("gpl-3.0", "it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license", ["terms of the gnu general public license", "either version 3 of the license"]),
     ("gpl-2.0", "licensed under the gnu general public license version 2", ["gnu general public license version 2"]),
+    ("gpl-2.0", "it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license", ["terms of the gnu general public license", "either version 2 of the license"]),
+    ("gpl", "without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details", ["see the gnu general public license for more details"]),
     ("lgpl", "gnu lesser general public license", ["lesser general public license"]),
     ("agpl", "gnu affero general public license", ["affero general public license"]),
     ("mpl-2.0", "mozilla public license version 2 0", ["mozilla public license"]),
-    ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", ["mozilla public license v 2 0"]),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at", ["mozilla public license v 2 0"]),
     ("epl", "eclipse public license", ["eclipse public license"]),
+    ("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", ["to any person or organization obtaining a copy", "covered by this license"]),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", ["in no event will the authors be held liable for any damages"]),
+    ("unlicense", "this is free and unencumbered software released into the public domain", ["free and unencumbered software"]),
+    ("cc0", "cc0 1 0 universal", ["cc0 1 0 universal"]),
     ("cc-by-nc", "licensed under cc by nc 4 0", ["cc by nc"]),
     ("cc-by-sa", "licensed under cc by sa 4 0", ["cc by sa"]),
     ("cc-by-nd", "licensed under cc by nd 4 0", ["cc by nd"]),
     ("cc-by-4.0", "licensed under cc by 4 0", ["cc by 4 0"]),
-    ("cc0", "cc0 1 0 universal", ["cc0 1 0 universal"]),
-    ("unlicense", "this is free and unencumbered software released into the public domain", ["free and unencumbered software"]),
+    ("cc-by-4.0", "creative commons attribution 4 0 international", ["creative commons attribution 4 0"]),
+    ("cc-by-sa", "creative commons attribution sharealike 4 0 international", ["creative commons attribution sharealike"]),
 ]
 
+#: Short titles, mandatory throughout.
+TITLES = {
+    "apache license 2 0": "apache-2.0", "apache license version 2 0": "apache-2.0", "mit license": "mit", "bsd 2 clause": "bsd-2-clause", "bsd 3 clause": "bsd-3-clause",
+    "isc license": "isc", "gnu gpl v3": "gpl-3.0", "gnu gpl v2": "gpl-2.0", "gplv3": "gpl-3.0", "gplv2": "gpl-2.0", "mozilla public license 2 0": "mpl-2.0", "boost software license": "boost",
+}
+
+#: SPDX identifiers in words, and their labels.
+SPDX = {
+    "mit": "mit", "apache 2 0": "apache-2.0", "bsd 2 clause": "bsd-2-clause", "bsd 3 clause": "bsd-3-clause", "isc": "isc", "gpl 2 0": "gpl-2.0", "gpl 3 0": "gpl-3.0",
+    "lgpl 2 1": "lgpl", "lgpl 3 0": "lgpl", "agpl 3 0": "agpl", "mpl 2 0": "mpl-2.0", "epl 2 0": "epl", "cc by 4 0": "cc-by-4.0", "cc by sa 4 0": "cc-by-sa", "cc by nc 4 0": "cc-by-nc",
+    "cc0 1 0": "cc0", "bsl 1 0": "boost", "zlib": "zlib", "unlicense": "unlicense",
+}
+WINDOW = 24
+
+
+def windows(label: str, text: str, keys: list[str], size: int = WINDOW) -> list[tuple[str, str, list[str]]]:
+    """A notice as templates of at most about ``size`` words; each mandatory phrase stays whole in one, a window without one is mandatory in its first five words."""
+    words, out, at = text.split(), [], 0
+    spans = []
+    for key in keys:
+        k = key.split()
+        i = next(i for i in range(len(words)) if words[i : i + len(k)] == k)
+        spans.append((i, i + len(k)))
+    while at < len(words):
+        end = len(words) if len(words) - at <= size + size // 3 else at + size
+        end = max([end, *(e for s, e in spans if s < end < e)])
+        own = [" ".join(words[s:e]) for s, e in spans if at <= s and e <= end]
+        out.append((label, " ".join(words[at:end]), own or [" ".join(words[at : min(end, at + 5)])]))
+        at = end
+    return out
+
+
+TEMPLATES = [w for n in NOTICES for w in windows(*n)] + [(label, t, [t]) for t, label in TITLES.items()] + [(label, f"spdx license identifier {i}", [f"spdx license identifier {i}"]) for i, label in SPDX.items()]
+
 _MATCH = pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("n_words", pa.int64()), ("agreement", pa.float64())])
 _SCHEMA = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, matches array<struct<label: string, first_word: long, n_words: long, agreement: double>>"
 
@@ -82,11 +132,16 @@ class Index:
     longest: int
 
 
-def build(base: dict[str, str] = BASE, templates: list[tuple[str, str, list[str]]] = TEMPLATES, anchors: int = ANCHORS) -> Index:
+def vocabulary(base: dict[str, str] = BASE, templates: list[tuple[str, str, list[str]]] = TEMPLATES) -> list[bytes]:
+    """All words of the templates."""
+    return sorted({w.encode() for text in [*base, *(t for _, t, _ in templates)] for w in text.split()})
+
+
+def build(counts: dict[bytes, int] | None = None, n: int = 0, base: dict[str, str] = BASE, templates: list[tuple[str, str, list[str]]] = TEMPLATES, anchors: int = ANCHORS) -> Index:
+    """The index; ``counts`` says how many of ``n`` files hold a word."""
     rows = [(label, phrase.split(), [phrase.split()], True) for phrase, label in base.items()]
     rows += [(label, text.split(), [k.split() for k in keys], False) for label, text, keys in templates]
-    held = [set(words) for _, words, _, _ in rows]
-    idf = {w: math.log(1 + len(rows) / sum(w in h for h in held)) for h in held for w in h}
+    idf = {w: math.log(1 + (n + 1) / ((counts or {}).get(w.encode(), 0) + 1)) for _, words, _, _ in rows for w in words}
     made, postings = [], {}
     for t, (label, words, keys, is_base) in enumerate(rows):
         fixed: set[int] = set()
@@ -94,13 +149,35 @@ def build(base: dict[str, str] = BASE, templates: list[tuple[str, str, list[str]
             at = next(i for i in range(len(words)) if words[i : i + len(key)] == key)
             fixed |= set(range(at, at + len(key)))
         # anchors stand in mandatory places, so that no accepted start lacks more than the votes allow
-        rare = sorted(fixed, key=lambda i: (-idf[words[i]], i))[: 1 if is_base else anchors]
+        rare = sorted(fixed, key=lambda i: (-idf[words[i]], i))[:anchors]
         for i in rare:
             postings.setdefault(words[i].encode(), []).append((t, i))
-        made.append(Template(label, tuple(w.encode() for w in words), tuple(idf[w] for w in words), frozenset(fixed), max(1, len(rare) - MISSING), is_base))
+        made.append(Template(label, tuple(w.encode() for w in words), tuple(idf[w] for w in words), frozenset(fixed), len(rare) if is_base else max(1, len(rare) - MISSING), is_base))
     return Index(tuple(made), {w: tuple(p) for w, p in postings.items()}, {w.encode(): v for w, v in idf.items()}, max(len(t.words) for t in made))
 
 
+def _present(batches: Iterator[pa.RecordBatch], known: frozenset[bytes]) -> Iterator[pa.RecordBatch]:
+    """(text) -> (word, files) over a batch; the empty word counts the files."""
+    for batch in batches:
+        found: Counter = Counter()
+        for text in batch.column(0):
+            seen: set[bytes] = set()
+            for _, words, _ in alnum_blocks(text.as_py() or b"", 0):
+                seen |= known.intersection(words)
+            found.update(seen)
+        found[b""] = batch.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], ["word", "files"])
+
+
+def corpus_index(docs: DataFrame, text_col: str = "text") -> Index:
+    """The index with document frequencies over all rows of ``docs``; the driver gets a row a template word."""
+    ready(docs.sparkSession)
+    known = frozenset(vocabulary())
+    sums = docs.select(F.col(text_col).cast("binary").alias("text")).mapInArrow(lambda it: _present(it, known), "word binary, files long").groupBy("word").agg(F.sum("files").alias("files"))
+    counts = {bytes(r.word): r.files for r in sums.collect()}
+    return build(counts, counts.pop(b"", 0))
+
+
 def matches(index: Index, words: list[bytes]) -> list[tuple[int, int, float]]:
     """(template, start, agreement) of all accepted places in ``words``."""
     seen = [i for i, w in enumerate(words) if w in index.postings]
@@ -157,7 +234,7 @@ def _rows(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.Record
 def scan_licenses(docs: DataFrame, keep: list[str], text_col: str = "text", index: Index | None = None) -> DataFrame:
     """``docs``' columns ``keep`` with counts, labels, score and all matches."""
     ready(docs.sparkSession)
-    index = index or build()
+    index = index or corpus_index(docs, text_col)
     fed = docs.select(*keep, F.col(text_col).cast("binary").alias("__text"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fed.schema.fields[:-1])
     return fed.mapInArrow(lambda it: _rows(it, index), f"{kept}, {_SCHEMA}")

@@ -1,8 +1,8 @@
 """Format-preserving pseudonyms for personal data (operator 4), in SQL functions only.
 
 One regular expression finds e-mail addresses, dates, phone numbers, social
-security numbers, card numbers, IPv4 addresses and hexadecimal secrets; each find
-is validated (Luhn check, calendar, number ranges) and, if valid, replaced by its
+security numbers, card numbers, IBANs, IP addresses and hexadecimal secrets; each find
+is validated (Luhn check, IBAN check, calendar, number ranges) and, if valid, replaced by its
 image under a keyed permutation of its own format:
 
 * a Feistel network of ``ROUNDS`` rounds on a product of two ranges (x, y): x += F(y)
@@ -11,29 +11,42 @@ image under a keyed permutation of its own format:
   different pseudonyms, and equal values equal ones in all documents.
 * cards permute all digits but the last, which is the Luhn digit again; dates
   permute the days of their 400-year Gregorian cycle (189 * 773 days), so they stay
-  valid; social security numbers permute valid area and group-serial numbers;
-  IPv4 addresses permute the octets of as many digits each; phone numbers permute ten digits
-  behind the country code; e-mail names permute their letters and their digits
-  (the domain stays), secrets their hexadecimal digits, in pieces of up to 24.
+  valid (a slash date is read month first, and day first where that is no date); social security
+  numbers permute valid area and group-serial numbers; IPv4 addresses permute the octets of as
+  many digits each, IPv6 addresses their hexadecimal digits; IBANs permute the digits behind the
+  check digits, which are worked out again, and keep country and letters; North American phone
+  numbers permute ten digits behind the country code, others (with a plus sign, 8 to 15 digits) all behind
+  the first two or the first separator; e-mail names permute their letters and their digits
+  (the domain stays), secrets their hexadecimal digits, in pieces of up to 24. A piece of one
+  character is permuted by the keyed order of its alphabet.
   Punctuation and case of letters stay in place.
 
+Not covered, as nothing validates them: phone numbers of digits alone or without an area code,
+names and postal addresses, hexadecimal secrets of over 64 digits.
+
+The key is a parameter. Queries and the pipeline take it from ``spark.quartzmill.pii.key``; where that is
+not set, a random key is made once for the application, so nobody can invert its pseudonyms, and they
+link documents within it but not with those of another.
+
 No row is moved: the plan is a scan and a projection.
 
 Defined cases: a null text stays null and an empty one empty, with no finds; what
 fails its validation stays; a text without finds is returned as it is; ties and
-repeated rows need no care, as each row is treated alone; all other columns pass
+repeated rows need no care, as each row is treated alone;
+a text of any length is one row's work in the JVM; all other columns pass
 unchanged (their names must differ from ``n_values`` and ``values`` where those are asked for).
 """
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 8
 PIECE = 24
 KEY_SETTING = "spark.quartzmill.pii.key"
-DEFAULT_KEY = "not a secret: set spark.quartzmill.pii.key"
 
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"
 ISO_DATE = r"(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d-])"
@@ -44,7 +57,10 @@ SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 CARD = r"(?<![\dA-Za-z])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?![\dA-Za-z])"
 IPV4 = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)"
 SECRET = r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z])"
-ANY = "|".join((EMAIL, ISO_DATE, US_DATE, DOT_DATE, PHONE, SSN, CARD, IPV4, SECRET))
+WORLD_PHONE = r"(?<![\w+.])\+[2-9]\d{0,2}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,5}(?:[ .-]?\d{2,5}){1,4}(?![\w-])"
+IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"
+IPV6 = r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:]|\.\d)"
+ANY = "|".join((EMAIL, IPV6, ISO_DATE, US_DATE, DOT_DATE, PHONE, WORLD_PHONE, IBAN, SSN, CARD, IPV4, SECRET))
 
 _LETTERS, _DIGITS26 = "abcdefghijklmnopqrstuvwxyz", "0123456789abcdefghijklmnop"
 #: Days of a 400-year cycle are 189 * 773; it begins on this day.
@@ -87,7 +103,10 @@ def digits(key: str, kind: str, s: Column, base: int) -> Column:
             tweak = F.concat_ws(":", F.lit(kind), F.length(s).cast("string"), at.cast("string"))
             out = feistel(key, tweak, number(F.substring(p, F.lit(1), left)), number(F.substring(p, left + 1, right)), size(left), size(right))
             text = lambda v, n: F.lpad(F.lower(F.conv(v.cast("string"), 10, base)), n, F.lit("0"))
-            return _with(out, lambda o: F.concat(F.when(left > 0, text(o["x"], left)).otherwise(F.lit("")), text(o["y"], right)))
+            # one character: its place in the keyed order of all of them
+            order = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(base - 1)), lambda v: F.struct(_round(key, tweak, F.lit(0), v).alias("h"), v.alias("v"))))
+            single = text(F.element_at(order, number(p).cast("int") + 1)["v"], F.lit(1))
+            return F.when(F.length(p) == 1, single).otherwise(_with(out, lambda o: F.concat(text(o["x"], left), text(o["y"], right))))
 
         return _with(part, permuted)
 
@@ -110,6 +129,16 @@ def _fill(shape: Column, letters: Column, numbers: Column) -> Column:
     return F.aggregate(chars, start, step, lambda s: s["out"])
 
 
+def _refilled(shape: Column, new: Column) -> Column:
+    """The shape with its letters and digits replaced in turn by those of ``new``."""
+
+    def step(s: Column, c: Column) -> Column:
+        own = c.rlike("[0-9A-Za-z]")
+        return F.struct(F.concat(s["out"], F.when(own, F.substring(new, s["at"], F.lit(1))).otherwise(c)).alias("out"), (s["at"] + own.cast("int")).alias("at"))
+
+    return F.aggregate(F.split(shape, "(?!^)"), F.struct(F.lit("").alias("out"), F.lit(1).alias("at")), step, lambda s: s["out"])
+
+
 def _only_digits(m: Column) -> Column:
     return F.regexp_replace(m, "[^0-9]", "")
 
@@ -190,6 +219,47 @@ def _phone(key: str, m: Column) -> Column:
     return _fill(m, F.lit(""), F.concat(country, digits(key, "phone", national, 10)))
 
 
+def _world_phone(key: str, m: Column) -> Column:
+    every = _only_digits(m)
+    head = F.length(F.regexp_extract(m, r"^\+(\d{1,3})[ .(-]", 1))
+    country = F.substring(every, F.lit(1), F.when(head > 0, head).otherwise(2))
+    new = F.concat(country, digits(key, "phone", F.substring(every, F.length(country) + 1, F.length(every)), 10))
+    return F.when(F.length(every).between(8, 15), _fill(m, F.lit(""), new))
+
+
+def _iban_check(account: Column, country: Column) -> Column:
+    """The two check digits behind the country of an IBAN: 98 less the number modulo 97, letters counting from 10."""
+
+    def add(rest: Column, c: Column) -> Column:
+        value = F.conv(c, 36, 10).cast("int")
+        return F.pmod(rest * F.when(value > 9, 100).otherwise(10) + value, F.lit(97))
+
+    rest = F.aggregate(F.filter(F.split(F.concat(account, country, F.lit("00")), "(?!^)"), lambda c: c != ""), F.lit(0), add)
+    return F.lpad((98 - rest).cast("string"), 2, F.lit("0"))
+
+
+def _iban(key: str, m: Column) -> Column:
+    def number(flat: Column) -> Column:
+        country, account = F.substring(flat, 1, 2), F.substring(flat, F.lit(5), F.length(flat))
+
+        def made(numbers: Column) -> Column:
+            return _with(_fill(account, F.regexp_replace(F.lower(account), "[^a-z]", ""), numbers), lambda new: _refilled(m, F.concat(country, _iban_check(new, country), new)))
+
+        tweak_kind = "iban"
+        valid = (_iban_check(account, country) == F.substring(flat, 3, 2)) & F.length(flat).between(15, 34)
+        return F.when(valid, _with(digits(key, tweak_kind, _only_digits(account), 10), made))
+
+    return _with(F.regexp_replace(m, " ", ""), number)
+
+
+def _ipv6(key: str, m: Column) -> Column:
+    flat = F.lower(F.regexp_replace(m, ":", ""))
+    groups = F.size(F.filter(F.split(m, ":"), lambda g: g != ""))
+    valid = m.rlike("[0-9]") & ((groups == 8) | (m.contains("::") & (groups < 8)))
+    new = _refilled(m, digits(key, "ipv6", flat, 16))
+    return F.when(valid, F.when(m == F.lower(m), new).otherwise(F.upper(new)))
+
+
 def _email(key: str, m: Column) -> Column:
     name = F.substring_index(m, "@", 1)
     letters = F.regexp_replace(F.lower(name), "[^a-z]", "")
@@ -208,9 +278,12 @@ def pseudonym(key: str, m: Column) -> Column:
     kinds = [
         ("email", m.contains("@"), _email(key, m)),
         ("date", whole(r"\d{4}-\d{2}-\d{2}"), _date(key, m, "yyyy-MM-dd")),
-        ("date", whole(r"\d{2}/\d{2}/\d{4}"), _date(key, m, "MM/dd/yyyy")),
+        ("ipv6", m.rlike("^[0-9A-Fa-f]*:[0-9A-Fa-f:]+$"), _ipv6(key, m)),
+        ("date", whole(r"\d{2}/\d{2}/\d{4}"), F.coalesce(_date(key, m, "MM/dd/yyyy"), _date(key, m, "dd/MM/yyyy"))),
         ("date", whole(r"\d{2}\.\d{2}\.\d{4}"), _date(key, m, "dd.MM.yyyy")),
         ("phone", whole(r"(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}"), _phone(key, m)),
+        ("phone", m.startswith("+"), _world_phone(key, m)),
+        ("iban", whole(r"[A-Z]{2}\d{2}[A-Z0-9 ]+"), _iban(key, m)),
         ("ssn", whole(r"\d{3}-\d{2}-\d{4}"), _ssn(key, m)),
         ("card", whole(r"(?:\d{13,19}|\d{4}[ -].*)"), _card(key, m)),
         ("ipv4", m.contains("."), _ipv4(key, m)),
@@ -222,8 +295,10 @@ def pseudonym(key: str, m: Column) -> Column:
     return out.otherwise(F.struct(F.lit("secret").alias("kind"), _secret(key, m).alias("value")))
 
 
-def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = DEFAULT_KEY, report: bool = False) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", report: bool = False) -> DataFrame:
     """``docs`` with the text column replaced; with ``report`` also ``n_values`` and ``values``."""
+    if not key:
+        raise ValueError("pseudonyms need a secret key")
     text = F.col(text_col)
     has = F.coalesce(text.rlike("[0-9@]") & text.rlike(ANY), F.lit(False))
 
@@ -242,9 +317,12 @@ def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = DEFAULT_KEY
 
 
 def secret_key(spark: SparkSession) -> str:
-    return spark.conf.get(KEY_SETTING, DEFAULT_KEY)
+    """The key of the setting; where there is none, a random one that the application keeps."""
+    if not spark.conf.get(KEY_SETTING, None):
+        spark.conf.set(KEY_SETTING, secrets.token_hex(32))
+    return spark.conf.get(KEY_SETTING)
 
 
 def op4_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return pseudonymise(docs, key=secret_key(spark), report=True)
+    return pseudonymise(docs, secret_key(spark), report=True)

@@ -9,8 +9,8 @@ most one turn, and a removed shard moves few slots but its own.
 
 Defined cases: a row with a null key is placed by its text (null counts as
 empty), so null keys do not meet in one shard; equal keys share a shard;
-repeated rows each keep their row; an empty table gives no rows; other columns
-are not read.
+repeated rows each keep their row; a text's length does not matter, as only its
+bytes are counted; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -62,11 +62,12 @@ def lookup(spark: SparkSession, table: list[int]) -> DataFrame:
 
 
 def place(df: DataFrame, key: Column, shards: dict[str, int] | None = None, slots: int = SLOTS) -> DataFrame:
-    """``df`` with ``slot`` and ``shard``; ``key`` is a string that is never null."""
+    """``df`` with ``slot`` and ``shard``, which replace columns of these names; ``key`` is a string that is never null."""
     shards = shards or {f"shard-{i:03d}": 1 for i in range(SHARDS)}
     table = lookup(df.sparkSession, fill(shards, slots))
     # the broadcast has exactly ``slots`` rows of two numbers
-    return df.withColumn("slot", slot(key, slots)).join(F.broadcast(table), "slot")
+    own = [F.col(f"`{c}`") for c in df.columns if c.lower() not in ("slot", "shard")]
+    return df.select(*own, slot(key, slots).alias("slot")).join(F.broadcast(table), "slot")
 
 
 def write_shards(placed: DataFrame, path: str, files_per_shard: int = 8) -> None:

@@ -19,8 +19,9 @@ Defined cases: null and empty texts score as texts of no words; words are
 lower-cased runs of letters; several labels of a document count as toxic if one
 is 1; null labels or ids teach nothing and a null id is not held out; if the
 labels lack one of the two classes, every score is the share of toxic rows (0
-without any); repeated rows each keep their row; an empty table gives no rows;
-other columns are not read.
+without any); repeated rows each keep their row; texts of any length are
+scanned whole, in blocks cut at white space, with memory in proportion to their hits; an
+empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -134,25 +135,35 @@ def hits(m: Segments, text: str) -> tuple[int, list[tuple[int, float, int, int]]
     return total, found
 
 
-def segments(marks: list[tuple[int, float, int, int]], drift: float) -> list[tuple[float, int, int]]:
-    """All maximal scoring segments (score, first hit, last hit), by the linear-time stack scan."""
-    stack: list[tuple[float, float, int, int]] = []  # sum before, sum after, first hit, last hit
-    total, last = 0.0, -1
+def segments(marks: list[tuple[int, float, int, int]], drift: float, steps: list[int] | None = None) -> list[tuple[float, int, int]]:
+    """All maximal scoring segments (score, first hit, last hit), by the linear-time stack scan.
+
+    Each candidate knows the nearest earlier one of a smaller left sum, so the search back
+    jumps over those that cannot join; what a search passes is joined or jumped over from then on.
+    ``steps[0]`` counts the jumps, if given.
+    """
+    stack: list[tuple[float, float, int, int, int]] = []  # sum before, sum after, first hit, last hit, nearest smaller
+    total, last, jumps = 0.0, -1, 0
     for k, (i, s, _, _) in enumerate(marks):
         total += drift * (i - last - 1)
         last = i
         left, right, first = total, total + s, k
         total = right
-        while stack:
-            j = len(stack) - 1
+        j = len(stack) - 1
+        while True:
             while j >= 0 and stack[j][0] >= left:
-                j -= 1
+                j = stack[j][4]
+                jumps += 1
             if j < 0 or stack[j][1] >= right:
                 break
-            left, first = stack[j][0], stack[j][2]
+            left, _, first, _, before = stack[j]
             del stack[j:]
-        stack.append((left, right, first, k))
-    return [(r - a, f, e) for a, r, f, e in stack]
+            j = before
+            jumps += 1
+        stack.append((left, right, first, k, j))
+    if steps is not None:
+        steps[0] += jumps
+    return [(r - a, f, e) for a, r, f, e, _ in stack]
 
 
 def statistics(m: Segments, text: str | None) -> tuple[tuple[float, float, float], list[tuple[int, int, float, float]]]:

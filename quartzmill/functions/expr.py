@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: What stands for a missing number.
 MISSING_TOKENS = ("NaN", "nan", "NA")
+#: Tolerances of the self-consistency check.
 TOLERANCE = {"linear": 1e-6, "tree": 1e-6, "kernel": 1e-2}
 #: Case captions and the default description.
 CASES = {"TP": "true positive", "FN": "false negative", "FP": "false positive", "TN": "true negative"}

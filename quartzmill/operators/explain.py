@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import itertools
+import logging
 import math
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,13 +14,20 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr
+from ..plans.storage import delete, folder
 
+#: At most so many background and explained rows of the kernel method; then our own limits.
 KERNEL_BACKGROUND, KERNEL_ROWS, EXACT_FEATURES, COALITIONS = 50, 100, 12, 2048
 
 
+LOG = logging.getLogger(__name__)
+
+
 def validate(feature_names: list[str], rows: list[str], background: list[str] | None, n_background: int) -> None:
     if len(feature_names) != len(rows):
         raise ValueError(f"{len(feature_names)} feature names for {len(rows)} columns")
+    if list(feature_names) != list(rows):
+        raise ValueError("the columns are not the named features in their order")
     if background is not None and list(rows) != list(background):
         raise ValueError("rows and background differ in columns or their order")
     if n_background <= 0:
@@ -89,20 +96,16 @@ def report_lines(contributions: DataFrame) -> DataFrame:
 # -- trees ---------------------------------------------------------------------
 
 
-def _scratch(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quartzmill-")
-    return f"{base.rstrip('/')}/model-{uuid.uuid4().hex}"
-
-
 def tree_paths(model) -> list[tuple[float, list[tuple[int, float, float, float]]]]:
     """A forest's leaves: (positive share / trees, [(feature, low, high, cover ratio)]), from the saved node table.
 
     A row is in a leaf if low < x <= high for each of its features; repeated features are joined into one.
     """
     spark = SparkSession.getActiveSession()
-    path = _scratch(spark)
+    path = f"{folder(spark)}/model-{uuid.uuid4().hex}"
     model.write().overwrite().save(path)
-    table = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").collect()
+    table = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").collect()  # the model's nodes
+    delete(spark, path)
     trees: dict[int, dict[int, object]] = {}
     for n in table:
         trees.setdefault(n.treeID, {})[n.id] = n
@@ -177,38 +180,82 @@ def tree_shap(model, rows: DataFrame, features: list[str]) -> tuple[float, DataF
 # -- any model -----------------------------------------------------------------
 
 
+def coalitions(m: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Sets of features as rows of truth values, and their weights: all up to ``EXACT_FEATURES`` features, else a sample with complements."""
+    if m <= EXACT_FEATURES:
+        masks = np.array(list(itertools.product([False, True], repeat=m)))[1:-1]
+        return masks, np.array([(m - 1) / (math.comb(m, s) * s * (m - s)) for s in masks.sum(axis=1)])
+    rng = np.random.default_rng(seed)
+    sizes = np.arange(1, m)
+    p = (m - 1) / (sizes * (m - sizes))
+    drawn = rng.choice(sizes, COALITIONS // 2, p=p / p.sum())
+    half = np.array([np.isin(np.arange(m), rng.choice(m, s, replace=False)) for s in drawn])
+    masks = np.concatenate([half, ~half])
+    return masks, np.ones(len(masks))
+
+
+def coalition_solver(masks: np.ndarray, weight: np.ndarray) -> Callable[[np.ndarray, float], np.ndarray]:
+    """(values of the coalitions above the base, gap of the row) -> Shapley values, by weighted least squares under additivity."""
+    a = masks[:, :-1].astype(float) - masks[:, [-1]]
+    solve = np.linalg.pinv(a * np.sqrt(weight)[:, None])
+
+    def values(v: np.ndarray, gap: float) -> np.ndarray:
+        first = solve @ ((v - masks[:, -1] * gap) * np.sqrt(weight))
+        return np.append(first, gap - first.sum())
+
+    return values
+
+
 def kernel_shap_values(predict: Callable[[np.ndarray], np.ndarray], background: np.ndarray, x: np.ndarray, seed: int = 0) -> tuple[float, np.ndarray]:
-    """Shapley values of ``predict`` against a background: all coalitions up to ``EXACT_FEATURES`` features, else a weighted sample."""
+    """Base and Shapley values of ``predict`` against a background."""
     m = x.shape[1]
     base = float(predict(background).mean())
     if m == 1:
         return base, predict(x)[:, None] - base
-    if m <= EXACT_FEATURES:
-        masks = np.array(list(itertools.product([False, True], repeat=m)))[1:-1]
-        size = masks.sum(axis=1)
-        weight = np.array([(m - 1) / (math.comb(m, s) * s * (m - s)) for s in size])
-    else:
-        rng = np.random.default_rng(seed)
-        sizes = np.arange(1, m)
-        p = (m - 1) / (sizes * (m - sizes))
-        drawn = rng.choice(sizes, COALITIONS // 2, p=p / p.sum())
-        half = np.array([np.isin(np.arange(m), rng.choice(m, s, replace=False)) for s in drawn])
-        masks = np.concatenate([half, ~half])
-        weight = np.ones(len(masks))
+    masks, weight = coalitions(m, seed)
+    values, full = coalition_solver(masks, weight), predict(x)
     phi = np.zeros(x.shape)
-    full = predict(x)
-    # the last value follows from additivity; the others solve a weighted least-squares problem
-    a = masks[:, :-1].astype(float) - masks[:, [-1]]
-    solve = np.linalg.pinv(a * np.sqrt(weight)[:, None])
     for r in range(len(x)):
         mixed = np.where(masks[:, None, :], x[r], background[None]).reshape(-1, m)
-        v = predict(mixed).reshape(len(masks), -1).mean(axis=1) - base
-        gap = full[r] - base
-        phi[r, :-1] = solve @ ((v - masks[:, -1] * gap) * np.sqrt(weight))
-        phi[r, -1] = gap - phi[r, :-1].sum()
+        phi[r] = values(predict(mixed).reshape(len(masks), -1).mean(axis=1) - base, full[r] - base)
     return base, phi
 
 
+def model_shap(model, rows: DataFrame, background: DataFrame, features: list[str], seed: int = 0) -> tuple[float, DataFrame]:
+    """Base and ``(row_id, feature, fidx, value, phi)`` of any fitted model, which scores the mixed rows itself.
+
+    At most ``KERNEL_BACKGROUND`` background rows and ``KERNEL_ROWS`` rows in hash order take part, so the
+    mixed rows are bounded too. They are made and scored in the JVM and averaged by row and coalition.
+    """
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    from . import models, split
+
+    spark, m, names = rows.sparkSession, len(features), list(features)
+    few = split.background_sample(background, KERNEL_BACKGROUND, seed).select(vector_to_array("features").alias("b"))
+    explained = split.background_sample(rows, KERNEL_ROWS, seed).select("row_id", vector_to_array("features").alias("x"))
+    vector = lambda df, c: df.withColumn("features", array_to_vector(c))
+    base = float(models.score(model, vector(few, F.col("b"))).agg(F.avg("margin")).first()[0])
+    full = models.score(model, vector(explained, F.col("x"))).select("row_id", "x", F.col("margin").alias("full"))
+    if m == 1:
+        return base, full.select("row_id", F.lit(names[0]).alias("feature"), F.lit(0).alias("fidx"), F.col("x")[0].alias("value"), (F.col("full") - base).alias("phi"))
+    masks, weight = coalitions(m, seed)
+    values = coalition_solver(masks, weight)
+    table = spark.createDataFrame([(i, [bool(v) for v in row]) for i, row in enumerate(masks)], "mask int, inside array<boolean>")
+    mixed = explained.crossJoin(F.broadcast(table)).crossJoin(F.broadcast(few))  # all three sides are bounded by the limits above
+    cells = F.transform("x", lambda v, i: F.when(F.element_at("inside", i + 1), v).otherwise(F.element_at("b", i + 1)))
+    means = models.score(model, vector(mixed.repartition("row_id", "mask"), cells)).groupBy("row_id", "mask").agg(F.avg("margin").alias("v"))
+    gathered = means.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("mask", "v"))).alias("vs")).join(full, "row_id")
+
+    def solved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.itertuples():
+                phi = values(np.array(row.v, float) - base, row.full - base)
+                yield pd.DataFrame({"row_id": row.row_id, "feature": names, "fidx": np.arange(m, dtype=np.int32), "value": np.array(row.x, float), "phi": phi})
+
+    return base, gathered.select("row_id", "x", "full", F.col("vs.v").alias("v")).mapInPandas(solved, "row_id long, feature string, fidx int, value double, phi double")
+
+
 def kernel_shap(predict: Callable[[np.ndarray], np.ndarray], background: np.ndarray, rows: DataFrame, features: list[str], seed: int = 0) -> tuple[float, DataFrame]:
     """At most ``KERNEL_BACKGROUND`` background rows; ``rows`` are to be at most ``KERNEL_ROWS``, as the caller samples."""
     validate(features, features, None, len(background))
@@ -230,25 +277,72 @@ def long_of(rows: DataFrame, features: list[str]) -> DataFrame:
     return cells.select("row_id", F.element_at(names, F.col("fidx") + 1).alias("feature"), "fidx", "value")
 
 
-def explain(model, rows: DataFrame, background: DataFrame, features: list[str]) -> tuple[DataFrame, DataFrame, str]:
-    """Attributions, one-row ``(base,)`` and method for vector rows ``(row_id, features)``."""
+def explain(model, rows: DataFrame, background: DataFrame, features: list[str], seed: int = 0) -> tuple[DataFrame, DataFrame, str]:
+    """Attributions, one-row ``(base,)`` and method for vector rows ``(row_id, features)``.
+
+    Trees by their paths, linear models in closed form, all others by coalitions; a forest that
+    cannot be read is explained by coalitions, with a warning.
+    """
     from . import models
 
     method = models.kind(model)
     spark = rows.sparkSession
     if method == "tree":
-        base, phi = tree_shap(model, rows, features)
-        return phi, spark.createDataFrame([(base,)], "base double"), method
+        try:
+            base, phi = tree_shap(model, rows, features)
+        except Exception as error:
+            LOG.warning("tree attributions failed (%s); coalitions are used instead", error)
+            method = "kernel"
+    if method == "kernel":
+        base, phi = model_shap(model, rows, background, features, seed)
     if method == "linear":
         coef = coefficients_of(model, features)
         bg = long_of(background, features)
         return linear_shap(long_of(rows, features), coef, bg), linear_base(coef, bg, float(model.intercept)), method
-    raise TypeError("give kernel_shap a prediction function for this model")
+    return phi, spark.createDataFrame([(base,)], "base double"), method
+
+
+def case_record(row, attributions: DataFrame, base: DataFrame, method: str, model, case: str | None = None) -> dict:
+    """The record of one explained row; ``row`` has row_id, y, pred, score and margin."""
+    from . import models
+
+    own = attributions.where(F.col("row_id") == row.row_id)
+    spark = attributions.sparkSession
+    outputs = spark.createDataFrame([(row.row_id, float(row.margin))], "row_id long, output double")
+    check = self_consistency(own, base, outputs, method).first()
+    cells = own.orderBy(F.desc(F.abs("phi")), "fidx").collect()  # a row a feature
+    return {
+        "wafer_id": row.row_id, "case": case, "shap_method": method, "output_space": models.output_space(model),
+        "y_true": row.y, "y_pred": row.pred, "score": float(row.score), "score_label": models.score_label(model),
+        "baseline": check.base, "explained_output": check.output, "reconstruction": check.base + check.phi_sum,
+        "consistency_ok": bool(check.consistency_ok), "shap_values": {c.feature: c.phi for c in cells},
+    }
+
+
+def report_text(record: dict, contributions: DataFrame, model_name: str) -> str:
+    """The whole report of a record; ``contributions`` as ``ranked_contributions`` gives them."""
+    lines = report_lines(contributions).orderBy("pos").collect()
+    state = lambda v: "fail" if v == 1 else "pass"
+    case = f" | case: {record['case']} ({expr.CASES[record['case']]})" if record["case"] else ""
+    gap = abs(record["reconstruction"] - record["explained_output"])
+    out = [
+        f"row {record['wafer_id']}{case}",
+        f"model: {model_name} | method: {record['shap_method']}",
+        f"true state: {state(record['y_true'])}",
+        f"predicted: {state(record['y_pred'])} | displayed score [{record['score_label']}]: {record['score']:.4f}",
+        f"explained space: {record['output_space']} (not to be compared with the displayed score)",
+        f"base ({record['baseline']:.4f}) + sum ({record['reconstruction'] - record['baseline']:.4f}) = {record['reconstruction']:.4f}",
+        f"model output = {record['explained_output']:.4f} | deviation = {gap:.2e} [{'OK' if record['consistency_ok'] else 'beyond tolerance'}]",
+    ]
+    for side, title in (("push", "pushing towards failure"), ("protect", "protecting from failure")):
+        own = [r.line for r in lines if r.side == side]
+        out += ["", f"top {len(own)} {title}:", *(own or ["  (none)"])]
+    return "\n".join(out) + "\n"
 
 
 def importance_json(importance: DataFrame, **meta: str | int) -> DataFrame:
-    """One row ``(json,)``: meta fields and a map of features to mean_abs, std_abs and rank."""
-    entry = F.struct("feature", F.struct(F.col("mean_abs"), F.col("std_abs"), F.col("rank")).alias("v"))
+    """One row ``(json,)``: meta fields and a map of features to mean_abs_shap, std_abs_shap and rank."""
+    entry = F.struct("feature", F.struct(F.col("mean_abs").alias("mean_abs_shap"), F.col("std_abs").alias("std_abs_shap"), F.col("rank")).alias("v"))
     cells: list[Column] = [F.lit(v).alias(k) for k, v in meta.items()]
     features = F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("features")
     return importance.agg(features).select(F.to_json(F.struct(*cells, "features")).alias("json"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,10 +72,10 @@ def evaluate(rows: DataFrame, by: list[str] = ()) -> DataFrame:
 def train_test_record(rows: DataFrame) -> DataFrame:
     """``rows(model, part, y, pred, score)`` -> ``(model, metric, value)``: train BER and six test metrics."""
     wide = evaluate(rows, ["model", "part"])
-    names = {"ber": "test_ber", "accuracy": "accuracy", "precision": "precision", "recall": "recall", "f1": "f1", "auc": "auc"}
-    test = [wide.where("part = 'test'").select("model", F.lit(n).alias("metric"), F.col(c).alias("value")) for c, n in names.items()]
-    train = wide.where("part = 'train'").select("model", F.lit("train_ber").alias("metric"), F.col("ber").alias("value"))
-    return reduce(DataFrame.union, test, train)
+    cell = lambda name, c: F.struct(F.lit(name).alias("metric"), F.col(c).alias("value"))
+    test = F.array(cell("test_ber", "ber"), *(cell(c, c) for c in ("accuracy", "precision", "recall", "f1", "auc")))
+    cells = F.when(F.col("part") == "test", test).when(F.col("part") == "train", F.array(cell("train_ber", "ber")))
+    return wide.select("model", F.inline(cells))
 
 
 def cross_validated(rows: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import DecisionTreeClassificationModel, LogisticRegression, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
@@ -79,7 +79,7 @@ def fit(name: str, rows: DataFrame, strategy: str = "class_weight", seed: int =
 
 def kind(model) -> str:
     """``tree``, ``linear`` or ``kernel``: how the model is explained."""
-    if hasattr(model, "trees"):
+    if isinstance(model, (RandomForestClassificationModel, DecisionTreeClassificationModel)):
         return "tree"
     return "linear" if hasattr(model, "coefficients") else "kernel"
 
@@ -88,12 +88,25 @@ def has_probability(model) -> bool:
     return model.hasParam("probabilityCol")
 
 
+def is_classifier(model) -> bool:
+    return model.hasParam("rawPredictionCol")
+
+
 def output_space(model) -> str:
     if kind(model) == "linear":
         return "log-odds (decision margin)" if has_probability(model) else "decision margin"
     return "positive-class probability" if has_probability(model) else "predicted class (0/1)"
 
 
+#: What the displayed score is.
+SCORE_LABELS = {"probability": "失效概率", "margin": "决策分数(>0 判失效)", "class": "预测类别"}
+
+
+def score_label(model) -> str:
+    """Meaning of ``score``: a probability, a decision margin or a predicted class; none passes for another."""
+    return SCORE_LABELS["probability" if has_probability(model) else "margin" if kind(model) == "linear" else "class"]
+
+
 def score(model, rows: DataFrame, threshold: float | None = None) -> DataFrame:
     """``rows`` with ``score`` (probability, else margin), ``margin`` (explained output) and ``pred``."""
     out = model.transform(rows)
@@ -102,7 +115,8 @@ def score(model, rows: DataFrame, threshold: float | None = None) -> DataFrame:
         m = F.element_at(vector_to_array("rawPrediction"), 2) if kind(model) == "linear" else p
         limit = 0.5 if threshold is None else threshold
     else:
-        p = m = F.col("prediction")
-        limit = 0.0 if threshold is None else threshold
+        linear = kind(model) == "linear"
+        p = m = F.element_at(vector_to_array("rawPrediction"), 2) if linear and is_classifier(model) else F.col("prediction")
+        limit = (0.0 if linear else 0.5) if threshold is None else threshold
     scored = out.withColumns({"score": p, "margin": m})
     return scored.select(*rows.columns, "score", "margin", expr.predicted(F.col("score"), limit).alias("pred"))

@@ -30,11 +30,28 @@ def standardise(long: DataFrame, statistics: DataFrame) -> DataFrame:
     return scaled.withColumn("value", expr.standardised(F.col("value"), F.col("mean"), F.col("std"))).drop("mean", "std")
 
 
+def fitted(long: DataFrame, strategy: str = "median") -> DataFrame:
+    """``(feature, statistic, mean, std)`` of features with a value, in one aggregate.
+
+    Mean and deviation are those after imputation, from the counts and moments before it.
+    """
+    if strategy not in ("median", "mean"):
+        raise ValueError(f"strategy {strategy!r} is neither median nor mean")
+    value = F.col("value")
+    plain = long.groupBy("feature").agg(
+        F.count("*").alias("n"), F.count(value).alias("c"), F.avg(value).alias("a"), F.var_pop(value).alias("v"), (F.min(value) == F.max(value)).alias("constant"),
+        (F.median(value) if strategy == "median" else F.avg(value)).alias("statistic"),
+    ).where("c > 0")
+    n, c, s = F.col("n"), F.col("c"), F.col("statistic")
+    moved = plain.withColumn("mean", F.when(F.col("constant"), s).otherwise((c * F.col("a") + (n - c) * s) / n))
+    off = lambda x: (x - F.col("mean")) * (x - F.col("mean"))
+    std = F.sqrt((c * (F.col("v") + off(F.col("a"))) + (n - c) * off(s)) / n)
+    return moved.select("feature", "statistic", "mean", F.when(F.col("constant"), 0.0).otherwise(std).alias("std"))
+
+
 def preprocess(long: DataFrame, fit_on: DataFrame | None = None, strategy: str = "median") -> DataFrame:
-    """Drop all-null features, impute, standardise; ``fit_on`` gives the rows that fit (default: all)."""
-    fit = long if fit_on is None else fit_on
-    known = fit.groupBy("feature").agg(F.count("value").alias("n")).where("n > 0").select("feature")
-    long, fit = (x.join(F.broadcast(known), "feature", "left_semi") for x in (long, fit))
-    statistics = impute_statistics(fit, strategy)
-    scale = scale_statistics(impute(fit, statistics))
-    return standardise(impute(long, statistics), scale)
+    """Drop features without a value, impute, standardise; ``fit_on`` gives the rows that fit (default: all)."""
+    statistics = fitted(long if fit_on is None else fit_on, strategy)
+    joined = long.join(F.broadcast(statistics), "feature")  # a row a feature
+    value = expr.standardised(expr.imputed(F.col("value"), F.col("statistic")), F.col("mean"), F.col("std"))
+    return joined.withColumn("value", value).drop("statistic", "mean", "std")

@@ -29,7 +29,7 @@ def all_null_features(long: DataFrame, drop_missing_threshold: float = 1.0) -> D
 
 
 def drop_features(long: DataFrame, dropped: DataFrame) -> DataFrame:
-    return long.join(dropped.select("feature"), "feature", "left_anti")
+    return long.join(F.broadcast(dropped.select("feature")), "feature", "left_anti")  # a row a feature
 
 
 def class_balance(rows: DataFrame) -> DataFrame:

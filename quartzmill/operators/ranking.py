@@ -12,11 +12,11 @@ def _all():
     return Window.partitionBy(F.lit(1))
 
 
-def rank_descending(scores: DataFrame) -> DataFrame:
-    """``(feature, fidx, rank)``: 1 for the largest score, ties by fidx; a missing score gets the worst rank."""
+def rank_descending(scores: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(feature, fidx, keep..., rank)``: 1 for the largest score, ties by fidx; a missing score gets the worst rank."""
     value = F.when(~F.isnan("score"), F.col("score"))
     place = F.row_number().over(_all().orderBy(value.desc_nulls_last(), "fidx"))
-    return scores.select("feature", "fidx", F.when(value.isNull(), F.count("*").over(_all())).otherwise(place).cast("double").alias("rank"))
+    return scores.select("feature", "fidx", *keep, F.when(value.isNull(), F.count("*").over(_all())).otherwise(place).cast("double").alias("rank"))
 
 
 def fuse(ranks: dict[str, DataFrame]) -> DataFrame:

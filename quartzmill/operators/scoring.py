@@ -9,21 +9,20 @@ EULER = 0.5772156649015329
 
 
 def anova_f(long: DataFrame) -> DataFrame:
-    """``(feature, fidx, score)``; null where the within-class variation or a second class is missing.
+    """``(feature, fidx, score)``: infinite where the classes differ and nothing varies within them, null for a constant or a single class.
 
-    Values are centred on the feature's mean before they are squared, so large offsets do not cancel.
+    One pass: counts, means and variances of the classes, which do not cancel on large offsets.
     """
     rows = long.where("value is not null and y is not null")
-    means = rows.groupBy("feature").agg(F.avg("value").alias("centre"))
-    centred = rows.join(F.broadcast(means), "feature").withColumn("d", F.col("value") - F.col("centre"))
-    classes = centred.groupBy("feature", "fidx", "y").agg(F.count("*").alias("n"), F.sum("d").alias("s"), F.sum(F.col("d") * F.col("d")).alias("q"))
-    total = classes.groupBy("feature", "fidx").agg(
-        F.count("*").alias("k"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("b")
-    )
-    between = F.col("b") - F.col("s") * F.col("s") / F.col("n")
-    inside = F.col("q") - F.col("b")
-    score = F.try_divide(F.try_divide(between, F.col("k") - 1.0), F.try_divide(inside, (F.col("n") - F.col("k")).cast("double")))
-    return total.select("feature", "fidx", score.alias("score"))
+    classes = rows.groupBy("feature", "fidx", "y").agg(F.count("*").alias("n"), F.avg("value").alias("m"), F.var_pop("value").alias("v"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+    # a row a class from here on
+    parts = classes.groupBy("feature", "fidx").agg(F.collect_list(F.struct("n", "m", "v")).alias("c"), F.bool_and(F.col("lo") == F.col("hi")).alias("still"), (F.min("lo") < F.max("hi")).alias("varied"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("v")).alias("inside"))
+    mean = F.aggregate("c", F.lit(0.0), lambda s, c: s + c["n"] * c["m"]) / F.col("n")
+    centred = parts.withColumn("mean", mean).withColumn("between", F.aggregate("c", F.lit(0.0), lambda s, c: s + c["n"] * (c["m"] - F.col("mean")) * (c["m"] - F.col("mean"))))
+    k = F.size("c")
+    score = F.try_divide(F.try_divide("between", (k - 1).cast("double")), F.try_divide("inside", (F.col("n") - k).cast("double")))
+    sure = F.when(F.col("still") & F.col("varied"), F.lit(float("inf"))).when(~F.col("still"), score)
+    return centred.select("feature", "fidx", sure.alias("score"))
 
 
 def knn_mutual_info(long: DataFrame, k: int = 3) -> DataFrame:
@@ -62,11 +61,17 @@ def _psi(n):
 
 
 def vectors(long: DataFrame, features: list[str]) -> DataFrame:
-    """``(row_id, y, features)`` as a vector column in the given order; absent cells are 0."""
+    """``(row_id, y, features)`` as a vector column in the given order, which the column keeps; absent cells are 0."""
     from pyspark.ml.functions import array_to_vector
 
     wide = long.groupBy("row_id", "y").pivot("feature", features).agg(F.first("value"))
-    return wide.select("row_id", "y", array_to_vector(F.array(*[F.coalesce(F.col(f"`{f}`"), F.lit(0.0)) for f in features])).alias("features"))
+    cells = F.array(*[F.coalesce(F.col(f"`{f}`"), F.lit(0.0)) for f in features])
+    return wide.select("row_id", "y", array_to_vector(cells).alias("features", metadata={"names": list(features)}))
+
+
+def vector_names(rows: DataFrame) -> list[str] | None:
+    """The features behind a vector column in their order, where the column knows them."""
+    return rows.schema["features"].metadata.get("names")
 
 
 def forest_importance(rows: DataFrame, features: list[str], seed: int = 42, trees: int = 100, depth: int = 30) -> DataFrame:
@@ -82,7 +87,8 @@ def forest_importance(rows: DataFrame, features: list[str], seed: int = 42, tree
 def rfe_ranks(rows: DataFrame, features: list[str], keep: int, step: int = 1) -> DataFrame:
     """``(feature, fidx, rank)``: recursive elimination by the squared logistic coefficient; survivors all rank 1.
 
-    One fit a round on the driver's order; ``rows`` is cached for the rounds.
+    One fit a round on the driver's order; ``rows`` is cached for the rounds. The intercept is not
+    penalised, unlike in solvers that treat it as one more coefficient. ``step`` features go a round.
     """
     from pyspark.ml.feature import VectorSlicer
 

@@ -5,16 +5,30 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_json(record: dict, path: str) -> str:
+def write_text(text: str, path: str) -> str:
+    """A small file of the driver's: a local path, or with a scheme any file system that Spark reaches."""
+    if "://" in path:
+        spark = SparkSession.getActiveSession()
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+        try:
+            out.write(bytearray(text.encode("utf-8")))
+        finally:
+            out.close()
+        return path
     Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(record, indent=4, ensure_ascii=False), encoding="utf-8")
+    Path(path).write_text(text, encoding="utf-8")
     return path
 
 
+def write_json(record: dict, path: str) -> str:
+    return write_text(json.dumps(record, indent=4, ensure_ascii=False, default=str), path)
+
+
 def feature_lines(chosen: DataFrame) -> DataFrame:
     """``(pos, line)``: ``1. F026``."""
     return chosen.select("pos", F.concat_ws(". ", F.col("pos").cast("string"), "feature").alias("line"))
@@ -22,9 +36,7 @@ def feature_lines(chosen: DataFrame) -> DataFrame:
 
 def write_feature_list(chosen: DataFrame, path: str) -> str:
     lines = [r.line for r in feature_lines(chosen).orderBy("pos").collect()]  # as many as features
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text("\n".join(lines) + "\n", encoding="utf-8")
-    return path
+    return write_text("\n".join(lines) + "\n", path)
 
 
 def write_model(model, path: str) -> str:

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import json
+import logging
 import time
 from functools import reduce
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +15,9 @@ from ..operators import metrics, models, preprocess, profile, ranking, scoring,
 from ..sources import sensor_files as S
 from .storage import stored
 
+LOG = logging.getLogger(__name__)
+
+#: Names and defaults of the configuration.
 DEFAULTS: dict = {
     "random_state": 42,
     "preprocessing": {"drop_missing_threshold": 1.0, "impute_strategy": "median", "scale": True, "fit_on_train_only": False},
@@ -66,50 +69,70 @@ def select_features(long: DataFrame, cfg: dict, quick: bool) -> tuple[list[str],
     return [r.feature for r in chosen], fused
 
 
+def _background(train: DataFrame, cfg: dict) -> DataFrame:
+    size = cfg["explain"]["background_size"]
+    if size <= 0:
+        raise ValueError("the background needs at least one row")
+    return stored(split.background_sample(train, size, cfg["random_state"]), "background")
+
+
+def explain_global(model, test: DataFrame, features: list[str], name: str, folder: str | None, background: DataFrame | None = None, seed: int = 0) -> dict:
+    """Attributions of all test rows, their base and method, and the importance file; without a background, the rows themselves are one."""
+    background = test if background is None else background
+    n_background = background.count()
+    X.validate(features, scoring.vector_names(test) or features, scoring.vector_names(background), n_background)
+    phi, base, method = X.explain(model, test, background, features, seed)
+    phi = stored(phi, "phi")
+    importance = stored(X.global_importance(phi), "importance")
+    for r in importance.where("rank <= 5").orderBy("rank").collect():
+        LOG.info("feature %d: %s, mean contribution %.4f", r["rank"], r.feature, r.mean_abs)
+    n = phi.select("row_id").distinct().count()
+    out = {"phi": phi, "base": base, "shap_method": method, "output_space": models.output_space(model), "background_size": n_background, "n_samples_explained": n}
+    if folder:
+        meta = {"model": name, "shap_method": method, "output_space": out["output_space"], "random_seed": seed, "background_size": n_background, "n_samples_explained": n}
+        sinks.write_json(json.loads(X.importance_json(importance, **meta).first().json), f"{folder}/shap_values_{name}.json")
+    return out
+
+
+def explain_case(model, row, found: dict, features: list[str], name: str, folder: str | None, background: DataFrame, case: str, seed: int) -> tuple[dict, str | None]:
+    """The record and the report file of one row; a row that the global stage left out is explained by itself."""
+    phi, base, method = found["phi"], found["base"], found["shap_method"]
+    if phi.where(F.col("row_id") == row.row_id).isEmpty():
+        one = row_frame(background, row)
+        phi, base, method = X.explain(model, one, background, features, seed)
+    record = X.case_record(row, phi, base, method, model, case)
+    if not folder:
+        return record, None
+    report = f"shap_explanation_wafer_{row.row_id}_{case}.txt"
+    text = X.report_text(record, X.ranked_contributions(phi.where(F.col("row_id") == row.row_id)), name)
+    sinks.write_text(text, f"{folder}/{report}")
+    return record, report
+
+
+def row_frame(like: DataFrame, row) -> DataFrame:
+    return like.sparkSession.createDataFrame([(row.row_id, row.y, row.features)], like.select("row_id", "y", "features").schema)
+
+
 def explain_stage(fitted: dict, best: str, train: DataFrame, test: DataFrame, features: list[str], cfg: dict, folder: str | None, tag: str) -> dict:
     """Global and single-row attributions of the best model; the manifest is written whatever happens."""
-    ex = cfg["explain"]
+    ex, seed = cfg["explain"], cfg["random_state"]
     if not ex["enabled"]:
-        manifest = {"enabled": False, "status": "disabled", "run_tag": tag}
+        manifest = {"enabled": False, "status": "disabled", "reason": "config explain.enabled=false", "run_tag": tag}
         if folder:
             sinks.write_json(manifest, f"{folder}/shap_manifest.json")
         return manifest
     name = models.DISPLAY_NAMES.get(best, best)
-    manifest = {"enabled": True, "status": "failed", "run_tag": tag, "model": name, "random_seed": cfg["random_state"], "global": None, "cases": {}}
+    manifest = {"enabled": True, "status": "failed", "run_tag": tag, "model": name, "random_seed": seed, "global": None, "cases": {}}
     try:
-        if ex["background_size"] <= 0:
-            raise ValueError("the background needs at least one row")
+        background = _background(train, cfg)
         model = fitted[best]
-        background = stored(split.background_sample(train, ex["background_size"], cfg["random_state"]), "background")
-        X.validate(features, features, features, background.count())
-        phi, base, method = X.explain(model, test, background, features)
-        phi = stored(phi, "phi")
-        importance = X.global_importance(phi)
-        n = test.count()
-        manifest["global"] = {"n_samples_explained": n, "method": method, "output_space": models.output_space(model)}
-        if folder:
-            text = X.importance_json(importance, model=name, shap_method=method, output_space=models.output_space(model), random_seed=cfg["random_state"], background_size=ex["background_size"], n_samples_explained=n).first().json
-            sinks.write_json(json.loads(text), f"{folder}/shap_values_{name}.json")
-            manifest["global"]["json"] = f"shap_values_{name}.json"
+        found = explain_global(model, test, features, name, folder, background, seed)
+        manifest |= {k: found[k] for k in ("background_size", "shap_method", "output_space")}
+        manifest["global"] = {"json": f"shap_values_{name}.json", "n_samples_explained": found["n_samples_explained"]}
         scored = models.score(model, test)
         cases = {r.case: r.row_id for r in metrics.pick_cases(scored).collect()}
-        outputs = scored.select("row_id", F.col("margin").alias("output"))
         for case in ("TP", "FN"):
-            row_id = cases.get(case)
-            if row_id is None:
-                manifest["cases"][case] = {"status": "skipped", "reason": f"no {case} row in the test set"}
-                continue
-            own = phi.where(F.col("row_id") == row_id)
-            check = X.self_consistency(own, base, outputs, method).first()
-            lines = X.report_lines(X.ranked_contributions(own)).orderBy(F.desc("side"), "pos").collect()
-            entry = {"status": "generated", "wafer_id": row_id, "output_space": models.output_space(model), "consistency_ok": check.consistency_ok, "deviation": check.deviation}
-            if folder:
-                report = f"shap_explanation_wafer_{row_id}_{case}.txt"
-                head = [f"row {row_id} | case {case} | model {name} | method {method}", f"base({check.base:.4f}) + sum({check.phi_sum:.4f}) = {check.base + check.phi_sum:.4f} | output {check.output:.4f} | deviation {check.deviation:.2e} [{'OK' if check.consistency_ok else 'WARN'}]"]
-                body = [x for side in ("push", "protect") for x in [side, *(r.line for r in lines if r.side == side)]]
-                Path(folder, report).write_text("\n".join(head + body) + "\n", encoding="utf-8")
-                entry["report"] = report
-            manifest["cases"][case] = entry
+            manifest["cases"][case] = _case_entry(case, cases.get(case), scored, model, found, features, name, folder, background, seed, manifest["cases"])
         manifest["status"] = "ok"
     except Exception as error:
         manifest["error"] = str(error)
@@ -121,6 +144,21 @@ def explain_stage(fitted: dict, best: str, train: DataFrame, test: DataFrame, fe
     return manifest
 
 
+def _case_entry(case: str, row_id, scored: DataFrame, model, found: dict, features: list[str], name: str, folder: str | None, background: DataFrame, seed: int, entries: dict) -> dict:
+    if row_id is None:
+        return {"status": "skipped", "reason": f"no {case} row in the test set"}
+    try:
+        row = scored.where(F.col("row_id") == row_id).first()
+        record, report = explain_case(model, row, found, features, name, folder, background, case, seed)
+    except Exception as error:
+        entries[case] = {"status": "failed", "error": str(error)}
+        raise
+    return {
+        "status": "generated", "wafer_id": record["wafer_id"], "report": report, "output_space": record["output_space"],
+        "consistency_ok": record["consistency_ok"], "deviation": abs(record["reconstruction"] - record["explained_output"]), "record": record,
+    }
+
+
 def run(spark: SparkSession, rows: DataFrame, cfg: dict | None = None, quick: bool | None = None) -> dict:
     """``rows(row_id, y, feature columns...)`` -> metrics, best model, features, explanation and baseline report."""
     cfg = configured(cfg)

@@ -11,6 +11,7 @@ from . import views as V
 from .functions import expr
 from .operators import explain as X
 from .operators import metrics, models, preprocess, profile, ranking, scoring, sinks, split
+from .plans.storage import stored
 from .sources import sensor_files as S
 
 SEED = 42
@@ -227,9 +228,10 @@ def u1_concat_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _anova_sql(rows: str) -> str:
     return f"""
 av_c AS (SELECT feature, avg(value) AS m FROM {rows} WHERE value IS NOT NULL GROUP BY 1),
-av_g AS (SELECT feature, fidx, y, count(*) AS n, sum(value - m) AS s, sum((value - m) * (value - m)) AS q FROM {rows} JOIN av_c USING (feature) WHERE value IS NOT NULL GROUP BY ALL),
-av_t AS (SELECT feature, fidx, count(*) AS k, sum(n) AS n, sum(s) AS s, sum(q) AS q, sum(s * s / n) AS b FROM av_g GROUP BY ALL),
-anova AS (SELECT feature, fidx, ((b - s * s / n) / nullif(k - 1.0::DOUBLE, 0)) / nullif((q - b) / nullif((n - k)::DOUBLE, 0), 0) AS score FROM av_t)"""
+av_g AS (SELECT feature, fidx, y, count(*) AS n, sum(value - m) AS s, sum((value - m) * (value - m)) AS q, min(value) AS lo, max(value) AS hi FROM {rows} JOIN av_c USING (feature) WHERE value IS NOT NULL GROUP BY ALL),
+av_t AS (SELECT feature, fidx, count(*) AS k, sum(n) AS n, sum(s) AS s, sum(q) AS q, sum(s * s / n) AS b, bool_and(lo = hi) AS still, min(lo) < max(hi) AS varied FROM av_g GROUP BY ALL),
+anova AS (SELECT feature, fidx, CASE WHEN still AND varied THEN 'inf'::DOUBLE WHEN still THEN NULL
+  ELSE ((b - s * s / n) / nullif(k - 1.0::DOUBLE, 0)) / nullif((q - b) / nullif((n - k)::DOUBLE, 0), 0) END AS score FROM av_t)"""
 
 
 _ANOVA = _anova_sql("sensor")
@@ -239,9 +241,11 @@ def _sensor_anova(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.anova_f(V.sensor_long(spark, sf_dir))
 
 
-@query(f"WITH {V.SENSOR}, {_ANOVA} SELECT feature, fidx, round(score, 6) AS score FROM anova")
+@query(f"WITH {V.SENSOR}, {V.EXTREMES}, {_anova_sql('extremes')} SELECT feature, fidx, CASE WHEN score IS NOT NULL THEN round(least(score, 1e9::DOUBLE), 6) END AS score, coalesce(isinf(score), false) AS separates FROM anova")
 def g7_anova_f(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(_sensor_anova(spark, sf_dir), "score")
+    found = scoring.anova_f(V.sensor_extremes(spark, sf_dir))
+    infinite = F.coalesce(F.col("score") == float("inf"), F.lit(False))
+    return found.select("feature", "fidx", r(F.when(F.col("score").isNotNull(), F.least("score", F.lit(1e9)))).alias("score"), infinite.alias("separates"))
 
 
 @query(f"WITH {V.ORDERS}, {_anova_sql('order_long')} SELECT feature, fidx, round(score, 5) AS score FROM anova")
@@ -249,12 +253,8 @@ def g7_anova_f_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.anova_f(V.order_long(spark, sf_dir)).select("feature", "fidx", r(F.col("score"), 5).alias("score"))
 
 
-def _few(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
-    return V.sensor_long(spark, sf_dir).where(F.col("fidx") < n)
-
-
 _MI = """
-few AS (SELECT * FROM sensor WHERE fidx < 4 AND value IS NOT NULL),
+few AS (SELECT * FROM sensor WHERE value IS NOT NULL),
 sized AS (SELECT *, count(*) OVER (PARTITION BY feature, y) AS nc FROM few),
 own AS (SELECT *, least(3, nc - 1) AS kc FROM sized WHERE nc > 1),
 near AS (SELECT a.feature, a.fidx, a.row_id, a.value, a.nc, a.kc, abs(a.value - b.value) AS d,
@@ -263,7 +263,7 @@ near AS (SELECT a.feature, a.fidx, a.row_id, a.value, a.nc, a.kc, abs(a.value -
 reach AS (SELECT feature, fidx, row_id, value, nc, kc, d AS r FROM near WHERE nth = kc),
 inside AS (SELECT a.feature, a.fidx, a.row_id, any_value(a.nc) AS nc, any_value(a.kc) AS kc, greatest(1, count(*) FILTER (b.value > a.value - a.r AND b.value < a.value + a.r)) AS m
   FROM reach a JOIN own b ON a.feature = b.feature GROUP BY ALL),
-h AS (SELECT i AS n, -0.5772156649015329::DOUBLE + coalesce(sum(1.0::DOUBLE / nullif(i - 1, 0)) OVER (ORDER BY i), 0) AS psi FROM range(1, 100001) t(i)),
+h AS (SELECT i AS n, -0.5772156649015329::DOUBLE + coalesce(sum(1.0::DOUBLE / nullif(i - 1, 0)) OVER (ORDER BY i), 0) AS psi FROM (SELECT row_number() OVER () AS i FROM embeddings)),
 total AS (SELECT feature, count(*) AS n FROM inside GROUP BY 1),
 mi AS (SELECT i.feature, i.fidx, any_value(hn.psi) + avg(hk.psi) - avg(hc.psi) - avg(hm.psi) AS raw
   FROM inside i JOIN total USING (feature) JOIN h hn ON hn.n = total.n JOIN h hk ON hk.n = i.kc JOIN h hc ON hc.n = i.nc JOIN h hm ON hm.n = i.m GROUP BY ALL)"""
@@ -271,24 +271,24 @@ mi AS (SELECT i.feature, i.fidx, any_value(hn.psi) + avg(hk.psi) - avg(hc.psi) -
 
 @query(f"WITH {V.SENSOR}, {_MI} SELECT feature, fidx, round(raw, 6) + 0.0::DOUBLE AS raw, round(greatest(raw, 0.0::DOUBLE), 6) + 0.0::DOUBLE AS score FROM mi")
 def g8_knn_mutual_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(scoring.knn_mutual_info(_few(spark, sf_dir, 4)), "raw", "score")
+    return _rounded(scoring.knn_mutual_info(V.sensor_long(spark, sf_dir)), "raw", "score")
 
 
-def _few_vectors(spark: SparkSession, sf_dir: str, n: int) -> tuple[DataFrame, list[str]]:
-    names = [f"F{i:03d}" for i in range(1, n + 1)]
-    return scoring.vectors(preprocess.preprocess(_few(spark, sf_dir, n)), names), names
+def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    """All features with a value, imputed and standardised, as vectors; written once, as models pass over them often."""
+    long = V.sensor_long(spark, sf_dir)
+    names = [x.feature for x in long.groupBy("feature", "fidx").agg(F.count("value").alias("n")).where("n > 0").orderBy("fidx").collect()]
+    return stored(scoring.vectors(preprocess.preprocess(long), names), "vectors"), names
 
 
 @query()
 def l10_forest_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, names = _few_vectors(spark, sf_dir, 8)
-    return scoring.forest_importance(rows, names, SEED, trees=20, depth=10)
+    return scoring.forest_importance(*_vectors(spark, sf_dir), SEED)
 
 
 @query()
 def l9_rfe_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, names = _few_vectors(spark, sf_dir, 6)
-    return scoring.rfe_ranks(rows, names, keep=3)
+    return scoring.rfe_ranks(*_vectors(spark, sf_dir), keep=40)
 
 
 _RANK = "row_number() OVER (ORDER BY {s} DESC NULLS LAST, fidx)::DOUBLE"
@@ -470,7 +470,7 @@ def l3_ridge_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _scored(name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows, _ = _few_vectors(spark, sf_dir, 6)
+        rows, _ = _vectors(spark, sf_dir)
         return models.score(models.fit(name, rows, seed=SEED), rows).select("row_id", "y", "score", "margin", "pred")
 
     return run
@@ -548,10 +548,9 @@ def k5_summary_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(X.global_importance(_phi(spark, sf_dir)).orderBy("rank").limit(15), "mean_abs").select("feature", "mean_abs")
 
 
-@query(f"WITH {_LINEAR}, {_SIDES} SELECT row_id, side, pos, printf('  %d. %s: %+.4f (value=%.3f)', pos, feature, phi, value) AS line FROM placed WHERE pos <= 5 AND row_id < 20")
+@query(f"WITH {_LINEAR}, {_SIDES} SELECT row_id, side, pos, printf('  %d. %s: %+.4f (value=%.3f)', pos, feature, phi, value) AS line FROM placed WHERE pos <= 5")
 def k6_report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The report of a row is the feature; twenty rows are reported."""
-    return X.report_lines(X.ranked_contributions(_phi(spark, sf_dir).where("row_id < 20")))
+    return X.report_lines(X.ranked_contributions(_phi(spark, sf_dir)))
 
 
 @query()
@@ -561,11 +560,8 @@ def k4_importance_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def a5_tree_shap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, names = _few_vectors(spark, sf_dir, 4)
-    from .operators.profile import with_class_weight
-
-    model = models.forest(SEED, trees=5, depth=4).fit(with_class_weight(rows))
-    base, phi = X.tree_shap(model, rows, names)
+    rows, names = _vectors(spark, sf_dir)
+    base, phi = X.tree_shap(models.fit("random_forest", rows, seed=SEED), rows, names)
     return phi.withColumn("base", F.lit(base))
 
 
@@ -573,20 +569,19 @@ def a5_tree_shap(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a6_kernel_shap(spark: SparkSession, sf_dir: str) -> DataFrame:
     import numpy as np
 
-    rows, names = _few_vectors(spark, sf_dir, 4)
+    rows, names = _vectors(spark, sf_dir)
     model = models.fit("logistic", rows)
     beta, b = model.coefficients.toArray(), float(model.intercept)
     background = np.array([x.features.toArray() for x in split.background_sample(rows, X.KERNEL_BACKGROUND, SEED).collect()])
     explained = split.background_sample(rows, X.KERNEL_ROWS, SEED + 1)
-    base, phi = X.kernel_shap(lambda x: 1 / (1 + np.exp(-(x @ beta + b))), background, explained, names)
+    base, phi = X.kernel_shap(lambda x: 1 / (1 + np.exp(-(x @ beta + b))), background, explained.repartition(16), names)
     return phi.withColumn("base", F.lit(base))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Null injection -> median imputation -> standardisation -> ANOVA F -> the ten best features."""
     scores = scoring.anova_f(preprocess.preprocess(V.sensor_long(spark, sf_dir)))
-    ranks = ranking.rank_descending(scores).where("rank <= 10")
-    return scores.join(ranks, ["feature", "fidx"]).select("rank", "feature", r(F.col("score")).alias("score"))
+    return ranking.rank_descending(scores, ("score",)).where("rank <= 10").select("rank", "feature", r(F.col("score")).alias("score"))
 
 
 @query(f"""

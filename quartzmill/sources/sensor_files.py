@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,9 +23,16 @@ def clean_features(raw: DataFrame) -> DataFrame:
 
 
 def numbered(df: DataFrame) -> DataFrame:
-    """``df`` with ``row_id``, its position in the files; the one scan that needs an order."""
-    schema = T.StructType([*df.schema.fields, T.StructField("row_id", T.LongType(), False)])
-    return df.sparkSession.createDataFrame(df.rdd.zipWithIndex().map(lambda r: (*r[0], r[1])), schema)
+    """A scan ``df`` of text files with ``row_id``: the position in the files, in order of their paths.
+
+    Counts of the files' blocks give each block's first number; within a block, rows keep the scan's order.
+    """
+    scanned = df.withColumns({"__file": F.col("_metadata.file_path"), "__block": F.col("_metadata.file_block_start"), "__at": F.monotonically_increasing_id()})
+    blocks = scanned.groupBy("__file", "__block").agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(F.lit(1)).orderBy("__file", "__block").rowsBetween(Window.unboundedPreceding, -1))  # a row a block
+    starts = blocks.select("__file", "__block", (F.coalesce(before, F.lit(0)) - F.col("__first")).alias("__shift"))
+    joined = scanned.join(starts, ["__file", "__block"]).withColumn("row_id", F.col("__at") + F.col("__shift"))
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], "row_id")
 
 
 def read_features(spark: SparkSession, path: str, n_features: int = N_FEATURES) -> DataFrame:

@@ -24,6 +24,20 @@ sensor AS (
   FROM embeddings, range(64) t(i))"""
 
 
+def sensor_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``sensor_long`` with a feature that separates the classes and a constant one."""
+    long = sensor_long(spark, sf_dir)
+    more = sensor_rows(spark, sf_dir).select("row_id", "y", F.inline(F.array(*[F.struct(F.lit(i).alias("fidx"), F.lit(n).alias("feature"), v.cast("double").alias("value")) for i, n, v in ((64, "F065", F.col("y") * 3 + 0.1), (65, "F066", F.lit(7.3)))])))
+    return long.unionByName(more)
+
+
+EXTREMES = """
+extremes AS (
+  SELECT * FROM sensor UNION ALL
+  SELECT vec_id, CAST(label = 0 AS INTEGER), 64, 'F065', CAST(label = 0 AS INTEGER) * 3 + 0.1::DOUBLE FROM embeddings UNION ALL
+  SELECT vec_id, CAST(label = 0 AS INTEGER), 65, 'F066', 7.3::DOUBLE FROM embeddings)"""
+
+
 def sensor_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), (F.col("label") == 0).cast("int").alias("y"))
 
@@ -64,7 +78,7 @@ score_rows AS (SELECT row_id, y, score, CAST(score > 0.9::DOUBLE AS INTEGER) AS
 
 
 def coefficients(spark: SparkSession) -> DataFrame:
-    return spark.range(8).select(F.format_string("F%03d", (F.col("id") + 1).cast("int")).alias("feature"), ((F.col("id") % 5 - 2) * 0.25 + 0.1).alias("beta"))
+    return spark.range(64).select(F.format_string("F%03d", (F.col("id") + 1).cast("int")).alias("feature"), ((F.col("id") % 5 - 2) * 0.25 + 0.1).alias("beta"))
 
 
-COEF = "coef AS (SELECT printf('F%03d', i + 1) AS feature, (i % 5 - 2) * 0.25::DOUBLE + 0.1::DOUBLE AS beta FROM range(8) t(i))"
+COEF = "coef AS (SELECT printf('F%03d', i + 1) AS feature, (i % 5 - 2) * 0.25::DOUBLE + 0.1::DOUBLE AS beta FROM range(64) t(i))"

@@ -93,6 +93,39 @@ def test_files(spark, tmp_path):
         S.read_config(str(tmp_path / "none.yaml"))
 
 
+def test_folders_pair_by_position(spark, tmp_path):
+    for name, sizes in (("x", (1, 3, 2)), ("y", (1, 3, 2))):
+        (tmp_path / name).mkdir()
+        at = 0
+        for f, n in zip("abc", sizes, strict=True):
+            rows = [f"{at + i} {100 + at + i}" if name == "x" else f'{1 if (at + i) % 2 else -1} "19/07/2008 11:55:0{at + i}"' for i in range(n)]
+            (tmp_path / name / f"{f}.data").write_text("\n".join(rows) + "\n")
+            at += n
+    rows = S.read_sensors(spark, str(tmp_path / "x"), str(tmp_path / "y"), 2).orderBy("row_id").collect()
+    assert [(r.row_id, r.F001, r.F002, r.y, r.ts.second) for r in rows] == [(i, float(i), 100.0 + i, i % 2, i) for i in range(6)]
+    big = "".join(f"{i} {'x' * 90}\n" for i in range(3000))
+    (tmp_path / "big.txt").write_text(big)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = S.numbered(spark.read.text(str(tmp_path / "big.txt"))).orderBy("row_id").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [(r.row_id, r.value.split()[0]) for r in got] == [(i, str(i)) for i in range(3000)]
+
+
+def test_anova_extremes(spark):
+    x, y = matrix(60, 2)
+    x[:, 1] = 0.1 + 3 * y
+    x = np.column_stack([x, np.full(60, 7.3)])
+    got = {r.feature: r.score for r in scoring.anova_f(long_of(spark, x, y)).collect()}
+    a, b = x[y == 0, 0], x[y == 1, 0]
+    between = len(a) * (a.mean() - x[:, 0].mean()) ** 2 + len(b) * (b.mean() - x[:, 0].mean()) ** 2
+    inside = ((a - a.mean()) ** 2).sum() + ((b - b.mean()) ** 2).sum()
+    assert got["F001"] == pytest.approx(between / (inside / 58)) and got["F002"] == math.inf and got["F003"] is None
+    ranks = {r.feature: r["rank"] for r in ranking.rank_descending(scoring.anova_f(long_of(spark, x, y))).collect()}
+    assert ranks == {"F002": 1.0, "F001": 2.0, "F003": 3.0}
+
+
 def test_streamed_files(spark, tmp_path):
     from quartzmill.streaming import stream_features
 
@@ -125,6 +158,10 @@ def test_preprocess(spark):
     assert profile.all_null_features(long_of(spark, x, y)).first().feature == "F003"
     with pytest.raises(ValueError):
         preprocess.impute_statistics(long_of(spark, x, y), "mode")
+    x[:, 1], x[3, 1] = 0.1, np.nan
+    for strategy in ("median", "mean"):
+        out = preprocess.preprocess(long_of(spark, x, y), strategy=strategy).collect()
+        assert all(abs(r.value) < 1e-12 for r in out if r.feature == "F002")
 
 
 def test_models_and_attributions(spark):
@@ -156,6 +193,75 @@ def test_models_and_attributions(spark):
     assert sorted(ranks.values()) == [1.0] * 5 + [2.0, 3.0, 4.0]
 
 
+def test_any_other_model_by_coalitions(spark):
+    from pyspark.ml.classification import LinearSVC, NaiveBayes
+
+    x, y = matrix(120, 5)
+    names = [f"F{j + 1:03d}" for j in range(5)]
+    rows = spark.createDataFrame([(i, int(y[i]), Vectors.dense(x[i])) for i in range(len(x))], ["row_id", "y", "features"])
+    rows = rows.withColumn("y", F.col("y").cast("int"))
+    model = NaiveBayes(modelType="gaussian", labelCol="y").fit(rows)
+    assert models.kind(model) == "kernel" and models.score_label(model) == models.SCORE_LABELS["probability"]
+    phi, base, method = X.explain(model, rows.where("row_id < 8"), rows.where("row_id < 30"), names)
+    outputs = models.score(model, rows).select("row_id", F.col("margin").alias("output"))
+    check = X.self_consistency(phi, base, outputs, method)
+    assert method == "kernel" and check.count() == 8 and check.where("not consistency_ok").count() == 0
+    # the same by coalitions in numpy, the model written out
+    theta, sigma, pi = model.theta.toArray(), model.sigma.toArray(), model.pi.toArray()
+
+    def predict(a):
+        e = pi - 0.5 * (np.log(2 * np.pi * sigma)[None] + (a[:, None] - theta[None]) ** 2 / sigma[None]).sum(axis=2)
+        return 1 / (1 + np.exp(e[:, 0] - e[:, 1]))
+
+    _, want = X.kernel_shap_values(predict, x[:30], x[:8])
+    got = np.zeros((8, 5))
+    for r in phi.collect():
+        got[r.row_id, r.fidx] = r.phi
+    assert np.allclose(got, want, atol=1e-6)
+    svm = LinearSVC(labelCol="y", maxIter=5).fit(rows)
+    assert models.kind(svm) == "linear" and models.score_label(svm) == models.SCORE_LABELS["margin"]
+
+
+def test_forest_that_cannot_be_read_goes_by_coalitions(spark, monkeypatch):
+    x, y = matrix(80, 3)
+    rows = spark.createDataFrame([(i, int(y[i]), Vectors.dense(x[i])) for i in range(len(x))], ["row_id", "y", "features"]).withColumn("y", F.col("y").cast("int"))
+    model = models.forest(1, 5, 3).fit(profile.with_class_weight(rows))
+    monkeypatch.setattr(X, "tree_shap", lambda *_: (_ for _ in ()).throw(OSError("gone")))
+    phi, _, method = X.explain(model, rows.where("row_id < 2"), rows.where("row_id < 20"), ["a", "b", "c"])
+    assert method == "kernel" and phi.count() == 6
+
+
+def test_elimination_and_importance_against_numpy(spark):
+    x, y = matrix(160, 6)
+    x[:, 2] *= 3
+    names = [f"F{j + 1:03d}" for j in range(6)]
+    rows = scoring.vectors(long_of(spark, x, y), names)
+    assert scoring.vector_names(rows) == names
+    w = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
+
+    def coefficients(a):
+        v = np.zeros(a.shape[1] + 1)
+        d = np.column_stack([a, np.ones(len(a))])
+        ridge = np.r_[np.ones(a.shape[1]), 0.0]
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-d @ v))
+            v -= np.linalg.solve((d * (w * p * (1 - p))[:, None]).T @ d + np.diag(ridge), d.T @ (w * (p - y)) + ridge * v)
+        return v
+
+    model = models.fit("logistic", rows)
+    v = coefficients(x)
+    assert np.allclose(model.coefficients.toArray(), v[:-1], atol=1e-4) and model.intercept == pytest.approx(v[-1], abs=1e-4)
+    left, want = list(range(6)), {}
+    while len(left) > 2:
+        c = coefficients(x[:, left])[:-1] ** 2
+        gone = left.pop(int(c.argmin()))
+        want[gone] = len(left)
+    ranks = {r.fidx: r["rank"] for r in scoring.rfe_ranks(rows, names, 2).collect()}
+    assert ranks == {f: 1.0 for f in left} | {f: float(n) for f, n in want.items()}
+    scores = {r.fidx: r.score for r in scoring.forest_importance(rows, names, trees=20, depth=5).collect()}
+    assert sum(scores.values()) == pytest.approx(1.0) and all(s >= 0 for s in scores.values()) and scores[5] < max(scores.values())
+
+
 def test_tree_shapley_against_all_coalitions():
     rng = np.random.default_rng(1)
     leaves = [(rng.random(), [(int(f), -math.inf if rng.random() < 0.5 else -0.3, math.inf if rng.random() < 0.5 else 0.5, rng.random()) for f in rng.choice(4, 3, replace=False)]) for _ in range(6)]
@@ -211,6 +317,49 @@ def wide_rows(spark, n=200):
     return spark.createDataFrame([(i, int(y[i]), *map(float, r), None) for i, r in enumerate(x)], "row_id long, y int, " + ", ".join(f"F{j + 1:03d} double" for j in range(7)))
 
 
+def test_case_states_and_records(spark, tmp_path, monkeypatch):
+    x, y = matrix(120, 4)
+    names = [f"F{j + 1:03d}" for j in range(4)]
+    rows = scoring.vectors(long_of(spark, x, y), names)
+    train, test = rows.where("row_id < 80").cache(), rows.where("row_id >= 80").cache()
+    model = models.fit("ridge", train)
+    cfg = R.configured({"explain": {"background_size": 20, "required": False}})
+    good = R.explain_stage({"ridge": model}, "ridge", train, test, names, cfg, str(tmp_path), "t")
+    assert good["status"] == "ok" and good["shap_method"] == "linear" and good["output_space"] == "decision margin" and good["background_size"] == 20
+    done = [c for c in good["cases"].values() if c["status"] == "generated"]
+    assert done
+    for c in done:
+        assert set(c["record"]) == {"wafer_id", "case", "shap_method", "output_space", "y_true", "y_pred", "score", "score_label", "baseline", "explained_output", "reconstruction", "consistency_ok", "shap_values"}
+        text = (tmp_path / c["report"]).read_text(encoding="utf-8")
+        assert "displayed score [决策分数(>0 判失效)]" in text and "true state: fail" in text and "pushing" in text and "protecting" in text
+    entry = json.loads((tmp_path / "shap_values_岭分类器.json").read_text(encoding="utf-8"))["features"]["F001"]
+    assert set(entry) == {"mean_abs_shap", "std_abs_shap", "rank"}
+    with pytest.raises(ValueError):
+        R.explain_global(model, test, names[::-1], "m", None, train.limit(5))
+    with pytest.raises(ValueError):
+        R.explain_global(model, test, names[:3], "m", None, train.limit(5))
+    monkeypatch.setattr(X, "case_record", lambda *_: (_ for _ in ()).throw(ValueError("broken")))
+    bad = R.explain_stage({"ridge": model}, "ridge", train, test, names, cfg, str(tmp_path), "t")
+    assert bad["status"] == "failed" and bad["error"] == "broken" and "failed" in {c["status"] for c in bad["cases"].values()}
+    off = R.explain_stage({}, "ridge", None, None, [], R.configured({"explain": {"enabled": False}}), str(tmp_path), "t")
+    assert off["enabled"] is False and off["reason"]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from quartzmill.__main__ import main
+
+    x, y = matrix(120, 4)
+    (tmp_path / "x.data").write_text("".join(" ".join(f"{v:.6f}" for v in r) + "\n" for r in x))
+    (tmp_path / "y.data").write_text("".join(f'{1 if v else -1} "19/07/2008 11:55:00"\n' for v in y))
+    (tmp_path / "base.json").write_text(json.dumps({"岭分类器": {"AUC": 9.0}}))
+    (tmp_path / "c.yaml").write_text(f"feature_selection: {{methods: [f_test], n_features_to_select: 2}}\nmodel: {{active: ridge}}\nexplain: {{enabled: false}}\nreproducibility: {{baseline_path: {tmp_path}/base.json}}\n")
+    paths = ["--features", str(tmp_path / "x.data"), "--labels", str(tmp_path / "y.data"), "--n-features", "4", "--config", str(tmp_path / "c.yaml")]
+    assert main([*paths, "--quick"], spark) == 0
+    assert main(paths, spark) == 1
+    shown = capsys.readouterr().out
+    assert "best model by test BER: ridge" in shown and "differs" in shown
+
+
 def test_full_run(spark, tmp_path):
     cfg = {"feature_selection": {"n_features_to_select": 3, "methods": ["f_test", "mutual_info"]}, "model": {"active": "ridge"}, "explain": {"background_size": 20}, "output": {"results_dir": str(tmp_path)}}
     out = R.run(spark, wide_rows(spark), cfg)

@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr
-
-SCORE_BUCKETS = 4096
+from . import ranges
 
 
 def _confusion_aggregates() -> list[Column]:
@@ -43,23 +42,23 @@ def rates(conf: DataFrame) -> DataFrame:
 def auc(rows: DataFrame, by: list[str] = ()) -> DataFrame:
     """``(by..., auc)``: the share of (positive, negative) pairs in order, ties one half; null for one class.
 
-    Equal scores are counted first; their running counts go over ``SCORE_BUCKETS`` ranges of
-    the score, then within a range, so no window holds all scores.
+    Equal scores are counted first; their running counts go over ranges of about as many
+    scores each, then within a range, so no window holds all scores.
     """
     by = list(by)
     known = rows.where("y is not null and score is not null")
     points = known.groupBy(*by, "score").agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("n"))
-    ends = points.groupBy(*by).agg(F.min("score").alias("__lo"), F.max("score").alias("__hi"), F.sum("p").alias("__p"), F.sum("n").alias("__n"))
-    joined = points.join(F.broadcast(ends), by) if by else points.crossJoin(F.broadcast(ends))
-    width = F.try_divide(F.col("score") - F.col("__lo"), F.col("__hi") - F.col("__lo"))
-    placed = joined.withColumn("__b", F.least(F.lit(SCORE_BUCKETS - 1), F.floor(F.coalesce(width, F.lit(0.0)) * SCORE_BUCKETS)).cast("int"))
+    cuts = F.broadcast(ranges.cut_points(points, by, "score"))  # a row a group
+    joined = points.join(cuts, by) if by else points.crossJoin(cuts)
+    placed = joined.withColumn("__b", ranges.range_of(F.col("cuts"), F.col("score"))).drop("cuts")
     counts = placed.groupBy(*by, "__b").agg(F.sum("n").alias("__m"))
     before = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("__o", F.coalesce(F.sum("__m").over(before), F.lit(0))).drop("__m")
     own = Window.partitionBy(*by, "__b").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     below = F.col("__o") + F.coalesce(F.sum("n").over(own), F.lit(0))
     swept = placed.join(offsets, [*by, "__b"]).withColumn("__w", F.col("p") * (below + F.col("n") / 2))
-    return swept.groupBy(*by).agg(F.try_divide(F.sum("__w"), (F.first("__p") * F.first("__n")).cast("double")).alias("auc"))
+    area = F.try_divide(F.sum("__w"), (F.sum("p") * F.sum("n")).cast("double"))
+    return swept.groupBy(*by).agg(area.alias("auc"))
 
 
 def evaluate(rows: DataFrame, by: list[str] = ()) -> DataFrame:

@@ -2,17 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr
+from .ranges import ACCURACY
+
+
+#: Shares between which the median's bracket lies, far wider than the error of the approximate quantiles (1 / ACCURACY of the rows).
+BRACKET = (0.49, 0.51)
+
+
+def _bracket() -> list[Column]:
+    """Aggregates ``c``, ``lo`` and ``hi``: the number of values and a bracket of their median."""
+    ends = F.percentile_approx("value", list(BRACKET), ACCURACY)
+    return [F.count("value").alias("c"), F.get(ends, 0).alias("lo"), F.get(ends, 1).alias("hi")]
+
+
+def _medians(long: DataFrame, brackets: DataFrame) -> DataFrame:
+    """``(feature, statistic)``: the exact median from ``brackets(feature, c, lo, hi)``, by counting the values below the bracket
+    and ordering the different ones within it: a fiftieth of a column, not all of it, is one task's sort."""
+    joined = long.where("value is not null").join(F.broadcast(brackets.select("feature", "c", "lo", "hi")), "feature")  # a row a feature
+    within = F.when(F.col("value") >= F.col("lo"), F.col("value"))
+    counts = joined.where("value <= hi").groupBy("feature", "c", within.alias("v")).agg(F.count("*").alias("n"))
+    order = Window.partitionBy("feature").orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    upto = counts.withColumn("upto", F.sum("n").over(order))
+    place = lambda i: F.min(F.when(F.col("upto") >= F.floor((F.col("c") + i) / 2), F.col("v")))
+    return upto.groupBy("feature").agg(((place(1) + place(2)) / 2).alias("statistic"))
 
 
 def impute_statistics(long: DataFrame, strategy: str = "median") -> DataFrame:
-    """``(feature, statistic)``: the exact median (the middle pair's mean) or the mean."""
+    """``(feature, statistic)`` of features with a value: the exact median (the middle pair's mean) or the mean."""
     if strategy not in ("median", "mean"):
         raise ValueError(f"strategy {strategy!r} is neither median nor mean")
-    return long.groupBy("feature").agg((F.median("value") if strategy == "median" else F.avg("value")).alias("statistic"))
+    if strategy == "mean":
+        return long.groupBy("feature").agg(F.avg("value").alias("statistic")).where("statistic is not null")
+    return _medians(long, long.groupBy("feature").agg(*_bracket()))
 
 
 def impute(long: DataFrame, statistics: DataFrame) -> DataFrame:
@@ -31,17 +56,19 @@ def standardise(long: DataFrame, statistics: DataFrame) -> DataFrame:
 
 
 def fitted(long: DataFrame, strategy: str = "median") -> DataFrame:
-    """``(feature, statistic, mean, std)`` of features with a value, in one aggregate.
+    """``(feature, statistic, mean, std)`` of features with a value, in one aggregate and, for the median, one pass over its bracket.
 
     Mean and deviation are those after imputation, from the counts and moments before it.
     """
     if strategy not in ("median", "mean"):
         raise ValueError(f"strategy {strategy!r} is neither median nor mean")
     value = F.col("value")
-    plain = long.groupBy("feature").agg(
-        F.count("*").alias("n"), F.count(value).alias("c"), F.avg(value).alias("a"), F.var_pop(value).alias("v"), (F.min(value) == F.max(value)).alias("constant"),
-        (F.median(value) if strategy == "median" else F.avg(value)).alias("statistic"),
-    ).where("c > 0")
+    moments = [F.count("*").alias("n"), F.avg(value).alias("a"), F.var_pop(value).alias("v"), (F.min(value) == F.max(value)).alias("constant")]
+    if strategy == "mean":
+        plain = long.groupBy("feature").agg(*moments, F.count(value).alias("c")).where("c > 0").withColumn("statistic", F.col("a"))
+    else:
+        plain = long.groupBy("feature").agg(*moments, *_bracket()).where("c > 0")
+        plain = plain.join(F.broadcast(_medians(long, plain)), "feature")  # a row a feature
     n, c, s = F.col("n"), F.col("c"), F.col("statistic")
     moved = plain.withColumn("mean", F.when(F.col("constant"), s).otherwise((c * F.col("a") + (n - c) * s) / n))
     off = lambda x: (x - F.col("mean")) * (x - F.col("mean"))

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranges
+
 EULER = 0.5772156649015329
+#: Cells of a matrix that the driver may hold: 64 MB of doubles.
+LOCAL_CELLS = 8_000_000
 
 
 def anova_f(long: DataFrame) -> DataFrame:
@@ -28,28 +35,64 @@ def anova_f(long: DataFrame) -> DataFrame:
 def knn_mutual_info(long: DataFrame, k: int = 3) -> DataFrame:
     """``(feature, fidx, raw, score)``: mutual information of a value and the class (Ross 2014), score clipped at 0.
 
-    A class of n rows uses min(k, n - 1) neighbours; single rows are left out. The
-    k-th distance comes from k places before and after in the class's order; the
-    points strictly within it are counted by one sweep over points and bounds. Windows run
-    per feature, so a feature's column is one task's sort, spilling if need be.
+    A class of n rows uses min(k, n - 1) neighbours; single rows are left out. Equal values of a
+    class are counted first. The k-th distance comes from k places before and after in the class's
+    order; the points strictly within it are counted by one sweep over points and bounds. Windows
+    run in ranges of values: the k values beyond a range's ends, and the counts before it, come
+    from tables of a row a range.
     """
-    rows = long.where("value is not null and y is not null").select("feature", "fidx", "y", "row_id", "value")
-    own = rows.withColumn("nc", F.count("*").over(Window.partitionBy("feature", "y"))).where("nc > 1").withColumn("kc", F.least(F.lit(k), F.col("nc") - 1))
-    order = Window.partitionBy("feature", "y").orderBy("value", "row_id")
-    near = F.array(*[F.abs(f("value", i).over(order) - F.col("value")) for i in range(1, k + 1) for f in (F.lag, F.lead)])
-    reach = own.withColumn("d", F.sort_array(F.filter(near, lambda x: x.isNotNull()))).withColumn("r", F.element_at("d", F.col("kc").cast("int")))
+    rows = long.where("value is not null and y is not null")
+    values = rows.groupBy("feature", "fidx", "y", "value").agg(F.count("*").alias("n"))
+    sizes = values.groupBy("feature", "y").agg(F.sum("n").alias("nc")).where("nc > 1")
+    cuts = ranges.cut_points(values, ["feature"], "value")
+    known = values.join(F.broadcast(sizes), ["feature", "y"]).join(F.broadcast(cuts), "feature")  # a row a class, a row a feature
+    known = known.withColumn("b", ranges.range_of(F.col("cuts"), F.col("value"))).drop("cuts")
+    reach = _reach(known, k)
+    low, high = F.col("value") - F.col("r"), F.col("value") + F.col("r")
     # the sweep: a lower bound counts values <= x - r, an upper one values < x + r
-    points = reach.select("feature", F.col("value").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("row_id"), F.lit(1).alias("one"))
-    low = reach.select("feature", (F.col("value") - F.col("r")).alias("at"), F.lit(2).alias("kind"), "row_id", F.lit(0).alias("one"))
-    high = reach.select("feature", (F.col("value") + F.col("r")).alias("at"), F.lit(0).alias("kind"), "row_id", F.lit(0).alias("one"))
-    swept = points.union(low).union(high).withColumn("upto", F.sum("one").over(Window.partitionBy("feature").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)))
-    inside = swept.where("one = 0").groupBy("feature", "row_id").agg((F.max(F.when(F.col("kind") == 0, F.col("upto"))) - F.max(F.when(F.col("kind") == 2, F.col("upto")))).alias("m"))
+    kinds = F.array(*[
+        F.struct(at.alias("at"), F.lit(kind).alias("kind"), one.cast("long").alias("one"))
+        for at, kind, one in ((F.col("value"), 1, F.col("n")), (low, 2, F.lit(0)), (high, 0, F.lit(0)))
+    ])
+    events = reach.select("feature", "fidx", "y", "value", "n", "nc", F.least(F.lit(k), F.col("nc") - 1).alias("kc"), F.inline(kinds))
+    events = events.join(F.broadcast(cuts), "feature").withColumn("b", ranges.range_of(F.col("cuts"), F.col("at"))).drop("cuts")
+    every = cuts.select("feature", F.explode(F.sequence(F.lit(0), F.lit(ranges.RANGES - 1))).alias("b"))
+    counts = every.join(known.groupBy("feature", "b").agg(F.sum("n").alias("c")), ["feature", "b"], "left")
+    before = Window.partitionBy("feature").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("feature", "b", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("o"))
+    swept = events.join(offsets, ["feature", "b"])
+    upto = F.col("o") + F.sum("one").over(Window.partitionBy("feature", "b").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0))
+    bounds = swept.withColumn("upto", upto).where("kind <> 1")
+    inside = bounds.groupBy("feature", "fidx", "y", "value", "n", "nc", "kc").agg((F.max(F.when(F.col("kind") == 0, F.col("upto"))) - F.max(F.when(F.col("kind") == 2, F.col("upto")))).alias("m"))
     # a radius of zero has nothing strictly within but the point itself
-    counted = reach.join(inside, ["feature", "row_id"]).withColumn("m", F.greatest(F.col("m"), F.lit(1)))
-    sizes = counted.withColumn("n", F.count("*").over(Window.partitionBy("feature")))
-    psi = lambda c: _psi(F.col(c))
-    out = sizes.groupBy("feature", "fidx").agg((F.first(psi("n")) + F.avg(psi("kc")) - F.avg(psi("nc")) - F.avg(psi("m"))).alias("raw"))
-    return out.select("feature", "fidx", "raw", F.greatest(F.lit(0.0), F.col("raw")).alias("score"))
+    counted = inside.withColumn("m", F.greatest(F.col("m"), F.lit(1)))
+    mean = lambda c: F.sum(F.col("n") * _psi(F.col(c))) / F.sum("n")
+    out = counted.groupBy("feature", "fidx").agg(F.sum("n").alias("total"), mean("kc").alias("k_"), mean("nc").alias("c_"), mean("m").alias("m_"))
+    raw = out.select("feature", "fidx", (_psi(F.col("total")) + F.col("k_") - F.col("c_") - F.col("m_")).alias("raw"))
+    return raw.withColumn("score", F.greatest(F.lit(0.0), F.col("raw")))
+
+
+def _reach(known: DataFrame, k: int) -> DataFrame:
+    """``known(feature, fidx, y, value, n, nc, b)`` with ``r``, the distance to the min(k, nc - 1)-th nearest row of the class."""
+    own = Window.partitionBy("feature", "y", "b")
+    up, down = own.orderBy("value"), own.orderBy(F.desc("value"))
+    item = F.struct("value", "n")
+    near = F.array_compact(F.array(*[f(item, i).over(up) for i in range(1, k + 1) for f in (F.lag, F.lead)]))
+    marked = known.withColumns({"near": near, "up": F.row_number().over(up), "down": F.row_number().over(down)})
+    ends = marked.where((F.col("up") <= k) | (F.col("down") <= k)).groupBy("feature", "y", "b").agg(
+        F.collect_list(F.when(F.col("up") <= k, item)).alias("first"), F.collect_list(F.when(F.col("down") <= k, item)).alias("last")
+    )
+    # a range that occurs has a value, so k ranges hold k values
+    order = Window.partitionBy("feature", "y").orderBy("b")
+    beyond = lambda c, lo, hi, asc: F.slice(F.sort_array(F.flatten(F.collect_list(c).over(order.rowsBetween(lo, hi))), asc), 1, k)
+    edges = ends.select("feature", "y", "b", F.concat(beyond("last", -k, -1, False), beyond("first", 1, k, True)).alias("beyond"))
+    joined = marked.join(edges, ["feature", "y", "b"])
+    away = F.transform(F.concat("near", "beyond"), lambda x: F.struct(F.abs(x["value"] - F.col("value")).alias("d"), x["n"].alias("n")))
+    itself = F.array(F.struct(F.lit(0.0).alias("d"), (F.col("n") - 1).alias("n")))
+    start = F.struct(F.least(F.lit(k), F.col("nc") - 1).cast("long").alias("left"), F.lit(0.0).alias("r"))
+    step = lambda a, x: F.struct((a["left"] - F.when(a["left"] > 0, x["n"]).otherwise(0)).alias("left"), F.when(a["left"] > 0, x["d"]).otherwise(a["r"]).alias("r"))
+    reached = F.aggregate(F.sort_array(F.concat(itself, away)), start, step)["r"]
+    return joined.select("feature", "fidx", "y", "value", "n", "nc", reached.alias("r"))
 
 
 def _psi(n):
@@ -84,23 +127,22 @@ def forest_importance(rows: DataFrame, features: list[str], seed: int = 42, tree
     return rows.sparkSession.createDataFrame(scores, "feature string, fidx int, score double")
 
 
-def rfe_ranks(rows: DataFrame, features: list[str], keep: int, step: int = 1) -> DataFrame:
+def rfe_ranks(rows: DataFrame, features: list[str], keep: int, step: int = 1, local_cells: int = LOCAL_CELLS) -> DataFrame:
     """``(feature, fidx, rank)``: recursive elimination by the squared logistic coefficient; survivors all rank 1.
 
-    One fit a round on the driver's order; ``rows`` is cached for the rounds. The intercept is not
-    penalised, unlike in solvers that treat it as one more coefficient. ``step`` features go a round.
+    One fit a round, the next depending on the last; the intercept is not penalised, unlike in
+    solvers that treat it as one more coefficient. ``step`` features go a round. A matrix of at most
+    ``local_cells`` cells is fitted in numpy on the driver, each round from the last one's
+    coefficients; a larger one is fitted by Spark, to the same objective. Rows without a class are left out.
     """
-    from pyspark.ml.feature import VectorSlicer
-
-    from .models import logistic
     from .profile import with_class_weight
 
-    data = with_class_weight(rows).cache()
+    data = with_class_weight(rows.where("y is not null")).select("features", "y", "weight").cache()
     try:
         n, left, gone = data.count(), list(range(len(features))), []
+        fit = _local_fit(data) if n * len(features) <= local_cells else _spark_fit(data, n)
         while len(left) > min(keep, len(features)):
-            sliced = VectorSlicer(inputCol="features", outputCol="slice", indices=left).transform(data)
-            coef = logistic(n, features_col="slice").fit(sliced).coefficients.toArray()
+            coef = fit(left)
             worst = sorted(range(len(left)), key=lambda j: (coef[j] ** 2, left[j]))[: min(step, len(left) - keep)]
             gone.append([left[j] for j in worst])
             left = [f for j, f in enumerate(left) if j not in set(worst)]
@@ -110,3 +152,58 @@ def rfe_ranks(rows: DataFrame, features: list[str], keep: int, step: int = 1) ->
     for r, group in enumerate(reversed(gone), 2):
         ranks |= dict.fromkeys(group, r)
     return rows.sparkSession.createDataFrame([(features[i], i, float(r)) for i, r in sorted(ranks.items())], "feature string, fidx int, rank double")
+
+
+def _spark_fit(data: DataFrame, n: int) -> Callable[[list[int]], np.ndarray]:
+    from pyspark.ml.feature import VectorSlicer
+
+    from .models import logistic
+
+    def fit(left: list[int]) -> np.ndarray:
+        sliced = VectorSlicer(inputCol="features", outputCol="slice", indices=left).transform(data)
+        return logistic(n, features_col="slice").fit(sliced).coefficients.toArray()
+
+    return fit
+
+
+def _local_fit(data: DataFrame) -> Callable[[list[int]], np.ndarray]:
+    from pyspark.ml.functions import vector_to_array
+
+    got = data.select(vector_to_array("features").alias("x"), "y", "weight").toPandas()
+    x = np.stack(got.x.to_numpy()) if len(got) else np.zeros((0, 0))
+    y, w = got.y.to_numpy(float), got.weight.to_numpy(float)
+    last: dict[int, float] = {}
+    offset = [0.0]
+
+    def fit(left: list[int]) -> np.ndarray:
+        if len(np.unique(y)) < 2:
+            return np.zeros(len(left))
+        start = np.array([last.get(j, 0.0) for j in left] + offset)
+        found = newton_logistic(x[:, left], y, w, start)
+        last.update(zip(left, found))
+        offset[0] = found[-1]
+        return found[:-1]
+
+    return fit
+
+
+def newton_logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, start: np.ndarray, rounds: int = 100) -> np.ndarray:
+    """Coefficients, then the intercept, that minimise the weighted log loss + |b|^2 / 2 by damped Newton steps."""
+    d = np.c_[x, np.ones(len(x))]
+    penalty = np.r_[np.ones(x.shape[1]), 0.0]
+    loss = lambda v: float(w @ (np.logaddexp(0.0, d @ v) - y * (d @ v)) + (penalty * v) @ v / 2)
+    v, at = start.copy(), loss(start)
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(d @ v, -500, 500)))
+        slope = d.T @ (w * (p - y)) + penalty * v
+        curve = (d * (w * p * (1 - p))[:, None]).T @ d
+        curve[np.diag_indices_from(curve)] += penalty + 1e-12
+        move = np.linalg.solve(curve, slope)
+        gain = float(slope @ move)
+        if gain < 1e-14 * max(1.0, abs(at)):
+            return v - move
+        rate = 1.0
+        while (new := loss(v - rate * move)) > at - 1e-4 * rate * gain and rate > 1e-10:
+            rate /= 2
+        v, at = v - rate * move, new
+    return v

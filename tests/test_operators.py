@@ -305,6 +305,68 @@ def test_mutual_information_with_ties(spark):
     assert got["F001"] > 0.3 > got["F002"] >= 0
 
 
+def brute_mutual_info(v, y, k=3):
+    """Ross 2014 by all pairs."""
+    from math import fsum
+
+    psi = lambda n: -0.5772156649015329 + fsum(1.0 / i for i in range(1, int(n)))
+    keep = np.array([(y == c).sum() > 1 for c in y])
+    v, y = v[keep], y[keep]
+    terms = []
+    for i in range(len(v)):
+        own = np.sort(np.abs(np.delete(v, i)[np.delete(y, i) == y[i]] - v[i]))
+        kc = min(k, len(own))
+        r = own[kc - 1]
+        m = max(1, int(((v > v[i] - r) & (v < v[i] + r)).sum()))
+        terms.append(psi(kc) - psi(len(own) + 1) - psi(m))
+    return psi(len(v)) + fsum(terms) / len(terms)
+
+
+def test_mutual_information_against_all_pairs(spark):
+    rng = np.random.default_rng(8)
+    n = 1500
+    y = rng.choice([0, 1, 2], n, p=[0.6, 0.395, 0.005])
+    y[0] = 3  # a class of one row
+    spread = rng.normal(size=n) + y
+    hot = np.where(rng.random(n) < 0.5, 0.0, np.round(rng.normal(size=n), 2))
+    outlier = np.r_[1e12, rng.exponential(size=n - 1)]
+    x = np.column_stack([spread, hot, outlier])
+    got = {r.feature: r.raw for r in scoring.knn_mutual_info(long_of(spark, x, y)).collect()}
+    assert got == {f"F{j + 1:03d}": pytest.approx(brute_mutual_info(x[:, j], y), abs=1e-9) for j in range(3)}
+    assert scoring.knn_mutual_info(long_of(spark, x, y).limit(0)).count() == 0
+
+
+def test_median_of_skewed_columns(spark):
+    rng = np.random.default_rng(9)
+    for n in (1, 2, 3, 400, 3001):
+        x = np.column_stack([rng.lognormal(sigma=4, size=n), np.where(rng.random(n) < 0.6, 0.0, rng.normal(size=n)), np.sort(rng.normal(size=n))[::-1]])
+        got = {r.feature: r.statistic for r in preprocess.impute_statistics(long_of(spark, x, np.zeros(n, int))).collect()}
+        assert got == {f"F{j + 1:03d}": pytest.approx(float(np.median(x[:, j]))) for j in range(3)}
+    assert preprocess.impute_statistics(long_of(spark, x, np.zeros(n, int)).limit(0)).count() == 0
+
+
+def test_auc_with_an_outlier(spark):
+    rng = np.random.default_rng(10)
+    y, s = rng.integers(0, 2, 900), np.round(rng.normal(size=900), 2)
+    s[0] = 1e300
+    df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(y, s)], "y int, score double")
+    d = s[y == 1][:, None] - s[y == 0][None, :]
+    assert metrics.auc(df).first().auc == pytest.approx(((d > 0) + 0.5 * (d == 0)).mean())
+
+
+def test_elimination_on_the_driver_and_by_spark(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(80, 7))
+    y = (x[:, 1] - 2 * x[:, 4] + 0.5 * x[:, 6] + rng.normal(size=80) > 0.5).astype(int)
+    names = [f"F{j + 1:03d}" for j in range(7)]
+    rows = scoring.vectors(long_of(spark, x, y), names)
+    ranks = lambda **how: {r.feature: r["rank"] for r in scoring.rfe_ranks(rows, names, 2, **how).collect()}
+    assert ranks() == ranks(local_cells=0)
+    assert ranks(step=2) == ranks(step=2, local_cells=0)
+    alone = scoring.vectors(long_of(spark, x, np.zeros(80, int)), names)
+    assert sorted(r["rank"] for r in scoring.rfe_ranks(alone, names, 6).collect()) == [1.0] * 6 + [2.0]
+
+
 def test_ranking_edges(spark):
     df = spark.createDataFrame([("a", 0, 1.0), ("b", 1, float("nan")), ("c", 2, 1.0), ("d", 3, None)], "feature string, fidx int, score double")
     assert {r.feature: r["rank"] for r in ranking.rank_descending(df).collect()} == {"a": 1.0, "b": 4.0, "c": 2.0, "d": 4.0}

@@ -27,6 +27,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_text(lines: DataFrame, name: str) -> str:
+    """The folder of text files that hold the one column of ``lines``."""
+    path = f"{folder(lines.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    lines.write.text(path)
+    return path
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Remove a folder of any file system that Spark reaches."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

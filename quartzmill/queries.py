@@ -11,7 +11,8 @@ from . import views as V
 from .functions import expr
 from .operators import explain as X
 from .operators import metrics, models, preprocess, profile, ranking, scoring, sinks, split
-from .plans.storage import stored
+from .plans import run as plan
+from .plans.storage import stored, stored_text
 from .sources import sensor_files as S
 
 SEED = 42
@@ -74,6 +75,25 @@ def s6_feature_list_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.parse_feature_lines(spark.createDataFrame(list(enumerate(_LINES, 1)), "line_no int, value string"))
 
 
+@query(f"""
+WITH {V.SENSOR}, placed AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS pos FROM embeddings)
+SELECT pos AS row_id, y, strftime(DATE '2008-07-19' + (row_id % 300)::INTEGER, '%Y-%m-%d') || ' 11:55:00' AS ts, fidx, feature, value
+FROM sensor JOIN placed ON row_id = vec_id""")
+def j1_sensor_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sensor and label files, written in order of ids, read again and paired by position."""
+    e = V._read(spark, sf_dir, "embeddings").orderBy("vec_id")
+    gone = lambda i: ((F.col("vec_id") * 7 + i * 13) % 97 < 5) | (i == 63)
+    missing = F.element_at(F.array(*[F.lit(t) for t in expr.MISSING_TOKENS]), (F.col("vec_id") % len(expr.MISSING_TOKENS) + 1).cast("int"))
+    cells = F.transform("embedding", lambda v, i: F.when(gone(i), missing).otherwise(v.cast("double").cast("string")))
+    day = F.date_format(F.date_add(F.lit("2008-07-19").cast("date"), (F.col("vec_id") % 300).cast("int")), "dd/MM/yyyy")
+    label = F.format_string('%d "%s 11:55:00"', F.when(F.col("label") == 0, 1).otherwise(-1), day)
+    features = stored_text(e.select(F.concat_ws(" ", cells).alias("value")), "features")
+    labels = stored_text(e.select(label.alias("value")), "labels")
+    rows = S.read_sensors(spark, features, labels, 64)
+    cells = S.to_long(rows).join(rows.select("row_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts")), "row_id")
+    return cells.select("row_id", "y", "ts", "fidx", "feature", "value")
+
+
 @query("SELECT i::BIGINT AS i, printf('F%03d', i) AS feature FROM range(1, 592) t(i)")
 def p1_feature_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(1, S.N_FEATURES + 1).select(F.col("id").alias("i"), expr.feature_name(F.col("id")).alias("feature"))
@@ -351,6 +371,17 @@ _RATES = f"""round({_BER}, 6) AS ber, round((tp + tn)::DOUBLE / nullif(tp + tn +
   round(coalesce(2 * tp::DOUBLE / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1"""
 
 
+@query(f"WITH {V.SCORES} SELECT row_id, CAST(score > 0.5::DOUBLE AS INTEGER) AS by_probability, CAST(score - 0.9::DOUBLE > 0 AS INTEGER) AS by_margin FROM score_rows")
+def p19_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = V.score_rows(spark, sf_dir)
+    return rows.select("row_id", expr.predicted(F.col("score"), 0.5).alias("by_probability"), expr.predicted(F.col("score") - 0.9, 0.0).alias("by_margin"))
+
+
+@query("SELECT vec_id AS row_id, embedding[64]::DOUBLE AS positive FROM embeddings")
+def p23_positive_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V._read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), expr.positive_class(F.col("embedding")).cast("double").alias("positive"))
+
+
 @query(f"WITH {V.SCORES} SELECT {_CELLS} FROM score_rows")
 def g9_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.confusion(V.score_rows(spark, sf_dir))
@@ -448,26 +479,93 @@ def g19_all_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _two_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All line items with two features."""
     from pyspark.ml.feature import VectorAssembler
 
-    rows = V._read(spark, sf_dir, "lineitem").select((F.col("l_returnflag") == "R").cast("int").alias("y"), (F.col("l_quantity") / 50).alias("a"), (F.col("l_discount") * 10).alias("b"))
+    key = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id")
+    rows = V._read(spark, sf_dir, "lineitem").select(key, (F.col("l_returnflag") == "R").cast("int").alias("y"), (F.col("l_quantity") / 50).alias("a"), (F.col("l_discount") * 10).alias("b"))
     return VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(rows)
 
 
-@query("""
-WITH d AS (SELECT 2.0::DOUBLE * CAST(l_returnflag = 'R' AS INTEGER) - 1 AS t, l_quantity / 50.0::DOUBLE AS a, l_discount * 10.0::DOUBLE AS b,
+_POINTS = "pts AS (SELECT l_orderkey * 10 + l_linenumber AS row_id, CAST(l_returnflag = 'R' AS INTEGER) AS y, l_quantity / 50.0::DOUBLE AS a, l_discount * 10.0::DOUBLE AS b FROM lineitem)"
+_RIDGE = """d AS (SELECT 2.0::DOUBLE * CAST(l_returnflag = 'R' AS INTEGER) - 1 AS t, l_quantity / 50.0::DOUBLE AS a, l_discount * 10.0::DOUBLE AS b,
     (SELECT count(*) FROM lineitem)::DOUBLE / (2 * count(*) OVER (PARTITION BY l_returnflag = 'R')) AS w FROM lineitem),
 m AS (SELECT sum(w) AS sw, sum(w * a) / sum(w) AS ma, sum(w * b) / sum(w) AS mb, sum(w * t) / sum(w) AS mt FROM d),
 s AS (SELECT sum(w * (a - ma) * (a - ma)) + 1 AS aa, sum(w * (b - mb) * (b - mb)) + 1 AS bb, sum(w * (a - ma) * (b - mb)) AS ab,
     sum(w * (a - ma) * (t - mt)) AS s_at, sum(w * (b - mb) * (t - mt)) AS s_bt, any_value(ma) AS ma, any_value(mb) AS mb, any_value(mt) AS mt FROM d, m),
-c AS (SELECT (s_at * bb - s_bt * ab) / (aa * bb - ab * ab) AS ca, (s_bt * aa - s_at * ab) / (aa * bb - ab * ab) AS cb, ma, mb, mt FROM s)
-SELECT round(ca, 6) AS coef_a, round(cb, 6) AS coef_b, round(mt - ca * ma - cb * mb, 6) AS intercept FROM c""")
+c AS (SELECT (s_at * bb - s_bt * ab) / (aa * bb - ab * ab) AS ca, (s_bt * aa - s_at * ab) / (aa * bb - ab * ab) AS cb, ma, mb, mt FROM s)"""
+
+
+@query(f"WITH {_RIDGE} SELECT round(ca, 6) AS coef_a, round(cb, 6) AS coef_b, round(mt - ca * ma - cb * mb, 6) AS intercept FROM c")
 def l3_ridge_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = models.fit("ridge", _two_features(spark, sf_dir))
     row = (float(m.coefficients[0]), float(m.coefficients[1]), float(m.intercept))
     return _rounded(spark.createDataFrame([row], "coef_a double, coef_b double, intercept double"), "coef_a", "coef_b", "intercept")
 
 
+@query(f"""
+WITH {_RIDGE}, {_POINTS}, o AS (SELECT row_id, y, mt + ca * (a - ma) + cb * (b - mb) AS score FROM pts, c)
+SELECT row_id, y, round(score, 6) + 0.0::DOUBLE AS score, CAST(score > 0 AS INTEGER) AS pred, '{models.SCORE_LABELS["margin"]}' AS score_label FROM o""")
+def l3_ridge_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of a model without probabilities: the margin, cut at 0."""
+    rows = _two_features(spark, sf_dir)
+    m = models.fit("ridge", rows)
+    return _rounded(models.score(m, rows).select("row_id", "y", "score", "pred"), "score").withColumn("score_label", F.lit(models.score_label(m)))
+
+
+_NEWTON = ", ".join(f"""
+h{i} AS MATERIALIZED (SELECT any_value(c0) AS c0, any_value(c1) AS c1, any_value(c2) AS c2, sum(w * (p - y)) AS g0, sum(w * (p - y) * a) + any_value(c1) AS g1,
+    sum(w * (p - y) * b) + any_value(c2) AS g2, sum(w * p * (1 - p)) AS h00, sum(w * p * (1 - p) * a) AS h01, sum(w * p * (1 - p) * b) AS h02,
+    sum(w * p * (1 - p) * a * a) + 1 AS h11, sum(w * p * (1 - p) * a * b) AS h12, sum(w * p * (1 - p) * b * b) + 1 AS h22
+  FROM (SELECT g.*, n{i}.*, 1 / (1 + exp(-(c0 + c1 * a + c2 * b))) AS p FROM g, n{i})),
+n{i + 1} AS MATERIALIZED (SELECT
+    c0 - (g0 * (h11 * h22 - h12 * h12) - h01 * (g1 * h22 - h12 * g2) + h02 * (g1 * h12 - h11 * g2)) / det AS c0,
+    c1 - (h00 * (g1 * h22 - h12 * g2) - g0 * (h01 * h22 - h12 * h02) + h02 * (h01 * g2 - g1 * h02)) / det AS c1,
+    c2 - (h00 * (h11 * g2 - g1 * h12) - h01 * (h01 * g2 - g1 * h02) + g0 * (h01 * h12 - h11 * h02)) / det AS c2
+  FROM (SELECT *, h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h12 * h02) + h02 * (h01 * h12 - h11 * h02) AS det FROM h{i}))""" for i in range(8))
+
+
+@query(f"""
+WITH {_POINTS}, t AS (SELECT y, a, b, count(*)::DOUBLE AS n FROM pts GROUP BY ALL),
+g AS MATERIALIZED (SELECT y, a, b, n * sum(n) OVER () / (2 * sum(n) OVER (PARTITION BY y)) AS w FROM t),
+n0 AS (SELECT 0::DOUBLE AS c0, 0::DOUBLE AS c1, 0::DOUBLE AS c2), {_NEWTON}
+SELECT round(c1, 4) AS coef_a, round(c2, 4) AS coef_b, round(c0, 4) AS intercept FROM n8""")
+def l1_logistic_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fit on all line items; the SQL takes eight Newton steps to the same optimum."""
+    m = models.fit("logistic", _two_features(spark, sf_dir))
+    row = (float(m.coefficients[0]), float(m.coefficients[1]), float(m.intercept))
+    found = spark.createDataFrame([row], "coef_a double, coef_b double, intercept double")
+    return found.withColumns({c: r(F.col(c), 4) for c in found.columns})
+
+
+def _order_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders, whose keys are unique, with two features."""
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = V._read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row_id"), (F.col("o_orderstatus") == "F").cast("int").alias("y"), (F.col("o_totalprice") / 100000).alias("a"), (F.col("o_custkey") % 10 / 10).alias("b"))
+    return VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(rows).select("row_id", "y", "features")
+
+
+_ORDER_POINTS = "pts AS (SELECT o_orderkey AS row_id, CAST(o_orderstatus = 'F' AS INTEGER) AS y, o_totalprice / 100000.0::DOUBLE AS a, o_custkey % 10 / 10.0::DOUBLE AS b FROM orders)"
+
+
+@query(f"""
+WITH {_ORDER_POINTS}, f AS (SELECT *, (row_number() OVER (PARTITION BY y ORDER BY md5('{SEED}|' || row_id), row_id) - 1) % 10 AS fold FROM pts),
+k AS (SELECT k FROM range(10) x(k)), tr AS (SELECT k, y, a, b, 1.0::DOUBLE AS n FROM f, k WHERE fold <> k),
+d AS (SELECT *, 2.0::DOUBLE * y - 1 AS t, n * sum(n) OVER (PARTITION BY k) / (2 * sum(n) OVER (PARTITION BY k, y)) AS w FROM tr),
+m AS (SELECT k, sum(w * a) / sum(w) AS ma, sum(w * b) / sum(w) AS mb, sum(w * t) / sum(w) AS mt FROM d GROUP BY k),
+s AS (SELECT k, sum(w * (a - ma) * (a - ma)) + 1 AS aa, sum(w * (b - mb) * (b - mb)) + 1 AS bb, sum(w * (a - ma) * (b - mb)) AS ab,
+    sum(w * (a - ma) * (t - mt)) AS s_at, sum(w * (b - mb) * (t - mt)) AS s_bt, any_value(ma) AS ma, any_value(mb) AS mb, any_value(mt) AS mt FROM d JOIN m USING (k) GROUP BY k),
+c AS (SELECT k, (s_at * bb - s_bt * ab) / (aa * bb - ab * ab) AS ca, (s_bt * aa - s_at * ab) / (aa * bb - ab * ab) AS cb, ma, mb, mt FROM s),
+o AS (SELECT fold, y, CAST(mt + ca * (a - ma) + cb * (b - mb) > 0 AS INTEGER) AS pred FROM f JOIN c ON fold = k),
+v AS (SELECT fold, {_CELLS} FROM o GROUP BY 1), e AS (SELECT {_BER} AS ber FROM v)
+SELECT round(avg(ber), 6) AS mean_ber, round(stddev_pop(ber), 6) AS std_ber FROM e""")
+def l8_ridge_cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten folds of all orders, a fit each."""
+    found = plan.cross_validate("ridge", _order_features(spark, sf_dir), plan.configured({"random_state": SEED}))
+    return _rounded(spark.createDataFrame([(found["mean_ber"], found["std_ber"])], "mean_ber double, std_ber double"), "mean_ber", "std_ber")
+
+
 def _scored(name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows, _ = _vectors(spark, sf_dir)
@@ -558,6 +656,16 @@ def k4_importance_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.importance_json(X.global_importance(_phi(spark, sf_dir)), model="fixed", shap_method="linear", output_space="decision margin", random_seed=SEED)
 
 
+@query(f"""WITH {_LINEAR}, {_IMPORTANCE} SELECT 'fixed' AS model, 'linear' AS shap_method, feature, round(mean_abs, 6) AS mean_abs_shap, round(std_abs, 6) AS std_abs_shap,
+  row_number() OVER (ORDER BY mean_abs DESC, fidx)::INTEGER AS rank FROM imp""")
+def k4_importance_json_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The record of ``k4_importance_json``, read back by its field names."""
+    form = "model string, shap_method string, features map<string, struct<mean_abs_shap: double, std_abs_shap: double, rank: int>>"
+    record = k4_importance_json(spark, sf_dir).select(F.from_json("json", form).alias("j")).select("j.*")
+    rows = record.select("model", "shap_method", F.explode("features").alias("feature", "v"))
+    return _rounded(rows.select("model", "shap_method", "feature", "v.*"), "mean_abs_shap", "std_abs_shap")
+
+
 @query()
 def a5_tree_shap(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, names = _vectors(spark, sf_dir)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import expr
+
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -69,7 +71,7 @@ EVENTS = "event_rows AS (SELECT event_id AS row_id, CAST(user_id % 15 = 0 AS INT
 def score_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with a score of two decimals (so ties occur) and a prediction."""
     scored = event_rows(spark, sf_dir).withColumn("score", F.floor(F.col("value")) / 100.0)
-    return scored.select("row_id", "y", "score", (F.col("score") > 0.9).cast("int").alias("pred"))
+    return scored.select("row_id", "y", "score", expr.predicted(F.col("score"), 0.9).alias("pred"))
 
 
 SCORES = EVENTS + """,

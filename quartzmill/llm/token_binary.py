@@ -17,7 +17,7 @@ Documents are range-sorted by key; each task of the sort encodes its own and wri
 each attempt of a task, and the manifest names the files of tasks that ended only, so a lost
 executor leaves at most files that nothing reads.  A file's first place in the whole sequence comes from the manifest, a row a file.
 
-Texts are encoded by the tokenizers library, a block of blanks-separated words at a time; each different word
+Texts are encoded by the tokenizers library, words at a time; each different word
 is given to the library once a worker (no token or rule of its pre-tokeniser crosses a blank; a tokenizer
 whose rules do is to be used with ``by_word=False``).
 
@@ -35,6 +35,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -51,7 +52,7 @@ BLOCK = 4096
 STRETCH = 1 << 20
 FILE_IDS = 64 << 20
 PORTION = 1 << 20
-MEMO, MEMO_CHARS = 400_000, 48
+MEMO, MEMO_CHARS = 700_000, 48
 
 #: Values a word and bits a value, by selector.
 COUNTS = np.array([0, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
@@ -60,8 +61,13 @@ MAGIC = b"QMS8B\x00\x00\x01"
 _FOOTER = struct.Struct("<9Q8s")
 
 
+_SMALL = np.array([i.bit_length() for i in range(1 << 16)], np.uint8)
+
+
 def _widths(values: np.ndarray) -> np.ndarray:
     """Bits of each value."""
+    if values.max(initial=0) < len(_SMALL):
+        return _SMALL[values]
     out = np.zeros(len(values), np.uint8)
     rest = values.copy()
     for step in (32, 16, 8, 4, 2, 1):
@@ -285,6 +291,8 @@ class FileReader:
 
 
 _BLANK = re.compile(r"[ \n\t\r]")
+#: Blanks of ``str.split`` that are none to the tokenizer's rules.
+_NO_BLANKS = "\x1c\x1d\x1e\x1f"
 
 
 def portions(text: str, size: int = PORTION) -> Iterator[str]:
@@ -307,13 +315,13 @@ class Encoder:
         self.own, self.by_word, self.memo = Tokenizer.from_file(path), by_word, {}
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.own.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.own.encode_batch_fast(texts, add_special_tokens=False)]
 
     def batch(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
             return self._encoded(texts)
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        new = list(set(itertools.chain.from_iterable(split)) - self.memo.keys())
+        split = [t.split() if not any(map(t.__contains__, _NO_BLANKS)) else _BLANK.split(t) for t in texts]
+        new = list(set(itertools.filterfalse(self.memo.__contains__, itertools.chain.from_iterable(split))))
         self.memo.update(zip(new, self._encoded(new), strict=True))
         out = [b"".join(map(self.memo.__getitem__, words)) for words in split]
         room = max(0, MEMO - len(self.memo) + len(new))

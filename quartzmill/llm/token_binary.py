@@ -33,6 +33,7 @@ import functools
 import itertools
 import re
 import struct
+import unicodedata
 import uuid
 import zlib
 from array import array
@@ -52,7 +53,7 @@ BLOCK = 4096
 STRETCH = 1 << 20
 FILE_IDS = 64 << 20
 PORTION = 1 << 20
-MEMO, MEMO_CHARS = 700_000, 48
+MEMO, MEMO_CHARS, TOGETHER = 700_000, 48, 64
 
 #: Values a word and bits a value, by selector.
 COUNTS = np.array([0, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
@@ -117,29 +118,31 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     chosen = _choices(bits)
     size = np.full(blocks, BLOCK)
     size[-1] = len(values) - BLOCK * (blocks - 1)
-    at, rows, places, which = np.zeros(blocks, np.int64), [], [], []
-    live = np.arange(blocks)
+    at, live, steps = np.zeros(blocks, np.int64), np.arange(blocks), []
     while len(live):
         place = at[live]
         s = chosen[live, place]
-        rows.append(live)
-        places.append(place)
-        which.append(s)
+        steps.append((live, place, s))
         at[live] = place + np.where(s == 0, 1, COUNTS[s])
         live = live[at[live] < size[live]]
-    rows, places, which = np.concatenate(rows), np.concatenate(places), np.concatenate(which)
-    order = np.lexsort((places, rows))
-    rows, places, which = rows[order], places[order], which[order]
+    own = np.bincount(np.concatenate([r for r, _, _ in steps]), minlength=blocks)  # a block's words are its first steps
+    begin = np.cumsum(own) - own
+    source, which = np.empty(own.sum(), np.int64), np.empty(own.sum(), np.uint8)
+    wide = BLOCK + 120  # what a last word takes beyond its block is zero
+    for nth, (row, place, s) in enumerate(steps):
+        source[begin[row] + nth], which[begin[row] + nth] = row * wide + place, s
+    padded = np.zeros((blocks, wide), np.uint64)
+    padded[:, :BLOCK] = grid
+    padded = padded.reshape(-1)
     words = which.astype(np.uint64) << np.uint64(60)
-    padded = np.concatenate([grid, np.zeros((blocks, 120), np.uint64)], axis=1)
     for s in range(2, 16):
-        own = np.flatnonzero(which == s)
-        for i in range(int(COUNTS[s]) if len(own) else 0):
-            words[own] |= padded[rows[own], places[own] + i] << np.uint64(i * int(WIDTHS[s]))
+        those = np.flatnonzero(which == s)
+        first = source[those]
+        for i in range(int(COUNTS[s]) if len(those) else 0):
+            words[those] |= padded[first + i] << np.uint64(i * int(WIDTHS[s]))
     escapes = np.flatnonzero(which == 0)
-    words = np.insert(words, escapes + 1, grid[rows[escapes], places[escapes]])
-    per = np.bincount(rows, minlength=blocks) + np.bincount(rows[escapes], minlength=blocks)
-    return words, per
+    words = np.insert(words, escapes + 1, padded[source[escapes]])
+    return words, own + np.bincount(source[escapes] // wide, minlength=blocks)
 
 
 def unpack(words: np.ndarray, per: np.ndarray, total: int) -> np.ndarray:
@@ -293,6 +296,7 @@ class FileReader:
 _BLANK = re.compile(r"[ \n\t\r]")
 #: Blanks of ``str.split`` that are none to the tokenizer's rules.
 _NO_BLANKS = "\x1c\x1d\x1e\x1f"
+_MARKS = tuple(".,;:!?")
 
 
 def portions(text: str, size: int = PORTION) -> Iterator[str]:
@@ -306,27 +310,57 @@ def portions(text: str, size: int = PORTION) -> Iterator[str]:
     yield text[start:]
 
 
+def pre_tokens(word: str) -> int:
+    """Pre-tokens of a word of letters, or of letters and one mark; 0 where this does not tell."""
+    body = word[:-1] if word[-1:] in _MARKS else word
+    return (1 + (body is not word)) if unicodedata.normalize("NFC", body).lower().isalpha() else 0
+
+
 class Encoder:
-    """Ids of texts by a tokenizers file; little-endian 32-bit ids of each different word are kept."""
+    """Ids of texts by a tokenizers file; little-endian 32-bit ids of each different word are kept.
+
+    New words of letters go to the library some at a time, and their ids are parted where pre-tokens end, as the model's suffix shows.
+    """
 
     def __init__(self, path: str, by_word: bool = True):
         from tokenizers import Tokenizer
 
         self.own, self.by_word, self.memo = Tokenizer.from_file(path), by_word, {}
+        suffix = getattr(self.own.model, "end_of_word_suffix", None)
+        counts = [len(self.own.pre_tokenizer.pre_tokenize_str(w)) for w in ("ab", "ab,", "\xe9.", "a b! c")] if suffix and self.own.pre_tokenizer else []
+        self.ends = None
+        if counts == [1, 2, 2, 4]:
+            self.ends = np.zeros(self.own.get_vocab_size(), bool)
+            self.ends[[i for t, i in self.own.get_vocab().items() if t.endswith(suffix)]] = True
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.own.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def words(self, words: list[str]) -> dict[str, bytes]:
+        sizes = {w: n for w in words if (n := pre_tokens(w))} if self.ends is not None else {}
+        easy, out = list(sizes), {}
+        groups = [easy[i : i + TOGETHER] for i in range(0, len(easy), TOGETHER)]
+        for group, data in zip(groups, self._encoded([" ".join(g) for g in groups]), strict=True):
+            places = 4 * (np.flatnonzero(self.ends[np.frombuffer(data, "<u4")]) + 1)
+            last = np.cumsum([sizes[w] for w in group]) - 1
+            if len(places) == last[-1] + 1:  # else the rules part these words in another way: one by one
+                cuts = [0, *places[last].tolist()]
+                out.update((w, data[x:y]) for w, x, y in zip(group, cuts, cuts[1:], strict=False))
+        rest = [w for w in words if w not in out]
+        return out | dict(zip(rest, self._encoded(rest), strict=True))
+
     def batch(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
             return self._encoded(texts)
         split = [t.split() if not any(map(t.__contains__, _NO_BLANKS)) else _BLANK.split(t) for t in texts]
-        new = list(set(itertools.filterfalse(self.memo.__contains__, itertools.chain.from_iterable(split))))
-        self.memo.update(zip(new, self._encoded(new), strict=True))
-        out = [b"".join(map(self.memo.__getitem__, words)) for words in split]
-        room = max(0, MEMO - len(self.memo) + len(new))
-        for extra in itertools.chain((w for w in new[:room] if len(w) > MEMO_CHARS), new[room:]):
-            del self.memo[extra]
+        known = [list(map(self.memo.get, words)) for words in split]
+        gaps = [[j for j, i in enumerate(ids) if i is None] if None in ids else () for ids in known]
+        found = self.words(list({words[j] for words, places in zip(split, gaps, strict=True) for j in places}))
+        for words, ids, places in zip(split, known, gaps, strict=True):
+            for j in places:
+                ids[j] = found[words[j]]
+        out = [b"".join(ids) for ids in known]
+        self.memo.update(itertools.islice(((w, i) for w, i in found.items() if len(w) <= MEMO_CHARS), max(0, MEMO - len(self.memo))))
         return out
 
 

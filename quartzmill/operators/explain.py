@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import itertools
 import logging
-import math
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,11 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr
-from ..plans.storage import delete, folder
-
-#: At most so many background and explained rows of the kernel method; then our own limits.
-KERNEL_BACKGROUND, KERNEL_ROWS, EXACT_FEATURES, COALITIONS = 50, 100, 12, 2048
-
+from . import kernel, trees
+from .kernel import KERNEL_BACKGROUND, KERNEL_ROWS  # noqa: F401
 
 LOG = logging.getLogger(__name__)
 
@@ -34,6 +28,27 @@ def validate(feature_names: list[str], rows: list[str], background: list[str] |
         raise ValueError("the background is empty")
 
 
+def column_names(rows: DataFrame) -> list[str] | None:
+    """The features behind a vector column in their order, where the column knows them: its own list, or an assembler's attributes."""
+    known = rows.schema["features"].metadata
+    if "names" in known:
+        return known["names"]
+    attributes = [a for kind in known.get("ml_attr", {}).get("attrs", {}).values() for a in kind]
+    return [a["name"] for a in sorted(attributes, key=lambda a: a["idx"])] if attributes and all("name" in a for a in attributes) else None
+
+
+def vector_cells(rows: DataFrame, features: list[str]) -> Column:
+    """The vector column as an array of just these features: other known names are refused here, another length where the plan runs."""
+    from pyspark.ml.functions import vector_to_array
+
+    known = column_names(rows)
+    if known is not None:
+        validate(features, known, None, 1)
+    cells = vector_to_array("features")
+    wrong = F.concat(F.lit(f"{len(features)} feature names for a vector of "), F.size(cells).cast("string"))
+    return F.when(F.size(cells) == len(features), cells).otherwise(F.raise_error(wrong))
+
+
 def background_means(background: DataFrame) -> DataFrame:
     return background.groupBy("feature").agg(F.avg("value").alias("bg"))
 
@@ -57,6 +72,18 @@ def linear_output(rows: DataFrame, coefficients: DataFrame, intercept: float) ->
     return joined.groupBy("row_id").agg((F.sum(F.col("beta") * F.col("value")) + F.lit(intercept)).alias("output"))
 
 
+def linear_consistency(rows: DataFrame, coefficients: DataFrame, background: DataFrame, intercept: float) -> DataFrame:
+    """``(row_id, phi_sum, base, output, deviation, consistency_ok)`` of a linear model in one pass over long ``rows``."""
+    both = coefficients.join(background_means(background), "feature")
+    joined = rows.join(F.broadcast(both), "feature")  # a row a feature
+    beta, value = F.col("beta"), F.col("value")
+    sums = joined.groupBy("row_id").agg(F.sum(beta * (value - F.col("bg"))).alias("phi_sum"), (F.sum(beta * value) + F.lit(intercept)).alias("output"))
+    base = both.agg((F.coalesce(F.sum(beta * F.col("bg")), F.lit(0.0)) + F.lit(intercept)).alias("base"))
+    placed = sums.crossJoin(F.broadcast(base))  # one row
+    deviation = F.abs(F.col("base") + F.col("phi_sum") - F.col("output"))
+    return placed.select("row_id", "phi_sum", "base", "output", deviation.alias("deviation"), expr.consistent(deviation, F.col("output"), "linear").alias("consistency_ok"))
+
+
 def self_consistency(phi: DataFrame, base: DataFrame, outputs: DataFrame, method: str) -> DataFrame:
     """``(row_id, phi_sum, base, output, deviation, consistency_ok)``."""
     sums = phi.groupBy("row_id").agg(F.sum("phi").alias("phi_sum"))
@@ -96,171 +123,51 @@ def report_lines(contributions: DataFrame) -> DataFrame:
 # -- trees ---------------------------------------------------------------------
 
 
-def tree_paths(model) -> list[tuple[float, list[tuple[int, float, float, float]]]]:
-    """A forest's leaves: (positive share / trees, [(feature, low, high, cover ratio)]), from the saved node table.
-
-    A row is in a leaf if low < x <= high for each of its features; repeated features are joined into one.
-    """
-    spark = SparkSession.getActiveSession()
-    path = f"{folder(spark)}/model-{uuid.uuid4().hex}"
-    model.write().overwrite().save(path)
-    table = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").collect()  # the model's nodes
-    delete(spark, path)
-    trees: dict[int, dict[int, object]] = {}
-    for n in table:
-        trees.setdefault(n.treeID, {})[n.id] = n
-    leaves = []
-    for nodes in trees.values():
-        stack = [(0, {})]
-        while stack:
-            i, path_to = stack.pop()
-            n = nodes[i]
-            cover = sum(n.impurityStats)
-            if n.leftChild < 0:
-                share = n.impurityStats[1] / cover if cover and len(n.impurityStats) > 1 else 0.0
-                leaves.append((share / len(trees), [(f, *v) for f, v in path_to.items()]))
-                continue
-            f, cut = n.split.featureIndex, n.split.leftCategoriesOrThreshold[0]
-            low, high, ratio = path_to.get(f, (-math.inf, math.inf, 1.0))
-            for child, lo, hi in ((n.leftChild, low, min(high, cut)), (n.rightChild, max(low, cut), high)):
-                part = sum(nodes[child].impurityStats) / cover if cover else 0.0
-                stack.append((child, path_to | {f: (lo, hi, ratio * part)}))
-    return leaves
-
-
 def tree_shap_values(leaves, x: np.ndarray) -> tuple[float, np.ndarray]:
-    """Expected value under the covers and Shapley values (rows, features) of a sum of leaves.
+    """Expected value under the covers and Shapley values (rows, features) of leaves (value, [(feature, low, high, cover ratio)])."""
+    groups = trees.of_paths(leaves)
+    return trees.base_value(groups), trees.shap_values(groups, x)
 
-    For a leaf with path features P, a coalition S sees v * prod_{S} inside * prod_{P - S} ratio; the sums
-    over coalitions by size are the coefficients of a product of linear polynomials.
-    """
-    phi, base = np.zeros_like(x, dtype=float), 0.0
-    for v, path in leaves:
-        if v == 0:
-            continue
-        d = len(path)
-        base += v * math.prod(p[3] for p in path)
-        inside = np.stack([(x[:, f] > lo) & (x[:, f] <= hi) for f, lo, hi, _ in path], axis=1).astype(float) if d else np.zeros((len(x), 0))
-        weights = [math.factorial(s) * math.factorial(d - 1 - s) / math.factorial(d) for s in range(d)]
-        for i, (f, _, _, z) in enumerate(path):
-            poly = np.zeros((len(x), d))
-            poly[:, 0] = 1.0
-            for j, (_, _, _, other) in enumerate(path):
-                if j != i:
-                    shifted = np.concatenate([np.zeros((len(x), 1)), poly[:, :-1]], axis=1)
-                    poly = poly * other + shifted * inside[:, [j]]
-            phi[:, f] += v * (inside[:, i] - z) * (poly @ np.array(weights))
-    return base, phi
-
-
-def _wide_map(rows: DataFrame, features: list[str], run: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """``rows(row_id, features)`` through ``run`` (rows, features) -> values, as long ``(row_id, feature, fidx, value, phi)``."""
-    from pyspark.ml.functions import vector_to_array
 
+def wide_map(rows: DataFrame, features: list[str], run: Callable[[np.ndarray], tuple[np.ndarray, ...]], columns: tuple[str, ...] = ("phi",)) -> DataFrame:
+    """``rows(row_id, features)`` through ``run`` (rows, features) -> an array of that shape for each of ``columns``, as long ``(row_id, feature, fidx, value, columns...)``."""
     names = list(features)
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
                 x = np.stack(pdf["x"].to_numpy())
-                phi = run(x)
                 n = len(names)
-                yield pd.DataFrame({"row_id": np.repeat(pdf["row_id"].to_numpy(), n), "feature": names * len(pdf), "fidx": np.tile(np.arange(n, dtype=np.int32), len(pdf)), "value": x.ravel(), "phi": phi.ravel()})
+                cells = {"row_id": np.repeat(pdf["row_id"].to_numpy(), n), "feature": names * len(pdf), "fidx": np.tile(np.arange(n, dtype=np.int32), len(pdf)), "value": x.ravel()}
+                yield pd.DataFrame(cells | {c: a.ravel() for c, a in zip(columns, run(x), strict=True)})
 
-    return rows.select("row_id", vector_to_array("features").alias("x")).mapInPandas(each, "row_id long, feature string, fidx int, value double, phi double")
+    own = rows.select("row_id", vector_cells(rows, features).alias("x"))
+    return own.mapInPandas(each, "row_id long, feature string, fidx int, value double, " + ", ".join(f"{c} double" for c in columns))
 
 
-def tree_shap(model, rows: DataFrame, features: list[str]) -> tuple[float, DataFrame]:
-    """Base value (expected positive probability) and ``(row_id, feature, fidx, value, phi)``."""
-    leaves = tree_paths(model)
-    base = sum(v * math.prod(p[3] for p in path) for v, path in leaves)
-    return base, _wide_map(rows, features, lambda x: tree_shap_values(leaves, x)[1])
+tree_shap = trees.tree_shap
 
 
 # -- any model -----------------------------------------------------------------
 
 
-def coalitions(m: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Sets of features as rows of truth values, and their weights: all up to ``EXACT_FEATURES`` features, else a sample with complements."""
-    if m <= EXACT_FEATURES:
-        masks = np.array(list(itertools.product([False, True], repeat=m)))[1:-1]
-        return masks, np.array([(m - 1) / (math.comb(m, s) * s * (m - s)) for s in masks.sum(axis=1)])
-    rng = np.random.default_rng(seed)
-    sizes = np.arange(1, m)
-    p = (m - 1) / (sizes * (m - sizes))
-    drawn = rng.choice(sizes, COALITIONS // 2, p=p / p.sum())
-    half = np.array([np.isin(np.arange(m), rng.choice(m, s, replace=False)) for s in drawn])
-    masks = np.concatenate([half, ~half])
-    return masks, np.ones(len(masks))
-
-
-def coalition_solver(masks: np.ndarray, weight: np.ndarray) -> Callable[[np.ndarray, float], np.ndarray]:
-    """(values of the coalitions above the base, gap of the row) -> Shapley values, by weighted least squares under additivity."""
-    a = masks[:, :-1].astype(float) - masks[:, [-1]]
-    solve = np.linalg.pinv(a * np.sqrt(weight)[:, None])
-
-    def values(v: np.ndarray, gap: float) -> np.ndarray:
-        first = solve @ ((v - masks[:, -1] * gap) * np.sqrt(weight))
-        return np.append(first, gap - first.sum())
-
-    return values
-
-
 def kernel_shap_values(predict: Callable[[np.ndarray], np.ndarray], background: np.ndarray, x: np.ndarray, seed: int = 0) -> tuple[float, np.ndarray]:
     """Base and Shapley values of ``predict`` against a background."""
-    m = x.shape[1]
-    base = float(predict(background).mean())
-    if m == 1:
-        return base, predict(x)[:, None] - base
-    masks, weight = coalitions(m, seed)
-    values, full = coalition_solver(masks, weight), predict(x)
-    phi = np.zeros(x.shape)
-    for r in range(len(x)):
-        mixed = np.where(masks[:, None, :], x[r], background[None]).reshape(-1, m)
-        phi[r] = values(predict(mixed).reshape(len(masks), -1).mean(axis=1) - base, full[r] - base)
-    return base, phi
-
-
-def model_shap(model, rows: DataFrame, background: DataFrame, features: list[str], seed: int = 0) -> tuple[float, DataFrame]:
-    """Base and ``(row_id, feature, fidx, value, phi)`` of any fitted model, which scores the mixed rows itself.
-
-    At most ``KERNEL_BACKGROUND`` background rows and ``KERNEL_ROWS`` rows in hash order take part, so the
-    mixed rows are bounded too. They are made and scored in the JVM and averaged by row and coalition.
-    """
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    from . import models, split
-
-    spark, m, names = rows.sparkSession, len(features), list(features)
-    few = split.background_sample(background, KERNEL_BACKGROUND, seed).select(vector_to_array("features").alias("b"))
-    explained = split.background_sample(rows, KERNEL_ROWS, seed).select("row_id", vector_to_array("features").alias("x"))
-    vector = lambda df, c: df.withColumn("features", array_to_vector(c))
-    base = float(models.score(model, vector(few, F.col("b"))).agg(F.avg("margin")).first()[0])
-    full = models.score(model, vector(explained, F.col("x"))).select("row_id", "x", F.col("margin").alias("full"))
-    if m == 1:
-        return base, full.select("row_id", F.lit(names[0]).alias("feature"), F.lit(0).alias("fidx"), F.col("x")[0].alias("value"), (F.col("full") - base).alias("phi"))
-    masks, weight = coalitions(m, seed)
-    values = coalition_solver(masks, weight)
-    table = spark.createDataFrame([(i, [bool(v) for v in row]) for i, row in enumerate(masks)], "mask int, inside array<boolean>")
-    mixed = explained.crossJoin(F.broadcast(table)).crossJoin(F.broadcast(few))  # all three sides are bounded by the limits above
-    cells = F.transform("x", lambda v, i: F.when(F.element_at("inside", i + 1), v).otherwise(F.element_at("b", i + 1)))
-    means = models.score(model, vector(mixed.repartition("row_id", "mask"), cells)).groupBy("row_id", "mask").agg(F.avg("margin").alias("v"))
-    gathered = means.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("mask", "v"))).alias("vs")).join(full, "row_id")
-
-    def solved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for row in pdf.itertuples():
-                phi = values(np.array(row.v, float) - base, row.full - base)
-                yield pd.DataFrame({"row_id": row.row_id, "feature": names, "fidx": np.arange(m, dtype=np.int32), "value": np.array(row.x, float), "phi": phi})
+    return kernel.estimate(predict, background, x, seed)[:2]
 
-    return base, gathered.select("row_id", "x", "full", F.col("vs.v").alias("v")).mapInPandas(solved, "row_id long, feature string, fidx int, value double, phi double")
+
+model_shap = kernel.model_shap
 
 
 def kernel_shap(predict: Callable[[np.ndarray], np.ndarray], background: np.ndarray, rows: DataFrame, features: list[str], seed: int = 0) -> tuple[float, DataFrame]:
-    """At most ``KERNEL_BACKGROUND`` background rows; ``rows`` are to be at most ``KERNEL_ROWS``, as the caller samples."""
-    validate(features, features, None, len(background))
+    """Base and ``(row_id, feature, fidx, value, phi, error)``.
+
+    At most ``KERNEL_BACKGROUND`` background rows; ``rows`` are to be at most ``KERNEL_ROWS``, as the caller samples.
+    """
+    if not len(background):
+        raise ValueError("the background is empty")
     background = background[:KERNEL_BACKGROUND]
-    return float(predict(background).mean()), _wide_map(rows, features, lambda x: kernel_shap_values(predict, background, x, seed)[1])
+    return float(predict(background).mean()), wide_map(rows, features, lambda x: kernel.estimate(predict, background, x, seed)[1:], ("phi", "error"))
 
 
 def coefficients_of(model, features: list[str]) -> DataFrame:
@@ -270,10 +177,8 @@ def coefficients_of(model, features: list[str]) -> DataFrame:
 
 def long_of(rows: DataFrame, features: list[str]) -> DataFrame:
     """``rows(row_id, features vector)`` -> ``(row_id, feature, fidx, value)``."""
-    from pyspark.ml.functions import vector_to_array
-
     names = F.array(*[F.lit(f) for f in features])
-    cells = rows.select("row_id", F.posexplode(vector_to_array("features")).alias("fidx", "value"))
+    cells = rows.select("row_id", F.posexplode(vector_cells(rows, features)).alias("fidx", "value"))
     return cells.select("row_id", F.element_at(names, F.col("fidx") + 1).alias("feature"), "fidx", "value")
 
 
@@ -287,6 +192,8 @@ def explain(model, rows: DataFrame, background: DataFrame, features: list[str],
 
     method = models.kind(model)
     spark = rows.sparkSession
+    for side in (rows, background):
+        vector_cells(side, features)  # refuses other columns, whatever the method
     if method == "tree":
         try:
             base, phi = tree_shap(model, rows, features)
@@ -311,6 +218,7 @@ def case_record(row, attributions: DataFrame, base: DataFrame, method: str, mode
     outputs = spark.createDataFrame([(row.row_id, float(row.margin))], "row_id long, output double")
     check = self_consistency(own, base, outputs, method).first()
     cells = own.orderBy(F.desc(F.abs("phi")), "fidx").collect()  # a row a feature
+    # fixed values: the record's field names
     return {
         "wafer_id": row.row_id, "case": case, "shap_method": method, "output_space": models.output_space(model),
         "y_true": row.y, "y_pred": row.pred, "score": float(row.score), "score_label": models.score_label(model),
@@ -320,20 +228,24 @@ def case_record(row, attributions: DataFrame, base: DataFrame, method: str, mode
 
 
 def report_text(record: dict, contributions: DataFrame, model_name: str) -> str:
-    """The whole report of a record; ``contributions`` as ``ranked_contributions`` gives them."""
-    lines = report_lines(contributions).orderBy("pos").collect()
+    """The whole report of a record, a line a fact; ``contributions`` as ``ranked_contributions`` gives them."""
     state = lambda v: "fail" if v == 1 else "pass"
-    case = f" | case: {record['case']} ({expr.CASES[record['case']]})" if record["case"] else ""
-    gap = abs(record["reconstruction"] - record["explained_output"])
-    out = [
-        f"row {record['wafer_id']}{case}",
-        f"model: {model_name} | method: {record['shap_method']}",
-        f"true state: {state(record['y_true'])}",
-        f"predicted: {state(record['y_pred'])} | displayed score [{record['score_label']}]: {record['score']:.4f}",
-        f"explained space: {record['output_space']} (not to be compared with the displayed score)",
-        f"base ({record['baseline']:.4f}) + sum ({record['reconstruction'] - record['baseline']:.4f}) = {record['reconstruction']:.4f}",
-        f"model output = {record['explained_output']:.4f} | deviation = {gap:.2e} [{'OK' if record['consistency_ok'] else 'beyond tolerance'}]",
-    ]
+    total, gap = record["reconstruction"] - record["baseline"], abs(record["reconstruction"] - record["explained_output"])
+    facts = {
+        "model": model_name,
+        "row": record["wafer_id"],
+        "case": f"{record['case']} ({expr.CASES[record['case']]})" if record["case"] else None,
+        "true state": state(record["y_true"]),
+        "predicted state": state(record["y_pred"]),
+        f"displayed score [{record['score_label']}]": f"{record['score']:.4f}",
+        "method": record["shap_method"],
+        "explained space": f"{record['output_space']} (not to be compared with the displayed score)",
+        "base + contributions": f"{record['baseline']:.4f} + {total:.4f} = {record['reconstruction']:.4f}",
+        "model output": f"{record['explained_output']:.4f}",
+        "deviation": f"{gap:.2e} [{'OK' if record['consistency_ok'] else 'beyond tolerance'}]",
+    }
+    lines = report_lines(contributions).orderBy("pos").collect()
+    out = [f"{k}: {v}" for k, v in facts.items() if v is not None]
     for side, title in (("push", "pushing towards failure"), ("protect", "protecting from failure")):
         own = [r.line for r in lines if r.side == side]
         out += ["", f"top {len(own)} {title}:", *(own or ["  (none)"])]

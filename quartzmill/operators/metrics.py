@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr
+from ..plans.storage import stored
 from . import ranges
 
 
@@ -39,15 +40,21 @@ def rates(conf: DataFrame) -> DataFrame:
     })
 
 
+def score_points(rows: DataFrame, by: list[str] = ()) -> DataFrame:
+    """``(by..., score, tn, fp, fn, tp, p, n)``: the counts of each score, written once; all metrics follow from these. Without predictions, p and n only."""
+    counts = [*(_confusion_aggregates() if "pred" in rows.columns else ()), F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("n")]
+    return stored(rows.groupBy(*by, "score").agg(*counts), "points")
+
+
 def auc(rows: DataFrame, by: list[str] = ()) -> DataFrame:
-    """``(by..., auc)``: the share of (positive, negative) pairs in order, ties one half; null for one class.
+    """``(by..., auc)``: the share of (positive, negative) pairs in order, ties one half; null for one class."""
+    return _area(score_points(rows, by), list(by))
 
-    Equal scores are counted first; their running counts go over ranges of about as many
-    scores each, then within a range, so no window holds all scores.
-    """
-    by = list(by)
-    known = rows.where("y is not null and score is not null")
-    points = known.groupBy(*by, "score").agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("n"))
+
+def _area(points: DataFrame, by: list[str]) -> DataFrame:
+    """AUC from the counts of each score: running counts over ranges of about as many
+    scores each, then within a range, so no window holds all scores."""
+    points = points.where("score is not null and p + n > 0").select(*by, "score", "p", "n")
     cuts = F.broadcast(ranges.cut_points(points, by, "score"))  # a row a group
     joined = points.join(cuts, by) if by else points.crossJoin(cuts)
     placed = joined.withColumn("__b", ranges.range_of(F.col("cuts"), F.col("score"))).drop("cuts")
@@ -62,9 +69,11 @@ def auc(rows: DataFrame, by: list[str] = ()) -> DataFrame:
 
 
 def evaluate(rows: DataFrame, by: list[str] = ()) -> DataFrame:
-    """``(by..., tn, fp, fn, tp, ber, accuracy, precision, recall, f1, auc)``."""
+    """``(by..., tn, fp, fn, tp, ber, accuracy, precision, recall, f1, auc)``, from one pass over ``rows``."""
     by = list(by)
-    table, area = rates(confusion(rows, by)), auc(rows, by)
+    points = score_points(rows, by)
+    cells = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tn", "fp", "fn", "tp")]
+    table, area = rates(points.groupBy(*by).agg(*cells)), _area(points, by)
     return table.join(area, by, "left") if by else table.crossJoin(area)
 
 

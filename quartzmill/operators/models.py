@@ -26,9 +26,10 @@ def logistic(total_weight: float, features_col: str = "features", c: float = 1.0
     )
 
 
-def forest(seed: int, trees: int = 100, depth: int = 30, bins: int = 128) -> RandomForestClassifier:
-    """Depth 30 is Spark's limit; the splits come from histograms of ``bins`` values."""
-    return RandomForestClassifier(featuresCol="features", labelCol="y", weightCol="weight", numTrees=trees, maxDepth=depth, maxBins=bins, seed=seed)
+def forest(seed: int, trees: int = 100, depth: int = 30, bins: int = 128, drawn: bool = True) -> RandomForestClassifier:
+    """Depth 30 is Spark's limit; the splits come from histograms of ``bins`` values. Unless ``drawn``, each tree takes all rows and all features."""
+    how = {} if drawn else {"bootstrap": False, "featureSubsetStrategy": "all"}
+    return RandomForestClassifier(featuresCol="features", labelCol="y", weightCol="weight", numTrees=trees, maxDepth=depth, maxBins=bins, seed=seed, **how)
 
 
 def ridge(total_weight: float, alpha: float = 1.0) -> LinearRegression:

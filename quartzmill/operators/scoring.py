@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import ranges
+from . import elimination, ranges
 
 EULER = 0.5772156649015329
 #: Cells of a matrix that the driver may hold: 64 MB of doubles.
@@ -114,15 +112,17 @@ def vectors(long: DataFrame, features: list[str]) -> DataFrame:
 
 def vector_names(rows: DataFrame) -> list[str] | None:
     """The features behind a vector column in their order, where the column knows them."""
-    return rows.schema["features"].metadata.get("names")
+    from .explain import column_names
+
+    return column_names(rows)
 
 
-def forest_importance(rows: DataFrame, features: list[str], seed: int = 42, trees: int = 100, depth: int = 30) -> DataFrame:
+def forest_importance(rows: DataFrame, features: list[str], seed: int = 42, trees: int = 100, depth: int = 30, drawn: bool = True) -> DataFrame:
     """``(feature, fidx, score)`` of an impurity-based forest with balanced classes; ``rows`` as ``vectors`` gives."""
     from .models import forest
     from .profile import with_class_weight
 
-    model = forest(seed, trees, depth).fit(with_class_weight(rows))
+    model = forest(seed, trees, depth, drawn=drawn).fit(with_class_weight(rows))
     scores = [(f, i, float(model.featureImportances[i])) for i, f in enumerate(features)]
     return rows.sparkSession.createDataFrame(scores, "feature string, fidx int, score double")
 
@@ -130,80 +130,25 @@ def forest_importance(rows: DataFrame, features: list[str], seed: int = 42, tree
 def rfe_ranks(rows: DataFrame, features: list[str], keep: int, step: int = 1, local_cells: int = LOCAL_CELLS) -> DataFrame:
     """``(feature, fidx, rank)``: recursive elimination by the squared logistic coefficient; survivors all rank 1.
 
-    One fit a round, the next depending on the last; the intercept is not penalised, unlike in
-    solvers that treat it as one more coefficient. ``step`` features go a round. A matrix of at most
-    ``local_cells`` cells is fitted in numpy on the driver, each round from the last one's
-    coefficients; a larger one is fitted by Spark, to the same objective. Rows without a class are left out.
+    ``step`` features go a round; squares equal to a millionth are a tie, and the first feature goes. The
+    intercept is not penalised, unlike in solvers that treat it as one more coefficient. One solver
+    (``elimination``) runs on sums over rows, which come from an array on the driver up to ``local_cells`` cells, and from
+    blocks in Spark beyond. Rows without a class are left out; with a single class all coefficients are zero.
     """
-    from .profile import with_class_weight
-
-    data = with_class_weight(rows.where("y is not null")).select("features", "y", "weight").cache()
-    try:
-        n, left, gone = data.count(), list(range(len(features))), []
-        fit = _local_fit(data) if n * len(features) <= local_cells else _spark_fit(data, n)
-        while len(left) > min(keep, len(features)):
-            coef = fit(left)
-            worst = sorted(range(len(left)), key=lambda j: (coef[j] ** 2, left[j]))[: min(step, len(left) - keep)]
-            gone.append([left[j] for j in worst])
-            left = [f for j, f in enumerate(left) if j not in set(worst)]
-    finally:
-        data.unpersist()
-    ranks = dict.fromkeys(left, 1)
-    for r, group in enumerate(reversed(gone), 2):
-        ranks |= dict.fromkeys(group, r)
-    return rows.sparkSession.createDataFrame([(features[i], i, float(r)) for i, r in sorted(ranks.items())], "feature string, fidx int, rank double")
-
-
-def _spark_fit(data: DataFrame, n: int) -> Callable[[list[int]], np.ndarray]:
-    from pyspark.ml.feature import VectorSlicer
-
-    from .models import logistic
-
-    def fit(left: list[int]) -> np.ndarray:
-        sliced = VectorSlicer(inputCol="features", outputCol="slice", indices=left).transform(data)
-        return logistic(n, features_col="slice").fit(sliced).coefficients.toArray()
-
-    return fit
-
-
-def _local_fit(data: DataFrame) -> Callable[[list[int]], np.ndarray]:
     from pyspark.ml.functions import vector_to_array
 
-    got = data.select(vector_to_array("features").alias("x"), "y", "weight").toPandas()
-    x = np.stack(got.x.to_numpy()) if len(got) else np.zeros((0, 0))
-    y, w = got.y.to_numpy(float), got.weight.to_numpy(float)
-    last: dict[int, float] = {}
-    offset = [0.0]
-
-    def fit(left: list[int]) -> np.ndarray:
-        if len(np.unique(y)) < 2:
-            return np.zeros(len(left))
-        start = np.array([last.get(j, 0.0) for j in left] + offset)
-        found = newton_logistic(x[:, left], y, w, start)
-        last.update(zip(left, found))
-        offset[0] = found[-1]
-        return found[:-1]
-
-    return fit
-
-
-def newton_logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, start: np.ndarray, rounds: int = 100) -> np.ndarray:
-    """Coefficients, then the intercept, that minimise the weighted log loss + |b|^2 / 2 by damped Newton steps."""
-    d = np.c_[x, np.ones(len(x))]
-    penalty = np.r_[np.ones(x.shape[1]), 0.0]
-    loss = lambda v: float(w @ (np.logaddexp(0.0, d @ v) - y * (d @ v)) + (penalty * v) @ v / 2)
-    v, at = start.copy(), loss(start)
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(d @ v, -500, 500)))
-        slope = d.T @ (w * (p - y)) + penalty * v
-        curve = (d * (w * p * (1 - p))[:, None]).T @ d
-        curve[np.diag_indices_from(curve)] += penalty + 1e-12
-        move = np.linalg.solve(curve, slope)
-        gain = float(slope @ move)
-        if gain < 1e-14 * max(1.0, abs(at)):
-            return v - move
-        rate = 1.0
-        while (new := loss(v - rate * move)) > at - 1e-4 * rate * gain and rate > 1e-10:
-            rate /= 2
-        v, at = v - rate * move, new
-    return v
+    from .profile import with_class_weight
+
+    data = with_class_weight(rows.where("y is not null")).select(vector_to_array("features").alias("x"), "y", "weight")
+    n, classes = data.agg(F.count("*"), F.count_distinct("y")).first()
+    m = len(features)
+    if classes < 2:
+        order = list(range(m - min(keep, m)))
+        rounds = [order[i : i + step] for i in range(0, len(order), step)] + [list(range(len(order), m))]
+    elif n * m <= local_cells:
+        got = data.toPandas()
+        rounds = elimination.eliminate(elimination.LocalRows(np.stack(got.x.to_numpy()), got.y.to_numpy(float), got.weight.to_numpy(float)), m, keep, step)
+    else:
+        rounds = elimination.eliminate(elimination.SparkRows(data, m), m, keep, step)
+    ranks = [(f, r) for r, group in enumerate(reversed(rounds), 1) for f in group]
+    return rows.sparkSession.createDataFrame([(features[i], i, float(r)) for i, r in sorted(ranks)], "feature string, fidx int, rank double")

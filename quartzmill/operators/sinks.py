@@ -9,22 +9,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_text(text: str, path: str) -> str:
+def write_bytes(data: bytes, path: str) -> str:
     """A small file of the driver's: a local path, or with a scheme any file system that Spark reaches."""
     if "://" in path:
         spark = SparkSession.getActiveSession()
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
         try:
-            out.write(bytearray(text.encode("utf-8")))
+            out.write(bytearray(data))
         finally:
             out.close()
         return path
     Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(text, encoding="utf-8")
+    Path(path).write_bytes(data)
     return path
 
 
+def write_text(text: str, path: str) -> str:
+    return write_bytes(text.encode("utf-8"), path)
+
+
 def write_json(record: dict, path: str) -> str:
     return write_text(json.dumps(record, indent=4, ensure_ascii=False, default=str), path)
 

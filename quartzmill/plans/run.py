@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import charts
 from ..operators import explain as X
 from ..operators import metrics, models, preprocess, profile, ranking, scoring, sinks, split
 from ..sources import sensor_files as S
@@ -91,30 +92,54 @@ def explain_global(model, test: DataFrame, features: list[str], name: str, folde
     if folder:
         meta = {"model": name, "shap_method": method, "output_space": out["output_space"], "random_seed": seed, "background_size": n_background, "n_samples_explained": n}
         sinks.write_json(json.loads(X.importance_json(importance, **meta).first().json), f"{folder}/shap_values_{name}.json")
+        sinks.write_bytes(charts.summary_chart(importance, method), f"{folder}/{summary_file(name)}")
     return out
 
 
-def explain_case(model, row, found: dict, features: list[str], name: str, folder: str | None, background: DataFrame, case: str, seed: int) -> tuple[dict, str | None]:
-    """The record and the report file of one row; a row that the global stage left out is explained by itself."""
+#: Names of the explanation's files.
+def summary_file(name: str) -> str:
+    return f"shap_summary_bar_{name}.png"
+
+
+def case_files(row_id: int, case: str | None) -> tuple[str, str]:
+    """Report and chart of one row."""
+    suffix = f"_{case}" if case else ""
+    return f"shap_explanation_wafer_{row_id}{suffix}.txt", f"shap_contribution_wafer_{row_id}{suffix}.png"
+
+
+def explain_case(model, row, found: dict, features: list[str], name: str, folder: str | None, background: DataFrame, case: str, seed: int) -> tuple[dict, str | None, str | None]:
+    """The record, the report and the chart of one row; a row that the global stage left out is explained by itself."""
     phi, base, method = found["phi"], found["base"], found["shap_method"]
     if phi.where(F.col("row_id") == row.row_id).isEmpty():
         one = row_frame(background, row)
         phi, base, method = X.explain(model, one, background, features, seed)
     record = X.case_record(row, phi, base, method, model, case)
     if not folder:
-        return record, None
-    report = f"shap_explanation_wafer_{row.row_id}_{case}.txt"
-    text = X.report_text(record, X.ranked_contributions(phi.where(F.col("row_id") == row.row_id)), name)
-    sinks.write_text(text, f"{folder}/{report}")
-    return record, report
+        return record, None, None
+    own = phi.where(F.col("row_id") == row.row_id)
+    report, plot = case_files(row.row_id, case)
+    sinks.write_text(X.report_text(record, X.ranked_contributions(own), name), f"{folder}/{report}")
+    sinks.write_bytes(charts.contribution_chart(X.plot_bars(own), row.row_id, method, case), f"{folder}/{plot}")
+    return record, report, plot
+
+
+#: Names and kinds of the manifest's fields.
+MANIFEST = """enabled boolean, status string, reason string, error string, run_tag string, model string, random_seed long, background_size long, shap_method string, output_space string,
+    global struct<png: string, json: string, n_samples_explained: long>,
+    cases map<string, struct<status: string, reason: string, error: string, wafer_id: long, report: string, plot: string, output_space: string, consistency_ok: boolean, deviation: double>>"""
+
+
+def manifest_frame(spark: SparkSession, manifests: list[dict]) -> DataFrame:
+    """Manifests as rows, cases as a map; absent fields are null."""
+    return spark.createDataFrame([(json.dumps(m, default=str),) for m in manifests], "json string").select(F.from_json("json", MANIFEST).alias("m")).select("m.*")
 
 
 def row_frame(like: DataFrame, row) -> DataFrame:
     return like.sparkSession.createDataFrame([(row.row_id, row.y, row.features)], like.select("row_id", "y", "features").schema)
 
 
-def explain_stage(fitted: dict, best: str, train: DataFrame, test: DataFrame, features: list[str], cfg: dict, folder: str | None, tag: str) -> dict:
-    """Global and single-row attributions of the best model; the manifest is written whatever happens."""
+def explain_stage(fitted: dict, best: str, train: DataFrame, test: DataFrame, features: list[str], cfg: dict, folder: str | None, tag: str, case_of=explain_case) -> dict:
+    """Global and single-row attributions of the best model; the manifest is written whatever happens. ``case_of`` makes a case's record and files."""
     ex, seed = cfg["explain"], cfg["random_state"]
     if not ex["enabled"]:
         manifest = {"enabled": False, "status": "disabled", "reason": "config explain.enabled=false", "run_tag": tag}
@@ -128,11 +153,11 @@ def explain_stage(fitted: dict, best: str, train: DataFrame, test: DataFrame, fe
         model = fitted[best]
         found = explain_global(model, test, features, name, folder, background, seed)
         manifest |= {k: found[k] for k in ("background_size", "shap_method", "output_space")}
-        manifest["global"] = {"json": f"shap_values_{name}.json", "n_samples_explained": found["n_samples_explained"]}
+        manifest["global"] = {"png": summary_file(name), "json": f"shap_values_{name}.json", "n_samples_explained": found["n_samples_explained"]}
         scored = models.score(model, test)
         cases = {r.case: r.row_id for r in metrics.pick_cases(scored).collect()}
         for case in ("TP", "FN"):
-            manifest["cases"][case] = _case_entry(case, cases.get(case), scored, model, found, features, name, folder, background, seed, manifest["cases"])
+            manifest["cases"][case] = _case_entry(case, cases.get(case), scored, model, found, features, name, folder, background, seed, manifest["cases"], case_of)
         manifest["status"] = "ok"
     except Exception as error:
         manifest["error"] = str(error)
@@ -144,17 +169,17 @@ def explain_stage(fitted: dict, best: str, train: DataFrame, test: DataFrame, fe
     return manifest
 
 
-def _case_entry(case: str, row_id, scored: DataFrame, model, found: dict, features: list[str], name: str, folder: str | None, background: DataFrame, seed: int, entries: dict) -> dict:
+def _case_entry(case: str, row_id, scored: DataFrame, model, found: dict, features: list[str], name: str, folder: str | None, background: DataFrame, seed: int, entries: dict, case_of=explain_case) -> dict:
     if row_id is None:
         return {"status": "skipped", "reason": f"no {case} row in the test set"}
     try:
         row = scored.where(F.col("row_id") == row_id).first()
-        record, report = explain_case(model, row, found, features, name, folder, background, case, seed)
+        record, report, plot = case_of(model, row, found, features, name, folder, background, case, seed)
     except Exception as error:
         entries[case] = {"status": "failed", "error": str(error)}
         raise
     return {
-        "status": "generated", "wafer_id": record["wafer_id"], "report": report, "output_space": record["output_space"],
+        "status": "generated", "wafer_id": record["wafer_id"], "report": report, "plot": plot, "output_space": record["output_space"],
         "consistency_ok": record["consistency_ok"], "deviation": abs(record["reconstruction"] - record["explained_output"]), "record": record,
     }
 

@@ -65,10 +65,22 @@ def parse_feature_lines(lines: DataFrame, line_no: str = "line_no", value: str =
     return lines.select(line_no, found.alias("feature")).where("feature <> ''")
 
 
+def small_text(path: str) -> str | None:
+    """A small file of the driver's: a local path, or with a scheme any file system that Spark reaches; None if it is not there."""
+    if "://" not in path:
+        return Path(path).read_text(encoding="utf-8") if Path(path).is_file() else None
+    spark = SparkSession.getActiveSession()
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+        return None
+    return spark.read.text(path, wholetext=True).first()[0]
+
+
 def read_feature_list(spark: SparkSession, path: str) -> list[str]:
-    if not Path(path).is_file():
+    text = small_text(path)
+    if text is None:
         raise FileNotFoundError(path)
-    lines = numbered(spark.read.text(path)).withColumnRenamed("row_id", "line_no")
+    lines = spark.createDataFrame(list(enumerate(text.splitlines())), "line_no int, value string")
     found = [r.feature for r in parse_feature_lines(lines).orderBy("line_no").collect()]
     if not found:
         raise ValueError(f"no feature names in {path}")
@@ -78,27 +90,25 @@ def read_feature_list(spark: SparkSession, path: str) -> list[str]:
 def read_feature_map(path: str) -> dict[str, str]:
     import yaml
 
-    if not Path(path).is_file():
-        return {}
-    return {str(k): str(v) for k, v in (yaml.safe_load(Path(path).read_text(encoding="utf-8")) or {}).items()}
+    return {str(k): str(v) for k, v in (yaml.safe_load(small_text(path) or "") or {}).items()}
 
 
 def read_config(path: str) -> dict:
     import yaml
 
-    if not Path(path).is_file():
+    text = small_text(path)
+    if text is None:
         raise FileNotFoundError(path)
-    return yaml.safe_load(Path(path).read_text(encoding="utf-8"))
+    return yaml.safe_load(text)
 
 
 def read_secrets(path: str, names: list[str]) -> dict[str, str | None]:
     """Values of a ``NAME=value`` file over the environment; None where absent."""
     found = dict(os.environ)
-    if Path(path).is_file():
-        for line in Path(path).read_text(encoding="utf-8").splitlines():
-            name, eq, value = line.partition("=")
-            if eq and not name.lstrip().startswith("#"):
-                found[name.strip()] = value.strip().strip("\"'")
+    for line in (small_text(path) or "").splitlines():
+        name, eq, value = line.partition("=")
+        if eq and not name.lstrip().startswith("#"):
+            found[name.strip()] = value.strip().strip("\"'")
     return {n: found.get(n) for n in names}
 
 
@@ -108,7 +118,7 @@ def resolved(path: str, root: str) -> str:
 
 def read_baseline(spark: SparkSession, path: str) -> DataFrame:
     """``(model, metric, value)`` of a metrics file; entries that are not objects are skipped."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     models = F.from_json("value", "map<string, string>")
     entries = raw.select(F.explode(models).alias("model", "body")).where(F.col("body").startswith("{"))
     return entries.select("model", F.explode(F.from_json("body", "map<string, double>")).alias("metric", "value"))

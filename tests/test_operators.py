@@ -80,7 +80,7 @@ def test_files(spark, tmp_path):
         S.read_feature_list(spark, str(tmp_path / "e.txt"))
     with pytest.raises(FileNotFoundError):
         S.read_feature_list(spark, str(tmp_path / "no.txt"))
-    (tmp_path / "b.json").write_text(json.dumps({"_note": "x", "m": {"AUC": 0.5, "f1": None}}))
+    (tmp_path / "b.json").write_text(json.dumps({"_note": "x", "m": {"AUC": 0.5, "f1": None}}, indent=4))
     got = {(r.model, r.metric): r.value for r in S.read_baseline(spark, str(tmp_path / "b.json")).collect()}
     assert got == {("m", "AUC"): 0.5, ("m", "f1"): None}
     assert S.read_feature_map(str(tmp_path / "no.yaml")) == {}
@@ -432,6 +432,7 @@ def test_full_run(spark, tmp_path):
     assert len(values["features"]) == 3 and values["shap_method"] == "linear"
     written = next(tmp_path.glob("metrics_*.json"))
     again = R.run(spark, wide_rows(spark), cfg | {"reproducibility": {"baseline_path": str(written)}, "preprocessing": {"fit_on_train_only": False}, "explain": {"enabled": False}})
+    assert len(again["baseline_report"]) == 7 and all(r["ok"] and r["diff"] == 0 for r in again["baseline_report"])
     assert again["baseline_ok"] is True and again["explain"]["status"] == "disabled" and sinks.exit_code(again["baseline_ok"]) == 0
     assert sinks.summary({"m": {"AUC": None, "f1": 0.5}}) == ["m: AUC=N/A, f1=0.500"]
 

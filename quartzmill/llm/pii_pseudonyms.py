@@ -15,18 +15,19 @@ image under a keyed permutation of its own format:
   numbers permute valid area and group-serial numbers; IPv4 addresses permute the octets of as
   many digits each, IPv6 addresses their hexadecimal digits; IBANs permute the digits behind the
   check digits, which are worked out again, and keep country and letters; North American phone
-  numbers permute ten digits behind the country code, others (with a plus sign, 8 to 15 digits) all behind
-  the first two or the first separator; e-mail names permute their letters and their digits
+  numbers permute area and exchange within 200 to 999 and the last four digits (ten digits, where area or exchange is none of those),
+  others (with a plus sign, 8 to 15 digits) all behind the country's calling code, however they are separated; e-mail names permute their letters and their digits
   (the domain stays), secrets their hexadecimal digits, in pieces of up to 24. A piece of one
   character is permuted by the keyed order of its alphabet.
   Punctuation and case of letters stay in place.
 
 Not covered, as nothing validates them: phone numbers of digits alone or without an area code,
-names and postal addresses, hexadecimal secrets of over 64 digits.
+names and postal addresses, hexadecimal secrets of over 64 digits, IPv6 addresses that begin with ``::``, hardware addresses.
 
-The key is a parameter. Queries and the pipeline take it from ``spark.quartzmill.pii.key``; where that is
+The key is a parameter. Queries and the pipeline take it from ``spark.quartzmill.pii.secret`` (a name that Spark redacts where it shows settings); where that is
 not set, a random key is made once for the application, so nobody can invert its pseudonyms, and they
-link documents within it but not with those of another.
+link documents within it but not with those of another.  The key is a scalar subquery over a table of one row, so it is
+no literal of the plan and stands in no explanation, user interface or event log of the query.
 
 No row is moved: the plan is a scan and a projection.
 
@@ -46,7 +47,7 @@ from pyspark.sql import functions as F
 
 ROUNDS = 8
 PIECE = 24
-KEY_SETTING = "spark.quartzmill.pii.key"
+KEY_SETTING = "spark.quartzmill.pii.secret"
 
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"
 ISO_DATE = r"(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d-])"
@@ -67,12 +68,12 @@ _LETTERS, _DIGITS26 = "abcdefghijklmnopqrstuvwxyz", "0123456789abcdefghijklmnop"
 _EPOCH, _CYCLE = "1600-01-01", (189, 773)
 
 
-def _round(key: str, tweak: Column, i: Column, value: Column) -> Column:
-    digest = F.sha2(F.concat_ws("|", F.lit(key), tweak, i.cast("string"), value.cast("string")), 256)
+def _round(key: Column, tweak: Column, i: Column, value: Column) -> Column:
+    digest = F.sha2(F.concat_ws("|", key, tweak, i.cast("string"), value.cast("string")), 256)
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
-def feistel(key: str, tweak: Column, x: Column, y: Column, range_x: Column, range_y: Column) -> Column:
+def feistel(key: Column, tweak: Column, x: Column, y: Column, range_x: Column, range_y: Column) -> Column:
     """struct(x, y): the keyed permutation of range_x * range_y, each below 2**62."""
     both = lambda a, b: F.struct(a.alias("x"), b.alias("y"))
 
@@ -89,7 +90,7 @@ def _with(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def digits(key: str, kind: str, s: Column, base: int) -> Column:
+def digits(key: Column, kind: str, s: Column, base: int) -> Column:
     """A string of digits of a base, permuted within its length in pieces of ``PIECE``."""
 
     def piece(at: Column) -> Column:
@@ -156,7 +157,7 @@ def _luhn(payload: Column) -> Column:
     return F.pmod(-total, F.lit(10)).cast("string")
 
 
-def _card(key: str, m: Column) -> Column:
+def _card(key: Column, m: Column) -> Column:
     def number(d: Column) -> Column:
         payload = F.substring(d, F.lit(1), F.length(d) - 1)
         new = digits(key, "card", payload, 10)
@@ -165,7 +166,7 @@ def _card(key: str, m: Column) -> Column:
     return _with(_only_digits(m), number)
 
 
-def _date(key: str, m: Column, form: str) -> Column:
+def _date(key: Column, m: Column, form: str) -> Column:
     first = F.lit(_EPOCH).cast("date")
     cycle = _CYCLE[0] * _CYCLE[1]
 
@@ -181,7 +182,7 @@ def _date(key: str, m: Column, form: str) -> Column:
     return _with(parsed, lambda d: F.when(F.year(d).between(1600, 9599), day(d)))
 
 
-def _ssn(key: str, m: Column) -> Column:
+def _ssn(key: Column, m: Column) -> Column:
     area, group, serial = (F.substring(m, a, n).cast("int") for a, n in ((1, 3), (5, 2), (8, 4)))
     valid = (area > 0) & (area != 666) & (area < 900) & (group > 0) & (serial > 0)
     x = area - 1 - (area > 666).cast("int")
@@ -190,7 +191,7 @@ def _ssn(key: str, m: Column) -> Column:
     return F.when(valid, text)
 
 
-def _ipv4(key: str, m: Column) -> Column:
+def _ipv4(key: Column, m: Column) -> Column:
     """Octets keep their number of digits: 0-9, 10-99 and 100-255 are ranges of their own."""
 
     def least(o: Column) -> Column:
@@ -213,17 +214,26 @@ def _ipv4(key: str, m: Column) -> Column:
     return _with(F.split(m, r"\."), address)
 
 
-def _phone(key: str, m: Column) -> Column:
-    national = F.substring(_only_digits(m), -10, 10)
-    country = F.substring(_only_digits(m), F.lit(1), F.length(_only_digits(m)) - 10)
-    return _fill(m, F.lit(""), F.concat(country, digits(key, "phone", national, 10)))
+def _phone(key: Column, m: Column) -> Column:
+    """Area and exchange of 200 to 999 stay in that range; others, which no network gives, are permuted as digits."""
+    every = _only_digits(m)
+    national = F.substring(every, -10, 10)
+    country = F.substring(every, F.lit(1), F.length(every) - 10)
+    area, exchange, line = (F.substring(national, at, n).cast("int") for at, n in ((1, 3), (4, 3), (7, 4)))
+    out = feistel(key, F.lit("nanp"), (area - 200) * 800 + exchange - 200, line, F.lit(640_000), F.lit(10_000))
+    valid = _with(out, lambda o: F.format_string("%03d%03d%04d", F.floor(o["x"] / 800) + 200, F.pmod(o["x"], F.lit(800)) + 200, o["y"]))
+    new = F.when((area >= 200) & (exchange >= 200), valid).otherwise(digits(key, "phone", national, 10))
+    return _fill(m, F.lit(""), F.concat(country, new))
+
 
+#: Country calling codes of two digits; those that begin with 1 or 7 have one, all others three.
+CALLING = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
 
-def _world_phone(key: str, m: Column) -> Column:
+
+def _world_phone(key: Column, m: Column) -> Column:
     every = _only_digits(m)
-    head = F.length(F.regexp_extract(m, r"^\+(\d{1,3})[ .(-]", 1))
-    country = F.substring(every, F.lit(1), F.when(head > 0, head).otherwise(2))
-    new = F.concat(country, digits(key, "phone", F.substring(every, F.length(country) + 1, F.length(every)), 10))
+    head = F.when(F.substring(every, 1, 1).isin("1", "7"), 1).when(F.substring(every, 1, 2).isin(*CALLING), 2).otherwise(3)
+    new = F.concat(F.substring(every, F.lit(1), head), digits(key, "phone", F.substring(every, head + 1, F.length(every)), 10))
     return F.when(F.length(every).between(8, 15), _fill(m, F.lit(""), new))
 
 
@@ -238,7 +248,7 @@ def _iban_check(account: Column, country: Column) -> Column:
     return F.lpad((98 - rest).cast("string"), 2, F.lit("0"))
 
 
-def _iban(key: str, m: Column) -> Column:
+def _iban(key: Column, m: Column) -> Column:
     def number(flat: Column) -> Column:
         country, account = F.substring(flat, 1, 2), F.substring(flat, F.lit(5), F.length(flat))
 
@@ -252,7 +262,7 @@ def _iban(key: str, m: Column) -> Column:
     return _with(F.regexp_replace(m, " ", ""), number)
 
 
-def _ipv6(key: str, m: Column) -> Column:
+def _ipv6(key: Column, m: Column) -> Column:
     flat = F.lower(F.regexp_replace(m, ":", ""))
     groups = F.size(F.filter(F.split(m, ":"), lambda g: g != ""))
     valid = m.rlike("[0-9]") & ((groups == 8) | (m.contains("::") & (groups < 8)))
@@ -260,19 +270,19 @@ def _ipv6(key: str, m: Column) -> Column:
     return F.when(valid, F.when(m == F.lower(m), new).otherwise(F.upper(new)))
 
 
-def _email(key: str, m: Column) -> Column:
+def _email(key: Column, m: Column) -> Column:
     name = F.substring_index(m, "@", 1)
     letters = F.regexp_replace(F.lower(name), "[^a-z]", "")
     new = F.translate(digits(key, "email", F.translate(letters, _LETTERS, _DIGITS26), 26), _DIGITS26, _LETTERS)
     return F.concat(_fill(name, new, digits(key, "email", _only_digits(name), 10)), F.substring(m, F.length(name) + 1, F.length(m)))
 
 
-def _secret(key: str, m: Column) -> Column:
+def _secret(key: Column, m: Column) -> Column:
     new = digits(key, "secret", F.lower(m), 16)
     return F.when(m == F.lower(m), new).otherwise(F.upper(new))
 
 
-def pseudonym(key: str, m: Column) -> Column:
+def pseudonym(key: Column, m: Column) -> Column:
     """struct(kind, value) of a find; value null if it is not valid."""
     whole = lambda p: m.rlike(f"^(?:{p})$")
     kinds = [
@@ -299,12 +309,11 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", report: bool
     """``docs`` with the text column replaced; with ``report`` also ``n_values`` and ``values``."""
     if not key:
         raise ValueError("pseudonyms need a secret key")
-    text = F.col(text_col)
-    has = F.coalesce(text.rlike("[0-9@]") & text.rlike(ANY), F.lit(False))
-
-    finds = F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda m: F.struct(m.alias("was"), pseudonym(key, m).alias("new")))
+    text, secret = F.col(text_col), F.col("__key")
+    finds = F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda m: F.struct(m.alias("was"), pseudonym(secret, m).alias("new")))
     none = F.array().cast("array<struct<was: string, new: struct<kind: string, value: string>>>")
-    found = docs.withColumn("__finds", F.when(has, finds).otherwise(none))
+    held = docs.sparkSession.createDataFrame([(key,)], "key string").scalar()
+    found = docs.withColumn("__key", held).withColumn("__finds", F.when(F.coalesce(text.rlike("[0-9@]"), F.lit(False)), finds).otherwise(none))
     news = F.transform("__finds", lambda f: F.coalesce(f["new"]["value"], f["was"]))
     rest = F.split(text, ANY, -1)
     joined = F.array_join(F.zip_with(rest, F.concat(news, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")

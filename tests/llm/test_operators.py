@@ -1,8 +1,10 @@
 """Operators 1-9 on odd rows and against plain versions."""
 
+import datetime
 import hashlib
 import random
 import re
+import string
 from collections import Counter
 
 import numpy as np
@@ -261,9 +263,9 @@ def test_feistel_is_a_permutation(spark):
     from pyspark.sql import functions as F
 
     n = 7 * 11
-    df = spark.range(n).select(pii_pseudonyms.feistel("k", F.lit("t"), F.floor(F.col("id") / 11), F.col("id") % 11, F.lit(7), F.lit(11)).alias("o"))
+    df = spark.range(n).select(pii_pseudonyms.feistel(F.lit("k"), F.lit("t"), F.floor(F.col("id") / 11), F.col("id") % 11, F.lit(7), F.lit(11)).alias("o"))
     assert len({(r.o.x, r.o.y) for r in df.collect()}) == n
-    every = spark.range(1000).select(pii_pseudonyms.digits("k", "t", F.lpad(F.col("id").cast("string"), 3, "0"), 10).alias("o"))
+    every = spark.range(1000).select(pii_pseudonyms.digits(F.lit("k"), "t", F.lpad(F.col("id").cast("string"), 3, "0"), 10).alias("o"))
     assert len({r.o for r in every.collect()}) == 1000
 
 
@@ -319,7 +321,7 @@ def test_digits_against_plain_feistel(spark):
 
     cases = ["7", "42", "00123", "9" * 24, "1234567890" * 3]
     df = spark.createDataFrame([(c,) for c in cases], "s string")
-    got = [r.o for r in df.select(pii_pseudonyms.digits(KEY, "t", F.col("s"), 10).alias("o")).collect()]
+    got = [r.o for r in df.select(pii_pseudonyms.digits(F.lit(KEY), "t", F.col("s"), 10).alias("o")).collect()]
     for case, new in zip(cases, got, strict=True):
         want = ""
         for at in range(0, len(case), pii_pseudonyms.PIECE):
@@ -339,6 +341,146 @@ def test_digits_against_plain_feistel(spark):
         assert new == want
 
 
+def plain_pair(tweak, x, y, rx, ry):
+    for i in range(1, pii_pseudonyms.ROUNDS + 1):
+        if i % 2:
+            x = (x + plain_round(KEY, tweak, i, y) % rx) % rx
+        else:
+            y = (y + plain_round(KEY, tweak, i, x) % ry) % ry
+    return x, y
+
+
+def plain_digits(kind, s, base=10):
+    out, alphabet = "", "0123456789abcdefghijklmnopqrstuvwxyz"
+    for at in range(0, len(s), pii_pseudonyms.PIECE):
+        p, tweak = s[at : at + pii_pseudonyms.PIECE], f"{kind}:{len(s)}:{at // pii_pseudonyms.PIECE}"
+        if len(p) == 1:
+            out += alphabet[sorted(range(base), key=lambda v: plain_round(KEY, tweak, 0, v))[int(p, base)]]
+            continue
+        left = len(p) // 2
+        for v, n in zip(plain_pair(tweak, int(p[:left], base), int(p[left:], base), base**left, base ** (len(p) - left)), (left, len(p) - left), strict=True):
+            text = ""
+            for _ in range(n):
+                v, d = divmod(v, base)
+                text = alphabet[d] + text
+            out += text
+    return out
+
+
+def refill(shape, letters, numbers):
+    take = {"d": iter(numbers), "l": iter(letters)}
+    new = [next(take["d"]) if c in string.digits else (next(take["l"]) if c in string.ascii_letters else c) for c in shape]
+    return "".join(n.upper() if c in string.ascii_uppercase else n for c, n in zip(shape, new, strict=True))
+
+
+def plain_date(m, form):
+    try:
+        day = datetime.datetime.strptime(m, form).date()
+    except ValueError:
+        return None
+    if not 1600 <= day.year <= 9599:
+        return None
+    era, within = divmod((day - datetime.date(1600, 1, 1)).days, 189 * 773)
+    x, y = plain_pair(f"date:{era}", *divmod(within, 773), 189, 773)
+    new = datetime.date(1600, 1, 1) + datetime.timedelta(days=era * 189 * 773 + x * 773 + y)
+    return form.replace("%Y", f"{new.year:04d}").replace("%m", f"{new.month:02d}").replace("%d", f"{new.day:02d}")
+
+
+def plain_pseudonym(m):
+    """One find, or None if it is not valid."""
+    every = re.sub("[^0-9]", "", m)
+    if "@" in m:
+        name = m.partition("@")[0]
+        letters = re.sub("[^a-z]", "", name.lower())
+        coded = plain_digits("email", "".join("0123456789abcdefghijklmnop"[ord(c) - 97] for c in letters), 26)
+        return refill(name, "".join(chr(97 + "0123456789abcdefghijklmnop".index(c)) for c in coded), plain_digits("email", re.sub("[^0-9]", "", name))) + m[len(name) :]
+    if re.fullmatch(r"\d{4}-\d{2}-\d{2}", m, re.A):
+        return plain_date(m, "%Y-%m-%d")
+    if re.fullmatch("[0-9A-Fa-f]*:[0-9A-Fa-f:]+", m):
+        groups = [g for g in m.split(":") if g]
+        if not any(c.isdigit() for c in m) or not (len(groups) == 8 or "::" in m and len(groups) < 8):
+            return None
+        take = iter(plain_digits("ipv6", m.lower().replace(":", ""), 16))
+        new = "".join(next(take) if c != ":" else c for c in m)
+        return new if m == m.lower() else new.upper()
+    if re.fullmatch(r"\d{2}/\d{2}/\d{4}", m, re.A):
+        return plain_date(m, "%m/%d/%Y") or plain_date(m, "%d/%m/%Y")
+    if re.fullmatch(r"\d{2}\.\d{2}\.\d{4}", m, re.A):
+        return plain_date(m, "%d.%m.%Y")
+    if re.fullmatch(r"(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}", m, re.A):
+        country, area, exchange, line = every[:-10], int(every[-10:-7]), int(every[-7:-4]), int(every[-4:])
+        if area < 200 or exchange < 200:
+            return refill(m, "", country + plain_digits("phone", every[-10:]))
+        x, y = plain_pair("nanp", (area - 200) * 800 + exchange - 200, line, 640_000, 10_000)
+        return refill(m, "", f"{country}{x // 800 + 200:03d}{x % 800 + 200:03d}{y:04d}")
+    if m.startswith("+"):
+        head = 1 if every[0] in "17" else 2 if every[:2] in pii_pseudonyms.CALLING else 3
+        return refill(m, "", every[:head] + plain_digits("phone", every[head:])) if 8 <= len(every) <= 15 else None
+    if re.fullmatch(r"[A-Z]{2}\d{2}[A-Z0-9 ]+", m, re.A):
+        flat = m.replace(" ", "")
+        if not 15 <= len(flat) <= 34 or mod97(flat) != 1 or not 2 <= int(flat[2:4]) <= 98:
+            return None
+        account = flat[4:]
+        new = refill(account, re.sub("[^a-z]", "", account.lower()), plain_digits("iban", re.sub("[^0-9]", "", account)))
+        check = 98 - mod97(flat[:2] + "00" + new)
+        take = iter(f"{flat[:2]}{check:02d}{new}")
+        return "".join(next(take) if c != " " else c for c in m)
+    if re.fullmatch(r"\d{3}-\d{2}-\d{4}", m, re.A):
+        a, g, n = (int(v) for v in m.split("-"))
+        if not 0 < a < 900 or a == 666 or not g or not n:
+            return None
+        x, y = plain_pair("ssn", a - 1 - (a > 666), (g - 1) * 9999 + n - 1, 898, 99 * 9999)
+        return f"{x + 1 + (x >= 665):03d}-{y // 9999 + 1:02d}-{y % 9999 + 1:04d}"
+    if re.fullmatch(r"\d{13,19}|\d{4}[ -].*", m, re.A):
+        if not luhn(every):
+            return None
+        new = plain_digits("card", every[:-1])
+        return refill(m, "", next(new + c for c in string.digits if luhn(new + c)))
+    if "." in m:
+        octets = m.split(".")
+        if any(int(o) > 255 or len(o) > 1 and o[0] == "0" for o in octets):
+            return None
+        low, many = [{1: 0, 2: 10, 3: 100}[len(o)] for o in octets], [{1: 10, 2: 90, 3: 156}[len(o)] for o in octets]
+        a, b, c, d = (int(o) - lo for o, lo in zip(octets, low, strict=True))
+        x, y = plain_pair("ipv4:" + "".join(str(len(o)) for o in octets), a * many[1] + b, c * many[3] + d, many[0] * many[1], many[2] * many[3])
+        return ".".join(str(v + lo) for v, lo in zip((x // many[1], x % many[1], y // many[3], y % many[3]), low, strict=True))
+    new = plain_digits("secret", m.lower(), 16)
+    return new if m == m.lower() else new.upper()
+
+
+def test_pseudonyms_against_a_plain_version(spark, sf_dir):
+    rng = random.Random(17)
+    made = ["+372 5551234", "+3725551234", "+7 495 123 4567", "+39 06 1234 5678", "(415) 830-1636", "415-830-1636", "+1 415 830 1636", "011-22-3333", "(115) 030-1636", "1.2.3.4", "10.200.3.255", "01.2.3.4", "jo.e1@x.org", "A_B@ex.co.uk", "666-11-2222"]
+    made += [f"{rng.randint(1, 99):02d}/{rng.randint(1, 31):02d}/{rng.randint(1500, 9999)}" for _ in range(60)] + [f"{rng.randint(1, 31):02d}.{rng.randint(1, 12):02d}.{rng.randint(1590, 2100)}" for _ in range(30)]
+    made += [f"{rng.randint(0, 999):03d}-{rng.randint(0, 99):02d}-{rng.randint(0, 9999):04d}" for _ in range(40)] + [".".join(str(rng.randint(0, 300)) for _ in range(4)) for _ in range(40)]
+    made += ["".join(rng.choice("0123456789") for _ in range(rng.randint(13, 19))) for _ in range(60)] + ["".join(rng.choice("0123456789abcdef") for _ in range(rng.randint(32, 64))) for _ in range(10)]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    rows = docs.union(spark.createDataFrame([(-i - 1, f"see {x}, and ({x})") for i, x in enumerate(made)], "doc_id long, text string"))
+    finder, finds = re.compile(pii_pseudonyms.ANY, re.A), 0
+    got = {r.doc_id: r.text for r in pii_pseudonyms.pseudonymise(rows, KEY).collect()}
+    for r in rows.collect():
+        want = finder.sub(lambda m: plain_pseudonym(m[0]) or m[0], r.text)
+        finds += want != r.text
+        assert got[r.doc_id] == want, (r.doc_id, r.text[:200])
+    assert finds > 100
+
+
+def test_equal_numbers_stay_linked_and_the_key_stays_out_of_plans(spark):
+    forms = ["+372 5551234", "+3725551234", "+372-555-1234", "(415) 830-1636", "415 830 1636", "+1 415.830.1636"]
+    df = spark.createDataFrame([(i, f"call {f} now") for i, f in enumerate(forms)], "doc_id long, text string")
+    out = pii_pseudonyms.pseudonymise(df, KEY)
+    new = [re.sub("[^0-9]", "", r.text) for r in out.orderBy("doc_id").collect()]
+    assert new[0] == new[1] == new[2] and new[0].startswith("372") and new[3] == new[4] == new[5][1:]
+    assert int(new[3][:3]) >= 200 and int(new[3][3:6]) >= 200
+    shown = out._jdf.queryExecution().toString()
+    assert KEY not in shown and "__key" in shown
+    spark.conf.set(pii_pseudonyms.KEY_SETTING, KEY)
+    try:
+        assert KEY not in spark._jsparkSession.sessionState().conf().redactOptions(spark._jsparkSession.sessionState().conf().getAllConfs()).toString()
+    finally:
+        spark.conf.unset(pii_pseudonyms.KEY_SETTING)
+
+
 # -- 5 SentencePiece ------------------------------------------------------------------
 
 

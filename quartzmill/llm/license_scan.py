@@ -1,17 +1,20 @@
 """Licence scan by a positional index of rare words (operator 9).
 
-Templates are windows of public licence notices, their short titles and SPDX lines; a
+Templates are windows of public licence notices and their short titles; a
 notice of many words is cut into windows of about ``WINDOW`` words, each a template of its own.
-The ``ANCHORS`` rarest words of a template's mandatory phrases are posted with their positions,
-rarity being the inverse document frequency of the template words over all files of the scan. A
-file's words are looked up in the index, rarest first; a word at
-position p posted for a template at position q votes for the template to start at
-p - q, so the postings are intersected by relative position.  Starts where all anchors agree but for
-``MISSING`` are verified: every mandatory key phrase must stand in its place word for word, and the
+The ``ANCHORS`` rarest words of a template's mandatory phrases are its anchors,
+rarity being the inverse document frequency of the template words over all files of the scan.  All anchors must
+agree but for ``MISSING``, so one of the ``MISSING`` + 1 rarest must: only these are posted, with their
+positions, and of a file's words only those are looked up, rarest first.  A word at position p posted for a template
+at position q gives the start p - q; the other anchors are intersected there by relative position.  What
+agrees is verified: every mandatory key phrase must stand in its place word for word, and the
 agreeing words must carry ``AGREE`` of the template's weight.
 
 The phrases of ``BASE`` are templates that are mandatory throughout, all of whose anchors must
-agree, so every place where one stands is found.
+agree, so every place where one stands is found by its rarest word.
+
+Behind the words of ``TRIGGERS``, such as an SPDX line's, names of licences are read one after another, joined by and,
+or, with; the longest name that fits counts, with "or later" or "only" behind it.
 
 Defined cases: null counts as the empty text; no match gives zero places, null
 first and last word, empty label strings and score 0; repeated rows and null ids
@@ -58,6 +61,8 @@ NOTICES = [
     ("gpl-3.0", "it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license", ["terms of the gnu general public license", "either version 3 of the license"]),
     ("gpl-2.0", "licensed under the gnu general public license version 2", ["gnu general public license version 2"]),
     ("gpl-2.0", "it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license", ["terms of the gnu general public license", "either version 2 of the license"]),
+    ("gpl-3.0", "it under the terms of the gnu general public license as published by the free software foundation either version 3 or at your option any later version", ["terms of the gnu general public license", "either version 3 or at your option"]),
+    ("gpl-2.0", "it under the terms of the gnu general public license as published by the free software foundation either version 2 or at your option any later version", ["terms of the gnu general public license", "either version 2 or at your option"]),
     ("gpl", "without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details", ["see the gnu general public license for more details"]),
     ("lgpl", "gnu lesser general public license", ["lesser general public license"]),
     ("agpl", "gnu affero general public license", ["affero general public license"]),
@@ -82,12 +87,31 @@ TITLES = {
     "isc license": "isc", "gnu gpl v3": "gpl-3.0", "gnu gpl v2": "gpl-2.0", "gplv3": "gpl-3.0", "gplv2": "gpl-2.0", "mozilla public license 2 0": "mpl-2.0", "boost software license": "boost",
 }
 
+#: Further titles and their labels.
+TITLES |= {
+    "artistic license 2 0": "artistic-2.0", "common development and distribution license": "cddl", "european union public licence": "eupl", "eclipse public license 2 0": "epl",
+    "creative commons attribution noncommercial": "cc-by-nc", "creative commons attribution non commercial": "cc-by-nc", "creative commons attribution noderivatives": "cc-by-nd", "creative commons attribution share alike": "cc-by-sa",
+}
+#: Families with versions; a title is family and version in any usual form.
+FAMILIES = {"gpl": ("2", "3"), "lgpl": ("2", "2 1", "3"), "agpl": ("3",)}
+TITLES |= {
+    form: "agpl" if f == "agpl" else "lgpl" if f == "lgpl" else f"gpl-{v[0]}.0"
+    for f, versions in FAMILIES.items() for v in versions for form in (f"{f} v{v}", f"{f}v{v}", f"{f} version {v}", f"{f} {v}" if " " in v else f"{f} {v} 0")
+}
+TITLES |= {f"cc by {kind} {version} 0": f"cc-by-{kind.split()[0]}" for kind in ("sa", "nc", "nd", "nc sa", "nc nd") for version in "234"}
+TITLES |= {f"{name} 1 {minor}": name for name in ("cddl", "eupl") for minor in "012"}
+
 #: SPDX identifiers in words, and their labels.
 SPDX = {
-    "mit": "mit", "apache 2 0": "apache-2.0", "bsd 2 clause": "bsd-2-clause", "bsd 3 clause": "bsd-3-clause", "isc": "isc", "gpl 2 0": "gpl-2.0", "gpl 3 0": "gpl-3.0",
-    "lgpl 2 1": "lgpl", "lgpl 3 0": "lgpl", "agpl 3 0": "agpl", "mpl 2 0": "mpl-2.0", "epl 2 0": "epl", "cc by 4 0": "cc-by-4.0", "cc by sa 4 0": "cc-by-sa", "cc by nc 4 0": "cc-by-nc",
-    "cc0 1 0": "cc0", "bsl 1 0": "boost", "zlib": "zlib", "unlicense": "unlicense",
+    "mit": "mit", "mit 0": "mit", "apache 2 0": "apache-2.0", "bsd 2 clause": "bsd-2-clause", "bsd 3 clause": "bsd-3-clause", "isc": "isc", "gpl 2 0": "gpl-2.0", "gpl 3 0": "gpl-3.0",
+    "lgpl 2 0": "lgpl", "lgpl 2 1": "lgpl", "lgpl 3 0": "lgpl", "agpl 3 0": "agpl", "mpl 2 0": "mpl-2.0", "epl 1 0": "epl", "epl 2 0": "epl", "cc by 3 0": "cc-by-3.0", "cc by 4 0": "cc-by-4.0",
+    "cc by sa 3 0": "cc-by-sa", "cc by sa 4 0": "cc-by-sa", "cc by nc 4 0": "cc-by-nc", "cc by nc sa 4 0": "cc-by-nc", "cc by nc nd 4 0": "cc-by-nc", "cc by nd 4 0": "cc-by-nd",
+    "cc0 1 0": "cc0", "bsl 1 0": "boost", "zlib": "zlib", "unlicense": "unlicense", "artistic 2 0": "artistic-2.0", "cddl 1 0": "cddl", "cddl 1 1": "cddl", "eupl 1 1": "eupl", "eupl 1 2": "eupl",
 }
+#: What names of licences follow, the names' other forms, and the words a run of names may have.
+TRIGGERS = ("spdx license identifier", "licensed under the", "licensed under", "license under the", "license under", "available under the")
+NAMES = SPDX | {"apache license 2 0": "apache-2.0", "apache license version 2 0": "apache-2.0", "apache 2": "apache-2.0", "mit license": "mit", "bsd license": "bsd", "bsd": "bsd"} | {t: label for t, label in TITLES.items() if t.split()[0].rstrip("v23") in FAMILIES}
+RUN = 40
 WINDOW = 24
 
 
@@ -108,7 +132,9 @@ def windows(label: str, text: str, keys: list[str], size: int = WINDOW) -> list[
     return out
 
 
-TEMPLATES = [w for n in NOTICES for w in windows(*n)] + [(label, t, [t]) for t, label in TITLES.items()] + [(label, f"spdx license identifier {i}", [f"spdx license identifier {i}"]) for i, label in SPDX.items()]
+TEMPLATES = [w for n in NOTICES for w in windows(*n)] + [(label, t, [t]) for t, label in TITLES.items()]
+_TRIGGERS = tuple(tuple(w.encode() for w in t.split()) for t in TRIGGERS)
+_NAMES = sorted(((tuple(w.encode() for w in n.split()), label) for n, label in NAMES.items()), key=lambda x: -len(x[0]))
 
 _MATCH = pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("n_words", pa.int64()), ("agreement", pa.float64())])
 _SCHEMA = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, matches array<struct<label: string, first_word: long, n_words: long, agreement: double>>"
@@ -120,6 +146,7 @@ class Template:
     words: tuple[bytes, ...]
     weights: tuple[float, ...]
     fixed: frozenset[int]  #: places of the key phrases' words
+    anchors: tuple[int, ...]  #: places of the rarest of them, rarest first
     need: int  #: anchors that must agree
     base: bool
 
@@ -127,9 +154,10 @@ class Template:
 @dataclass(frozen=True)
 class Index:
     templates: tuple[Template, ...]
-    postings: dict[bytes, tuple[tuple[int, int], ...]]  #: word -> (template, place)
+    postings: dict[bytes, tuple[tuple[int, int], ...]]  #: word -> (template, place), of anchors of which one must agree
     idf: dict[bytes, float]
     longest: int
+    named: int  #: the first of the names' templates
 
 
 def vocabulary(base: dict[str, str] = BASE, templates: list[tuple[str, str, list[str]]] = TEMPLATES) -> list[bytes]:
@@ -150,10 +178,13 @@ def build(counts: dict[bytes, int] | None = None, n: int = 0, base: dict[str, st
             fixed |= set(range(at, at + len(key)))
         # anchors stand in mandatory places, so that no accepted start lacks more than the votes allow
         rare = sorted(fixed, key=lambda i: (-idf[words[i]], i))[:anchors]
-        for i in rare:
+        need = len(rare) if is_base else max(1, len(rare) - MISSING)
+        for i in rare[: len(rare) - need + 1]:
             postings.setdefault(words[i].encode(), []).append((t, i))
-        made.append(Template(label, tuple(w.encode() for w in words), tuple(idf[w] for w in words), frozenset(fixed), len(rare) if is_base else max(1, len(rare) - MISSING), is_base))
-    return Index(tuple(made), {w: tuple(p) for w, p in postings.items()}, {w.encode(): v for w, v in idf.items()}, max(len(t.words) for t in made))
+        made.append(Template(label, tuple(w.encode() for w in words), tuple(idf[w] for w in words), frozenset(fixed), tuple(rare), need, is_base))
+    # names behind a trigger are templates without postings
+    named = tuple(Template(label, words, (), frozenset(), (), 0, False) for words, label in _NAMES)
+    return Index((*made, *named), {w: tuple(p) for w, p in postings.items()}, {w.encode(): v for w, v in idf.items()}, max(RUN, *(len(t.words) for t in made)), len(made))
 
 
 def _present(batches: Iterator[pa.RecordBatch], known: frozenset[bytes]) -> Iterator[pa.RecordBatch]:
@@ -178,26 +209,59 @@ def corpus_index(docs: DataFrame, text_col: str = "text") -> Index:
     return build(counts, counts.pop(b"", 0))
 
 
-def matches(index: Index, words: list[bytes]) -> list[tuple[int, int, float]]:
-    """(template, start, agreement) of all accepted places in ``words``."""
+def names_behind(index: Index, words: list[bytes], start: int) -> Iterator[tuple[int, int]]:
+    """(template, start) of the names of licences that follow the trigger at ``start``, if one stands there."""
+    trigger = next((t for t in _TRIGGERS if tuple(words[start : start + len(t)]) == t), None)
+    if trigger is None:
+        return
+    at, end = start + len(trigger), min(len(words), start + RUN)
+    while at < end:
+        found = next((i for i, (name, _) in enumerate(_NAMES) if at + len(name) <= end and tuple(words[at : at + len(name)]) == name), None)
+        if found is None:
+            return
+        yield index.named + found, at
+        at += len(_NAMES[found][0])
+        if words[at : at + 2] == [b"or", b"later"]:
+            at += 2
+        elif words[at : at + 1] == [b"only"]:
+            at += 1
+        if words[at : at + 1] == [b"with"]:  # an exception's name, up to the next join
+            at = next((i for i in range(at + 1, end) if words[i] in (b"and", b"or")), end)
+        if words[at : at + 1] not in ([b"and"], [b"or"]):
+            return
+        at += 1
+        if words[at : at + 1] == [b"the"]:
+            at += 1
+
+
+def _places(index: Index, words: list[bytes]) -> Iterator[tuple[int, int, float, int]]:
+    """(template, start, agreement, place that decides which block it belongs to)."""
     seen = [i for i, w in enumerate(words) if w in index.postings]
-    if not seen:
-        return []
-    votes: dict[tuple[int, int], int] = {}
+    tried = set()
     for p in sorted(seen, key=lambda i: (-index.idf[words[i]], i)):
         for t, q in index.postings[words[p]]:
-            votes[t, p - q] = votes.get((t, p - q), 0) + 1
-    found = []
-    for (t, start), n in votes.items():
-        m = index.templates[t]
-        if n < m.need or start < 0 or start + len(m.words) > len(words):
-            continue
-        same = [words[start + i] == w for i, w in enumerate(m.words)]
-        if all(same[i] for i in m.fixed):
-            agreement = sum(x for x, s in zip(m.weights, same, strict=True) if s) / sum(m.weights)
+            start, m = p - q, index.templates[t]
+            if start < 0 or start + len(m.words) > len(words) or (t, start) in tried:
+                continue
+            tried.add((t, start))
+            if sum(words[start + i] == m.words[i] for i in m.anchors) < m.need or any(words[start + i] != m.words[i] for i in m.fixed):
+                continue
+            agreement = sum(x for i, x in enumerate(m.weights) if words[start + i] == m.words[i]) / sum(m.weights)
             if agreement >= AGREE - 1e-12:
-                found.append((t, start, min(1.0, agreement)))
-    return sorted(found, key=lambda f: (f[1], f[0]))
+                yield t, start, min(1.0, agreement), start
+    first = {t[0] for t in _TRIGGERS}
+    given = set()
+    for i, w in enumerate(words):
+        if w in first:
+            for t, start in names_behind(index, words, i):
+                if (t, start) not in given:
+                    given.add((t, start))
+                    yield t, start, 1.0, i
+
+
+def matches(index: Index, words: list[bytes]) -> list[tuple[int, int, float]]:
+    """(template, start, agreement) of all accepted places in ``words``."""
+    return sorted(((t, s, a) for t, s, a, _ in _places(index, words)), key=lambda f: (f[1], f[0]))
 
 
 def scan(index: Index, data: bytes | None, block: int = BLOCK_BYTES) -> tuple[int, list[tuple[int, int, float]]]:
@@ -206,7 +270,7 @@ def scan(index: Index, data: bytes | None, block: int = BLOCK_BYTES) -> tuple[in
     for at, words, last in alnum_blocks(data or b"", index.longest - 1, block):
         n = at + len(words)
         own = n if last else n - index.longest + 1  # later starts belong to the next block
-        found += [(t, at + s, a) for t, s, a in matches(index, words) if at + s < own]
+        found += sorted(((t, at + s, a) for t, s, a, place in _places(index, words) if at + place < own), key=lambda f: (f[1], f[0]))
     return n, found
 
 

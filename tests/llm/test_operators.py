@@ -766,7 +766,7 @@ def test_license_places_against_regex(spark):
     assert len(out) == len(ODD) and all(r.score == 0 and r.labels == "" and r.first_word is None for r in out)
     lines = ["x. Licensed under the Apache License, Version 2.0. This is CC BY-NC 4.0", "Apache License 2.0", "MIT License", "BSD 3-Clause", "SPDX-License-Identifier: MIT", "it under the terms of the GNU General Public License as published by\n the Free Software Foundation, either version 3 of the License, or"]
     out = license_scan.scan_licenses(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"), ["doc_id"]).orderBy("doc_id").collect()
-    assert [r.labels for r in out] == ["apache-2.0,cc-by", "apache-2.0", "mit", "bsd-3-clause", "mit", "gpl,gpl-3.0"]
+    assert [r.labels for r in out] == ["apache-2.0,cc-by,cc-by-nc", "apache-2.0", "mit", "bsd-3-clause", "mit", "gpl,gpl-3.0"]
     assert [r.base_labels for r in out] == ["cc-by", "", "", "", "", "gpl"]
     assert license_scan.scan_licenses(odd_docs(spark).where("false"), ["doc_id"]).count() == 0
 
@@ -785,12 +785,37 @@ def test_license_labels_against_all_starts():
             text += words + rng.choices(["foo", "license", "the", "public"], k=rng.randrange(6))
         own = [w.encode() for w in text]
         want = set()
-        for t, m in enumerate(index.templates):
+        for t, m in enumerate(index.templates[: index.named]):
             for s in range(len(own) - len(m.words) + 1):
                 same = [a == b for a, b in zip(own[s:], m.words, strict=False)]
                 if all(same[i] for i in m.fixed) and sum(w for w, x in zip(m.weights, same, strict=True) if x) / sum(m.weights) >= license_scan.AGREE - 1e-12:
                     want.add((t, s))
-        assert {(t, s) for t, s, _ in license_scan.scan(index, " ".join(text).encode(), 200)[1]} == want
+        assert {(t, s) for t, s, _ in license_scan.scan(index, " ".join(text).encode(), 200)[1] if t < index.named} == want
+
+
+def test_license_names_and_expressions():
+    index = license_scan.build()
+    lines = {
+        "GNU LGPL v2.1": "lgpl", "GPL-3.0-or-later": "gpl-3.0", "Licensed under GPL v2 or later": "gpl-2.0", "Dual licensed under MIT and Apache 2.0": "apache-2.0,mit", "Artistic License 2.0": "artistic-2.0",
+        "CDDL 1.0": "cddl", "EUPL 1.2": "eupl", "Creative Commons Attribution-NonCommercial 4.0": "cc-by-nc", "SPDX-License-Identifier: Apache-2.0 OR MIT": "apache-2.0,mit", "CC BY-SA 3.0": "cc-by,cc-by-sa",
+        "it under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2, or (at your option)\nany later version.": "gpl,gpl-2.0",
+        "SPDX-License-Identifier: (GPL-2.0-only WITH Classpath-exception-2.0) AND BSD-3-Clause": "bsd-3-clause,gpl-2.0", "SPDX-License-Identifier: Foo": "", "SPDX License": "", "licensed under": "", "": "",
+        "SPDX-License-Identifier: MIT OR": "mit", "licensed under the MIT license, or the BSD license": "bsd,mit",
+    }
+    for line, want in lines.items():
+        for pad, block in (("", 1 << 20), ("word " * 30, 40), ("word " * 77, 100)):
+            n, found = license_scan.scan(index, f"{pad}{line}".encode(), block)
+            labels = ",".join(sorted({index.templates[t].label for t, _, _ in found}))
+            assert labels == want, (line, labels)
+            assert len(found) == len(set(found)) and all(s >= len(pad.split()) for _, s, _ in found)
+
+
+def test_license_lookup_takes_only_rare_words():
+    index = license_scan.build({w: 10 if len(w) < 5 else 1 for w in license_scan.vocabulary()}, 20)
+    for t, m in enumerate(index.templates[: index.named]):
+        own = [(w, q) for w, p in index.postings.items() for u, q in p if u == t]
+        assert len(own) == len(m.anchors) - m.need + 1 and {q for _, q in own} == set(m.anchors[: len(own)])
+        assert not m.base or len(own) == 1
 
 
 # -- words -------------------------------------------------------------------------

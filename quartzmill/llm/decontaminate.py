@@ -15,8 +15,9 @@ skips no match.
 
 A benchmark of at most ``MAX_ITEMS`` items and ``MAX_CHARS`` characters goes to the workers whole. A larger
 one never does, nor to the driver: its items are dealt into parts of that size, each part's index
-becomes a file of the shared folder, and the items' shingles a table of (shingle, part). A bit
-map of the shingles, of at most ``MAP_BITS`` bits whatever the benchmark, lets most texts' shingles
+becomes a file of the shared folder, and of each item the shingles in fewest items, which weigh more than a match may
+lack, a table of (shingle, part): a text with none of them has no match, so what many items share moves nothing. A bit
+map of these shingles, of at most ``MAP_BITS`` bits whatever the benchmark, lets most texts' shingles
 go; the others meet the table in an equality join, which says which texts to hold against which part. Only these
 texts move, once for each such part, and a task holds one part at a time. Both ways
 compare the same windows with the same items, so results are the same.
@@ -44,10 +45,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .scratch import Room, new_path, ready, released, saved, table
+from .scratch import Room, delete, new_path, ready, released, saved, table
 from .words import alnum_blocks
 
 WORDS = 5
@@ -250,10 +251,27 @@ def _matches(batches: Iterator[pa.RecordBatch], b: Benchmark) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([*cols, pa.array(found, _KIND)], [*batch.schema.names[:-1], "matches"])
 
 
-def item_shingles(text: bytes) -> np.ndarray:
-    """The different shingles of an item; of fewer words than a shingle, all words as one."""
+def item_shingles(text: bytes) -> tuple[int, np.ndarray, np.ndarray]:
+    """Words a shingle, the different shingles of an item and their weights, repeats added up; of fewer words than a shingle, all words as one."""
     words = [w for _, part, _ in alnum_blocks(text, 0) for w in part]
-    return np.unique(shingle_hashes(word_hashes(words), min(WORDS, len(words)))) if words else np.zeros(0, np.uint64)
+    k = min(WORDS, len(words))
+    if not k:
+        return 0, np.zeros(0, np.uint64), np.zeros(0)
+    found, place = np.unique(shingle_hashes(word_hashes(words), k), return_inverse=True)
+    return k, found, np.bincount(place, weights=shingle_weights(np.array([len(w) for w in words]), k))
+
+
+def rarest_shingles(shingles: DataFrame, threshold: float) -> DataFrame:
+    """``(item, part, k, hash, weight)``, different hashes an item -> those of which a window of similarity ``threshold`` holds one at least.
+
+    Such a window holds that share of the item's weight, so it cannot lack shingles of more weight than the rest:
+    of each item, those in fewest items are taken until they weigh more.
+    """
+    counts = shingles.groupBy("hash").agg(F.count("*").alias("n"))
+    own = Window.partitionBy("item")
+    before = F.sum("weight").over(own.orderBy("n", "hash").rowsBetween(Window.unboundedPreceding, -1))
+    ranked = shingles.join(counts, "hash").withColumns({"before": F.coalesce(before, F.lit(0.0)), "total": F.sum("weight").over(own)})
+    return ranked.where(F.col("before") <= (1 - threshold) * F.col("total") + 1e-9).select("item", "part", "k", "hash")
 
 
 def text_shingles(data: bytes, bits: np.ndarray, lengths: list[int]) -> np.ndarray:
@@ -275,14 +293,17 @@ def _far(docs: DataFrame, items: DataFrame, many: int, radius: int, threshold: f
         folder = new_path(spark, "parts")
         store, base = fs.FileSystem.from_uri(folder)
         store.create_dir(base)
-        dealt = room.saved(items.withColumn("part", F.pmod(F.xxhash64("id", "text"), F.lit(many)).cast("int")), "items")
+        dealt = room.saved(items.withColumns({"part": F.pmod(F.xxhash64("id", "text"), F.lit(many)).cast("int"), "item": F.monotonically_increasing_id()}), "items")
 
         def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                found = [(h, part, k) for part, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for own in [item_shingles(t)] for k in [min(WORDS, sum(len(w) for _, w, _ in alnum_blocks(t, 0)))] for h in own.view(np.int64).tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.int64(), pa.int32(), pa.int32()))], ["hash", "part", "k"])
+                for part, t, item in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    k, found, weight = item_shingles(t)
+                    same = [pa.array(np.full(len(found), v), kind) for v, kind in ((item, pa.int64()), (part, pa.int32()), (k, pa.int32()))]
+                    yield pa.RecordBatch.from_arrays([*same, pa.array(found.view(np.int64)), pa.array(weight)], ["item", "part", "k", "hash", "weight"])
 
-        known = room.saved(dealt.select("part", "text").mapInArrow(shingles, "hash long, part int, k int").distinct(), "shingles")
+        every = room.saved(dealt.select("part", "text", "item").mapInArrow(shingles, "item long, part int, k int, hash long, weight double"), "weights")
+        known = room.saved(rarest_shingles(every, threshold).select("hash", "part", "k").distinct(), "shingles")
         lengths = sorted(r.k for r in known.select("k").distinct().collect())  # at most WORDS numbers
         width = max(10, min(MAP_BITS, int(known.count() * 16).bit_length()))
         place = F.shiftrightunsigned("hash", 64 - width)
@@ -337,7 +358,9 @@ def _far(docs: DataFrame, items: DataFrame, many: int, radius: int, threshold: f
         pairs = wanted.join(texts, "mark").select("part", F.pmod(F.xxhash64("mark"), F.lit(PART_TASKS)).cast("int").alias("salt"), "mark", "text")
         ordered = pairs.repartition("part", "salt").sortWithinPartitions("part", "salt")
         matched = ordered.mapInArrow(lambda it: released(compared(it)), f"mark string, matches {_MATCHES}").where(F.size("matches") > 0)
-        return saved(matched.groupBy("mark").agg(F.flatten(F.collect_list("matches")).alias("matches")), "matches")
+        out = saved(matched.groupBy("mark").agg(F.flatten(F.collect_list("matches")).alias("matches")), "matches")
+        delete(spark, folder)
+        return out
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col: str = "text", item_col: str = "item_id", item_text: str = "text", radius: int = RADIUS, threshold: float = THRESHOLD) -> DataFrame:

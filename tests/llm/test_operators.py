@@ -2,6 +2,7 @@
 
 import datetime
 import hashlib
+import math
 import random
 import re
 import string
@@ -628,6 +629,31 @@ def test_decontamination_against_all_windows(spark):
     assert decontaminate.contaminated(odd_docs(spark), df.where("false"), ["doc_id"]).count() == len(ODD)
 
 
+def test_rarest_shingles_are_in_every_match(spark):
+    rng = random.Random(23)
+    common = [f"c{i}" for i in range(60)]
+    items = [[rng.choice(["a", "bb", "ccc"]) + str(rng.randrange(400)) for _ in range(rng.choice([3, 30, 60]))] + common[: rng.choice([0, 20, 60])] for _ in range(60)]
+    rows = []
+    for i, words in enumerate(items):
+        k, found, weight = decontaminate.item_shingles(" ".join(words).encode())
+        assert sum(weight) == pytest.approx(sum(math.log(1 + len(" ".join(words[j : j + k]))) for j in range(len(words) - k + 1)))
+        rows += [(i, 0, k, int(h), float(w)) for h, w in zip(found.view(np.int64), weight, strict=True)]
+    df = spark.createDataFrame(rows, "item long, part int, k int, hash long, weight double")
+    kept = {}
+    for r in decontaminate.rarest_shingles(df, 0.8).collect():
+        kept.setdefault(r.item, set()).add(r.hash)
+    for i, words in enumerate(items):
+        k, own = min(5, len(words)), decontaminate.multiset([w.encode() for w in words], min(5, len(words)))
+        for _ in range(40):
+            near = list(words)
+            for _ in range(rng.randrange(1 + len(words) // 15)):
+                near[rng.randrange(len(near))] = "new"
+            if decontaminate.similarity(own, decontaminate.multiset([w.encode() for w in near], k)) >= 0.8:
+                assert kept[i] & set(decontaminate.item_shingles(" ".join(near).encode())[1].view(np.int64).tolist())
+    shared = set(decontaminate.item_shingles(" ".join(common).encode())[1].view(np.int64).tolist())
+    assert any(not (kept[i] & shared) for i, words in enumerate(items) if words[-1] == "c59") and len(kept) == 60
+
+
 def test_large_benchmarks_by_a_join_give_the_same(spark, monkeypatch):
     rng = random.Random(7)
     words = [f"w{i}" for i in range(400)]

@@ -43,6 +43,8 @@ PER_CLASS = 10_000
 PREFIXES = (6, 5, 4)
 FLAT, SHARE = 0.5, 0.01
 LEAST_Z, LEAST_COUNT = 2.5, 3
+#: Features that reach the driver at most, whatever the length of the sample's texts.
+MOST_FEATURES = 1 << 18
 SIGNIFICANT = 0.01
 BLOCK_CHARS = 1 << 20
 
@@ -216,6 +218,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), *(pa.array(c, pa.int64()) for c in cols[1:])], ["feature", "half", "toxic", "clean"])
 
 
+def strongest(sums: DataFrame, texts: tuple[int, int], most: int = MOST_FEATURES) -> DataFrame:
+    """The ``most`` features whose shares of toxic and of clean texts differ most, in standard errors of their log-odds; of equal ones the first."""
+    half = F.lit(0.5)
+    odds = lambda n, total: (F.log((n + half) / (F.greatest(F.lit(total) - n, F.lit(0)) + half)), 1 / (n + half))
+    (a, u), (b, v) = odds(F.col("toxic0") + F.col("toxic1"), texts[0]), odds(F.col("clean0") + F.col("clean1"), texts[1])
+    return sums.orderBy(F.desc(F.abs(a - b) / F.sqrt(u + v)), "feature").limit(most)
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[Segments | None, float]:
     """The model (None if a class is missing) and the share of toxic rows; ``docs(doc_id, text)``, ``labels(doc_id, toxic)``."""
     spark = docs.sparkSession
@@ -232,7 +242,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple
     sample = saved(sample.dropDuplicates(["h", "toxic"]).select("toxic", F.pmod("h", F.lit(2)).alias("half"), "text"), "labelled")
     counted = sample.select("toxic", "half", "text").mapInArrow(_count, "feature string, half long, toxic long, clean long")
     sums = counted.groupBy("feature").agg(*[F.sum(F.when(F.col("half") == h, F.col(c)).otherwise(0)).alias(f"{c}{h}") for h in (0, 1) for c in ("toxic", "clean")])
-    kept = sums.where(f"toxic0 + toxic1 >= {LEAST_COUNT} or feature in ('', ' ')").collect()
+    sums = saved(sums, "counts")
+    of_all = sums.where("feature in ('', ' ')").collect()  # two rows
+    kept = [*of_all, *strongest(sums.where(f"toxic0 + toxic1 >= {LEAST_COUNT} and feature not in ('', ' ')"), next(((r.toxic0 + r.toxic1, r.clean0 + r.clean1) for r in of_all if r.feature == ""), (0, 0))).collect()]
     by = {r.feature: (r.toxic0, r.clean0, r.toxic1, r.clean1) for r in kept}
     texts, words = by.pop("", (0, 0, 0, 0)), by.pop(" ", (0, 0, 0, 0))
     if not (texts[0] + texts[2] and texts[1] + texts[3]):

@@ -165,6 +165,15 @@ def test_toxicity_learns_and_bears_odd_rows(spark):
     assert none is None and {r.score for r in toxicity_segments.score(docs, none, share, ["doc_id"]).collect()} == {0.0}
 
 
+def test_strongest_features_are_kept(spark):
+    rows = [("same", 50, 50, 50, 50), ("toxic", 40, 1, 40, 1), ("clean", 1, 40, 1, 40), ("rare", 2, 0, 1, 0), ("none", 0, 3, 0, 3)]
+    df = spark.createDataFrame(rows, "feature string, toxic0 long, clean0 long, toxic1 long, clean1 long")
+    z = lambda r: abs(math.log((r[1] + r[3] + 0.5) / (200.5 - r[1] - r[3])) - math.log((r[2] + r[4] + 0.5) / (200.5 - r[2] - r[4]))) / math.sqrt(1 / (r[1] + r[3] + 0.5) + 1 / (r[2] + r[4] + 0.5))
+    want = [r[0] for r in sorted(rows, key=lambda r: (-z(r), r[0]))]
+    for most in (1, 3, 5, 9):
+        assert {r.feature for r in toxicity_segments.strongest(df, (200, 200), most).collect()} == set(want[:most])
+
+
 def test_toxicity_held_out(spark, sf_dir):
     import os
 

@@ -17,6 +17,7 @@ from ..sources import sensor_files as S
 from .storage import stored
 
 LOG = logging.getLogger(__name__)
+TOP_LINE = "feature %d: %s, mean contribution %.4f"
 
 #: Names and defaults of the configuration.
 DEFAULTS: dict = {
@@ -86,7 +87,7 @@ def explain_global(model, test: DataFrame, features: list[str], name: str, folde
     phi = stored(phi, "phi")
     importance = stored(X.global_importance(phi), "importance")
     for r in importance.where("rank <= 5").orderBy("rank").collect():
-        LOG.info("feature %d: %s, mean contribution %.4f", r["rank"], r.feature, r.mean_abs)
+        LOG.info(TOP_LINE, r["rank"], r.feature, r.mean_abs)
     n = phi.select("row_id").distinct().count()
     out = {"phi": phi, "base": base, "shap_method": method, "output_space": models.output_space(model), "background_size": n_background, "n_samples_explained": n}
     if folder:
@@ -184,6 +185,11 @@ def _case_entry(case: str, row_id, scored: DataFrame, model, found: dict, featur
     }
 
 
+def displayed(record: dict[str, dict[str, float | None]]) -> dict[str, dict[str, float | None]]:
+    """A metrics record under the names of the metrics file."""
+    return {models.DISPLAY_NAMES.get(m, m): {models.METRIC_NAMES.get(k, k): v for k, v in r.items()} for m, r in record.items()}
+
+
 def run(spark: SparkSession, rows: DataFrame, cfg: dict | None = None, quick: bool | None = None) -> dict:
     """``rows(row_id, y, feature columns...)`` -> metrics, best model, features, explanation and baseline report."""
     cfg = configured(cfg)
@@ -218,7 +224,7 @@ def run(spark: SparkSession, rows: DataFrame, cfg: dict | None = None, quick: bo
     out = {"metrics": sinks.metrics_record(records), "best_model": best, "selected_features": features, "dropped_columns": dropped, "rank_table": detail, "baseline_ok": None, "baseline_report": None, "explain": None, "output_dir": folder, "cv": None}
     if cfg["evaluation"]["run_cv"] and not quick:
         out["cv"] = {n: cross_validate(n, wide.drop("part"), cfg) for n in fitted}
-    shown = {models.DISPLAY_NAMES.get(m, m): {models.METRIC_NAMES.get(k, k): v for k, v in r.items()} for m, r in out["metrics"].items()}
+    shown = displayed(out["metrics"])
     if folder:
         sinks.write_json(shown, f"{folder}/metrics_{tag}.json")
         chosen = spark.createDataFrame([(i, f) for i, f in enumerate(features, 1)], "pos int, feature string")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from .functions import expr
 from .operators import explain as X
 from .operators import metrics, models, preprocess, profile, ranking, scoring, sinks, split
 from .plans import run as plan
-from .plans.storage import stored, stored_text
+from .plans.storage import folder, stored, stored_text
 from .sources import sensor_files as S
 
 SEED = 42
@@ -108,10 +109,12 @@ def p1_feature_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH {V.SENSOR}, m AS (SELECT printf('F%03d', p_partkey) AS feature, p_name AS meaning FROM part WHERE p_partkey % 2 = 0 AND p_partkey < 1000)
 SELECT f.feature, coalesce(m.meaning, 'unknown(匿名)') AS description FROM (SELECT DISTINCT feature FROM sensor) f LEFT JOIN m USING (feature)""")
 def p16_feature_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sensor features, described by a map of every second part's name."""
+    """The sensor features, described by a map of every second part's name, which is written as a YAML file and read again."""
     names = V.sensor_long(spark, sf_dir).select("feature").distinct()
     parts = V._read(spark, sf_dir, "part").where("p_partkey % 2 = 0 and p_partkey < 1000")
-    meanings = parts.select(expr.feature_name(F.col("p_partkey")).alias("feature"), F.col("p_name").alias("meaning"))
+    lines = parts.select(F.concat(expr.feature_name(F.col("p_partkey")), F.lit(": '"), F.replace("p_name", F.lit("'"), F.lit("''")), F.lit("'")).alias("line"))
+    path = sinks.write_text("\n".join(r.line for r in lines.collect()), f"{folder(spark)}/map-{uuid.uuid4().hex}.yaml")  # names of features, so below 1000
+    meanings = spark.createDataFrame(list(S.read_feature_map(path).items()), "feature string, meaning string")
     return names.join(meanings, "feature", "left").select("feature", expr.described(F.col("feature"), F.col("meaning")).alias("description"))
 
 
@@ -391,6 +394,28 @@ def l11_select_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked.withColumn("fused", right).drop("place").withColumn("n_selected", F.lit(len(chosen)).cast("long"))
 
 
+_QUICK = f"""{V.SENSOR}, {_ANOVA}, {_MI},
+f AS (SELECT feature, fidx, {_RANK.format(s='score')} AS rank_f_test FROM anova), k AS (SELECT feature, fidx, {_RANK.format(s='greatest(raw, 0.0::DOUBLE)')} AS rank_mutual_info FROM mi),
+quick AS (SELECT *, (rank_f_test + rank_mutual_info) / 2 AS mean_rank FROM f JOIN k USING (feature, fidx))"""
+
+
+@query(f"WITH {_QUICK} SELECT row_number() OVER (ORDER BY mean_rank, fidx)::INTEGER AS pos, feature, mean_rank FROM quick ORDER BY mean_rank, fidx LIMIT 40")
+def l11_quick_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The features of a quick run, in order: elimination is left out of the methods."""
+    long = V.sensor_long(spark, sf_dir)
+    long = stored(profile.drop_features(long, profile.all_null_features(long)), "cells")
+    cfg = plan.configured({"random_state": SEED, "feature_selection": {"methods": ["f_test", "mutual_info", "rfe"]}})
+    chosen, fused = plan.select_features(long, cfg, quick=True)
+    places = spark.createDataFrame(list(enumerate(chosen, 1)), "pos int, feature string")
+    return places.join(fused.select("feature", "mean_rank"), "feature").select("pos", "feature", "mean_rank")
+
+
+@query(f"WITH {V.SENSOR}, {_ANOVA}, {_FUSED} SELECT row_number() OVER (ORDER BY mean_rank, fidx)::INTEGER AS pos, feature, fidx FROM fused")
+def p14_select_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """More features asked for than there are: all, in order."""
+    return ranking.select_top(ranking.fuse(_ranks(spark, sf_dir)), 1000)
+
+
 # -- metrics -------------------------------------------------------------------
 
 _CELLS = """count(*) FILTER (y = 0 AND pred = 0) AS tn, count(*) FILTER (y = 0 AND pred = 1) AS fp,
@@ -526,6 +551,27 @@ def g19_all_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.all_pass(metrics.compare_baseline(current, older)).crossJoin(same)  # a row each
 
 
+_NAMED = "names(model, shown) AS (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in models.DISPLAY_NAMES.items()) + "), labels(metric, label) AS (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in models.METRIC_NAMES.items()) + ")"
+
+
+@query(f"{_CURRENT}, {_NAMED} SELECT shown AS model, label AS metric, value FROM record JOIN names USING (model) JOIN labels USING (metric)")
+def k1_metrics_json_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The metrics file of three models under their display names, written and read as a baseline."""
+    record = sinks.metrics_record(_records(spark, sf_dir)[0])
+    path = sinks.write_json(plan.displayed(record), f"{folder(spark)}/metrics-{uuid.uuid4().hex}.json")
+    return stored(S.read_baseline(spark, path), "read")
+
+
+@query(f"""{_CURRENT}, o AS (SELECT *, list_position(['train_ber', 'test_ber', 'accuracy', 'precision', 'recall', 'f1', 'auc'], metric) AS place FROM record)
+SELECT model || ': ' || string_agg(metric || '=' || CASE WHEN value IS NULL THEN 'N/A' ELSE printf('%.3f', value) END, ', ' ORDER BY place) AS line, 0 AS code FROM o GROUP BY model""")
+def k9_summary_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary's lines, and the exit code of a run that is its own baseline."""
+    current = stored(_records(spark, sf_dir)[0], "records")
+    code = sinks.exit_code(metrics.all_pass(metrics.compare_baseline(current, current)).first().ok)
+    record = {m: {k: v[k] for k in models.METRIC_NAMES} for m, v in sinks.metrics_record(current).items()}
+    return spark.createDataFrame([(line, code) for line in sinks.summary(record)], "line string, code int")
+
+
 # -- models --------------------------------------------------------------------
 
 
@@ -564,6 +610,18 @@ def l3_ridge_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(models.score(m, rows).select("row_id", "y", "score", "pred"), "score").withColumn("score_label", F.lit(models.score_label(m)))
 
 
+@query(f"""
+WITH {_RIDGE}, {_POINTS}, o AS (SELECT row_id, mt + ca * (a - ma) + cb * (b - mb) AS score FROM pts, c)
+SELECT row_id, round(score, 6) + 0.0::DOUBLE AS score FROM o""")
+def k3_model_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of a model that was saved and loaded."""
+    from pyspark.ml.regression import LinearRegressionModel
+
+    rows = _two_features(spark, sf_dir)
+    path = sinks.write_model(models.fit("ridge", rows), f"{folder(spark)}/model-{uuid.uuid4().hex}")
+    return _rounded(models.score(LinearRegressionModel.load(path), rows).select("row_id", "score"), "score")
+
+
 _NEWTON = ", ".join(f"""
 h{i} AS MATERIALIZED (SELECT any_value(c0) AS c0, any_value(c1) AS c1, any_value(c2) AS c2, sum(w * (p - y)) AS g0, sum(w * (p - y) * a) + any_value(c1) AS g1,
     sum(w * (p - y) * b) + any_value(c2) AS g2, sum(w * p * (1 - p)) AS h00, sum(w * p * (1 - p) * a) AS h01, sum(w * p * (1 - p) * b) AS h02,
@@ -789,6 +847,61 @@ def k8_manifest_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cases.select("scenario", "status", "case", F.col("c.status").alias("case_status"), F.col("c.wafer_id").alias("wafer_id"), F.col("c.consistency_ok").alias("consistency_ok"))
 
 
+_MODEL_ROWS = ", ".join(f"('{m}', '{k}', '{o}', '{models.SCORE_LABELS[sc]}')" for m, k, o, sc in (
+    ("logistic", "linear", "log-odds (decision margin)", "probability"), ("random_forest", "tree", "positive-class probability", "probability"), ("ridge", "linear", "decision margin", "margin")))
+
+
+@query(f"WITH n AS (SELECT count(*) AS n_rows FROM embeddings) SELECT m.*, n_rows, n_rows AS n_consistent FROM n, (VALUES {_MODEL_ROWS}) m(model, method, output_space, score_label)")
+def a2_all_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each registered model on all rows: how it is explained, in which space, what its score is, and how many rows add up."""
+    rows, names = _vectors(spark, sf_dir)
+    background = stored(split.background_sample(rows, 100, SEED), "background")
+    found = []
+    for name in models.active_models("all"):
+        model = models.fit(name, rows, seed=SEED)
+        phi, base, method = X.explain(model, rows, background, names, SEED)
+        check = X.self_consistency(phi, base, models.score(model, rows).select("row_id", F.col("margin").alias("output")), method)
+        counts = check.agg(F.count("*").alias("n_rows"), F.count_if("consistency_ok").alias("n_consistent"))
+        found.append(counts.select(F.lit(name).alias("model"), F.lit(method).alias("method"), F.lit(models.output_space(model)).alias("output_space"), F.lit(models.score_label(model)).alias("score_label"), "n_rows", "n_consistent"))
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+@query(f"WITH {V.SENSOR} SELECT least(100, count(DISTINCT row_id)) AS n_rows, count(DISTINCT feature) AS n_features, true AS within_error FROM sensor WHERE value IS NOT NULL")
+def m4_kernel_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that the kernel method explains, and whether all values are within the standard error aimed at."""
+    found = a6_kernel_shap(spark, sf_dir).groupBy("row_id").agg(F.count("*").alias("n"), F.max("error").alias("error"), (F.sum("phi") + F.first("base")).alias("output"))
+    within = F.bool_and(F.col("error") <= X.kernel.ERROR * F.greatest(F.lit(1.0), F.abs("output")))
+    return found.agg(F.count("*").alias("n_rows"), F.max("n").alias("n_features"), within.alias("within_error"))
+
+
+@query(f"WITH {_LINEAR}, {_IMPORTANCE}, t AS (SELECT *, row_number() OVER (ORDER BY mean_abs DESC, fidx)::INTEGER AS rank FROM imp) SELECT rank, printf('feature %d: %s, mean contribution %.4f', rank, feature, mean_abs) AS line FROM t WHERE rank <= 5")
+def p26_top_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log lines of the five most important features."""
+    top = X.global_importance(_phi(spark, sf_dir)).where("rank <= 5")
+    return top.select("rank", F.format_string(plan.TOP_LINE, "rank", "feature", "mean_abs").alias("line"))
+
+
+@query(f"""
+WITH {_ORDER_POINTS}, {_quota_sql('pts', _TRAIN)}, parts AS (SELECT row_id, {_SPLIT}), train AS (SELECT pts.* FROM pts JOIN parts USING (row_id) WHERE part = 'train'), {_orders_ridge('train')},
+scored AS (SELECT row_id, a, b, mt + ca * (a - ma) + cb * (b - mb) AS score FROM pts JOIN parts USING (row_id), c WHERE part = 'test' AND y = 1),
+best AS (SELECT *, CASE WHEN score > 0 THEN 'TP' ELSE 'FN' END AS "case", row_number() OVER (PARTITION BY score > 0 ORDER BY score DESC, row_id) AS nth FROM scored),
+bgr AS (SELECT row_id FROM train ORDER BY md5('{SEED}|' || row_id), row_id LIMIT 100), bg AS (SELECT avg(a) AS ba, avg(b) AS bb FROM train SEMI JOIN bgr USING (row_id))
+SELECT row_id AS wafer_id, "case", 1 AS y_true, CAST(score > 0 AS INTEGER) AS y_pred, round(score, 6) AS score, round(mt + ca * (ba - ma) + cb * (bb - mb), 6) AS baseline, round(score, 6) AS explained_output,
+  round(score, 6) AS reconstruction, true AS consistency_ok, round(ca * (a - ba), 6) AS phi_a, round(cb * (b - bb), 6) AS phi_b FROM best, c, bg WHERE nth = 1""")
+def a11_case_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of the hit and the miss with the highest score among the test orders."""
+    rows = _order_features(spark, sf_dir)
+    rows = stored(rows.join(split.stratified_split(rows.select("row_id", "y"), 0.2, SEED).select("row_id", "part"), "row_id"), "parted")
+    train, test = rows.where("part = 'train'").drop("part"), rows.where("part = 'test'").drop("part")
+    cfg = plan.configured({"random_state": SEED})
+    found = plan.explain_stage({"ridge": models.fit("ridge", train)}, "ridge", train, test, ["a", "b"], cfg, None, "t")
+    records = [c["record"] for c in found["cases"].values() if c["status"] == "generated"]
+    fields = ("wafer_id", "case", "y_true", "y_pred", "score", "baseline", "explained_output", "reconstruction", "consistency_ok")
+    cells = [(*(r[f] for f in fields), r["shap_values"]["a"], r["shap_values"]["b"]) for r in records]
+    out = spark.createDataFrame(cells, "wafer_id long, `case` string, y_true int, y_pred int, score double, baseline double, explained_output double, reconstruction double, consistency_ok boolean, phi_a double, phi_b double")
+    return _rounded(out, "score", "baseline", "explained_output", "reconstruction", "phi_a", "phi_b")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Null injection -> median imputation -> standardisation -> ANOVA F -> the ten best features."""
     scores = scoring.anova_f(preprocess.preprocess(V.sensor_long(spark, sf_dir)))

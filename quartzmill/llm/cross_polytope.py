@@ -1,9 +1,14 @@
 """Approximate nearest neighbours by cross-polytope hashing (operator 8).
 
 Each of ``TABLES`` tables turns a vector by three rounds of random signs and the
-fast Hadamard transform and hashes it to the nearest signed axis.  A query
-probes, in each table, the ``PROBES`` axes nearest to it; what it meets there is
-ranked by the inner product of the original vectors in double precision.
+fast Hadamard transform and hashes it to the nearest signed axis, or by two such rotations to a pair of axes, so
+that a table has the square of the buckets.  A query probes, in each table, the buckets nearest to it (of pairs, those of the largest sum of its two
+components); what it meets there is ranked by the inner product of the original vectors in double precision.
+
+How many axes and probes are needed depends on how near neighbours are.  ``SAMPLE`` queries are searched exactly in one pass; the ranks at
+which their neighbours' buckets are probed give the recall of every choice, and the hashes of as many vectors as ``WEIGHED`` the share of
+vectors each would meet.  Of those with a recall of ``RECALL`` the one that meets least is taken.  Where neighbours are near, that is a few of many
+buckets; where vectors are close to random, most of few.
 
 Equal vectors have equal products with every query, so they are stored once
 with their ``neighbours + 1`` smallest ids (no more of them can enter a list)
@@ -39,12 +44,16 @@ from pyspark.sql import functions as F
 from .scratch import ready, saved, table
 
 TABLES = 8
-PROBES = 16
+#: Queries that are searched exactly to choose axes and probes, vectors that weigh the choices, the recall aimed at, and the probes of one and of two axes that are tried.
+SAMPLE, WEIGHED, RECALL = 256, 8192, 0.98
+TRIED = {1: (1, 2, 3, 4, 6, 8, 12, 16, 20, 24, 32, 48), 2: (1, 2, 4, 8, 16, 32, 64)}
 NEIGHBOURS = 20
 BLOCK = 8192
 RANGE = 1.1
 CROWD = 1024
 SEED = 7
+#: The second rotations' tables; what a probe costs, as a share of vectors met.
+SECOND, PROBE_COST = 1000, 1e-4
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -84,17 +93,99 @@ def axes(y: np.ndarray, probes: int) -> np.ndarray:
     return np.argsort(-both, axis=1, kind="stable")[:, :probes]
 
 
+def buckets(x: np.ndarray, t: int, probes: int, depth: int) -> np.ndarray:
+    """The ``probes`` buckets of table ``t`` nearest to each unit vector, nearest first, by ``depth`` axes."""
+    y = rotated(x, t)
+    if depth == 1:
+        return axes(y, probes)
+    other, width = rotated(x, t + SECOND), 2 * x.shape[1]
+    if probes == 1:
+        return axes(y, 1) * width + axes(other, 1)
+    # the nearest pairs are among the nearest probes of either
+    n = min(probes, width)
+    a, b = axes(y, n), axes(other, n)
+    value = lambda v, c: np.take_along_axis(v, c // 2, axis=1) * np.where(c % 2, -1.0, 1.0)
+    sums = (value(y, a)[:, :, None] + value(other, b)[:, None, :]).reshape(len(x), -1)
+    best = np.argsort(-sums, axis=1, kind="stable")[:, :probes]
+    return np.take_along_axis((a[:, :, None] * width + b[:, None, :]).reshape(len(x), -1), best, axis=1)
+
+
+def choice(queries: np.ndarray, near: list[np.ndarray], weighed: np.ndarray, tables: int, recall: float = RECALL) -> tuple[int, int]:
+    """(axes, probes) that meet least of ``weighed`` among those that find the share ``recall`` of the true neighbours ``near``
+    of the sampled queries; the most thorough if none does."""
+    q, w, n = padded(queries), padded(weighed), [padded(v) for v in near]
+    sizes, options = np.array([len(v) for v in n]), []
+    every = np.concatenate(n)
+    owner = np.repeat(np.arange(len(q)), sizes)
+    width = 2 * q.shape[1]
+    for depth, tried in TRIED.items():
+        tried = [p for p in tried if p < width]
+        if not tried:
+            continue
+        never = tried[-1]
+        found, met = np.full(len(every), never), np.full((len(q), len(w)), never, np.int16)  # the rank of the first probe that meets it, in any table
+        for t in range(tables):
+            probed = buckets(q, t, never, depth)
+            rank = np.where(probed[owner] == buckets(every, t, 1, depth), np.arange(never), never).min(axis=1)
+            found = np.minimum(found, rank)
+            own, places = buckets(w, t, 1, depth)[:, 0], np.full(width**depth, never, np.int16)
+            for i in range(len(q)):
+                places[probed[i]] = np.arange(never)
+                np.minimum(met[i], places[own], out=met[i])
+                places[probed[i]] = never
+        options += [((found < p).mean(), (met < p).mean() + p * PROBE_COST, depth, p) for p in tried]
+    good = [o for o in options if o[0] >= recall]
+    best = min(good, key=lambda o: (o[1], o[2:])) if good else max(options, key=lambda o: (o[0], -o[1]))
+    return best[2], best[3]
+
+
+def _exact(batches: Iterator[pa.RecordBatch], sent, k: int) -> Iterator[pa.RecordBatch]:
+    """(rep, vec) -> (query, rep, score, vec): the task's k best of each sampled query, itself left out."""
+    names, queries = sent.value
+    best = [[] for _ in names]
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        reps, x = batch.column(0).to_numpy(zero_copy_only=False), _matrix(batch.column(1))
+        scores = queries @ x.T
+        for i, name in enumerate(names):
+            own = np.where(reps == name, -np.inf, scores[i])
+            top = np.argpartition(-own, min(k, len(own)) - 1)[:k]
+            best[i] = sorted(best[i] + [(own[j], reps[j], x[j]) for j in top if own[j] > -np.inf], key=lambda r: (-r[0], r[1]))[:k]
+    rows = [(i, r[1], r[0], r[2]) for i, own in enumerate(best) for r in own]
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows]), pa.array([r[3] for r in rows], pa.list_(pa.float64()))], ["query", "rep", "score", "vec"])
+
+
+def calibrated(dense: DataFrame, searched: DataFrame, k: int, tables: int) -> tuple[int, int]:
+    """(axes, probes) for ``dense(rep, vec)`` and the queries ``searched(rep, vec)``, from bounded samples in the order of a hash."""
+    spark, order = dense.sparkSession, F.xxhash64("rep", F.lit(SEED))
+    some = searched.orderBy(order).limit(SAMPLE).collect()
+    if not some:
+        return 1, 1
+    names, queries = np.array([r.rep for r in some]), np.array([r.vec for r in some], float)
+    sent = spark.sparkContext.broadcast((names, queries))
+    found = dense.select("rep", "vec").mapInArrow(lambda it: _exact(it, sent, k), "query long, rep long, score double, vec array<double>")
+    best = found.withColumn("nth", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "rep"))).where(F.col("nth") <= k)
+    near: list[list] = [[] for _ in some]
+    for r in best.select("query", "vec").collect():  # k rows a sampled query
+        near[r.query].append(r.vec)
+    weighed = np.array([r.vec for r in dense.orderBy(order).limit(WEIGHED).collect()], float)
+    kept = [i for i, v in enumerate(near) if v]
+    return choice(queries[kept], [np.array(near[i]) for i in kept], weighed, tables) if kept else (1, 1)
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def _hashed(batches: Iterator[pa.RecordBatch], tables: list[int], probes: int) -> Iterator[pa.RecordBatch]:
+def _hashed(batches: Iterator[pa.RecordBatch], tables: list[int], probes: int, depth: int = 1) -> Iterator[pa.RecordBatch]:
     """(rep, vec) -> (bucket, rep, vec), a row for each table and probe."""
     for batch in batches:
         x = padded(_matrix(batch.column(1)))
         for t in tables:
-            codes = axes(rotated(x, t), probes) + t * 2 * x.shape[1]
+            codes = buckets(x, t, probes, depth) + t * (2 * x.shape[1]) ** depth
             for p in range(codes.shape[1]):
                 yield pa.RecordBatch.from_arrays([pa.array(codes[:, p].astype(np.int64)), batch.column(0), batch.column(1)], ["bucket", "rep", "vec"])
 
@@ -138,7 +229,7 @@ def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
 def _meet(vectors: DataFrame, queries: DataFrame, k: int, block: int) -> DataFrame:
     """Hashed vectors and queries -> (query, rep, score), without repeats."""
     sizes = vectors.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
-    # one row a bucket: twice the padded length for each table
+    # one row a bucket: twice the padded length for each table, or the square of that
     sizes = F.broadcast(sizes)
     dealt = vectors.join(sizes, "bucket").select("bucket", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("query"), "rep", "vec")
     asked = queries.join(sizes, "bucket").select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("query"), "rep", "vec")
@@ -147,8 +238,8 @@ def _meet(vectors: DataFrame, queries: DataFrame, k: int, block: int) -> DataFra
     return found.groupBy("query", "rep").agg(F.max("score").alias("score"))
 
 
-def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embedding", neighbours: int = NEIGHBOURS, tables: int = TABLES, probes: int = PROBES, block: int = BLOCK) -> DataFrame:
-    """``(query_id, rank, vec_id, score)``; ``is_query`` is a condition on ``vec_id``."""
+def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embedding", neighbours: int = NEIGHBOURS, tables: int = TABLES, probes: int | None = None, depth: int = 1, block: int = BLOCK) -> DataFrame:
+    """``(query_id, rank, vec_id, score)``; ``is_query`` is a condition on ``vec_id``. Without ``probes``, they and the axes are chosen by ``calibrated``."""
     spark = vectors.sparkSession
     ready(spark)
     k = neighbours + 1
@@ -178,8 +269,8 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vec_col: str =
     kind = f"bucket long, rep long, vec {groups.schema['vec'].dataType.simpleString()}"
     width = 1 << max(0, (common.n - 1).bit_length())
 
-    def hashed(df: DataFrame, which: list[int], many: int) -> DataFrame:
-        return df.select("rep", "vec").mapInArrow(lambda it: _hashed(it, which, many), kind)
+    def hashed(df: DataFrame, which: list[int], many: int, deep: int = 1) -> DataFrame:
+        return df.select("rep", "vec").mapInArrow(lambda it: _hashed(it, which, many, deep), kind)
 
     def through(df: DataFrame, queries: DataFrame) -> DataFrame:
         """All vectors of ``df``, by all buckets of one table."""
@@ -187,9 +278,11 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vec_col: str =
 
     dense = groups.where("crowded")
     near = dense.count()
-    if near > 4 * k and probes < 2 * width:
+    if near > 4 * k and (probes is None or probes < 2 * width):
         which = list(range(tables))
-        pairs = saved(_meet(hashed(dense, which, 1), hashed(searched, which, probes), k, block), "pairs")
+        if probes is None:
+            depth, probes = calibrated(dense, searched, k, tables)
+        pairs = saved(_meet(hashed(dense, which, 1, depth), hashed(searched, which, probes, depth), k, block), "pairs")
         enough = pairs.groupBy("query").count().where(F.col("count") >= min(k, near))
         few = searched.join(enough, searched.rep == enough["query"], "left_anti")
         if not few.isEmpty():

@@ -781,6 +781,57 @@ def test_neighbours_recall_of_unequal_norms(spark, kind):
     assert hit / n >= 0.9
 
 
+def clustered(n, size, spread, seed=5):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(n // size, 64))
+    x = centres[np.arange(n) % len(centres)] + spread * rng.normal(size=(n, 64))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_choice_of_axes_and_probes():
+    """The nearer the neighbours, the smaller the share of vectors met; and it falls with the number of clusters."""
+    met = []
+    for x in (clustered(8000, 25, 0.15), clustered(8000, 25, 0.6), clustered(8000, 8000, 1.0)):
+        q = x[::40]
+        near = [x[np.argsort(-(x @ v))[1:21]] for v in q]
+        depth, probes = cross_polytope.choice(q, near, x, 8)
+        owned = [set() for _ in q]
+        hit = np.zeros((len(q), 20), bool)
+        for t in range(8):
+            own, probed = cross_polytope.buckets(cross_polytope.padded(x), t, 1, depth)[:, 0], cross_polytope.buckets(cross_polytope.padded(q), t, probes, depth)
+            for i in range(len(q)):
+                owned[i] |= set(np.flatnonzero(np.isin(own, probed[i])).tolist())
+                hit[i] |= np.isin(cross_polytope.buckets(cross_polytope.padded(near[i]), t, 1, depth)[:, 0], probed[i])
+        assert hit.mean() >= cross_polytope.RECALL
+        met.append((depth, sum(map(len, owned)) / len(q) / len(x)))
+    assert met[0][0] == 2 and met[0][1] < 0.02 and met[0][1] < met[1][1] < met[2][1]
+
+
+def test_pairs_of_axes_are_probed_nearest_first():
+    x = cross_polytope.padded(np.random.default_rng(6).normal(size=(30, 16)))
+    got = cross_polytope.buckets(x, 3, 40, 2)
+    a, b = cross_polytope.rotated(x, 3), cross_polytope.rotated(x, 3 + cross_polytope.SECOND)
+    signed = lambda y: np.stack([y, -y], axis=2).reshape(len(y), -1)
+    sums = (signed(a)[:, :, None] + signed(b)[:, None, :]).reshape(len(x), -1)
+    for i in range(len(x)):
+        assert np.allclose(sums[i, got[i]], np.sort(sums[i])[::-1][:40]) and len(set(got[i].tolist())) == 40
+    assert (cross_polytope.buckets(x, 3, 1, 2)[:, 0] == got[:, 0]).all()
+
+
+def test_neighbours_of_clusters(spark):
+    x = clustered(4000, 25, 0.15)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in cross_polytope.nearest(df, df.vec_id % 20 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = 0
+    for q in range(0, len(x), 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hit += len(got[q] & set(np.argsort(-s)[:20].tolist()))
+    assert hit / len(x) >= 0.95
+
+
 # -- 9 licences --------------------------------------------------------------------
 
 

@@ -1,10 +1,10 @@
-"""Forests: large and small nodes alike, scores and files."""
+"""Forests: large and small nodes alike, scores and files; attributions along trees against leaves by themselves."""
 
 import numpy as np
 import pytest
 from pyspark.ml.linalg import Vectors
 
-from quartzmill.operators import forests, models, profile
+from quartzmill.operators import forests, models, profile, trees
 
 
 def fitted(spark, n=300, m=6, seed=4, **how):
@@ -41,3 +41,13 @@ def test_all_deep_levels_cost_one_pass(spark, monkeypatch):
     monkeypatch.setattr(forests, "_large_splits", lambda *_: passes.append(1))
     nodes = fitted(spark, n=500)[3].table()
     assert not passes and len(nodes) > 200
+
+
+def test_along_trees_against_leaves(spark):
+    x, _, _, model = fitted(spark, n=600, m=12)
+    nodes = model.table()
+    every, leaves = trees.tree_list(nodes), trees.open_paths(nodes)
+    assert trees.expected(every) == pytest.approx(trees.base_value(leaves), abs=1e-12)
+    got = trees.forest_values(every, x[:50])
+    assert np.allclose(got, trees.shap_values(leaves, x[:50]), atol=1e-12)
+    assert np.allclose(got.sum(axis=1) + trees.expected(every), model.positive(x[:50]), atol=1e-12)

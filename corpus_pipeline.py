@@ -46,8 +46,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of copies and near copies: the least id, a null id only where there is no other.
 
-    Five-word shingles and a similarity of 0.8. The index is operator 10's deletion variants over a shingle signature, not over
-    SimHash bits, which do not reach that similarity; exact sets decide. Null and blank texts are copies of each other; rows that repeat id and text give one.
+    Five-word shingles and a similarity of 0.8. Operator 10's SimHash links come first; as its bits do not reach that similarity, its deletion
+    variants over a shingle signature find the rest; exact sets decide on both. Null and blank texts are copies of each other; rows that repeat id and text give one.
     """
     return _guarded(docs, lambda d, name: near_copies.deduplicated(d, name["doc_id"], name["text"]))
 

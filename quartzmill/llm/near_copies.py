@@ -1,7 +1,11 @@
-"""Near copies by word shingles, by deletion-variant signatures (operator 10's index on a shingle sketch).
+"""Near copies by word shingles: operator 10's SimHash index, and its deletion variants on a shingle sketch for what SimHash misses.
 
 Two texts are near copies if their sets of five-word shingles have a similarity
-(shared shingles by all shingles) of 0.8 or more.  A text's signature holds its least
+(shared shingles by all shingles) of 0.8 or more.
+
+First the SimHash fingerprints of these shingles are linked as operator 10 does, by one-wildcard variants, within three differing
+bits; texts of one fingerprint meet the least of them.  Each such link is held against the exact sets.  Of pairs at 0.8,
+fingerprints find only some, so all texts go through a second index too.  A text's signature holds its least
 shingle hashes under ``SEGMENTS * ROWS`` permutations, cut into ``SEGMENTS`` segments.
 The index is that of ``simhash_dedup``: each segment is posted once for every row
 left out (a one-wildcard variant), so two texts meet by an equality join if some
@@ -11,7 +15,7 @@ a pair is missed with chance (1 - s**R - R * (1 - s) * s**(R - 1))**SEGMENTS, R
 
 The texts of a bucket are never paired with each other at once:
 
-1. each text is held against the least text of its buckets, on the exact sets;
+1. each text is held against the least text of its buckets, and the SimHash links are verified with them, on the exact sets;
    what is verified gives classes;
 2. the least texts of its other buckets follow, where the classes still differ;
 3. the texts of buckets of three or more that still hold several classes are searched by
@@ -47,6 +51,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .decontaminate import shingle_hashes, word_hashes
 from .scratch import Room, ready, released, saved
+from .simhash_dedup import fingerprint, links as simhash_links
 from .words import word_blocks
 
 WORDS, SIMILARITY = 5, 0.8
@@ -269,18 +274,28 @@ def blocked(rows: DataFrame, group: int) -> DataFrame:
     return dealt.select("key", F.explode(to).alias("block"), "th", "shingles")
 
 
+def simhash_edges(nodes: DataFrame, room: Room) -> DataFrame:
+    """``nodes(th, fp)`` -> ``(a, b)`` of texts: each with the least text of its fingerprint, and those of fingerprints that operator 10 links."""
+    least = room.saved(nodes.groupBy("fp").agg(F.min("th").alias("least")), "fingerprints")
+    own = nodes.join(least, "fp").where("th <> least").select(F.col("th").alias("a"), F.col("least").alias("b"))
+    linked = simhash_links(least.select("fp"), room).distinct()
+    named = lambda c: least.select(F.col("fp").alias(c), F.col("least").alias(f"{c}_th"))
+    return own.union(linked.join(named("a"), "a").join(named("b"), "b").select(F.greatest("a_th", "b_th"), F.least("a_th", "b_th")))
+
+
 def near_classes(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], room: Room, threshold: float = SIMILARITY, group: int = GROUP) -> DataFrame:
-    """``nodes(th, keys)`` -> ``(node, root)`` of the texts that have a near copy.
+    """``nodes(th, keys, fp)`` -> ``(node, root)`` of the texts that have a near copy.
 
     ``sets_of`` turns a table ``(th)`` into ``(th, shingles)``.
     """
+    near = room.saved(simhash_edges(nodes.select("th", "fp"), room), "near")
     keys = nodes.select("th", F.explode(F.array_distinct("keys")).alias("key"))
     # both sides of the next join are tables, so that adaptive execution can split a hot bucket
     shared = room.saved(keys.groupBy("key").agg(F.min("th").alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "least"), "shared")
     members = room.saved(keys.join(shared, "key"), "members")
     spokes = members.where("th <> least")
-    sets = room.saved(sets_of(members.select("th").distinct()), "sets")
-    first = room.saved(spokes.groupBy(F.col("th").alias("a")).agg(F.min("least").alias("b")), "edges")
+    sets = room.saved(sets_of(members.select("th").union(near.select("a")).union(near.select("b")).distinct()), "sets")
+    first = room.saved(spokes.groupBy(F.col("th").alias("a")).agg(F.min("least").alias("b")).union(near).distinct(), "edges")
     links = room.saved(verified(first, sets, threshold), "links")
     classes = components(links, room)
     others = spokes.select(F.col("th").alias("a"), F.col("least").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
@@ -324,7 +339,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [variant_keys(t.as_py() or b"", n) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], ["id", "th", "keys"])
+            marks = [fingerprint(t.as_py() or b"", n) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64())), pa.array(marks, pa.int64())], ["id", "th", "keys", "fp"])
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -338,8 +354,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return texts.mapInArrow(lambda it: released(exact(it)), "th long, shingles binary").dropDuplicates(["th"])
 
     with Room(spark) as room:
-        rows = room.saved(fed.mapInArrow(lambda it: released(signed(it)), "id long, th long, keys array<long>"), "signatures")
-        nodes = room.saved(rows.groupBy("th").agg(F.min("id").alias("least"), F.first("keys").alias("keys")), "texts")
+        rows = room.saved(fed.mapInArrow(lambda it: released(signed(it)), "id long, th long, keys array<long>, fp long"), "signatures")
+        nodes = room.saved(rows.groupBy("th").agg(F.min("id").alias("least"), F.first("keys").alias("keys"), F.min("fp").alias("fp")), "texts")
         classes = near_classes(nodes, sets_of, room, threshold, group)
         named = _labelled(nodes.select("th", "least"), classes, "th")
         best = named.groupBy("th_class").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "th")).alias("k"))

@@ -137,3 +137,18 @@ def test_run_keeps_clean_documents(spark, sf_dir):
     left = {docs[i].text for i in ids}
     assert not any(item in text for item in items for text in left)
     assert len(gone) == len(docs) - len(ids)
+
+
+def test_near_copies_meet_by_simhash_too(spark):
+    """Texts without a common key of the sketch are found by operator 10's index alone; what it links is verified."""
+    import numpy as np
+
+    from quartzmill.llm.scratch import Room
+
+    sets = {1: range(100), 2: range(1, 100), 3: range(500, 600), 4: range(100)}
+    prints = {1: 0b1111, 2: 0b1001, 3: 0b1011, 4: 0b1111}
+    nodes = spark.createDataFrame([(t, [10 * t], prints[t]) for t in sets], "th long, keys array<long>, fp long")
+    table = spark.createDataFrame([(t, bytearray(np.array(list(s), np.uint64).tobytes())) for t, s in sets.items()], "th long, shingles binary")
+    with Room(spark) as room:
+        got = S.near_classes(nodes, lambda wanted: table.join(wanted, "th"), room).collect()
+    assert sorted((r.node, r.root) for r in got) == [(1, 1), (2, 1), (4, 1)]

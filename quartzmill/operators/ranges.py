@@ -19,3 +19,12 @@ def range_of(cuts: Column, value: Column) -> Column:
     """The number of cuts below ``value``, by bisection; equal values share a range."""
     steps = [RANGES >> i for i in range(1, RANGES.bit_length())]
     return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda at, s: at + F.when(F.element_at(cuts, at + s) < value, s).otherwise(0))
+
+
+def with_range(rows: DataFrame, cuts: str, value: str, name: str) -> DataFrame:
+    """``rows`` with ``range_of`` as a column, a column a step: unlike the expression, those are compiled, which pays where rows are many."""
+    out = rows.withColumn(name, F.lit(0))
+    for i in range(1, RANGES.bit_length()):
+        s = RANGES >> i
+        out = out.withColumn(name, F.col(name) + F.when(F.element_at(cuts, F.col(name) + s) < F.col(value), s).otherwise(0))
+    return out

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+from itertools import accumulate
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.storage import delete, folder, stored
 from . import elimination, ranges
 
 EULER = 0.5772156649015329
@@ -36,16 +40,25 @@ def knn_mutual_info(long: DataFrame, k: int = 3) -> DataFrame:
     A class of n rows uses min(k, n - 1) neighbours; single rows are left out. Equal values of a
     class are counted first. The k-th distance comes from k places before and after in the class's
     order; the points strictly within it are counted by one sweep over points and bounds. Windows
-    run in ranges of values: the k values beyond a range's ends, and the counts before it, come
-    from tables of a row a range.
+    run in ranges of values: distances that may pass a range's ends are found among the rows at all ends,
+    and the counts before a range come from a table of a row a range. Tables that several steps read are written
+    once and go at the end; the result, a row a feature, stays.
     """
+    spark, work = long.sparkSession, f"neighbours-{uuid.uuid4().hex}"
+    try:
+        return stored(_mutual_info(long, k, work), "mutual_info")
+    finally:
+        delete(spark, f"{folder(spark)}/{work}")
+
+
+def _mutual_info(long: DataFrame, k: int, work: str) -> DataFrame:
     rows = long.where("value is not null and y is not null")
-    values = rows.groupBy("feature", "fidx", "y", "value").agg(F.count("*").alias("n"))
+    values = stored(rows.groupBy("feature", "fidx", "y", "value").agg(F.count("*").alias("n")), f"{work}/values")
     sizes = values.groupBy("feature", "y").agg(F.sum("n").alias("nc")).where("nc > 1")
-    cuts = ranges.cut_points(values, ["feature"], "value")
+    cuts = stored(ranges.cut_points(values, ["feature"], "value"), f"{work}/cuts")
     known = values.join(F.broadcast(sizes), ["feature", "y"]).join(F.broadcast(cuts), "feature")  # a row a class, a row a feature
-    known = known.withColumn("b", ranges.range_of(F.col("cuts"), F.col("value"))).drop("cuts")
-    reach = _reach(known, k)
+    known = ranges.with_range(known, "cuts", "value", "b").drop("cuts")
+    reach = _reach(known, k, work)
     low, high = F.col("value") - F.col("r"), F.col("value") + F.col("r")
     # the sweep: a lower bound counts values <= x - r, an upper one values < x + r
     kinds = F.array(*[
@@ -53,7 +66,7 @@ def knn_mutual_info(long: DataFrame, k: int = 3) -> DataFrame:
         for at, kind, one in ((F.col("value"), 1, F.col("n")), (low, 2, F.lit(0)), (high, 0, F.lit(0)))
     ])
     events = reach.select("feature", "fidx", "y", "value", "n", "nc", F.least(F.lit(k), F.col("nc") - 1).alias("kc"), F.inline(kinds))
-    events = events.join(F.broadcast(cuts), "feature").withColumn("b", ranges.range_of(F.col("cuts"), F.col("at"))).drop("cuts")
+    events = ranges.with_range(events.join(F.broadcast(cuts), "feature"), "cuts", "at", "b").drop("cuts")
     every = cuts.select("feature", F.explode(F.sequence(F.lit(0), F.lit(ranges.RANGES - 1))).alias("b"))
     counts = every.join(known.groupBy("feature", "b").agg(F.sum("n").alias("c")), ["feature", "b"], "left")
     before = Window.partitionBy("feature").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
@@ -70,33 +83,37 @@ def knn_mutual_info(long: DataFrame, k: int = 3) -> DataFrame:
     return raw.withColumn("score", F.greatest(F.lit(0.0), F.col("raw")))
 
 
-def _reach(known: DataFrame, k: int) -> DataFrame:
-    """``known(feature, fidx, y, value, n, nc, b)`` with ``r``, the distance to the min(k, nc - 1)-th nearest row of the class."""
-    own = Window.partitionBy("feature", "y", "b")
-    up, down = own.orderBy("value"), own.orderBy(F.desc("value"))
+def _reach(known: DataFrame, k: int, work: str) -> DataFrame:
+    """``known(feature, fidx, y, value, n, nc, b)`` with ``r``, the distance to the min(k, nc - 1)-th nearest row of the class.
+
+    One sort in ranges settles all but the k first and last values of a class in a range. Those are
+    found again among the 2k first and last of each range, which hold their k neighbours on both sides.
+    """
+    own = Window.partitionBy("feature", "y", "b").orderBy("value")
+    up, size = F.row_number().over(own), F.count("*").over(own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    marked = stored(_near(known, own, k, edge=F.least(up, size - up + 1)), f"{work}/reach")
+    ends = _near(marked.where(F.col("edge") <= 2 * k).drop("r"), Window.partitionBy("feature", "y").orderBy("value"), k)
+    return marked.where(F.col("edge") > k).unionByName(ends.where(F.col("edge") <= k))
+
+
+def _near(rows: DataFrame, order, k: int, **more) -> DataFrame:
+    """``rows`` with ``more`` and ``r`` as in ``_reach``, from k rows before and after in ``order``.
+
+    A distance takes i values before and j after; the least that holds enough rows has i + j <= k, as each value holds a row.
+    """
     item = F.struct("value", "n")
-    near = F.array_compact(F.array(*[f(item, i).over(up) for i in range(1, k + 1) for f in (F.lag, F.lead)]))
-    marked = known.withColumns({"near": near, "up": F.row_number().over(up), "down": F.row_number().over(down)})
-    ends = marked.where((F.col("up") <= k) | (F.col("down") <= k)).groupBy("feature", "y", "b").agg(
-        F.collect_list(F.when(F.col("up") <= k, item)).alias("first"), F.collect_list(F.when(F.col("down") <= k, item)).alias("last")
-    )
-    # a range that occurs has a value, so k ranges hold k values
-    order = Window.partitionBy("feature", "y").orderBy("b")
-    beyond = lambda c, lo, hi, asc: F.slice(F.sort_array(F.flatten(F.collect_list(c).over(order.rowsBetween(lo, hi))), asc), 1, k)
-    edges = ends.select("feature", "y", "b", F.concat(beyond("last", -k, -1, False), beyond("first", 1, k, True)).alias("beyond"))
-    joined = marked.join(edges, ["feature", "y", "b"])
-    away = F.transform(F.concat("near", "beyond"), lambda x: F.struct(F.abs(x["value"] - F.col("value")).alias("d"), x["n"].alias("n")))
-    itself = F.array(F.struct(F.lit(0.0).alias("d"), (F.col("n") - 1).alias("n")))
-    start = F.struct(F.least(F.lit(k), F.col("nc") - 1).cast("long").alias("left"), F.lit(0.0).alias("r"))
-    step = lambda a, x: F.struct((a["left"] - F.when(a["left"] > 0, x["n"]).otherwise(0)).alias("left"), F.when(a["left"] > 0, x["d"]).otherwise(a["r"]).alias("r"))
-    reached = F.aggregate(F.sort_array(F.concat(itself, away)), start, step)["r"]
-    return joined.select("feature", "fidx", "y", "value", "n", "nc", reached.alias("r"))
+    near = {f"{side}{i}": f(item, i).over(order) for i in range(1, k + 1) for side, f in (("before", F.lag), ("after", F.lead))}
+    held = lambda side, i: sum((F.col(f"{side}{x}.n") for x in range(1, i + 1)), F.lit(0))
+    away = lambda side, i: F.abs(F.col(f"{side}{i}.value") - F.col("value")) if i else F.lit(0.0)
+    needed = F.least(F.lit(k), F.col("nc") - 1) - (F.col("n") - 1)
+    found = [F.when(held("before", i) + held("after", j) >= needed, F.greatest(away("before", i), away("after", j))) for i in range(k + 1) for j in range(k + 1 - i) if i + j]
+    return rows.withColumns(near | more).withColumn("r", F.when(needed <= 0, 0.0).otherwise(F.least(*found))).drop(*near)
 
 
 def _psi(n):
     """Digamma of a positive whole number: an exact sum below 64, the asymptotic series from there."""
     x = n.cast("double")
-    exact = F.aggregate(F.when(n > 1, F.sequence(F.lit(1), n.cast("int") - 1)).otherwise(F.array().cast("array<int>")), F.lit(-EULER), lambda s, i: s + F.lit(1.0) / i)
+    exact = F.element_at(F.array(*[F.lit(v) for v in accumulate((1.0 / i for i in range(1, 63)), initial=-EULER)]), n.cast("int"))
     series = F.log(x) - 1 / (2 * x) - 1 / (12 * x * x) + 1 / (120 * F.pow(x, 4)) - 1 / (252 * F.pow(x, 6))
     return F.when(n < 64, exact).otherwise(series)
 

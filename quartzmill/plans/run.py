@@ -66,7 +66,7 @@ def select_features(long: DataFrame, cfg: dict, quick: bool) -> tuple[list[str],
         else:
             raise KeyError(f"unknown selection method {m!r}")
     ranks = {m: again(r, "rank") for m, r in ranks.items()}
-    fused = ranking.fuse(ranks)
+    fused = stored(ranking.fuse(ranks), "ranks")  # a row a feature, read twice
     chosen = ranking.select_top(fused, n).orderBy("pos").collect()
     return [r.feature for r in chosen], fused
 

@@ -382,7 +382,6 @@ def l11_select_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     long = V.sensor_long(spark, sf_dir)
     long = stored(profile.drop_features(long, profile.all_null_features(long)), "cells")
     chosen, fused = plan.select_features(long, plan.configured({"random_state": SEED}), quick=False)
-    fused = stored(fused, "ranks")
     fused.createOrReplaceTempView("l11_ranks")
     checked = spark.sql("""
       WITH m AS (SELECT *, (rank_f_test + rank_mutual_info + rank_rfe + rank_random_forest) / 4 AS mean FROM l11_ranks),

@@ -2,6 +2,7 @@
 
 import json
 import math
+import os
 
 import numpy as np
 import pytest
@@ -9,8 +10,9 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from quartzmill.operators import explain as X
-from quartzmill.operators import metrics, models, preprocess, profile, ranking, scoring, sinks, split
+from quartzmill.operators import metrics, models, preprocess, profile, ranges, ranking, scoring, sinks, split
 from quartzmill.plans import run as R
+from quartzmill.plans.storage import folder
 from quartzmill.sources import sensor_files as S
 
 #: Confusion matrices (tp, fn, fp, tn) and the metrics they imply.
@@ -336,6 +338,39 @@ def test_mutual_information_against_all_pairs(spark):
     assert scoring.knn_mutual_info(long_of(spark, x, y).limit(0)).count() == 0
 
 
+def test_mutual_information_in_wide_ranges(spark, monkeypatch):
+    """Ranges of many values, so that most distances are settled within one, beside ranges that hold few of a class; nothing but the result stays."""
+    monkeypatch.setattr(scoring.ranges, "RANGES", 8)
+    rng = np.random.default_rng(15)
+    n = 700
+    y = rng.choice([0, 1, 2], n, p=[0.7, 0.29, 0.01])
+    y[y == 2] = np.where(np.arange((y == 2).sum()) < 3, 2, 0)  # a class of three rows has two neighbours at most
+    x = np.column_stack([rng.normal(size=n) + y, np.round(rng.normal(size=n), 1), np.where(rng.random(n) < 0.4, 0.0, rng.lognormal(sigma=6, size=n))])
+    for k in (1, 3, 5):
+        found = scoring.knn_mutual_info(long_of(spark, x, y), k)
+        assert {r.feature: r.raw for r in found.collect()} == {f"F{j + 1:03d}": pytest.approx(brute_mutual_info(x[:, j], y, k), abs=1e-9) for j in range(3)}
+    assert not [p for p in os.listdir(folder(spark).removeprefix("file://")) if p.startswith("neighbours-")]
+
+
+def test_ranges_by_steps_and_by_expression(spark):
+    rng = np.random.default_rng(16)
+    rows = spark.createDataFrame([("a", float(v)) for v in np.r_[np.round(rng.normal(size=900), 2), -1e300, 1e300]], "feature string, value double")
+    cuts = ranges.cut_points(rows, ["feature"], "value")
+    both = ranges.with_range(rows.join(cuts, "feature"), "cuts", "value", "b").withColumn("same", F.col("b") == ranges.range_of(F.col("cuts"), F.col("value")))
+    assert both.where("same").count() == 902 and both.agg(F.min("b"), F.max("b")).first() == (0, ranges.RANGES - 1)
+
+
+def test_selection_is_computed_once(spark):
+    """The rank table of a selection is read from what was stored: taking the chosen features and then the ranks does not score twice."""
+    rng = np.random.default_rng(17)
+    y = rng.integers(0, 2, 60)
+    cfg = R.configured({"feature_selection": {"n_features_to_select": 2, "methods": ["f_test", "mutual_info"]}})
+    chosen, fused = R.select_features(long_of(spark, rng.normal(size=(60, 3)) + y[:, None] * [2, 1, 0], y), cfg, True)
+    plan = fused._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Aggregate" not in plan and "Join" not in plan
+    assert [r.feature for r in fused.orderBy("mean_rank", "fidx").collect()][:2] == chosen
+
+
 def test_median_of_skewed_columns(spark):
     rng = np.random.default_rng(9)
     for n in (1, 2, 3, 400, 3001):

@@ -35,6 +35,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     scratch.ready(spark)
     model = langid_bigru.fit(docs)
+    scratch.release()  # what the fit held on the driver
 
     def use(d: DataFrame, name: dict[str, str]) -> DataFrame:
         found = langid_bigru.predict(d, model, d.columns, name["text"])

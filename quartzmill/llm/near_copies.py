@@ -283,6 +283,14 @@ def simhash_edges(nodes: DataFrame, room: Room) -> DataFrame:
     return own.union(linked.join(named("a"), "a").join(named("b"), "b").select(F.greatest("a_th", "b_th"), F.least("a_th", "b_th")))
 
 
+def _joined(classes: DataFrame, edges: DataFrame, sets: DataFrame, room: Room, threshold: float) -> DataFrame:
+    """``classes`` joined by those of the saved ``edges(a, b)`` that are similar; the same frame if none is. The classes are stars already, so few rounds follow."""
+    if edges.isEmpty():
+        return classes
+    links = room.saved(verified(edges, sets, threshold), "links")
+    return classes if links.isEmpty() else components(classes.union(links).toDF("a", "b"), room)
+
+
 def near_classes(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], room: Room, threshold: float = SIMILARITY, group: int = GROUP) -> DataFrame:
     """``nodes(th, keys, fp)`` -> ``(node, root)`` of the texts that have a near copy.
 
@@ -296,14 +304,10 @@ def near_classes(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], ro
     spokes = members.where("th <> least")
     sets = room.saved(sets_of(members.select("th").union(near.select("a")).union(near.select("b")).distinct()), "sets")
     first = room.saved(spokes.groupBy(F.col("th").alias("a")).agg(F.min("least").alias("b")).union(near).distinct(), "edges")
-    links = room.saved(verified(first, sets, threshold), "links")
-    classes = components(links, room)
+    classes = components(room.saved(verified(first, sets, threshold), "links"), room)
     others = spokes.select(F.col("th").alias("a"), F.col("least").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     apart = _labelled(_labelled(others, classes, "a"), classes, "b").where("a_class <> b_class").select("a", "b")
-    more = room.saved(verified(room.saved(apart, "edges"), sets, threshold), "links")
-    if not more.isEmpty():
-        links = links.union(more)
-        classes = components(links, room)
+    classes = _joined(classes, room.saved(apart, "edges"), sets, room, threshold)
     left = room.saved(_open_buckets(members, classes), "open")
     if left.isEmpty():
         return classes
@@ -311,10 +315,9 @@ def near_classes(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], ro
     postings = room.saved(texts.join(sets, "th").select("th", "th_class", "shingles").mapInArrow(lambda it: released(_postings(it)), "th long, th_class long, size long, s long"), "postings")
     few = room.saved(postings.groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") <= RARE), "few")
     rare = room.saved(postings.join(few, "s"), "rare")
-    met = room.saved(verified(room.saved(rare_meetings(rare, threshold), "edges"), sets, threshold), "links")
-    if not met.isEmpty():
-        links = links.union(met)
-        classes = components(links, room)
+    joined = _joined(classes, room.saved(rare_meetings(rare, threshold), "edges"), sets, room, threshold)
+    if joined is not classes:
+        classes = joined
         left = room.saved(_open_buckets(left.select("key", "th"), classes, 2), "open")
     sizes = postings.groupBy("th").agg(F.first("size").alias("size"))
     own = rare.groupBy("th").agg(F.count("*").alias("r"))
@@ -328,7 +331,7 @@ def near_classes(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], ro
     rows = room.saved(hard.join(sets, "th").select("key", "th", "main", "shingles"), "blocks")
     dealt = blocked(rows, group).repartition("key", "block").sortWithinPartitions("key", "block")
     last = room.saved(dealt.mapInArrow(lambda it: released(_forests(it, threshold)), "a long, b long"), "links")
-    return classes if last.isEmpty() else components(links.union(last), room)
+    return classes if last.isEmpty() else components(classes.union(last).toDF("a", "b"), room)
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, threshold: float = SIMILARITY, group: int = GROUP) -> DataFrame:

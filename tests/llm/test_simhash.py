@@ -141,3 +141,26 @@ def test_components_with_a_hub_and_a_path(spark):
         got = {r.node: r.root for r in components(spark.createDataFrame(pairs, "a long, b long"), room).collect()}
         assert got == parts(pairs, nodes)
         assert components(spark.createDataFrame([], "a long, b long"), room).count() == 0
+
+
+def test_components_keep_the_drivers_plans_few(spark):
+    """The driver keeps all plans and tasks for a while: a round has few exchanges, and stars need no round."""
+    from quartzmill.llm import components as C
+
+    written = []
+
+    class Counted(Room):
+        def saved(self, df, name):
+            written.append(df._jdf.queryExecution().sparkPlan().toString())
+            return super().saved(df, name)
+
+    stars = spark.createDataFrame([(9, 1), (8, 1), (7, 2), (2, 7), (5, 5)], "a long, b long")
+    with Counted(spark) as room:
+        got = {r.node: r.root for r in C.components(stars, room).collect()}
+    assert got == {1: 1, 8: 1, 9: 1, 2: 2, 7: 2} and len(written) == 1
+    down = spark.range(1, 40).selectExpr("id a", "id - 1 b")
+    with Room(spark) as room:
+        edges = room.saved(down, "edges")
+        plan = C._small(C._large(edges))._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hash") <= 13  # seven, with those that Spark writes once and reads again
+        assert C.components(down, room).select("root").distinct().count() == 1
